@@ -191,3 +191,49 @@ def q_enrich_tracks(spark, sf):
     )
     top = R.top_k(g, ["track", "artist"], ["plays"], 10)
     return EN.enrich_tracks(top, C.track_catalog(spark, sf))
+
+
+# --- M1-M9: skip model (iterative fit: no SQL oracle, rows-only check) ----------------------
+
+_models: dict[str, object] = {}
+
+
+def _skip_result(spark, sf):
+    from encore.operators.skip_model import train_skip_model
+    from encore.sources.curated import star_curated_path
+
+    key = star_curated_path(spark, sf)
+    if key not in _models:
+        _models[key] = train_skip_model(plays(spark, sf))
+    return _models[key]
+
+
+@register("skip_model_metrics")
+def q_skip_model_metrics(spark, sf):
+    from encore.operators.skip_model import metrics
+
+    r = _skip_result(spark, sf)
+    if r.status != "ok":
+        return spark.createDataFrame([(r.status, 0, 0, None, None)],
+                                     "status string, n_train long, n_test long, accuracy double, roc_auc double")
+    m = metrics(r.scored)
+    return m.select(F.lit("ok").alias("status"), F.lit(r.n_train).cast("long").alias("n_train"),
+                    "n_test", "accuracy", "roc_auc")
+
+
+@register("skip_scores")
+def q_skip_scores(spark, sf):
+    r = _skip_result(spark, sf)
+    if r.status != "ok":
+        return spark.createDataFrame([], "label double, prediction double, probability double")
+    return r.scored
+
+
+@register("skip_report")
+def q_skip_report(spark, sf):
+    from encore.operators.skip_model import classification_report
+
+    r = _skip_result(spark, sf)
+    if r.status != "ok":
+        return spark.createDataFrame([], "label string, precision double, recall double, f1_score double, support double")
+    return classification_report(r.scored)

@@ -68,12 +68,21 @@ def star_curated_path(spark: SparkSession, sf_dir: str) -> str:
     return f"{shared_dir(spark)}/encore/curated/plays-{key}"
 
 
+def build(spark: SparkSession, sf_dir: str) -> str:
+    """(Re)build the curated table of ``sf_dir`` unconditionally."""
+    configure(spark)
+    path = star_curated_path(spark, sf_dir)
+    write_curated(prepare_plays(star_plays(spark, sf_dir)), path)
+    _memo[sf_dir] = path
+    return path
+
+
 def plays(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Curated plays built from the star-schema tables in ``sf_dir`` (built on first use)."""
     configure(spark)
     path = _memo.get(sf_dir) or star_curated_path(spark, sf_dir)
     if not _done(path):
-        write_curated(prepare_plays(star_plays(spark, sf_dir)), path)
+        path = build(spark, sf_dir)
     _memo[sf_dir] = path
     return read_curated(spark, path)
 
