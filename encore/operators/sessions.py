@@ -6,13 +6,13 @@ exact method used here instead:
 1. reduce the log to its distinct timestamps (partial aggregation map-side, so a timestamp
    holding a third of all rows costs one row after the combine);
 2. cut the distinct timestamps into range buckets of about equal size at approximate
-   quantiles (the bounds are a bounded array, one per bucket), bucket with a binary search;
-3. inside each bucket: ``lag`` + running count of gaps greater than the limit;
-4. one summary row per bucket (first, last, gap count); on that small table a prefix sum
-   gives every bucket its offset, adding a break where the gap between buckets exceeds the
-   limit;
-5. ``session_id = 1 + offset + local count``; the per-timestamp ids are joined back to the
-   rows on the timestamp (AQE splits a hot timestamp on the row side).
+   quantiles (a bounded array of split points), bucket with a binary search;
+3. a distinct timestamp starts a session when the previous one is more than the gap earlier:
+   ``lag`` inside the bucket, and for a bucket's first timestamp the maximum of the nearest
+   earlier bucket (a one-row-per-bucket table);
+4. rows get their session number by a binary search of their timestamp among the sorted
+   session starts — a size-checked lookup, no shuffle of the rows — or, above the size
+   bound, by a join of per-timestamp numbers (prefix sum of per-bucket start counts).
 
 Equal timestamps never split a session, so ties are harmless; a gap equal to the limit stays
 inside the session (strictly greater starts a new one).
@@ -36,73 +36,122 @@ def _epoch_us(col: str):
 
 
 def _bucket_splits(distinct_ts: DataFrame, target_rows: int, max_buckets: int) -> list[float]:
-    stats = distinct_ts.agg(F.count(F.lit(1)).alias("n"), F.min(_US).alias("lo"), F.max(_US).alias("hi")).first()
-    n = int(stats["n"] or 0)
+    """Approximate-quantile split points giving about equal buckets, at least one per core."""
+    cores = distinct_ts.sparkSession.sparkContext.defaultParallelism
+    n = distinct_ts.count()
     if n == 0:
         return []
-    buckets = max(1, min(max_buckets, -(-n // target_rows)))
-    if buckets == 1:
+    buckets = max(1, min(max_buckets, max(2 * cores, -(-n // target_rows))))
+    if buckets == 1 or n < 2 * buckets:
         return []
     probs = [i / buckets for i in range(1, buckets)]
-    bounds = distinct_ts.agg(F.percentile_approx(_US, probs, 10000).alias("q")).first()["q"]
+    bounds = distinct_ts.agg(F.percentile_approx(_US, probs, max(10000, 4 * buckets)).alias("q")).first()["q"]
     return sorted({float(b) for b in bounds})
 
 
-def session_ids(
+def _bucketed_distinct(df: DataFrame, ts_col: str, target_rows: int, max_buckets: int) -> DataFrame:
+    distinct_ts = df.where(F.col(ts_col).isNotNull()).select(_epoch_us(ts_col).alias(_US)).distinct()
+    splits = _bucket_splits(distinct_ts, target_rows, max_buckets)
+    if not splits:
+        return distinct_ts.withColumn(_B, F.lit(0.0))
+    bucketizer = Bucketizer(splits=[float("-inf")] + splits + [float("inf")], inputCol="_us_d", outputCol=_B)
+    return bucketizer.transform(distinct_ts.withColumn("_us_d", F.col(_US).cast("double"))).drop("_us_d")
+
+
+def session_starts(
     df: DataFrame,
     ts_col: str = "ts",
     gap_minutes: float = SESSION_GAP_MINUTES,
-    out_col: str = "session_id",
     target_rows_per_bucket: int = 2_000_000,
     max_buckets: int = 200_000,
 ) -> DataFrame:
-    """Per distinct timestamp: ``(ts_col, out_col)``; one row per distinct non-NULL timestamp."""
-    gap_us = int(round(gap_minutes * 60 * 1_000_000))
-    distinct_ts = df.where(F.col(ts_col).isNotNull()).select(ts_col).distinct().withColumn(_US, _epoch_us(ts_col))
-
-    splits = _bucket_splits(distinct_ts, target_rows_per_bucket, max_buckets)
-    if splits:
-        bucketizer = Bucketizer(
-            splits=[float("-inf")] + splits + [float("inf")],
-            inputCol="_ts_us_d",
-            outputCol=_B,
-        )
-        bucketed = bucketizer.transform(distinct_ts.withColumn("_ts_us_d", F.col(_US).cast("double"))).drop("_ts_us_d")
-    else:
-        bucketed = distinct_ts.withColumn(_B, F.lit(0.0))
+    """Epoch microseconds ``_start_us`` of every session's first play (unordered).
 
+    A distinct timestamp starts a session when it is the first overall or lies more than the
+    gap after the previous distinct timestamp. The previous timestamp is a ``lag`` inside the
+    bucket; for a bucket's first timestamp it is the last timestamp of the nearest earlier
+    bucket, taken from a per-bucket maximum (one row per bucket, a proven bound).
+    """
+    gap_us = int(round(gap_minutes * 60 * 1_000_000))
+    b = _bucketed_distinct(df, ts_col, target_rows_per_bucket, max_buckets)
+    last = b.groupBy(_B).agg(F.max(_US).alias("_last"))
+    wb = Window.orderBy(_B)
+    prev_last = last.select(F.col(_B), F.lag("_last").over(wb).alias("_prev_bucket_last"))
     w = Window.partitionBy(_B).orderBy(_US)
-    local = (
-        bucketed.withColumn("_prev", F.lag(_US).over(w))
-        .withColumn("_brk", F.coalesce((F.col(_US) - F.col("_prev") > gap_us).cast("long"), F.lit(0)))
-        .withColumn("_local", F.sum("_brk").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    prev = F.coalesce(F.lag(_US).over(w), F.col("_prev_bucket_last"))
+    flagged = b.join(F.broadcast(prev_last), _B).select(_US, prev.alias("_prev"))
+    return flagged.where(F.col("_prev").isNull() | (F.col(_US) - F.col("_prev") > gap_us)).select(
+        F.col(_US).alias("_start_us")
     )
 
-    # One row per bucket: bounded by the bucket count, so the global window below is small.
-    summary = local.groupBy(_B).agg(
-        F.min(_US).alias("_first"), F.max(_US).alias("_last"), F.sum("_brk").alias("_nbrk")
-    )
-    ws = Window.orderBy(_B)
-    summary = (
-        summary.withColumn("_prev_last", F.lag("_last").over(ws))
-        .withColumn("_edge", F.coalesce((F.col("_first") - F.col("_prev_last") > gap_us).cast("long"), F.lit(0)))
-        .withColumn(
-            "_offset",
-            F.sum(F.col("_nbrk") + F.col("_edge")).over(ws.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-            - F.col("_nbrk"),
-        )
-        .select(_B, "_offset")
+
+def session_ids(
+    df: DataFrame,
+    ts_col: str = "ts",
+    gap_minutes: float = SESSION_GAP_MINUTES,
+    out_col: str = "session_id",
+    target_rows_per_bucket: int = 2_000_000,
+    max_buckets: int = 200_000,
+) -> DataFrame:
+    """Per distinct timestamp: ``(ts_col, out_col)`` — the join-based form, used above the
+    lookup bound. The session number is the count of session starts at or before the
+    timestamp: starts are numbered once (one row per session), then matched to timestamps
+    inside the same bucket by a window, with a per-bucket offset from a prefix sum over the
+    bucket table."""
+    gap_us = int(round(gap_minutes * 60 * 1_000_000))
+    b = _bucketed_distinct(df.select(ts_col), ts_col, target_rows_per_bucket, max_buckets)
+    last = b.groupBy(_B).agg(F.max(_US).alias("_last"))
+    wb = Window.orderBy(_B)
+    prev_last = last.select(F.col(_B), F.lag("_last").over(wb).alias("_prev_bucket_last"))
+    w = Window.partitionBy(_B).orderBy(_US)
+    prev = F.coalesce(F.lag(_US).over(w), F.col("_prev_bucket_last"))
+    flagged = b.join(F.broadcast(prev_last), _B).select(
+        _B, _US, (prev.isNull() | (F.col(_US) - prev > gap_us)).cast("long").alias("_brk")
     )
-    # The summary has one row per bucket (at most ``max_buckets``): a proven bound.
-    return local.join(F.broadcast(summary), _B).select(
-        F.col(ts_col), (F.lit(1) + F.col("_offset") + F.col("_local")).cast("long").alias(out_col)
+    w2 = Window.partitionBy(_B).orderBy(_US).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    local = flagged.withColumn("_local", F.sum("_brk").over(w2))
+    per_bucket = local.groupBy(_B).agg(F.sum("_brk").alias("_nb"))
+    offsets = per_bucket.select(
+        _B, (F.sum("_nb").over(wb.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_nb")).alias("_off")
     )
+    ids = local.join(F.broadcast(offsets), _B).select(_US, (F.col("_off") + F.col("_local")).cast("long").alias(out_col))
+    return df.select(ts_col).distinct().withColumn(_US, _epoch_us(ts_col)).join(ids, _US).select(ts_col, out_col)
 
 
 def sessionize(
-    df: DataFrame, ts_col: str = "ts", gap_minutes: float = SESSION_GAP_MINUTES, out_col: str = "session_id", **kw
+    df: DataFrame,
+    ts_col: str = "ts",
+    gap_minutes: float = SESSION_GAP_MINUTES,
+    out_col: str = "session_id",
+    max_lookup_sessions: int = 4_000_000,
+    **kw,
 ) -> DataFrame:
-    """Add ``out_col`` to every row of ``df`` (rows with a NULL timestamp get NULL)."""
+    """Add ``out_col`` to every row of ``df`` (rows with a NULL timestamp get NULL).
+
+    When there are at most ``max_lookup_sessions`` sessions (checked by fetching at most one
+    more than the bound), their sorted start times become the split points of a binary-search
+    bucketizer applied row by row: no shuffle of the rows at all. Above the bound the
+    per-timestamp ids are joined back on the timestamp instead (a shuffle join; AQE splits a
+    hot timestamp).
+    """
+    starts = session_starts(df, ts_col, gap_minutes, **kw)
+    got = starts.limit(max_lookup_sessions + 1).collect()
+    us = _epoch_us(ts_col)
+    if len(got) <= max_lookup_sessions:
+        bounds = sorted(float(r["_start_us"]) for r in got)
+        if len(bounds) <= 1:
+            return df.withColumn(out_col, F.when(us.isNotNull(), F.lit(1).cast("long")))
+        bucketizer = Bucketizer(
+            splits=[float("-inf")] + bounds[1:] + [float("inf")],
+            inputCol="_sess_us",
+            outputCol="_sess_b",
+            handleInvalid="keep",
+        )
+        cols = df.columns
+        b = bucketizer.transform(df.withColumn("_sess_us", us.cast("double")))
+        return b.select(
+            *cols, F.when(F.col("_sess_us").isNotNull(), (F.col("_sess_b") + 1).cast("long")).alias(out_col)
+        )
     ids = session_ids(df, ts_col, gap_minutes, out_col, **kw)
     return df.join(ids, on=ts_col, how="left")
 

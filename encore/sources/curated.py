@@ -22,7 +22,7 @@ from encore.session import configure, shared_dir
 from encore.sources.star import star_plays
 
 # Bump when the cleaning logic changes so stale curated tables are not reused.
-CURATED_VERSION = "3"
+CURATED_VERSION = "4"
 
 _memo: dict[str, str] = {}
 
@@ -68,11 +68,28 @@ def star_curated_path(spark: SparkSession, sf_dir: str) -> str:
     return f"{shared_dir(spark)}/encore/curated/plays-{key}"
 
 
+def build_from_raw(spark: SparkSession, raw: DataFrame, path: str) -> str:
+    """Clean ``raw`` into the curated table at ``path``.
+
+    The cleaned, de-duplicated rows are first written to ``<path>-stage`` (same shared
+    folder): the expensive ingest (joins / JSON decoding, de-duplication shuffle) runs once,
+    the session passes read only the ``ts`` column of the stage, and a lost executor
+    re-reads files instead of recomputing the ingest.
+    """
+    from encore.operators.sessions import sessionize
+
+    configure(spark)
+    stage = f"{path}-stage"
+    prepare_plays(raw, with_sessions=False).write.mode("overwrite").parquet(stage)
+    staged = spark.read.parquet(stage)
+    write_curated(sessionize(staged, "ts"), path)
+    return path
+
+
 def build(spark: SparkSession, sf_dir: str) -> str:
     """(Re)build the curated table of ``sf_dir`` unconditionally."""
-    configure(spark)
     path = star_curated_path(spark, sf_dir)
-    write_curated(prepare_plays(star_plays(spark, sf_dir)), path)
+    build_from_raw(spark, star_plays(spark, sf_dir), path)
     _memo[sf_dir] = path
     return path
 

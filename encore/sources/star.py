@@ -20,12 +20,22 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def widen(df: DataFrame) -> DataFrame:
+    """Spread an input that arrives in fewer partitions than the cluster has cores (a small,
+    single-row-group file) so the joins after the scan run in parallel. At scale the scan
+    already yields many more partitions than cores and this is a no-op."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores)
+    return df
+
+
 def star_plays(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw plays in ``RAW_SCHEMA`` column order (untyped cleaning is left to ``prepare``)."""
-    l = read_table(spark, sf_dir, "lineitem").select(
+    l = widen(read_table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
         "l_tax", "l_discount", "l_returnflag", "l_linestatus",
-    )
+    ))
     o = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority")
     p = read_table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size")
     c = read_table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
