@@ -57,49 +57,44 @@ def empty_raw(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], RAW_SCHEMA)
 
 
-def records(spark: SparkSession, data_dir: str, layout: str = "files") -> DataFrame:
-    """``source_file, e`` — one VARIANT object per record."""
-    configure(spark)
-    opts = {"recursiveFileLookup": True, "pathGlobFilter": "*.json"}
-    if layout == "files":
-        text = spark.read.text(data_dir, wholetext=True, **opts)
-        decode = _DECODE_FILE
-    elif layout == "lines":
-        text = spark.read.text(data_dir, **opts)
-        decode = _DECODE_LINE
-    else:
+def decode(text: DataFrame, layout: str = "files") -> DataFrame:
+    """``source_file, value`` (file or line text) -> ``source_file, e``: one VARIANT object
+    per record. Shared by the batch reader and the streaming ingest."""
+    if layout not in ("files", "lines"):
         raise ValueError("layout must be 'files' or 'lines'")
-    t = text.select(
-        F.col("_metadata.file_name").alias("source_file"),
-        F.regexp_replace(F.col("value"), _TRIM, "").alias("t"),
-    )
-    e = t.select("source_file", F.explode(F.expr(decode)).alias("e"))
+    t = text.select("source_file", F.regexp_replace(F.col("value"), _TRIM, "").alias("t"))
+    e = t.select("source_file", F.explode(F.expr(_DECODE_FILE if layout == "files" else _DECODE_LINE)).alias("e"))
     return e.where(F.expr("schema_of_variant(e) LIKE 'OBJECT%'"))
 
 
-def read_exports(spark: SparkSession, data_dir: str, layout: str = "files") -> DataFrame:
-    """Raw plays (``RAW_SCHEMA``): expected columns typed (absent -> NULL), ``source_file`` is
-    the base file name, unexpected keys in ``extra_json`` (NULL when there are none)."""
-    if not _exists(data_dir):
-        return empty_raw(spark)
-    rec = records(spark, data_dir, layout)
+def typed(rec: DataFrame) -> DataFrame:
+    """VARIANT records -> raw plays: expected columns typed (absent -> NULL; ``ts`` kept as
+    text for ``prepare`` to parse), unexpected keys as canonical JSON in ``extra_json``."""
     cols = []
     for c in RAW_COLUMNS:
-        t = raw_type(c)
-        if c == "ts":
-            # kept as text here; ``prepare`` parses it (bad -> dropped)
-            cols.append(F.expr(f"try_variant_get(e, '$.{c}', 'string')").alias(c))
-        else:
-            cols.append(F.expr(f"try_variant_get(e, '$.{c}', '{t.simpleString()}')").alias(c))
+        t = "string" if c == "ts" else raw_type(c).simpleString()
+        cols.append(F.expr(f"try_variant_get(e, '$.{c}', '{t}')").alias(c))
     expected = ", ".join(f"'{c}'" for c in RAW_COLUMNS)
     extra = F.expr(
         f"map_filter(try_variant_get(e, '$', 'map<string,variant>'), (k, v) -> NOT array_contains(array({expected}), k))"
     )
-    return rec.select(
-        *cols,
-        F.col("source_file"),
-        F.when(F.size(extra) > 0, F.to_json(extra)).alias("extra_json"),
-    )
+    return rec.select(*cols, F.col("source_file"), F.when(F.size(extra) > 0, F.to_json(extra)).alias("extra_json"))
+
+
+def records(spark: SparkSession, data_dir: str, layout: str = "files") -> DataFrame:
+    """``source_file, e`` for every record of every ``*.json`` file under ``data_dir``."""
+    configure(spark)
+    opts = {"recursiveFileLookup": True, "pathGlobFilter": "*.json"}
+    text = spark.read.text(data_dir, wholetext=True, **opts) if layout == "files" else spark.read.text(data_dir, **opts)
+    return decode(text.select(F.col("_metadata.file_name").alias("source_file"), "value"), layout)
+
+
+def read_exports(spark: SparkSession, data_dir: str, layout: str = "files") -> DataFrame:
+    """Raw plays (``RAW_SCHEMA``): expected columns typed (absent -> NULL), ``source_file`` is
+    the base file name, unexpected keys in ``extra_json`` (NULL when there are none)."""
+    if not _exists(data_dir):
+        return empty_raw(spark)
+    return typed(records(spark, data_dir, layout))
 
 
 def json_files(spark: SparkSession, data_dir: str) -> DataFrame:
