@@ -57,8 +57,15 @@ def _join_back(top: DataFrame, found: DataFrame, key_cols: list[str], prefix: st
     return top.join(F.broadcast(renamed), cond, "left").drop(*[f"_k_{c}" for c in key_cols])
 
 
+def _once(top: DataFrame) -> DataFrame:
+    """The ranked frame feeds the key lists and the final join: keep its (k-row) result so the
+    aggregation behind it runs once even when the planner cannot reuse the shuffle."""
+    return top.cache()
+
+
 def enrich_artists(top: DataFrame, primary: DataFrame, fallback: DataFrame) -> DataFrame:
     """Adds ``image_url`` and ``external_url`` to a ranked frame with an ``artist`` column."""
+    top = _once(top)
     keys = top.select("artist").where(~_blank(F.col("artist")))
     p = first_match(primary, keys, ["artist"], lambda c, k: c["artist"] == k["_k_artist"],
                     ["image_url", "external_url"], "external_url")
@@ -80,6 +87,7 @@ def _album_cond(c: DataFrame, k: DataFrame) -> Column:
 
 def enrich_albums(top: DataFrame, primary: DataFrame, fallback: DataFrame) -> DataFrame:
     """Adds ``image_url`` and ``external_url`` to a ranked frame with ``album`` and ``artist``."""
+    top = _once(top)
     keys = top.select("album", "artist").where(~_blank(F.col("album")))
     p = first_match(primary, keys, ["album", "artist"], _album_cond, ["image_url", "external_url"], "external_url")
     f = first_match(fallback, keys, ["album", "artist"], _album_cond,
@@ -103,7 +111,7 @@ def enrich_tracks(top: DataFrame, catalog: DataFrame) -> DataFrame:
     The record found by URI id wins; otherwise the one found by (track, artist); ``matched_by``
     says which ('id', 'name' or NULL).
     """
-    t = top.withColumn("_tid", F.when(uri_kind("track_uri") == "track", uri_id("track_uri")))
+    t = _once(top.withColumn("_tid", F.when(uri_kind("track_uri") == "track", uri_id("track_uri"))))
     by_id = first_match(catalog, t.where(F.col("_tid").isNotNull()), ["_tid"],
                         lambda c, k: c["track_id"] == k["_k__tid"], _TRACK_FIELDS, "track_id")
     name_keys = t.where(~_blank(F.col("track")))
