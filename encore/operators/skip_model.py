@@ -30,6 +30,7 @@ FEATURES_BOOLEAN = ["shuffle", "offline", "incognito_mode"]
 TEST_FRACTION = 0.25
 SEED = 42
 MAX_ITER = 200
+TOLERANCE = 1e-4  # the reference classifier's default stopping tolerance
 C_INVERSE_REG = 1.0
 
 
@@ -58,11 +59,18 @@ def model_frame(plays: DataFrame) -> DataFrame:
 
 
 def stratified_split(df: DataFrame, label: str = "label", test_fraction: float = TEST_FRACTION):
-    """Per-class cut of the row hash at its ``test_fraction`` percentile (one small agg)."""
-    cuts = df.groupBy(label).agg(F.percentile_approx("_h", test_fraction, 100000).alias("_cut"))  # one row per class
-    j = df.join(F.broadcast(cuts), label)
-    test = j.where(F.col("_h") <= F.col("_cut")).drop("_cut")
-    train = j.where(F.col("_h") > F.col("_cut")).drop("_cut")
+    """Per-class cut of the row hash at its ``test_fraction`` percentile.
+
+    One aggregation yields one cut per class (two numbers, fetched once), so the train and
+    test frames are plain filters that do not re-run the percentile.
+    """
+    cuts = {r[label]: r["_cut"] for r in
+            df.groupBy(label).agg(F.percentile_approx("_h", test_fraction, 10000).alias("_cut")).collect()}
+    cut = F.lit(None).cast("long")
+    for k, v in cuts.items():
+        cut = F.when(F.col(label) == F.lit(k), F.lit(v)).otherwise(cut)
+    test = df.where(F.col("_h") <= cut)
+    train = df.where(F.col("_h") > cut)
     return train, test
 
 
@@ -73,17 +81,17 @@ def build_pipeline(reg_param: float) -> Pipeline:
         VectorAssembler(inputCols=imputed, outputCol="_num"),
         StandardScaler(inputCol="_num", outputCol="_num_std", withMean=True, withStd=True),
     ]
-    ohe_out = []
-    for c in FEATURES_CATEGORICAL:
-        stages.append(StringIndexer(inputCol=c, outputCol=f"{c}_idx", handleInvalid="keep"))
-        ohe_out.append(f"{c}_ohe")
+    ohe_out = [f"{c}_ohe" for c in FEATURES_CATEGORICAL]
+    # one pass indexes all three categorical columns
+    stages.append(StringIndexer(inputCols=FEATURES_CATEGORICAL, outputCols=[f"{c}_idx" for c in FEATURES_CATEGORICAL],
+                                handleInvalid="keep"))
     # dropLast drops the "unseen" slot the indexer keeps: unseen labels become all zeros.
     stages.append(OneHotEncoder(inputCols=[f"{c}_idx" for c in FEATURES_CATEGORICAL], outputCols=ohe_out,
                                 dropLast=True, handleInvalid="keep"))
     stages.append(VectorAssembler(inputCols=["_num_std"] + ohe_out + FEATURES_BOOLEAN, outputCol="features",
                                   handleInvalid="keep"))
     stages.append(LogisticRegression(featuresCol="features", labelCol="label", weightCol="_w", maxIter=MAX_ITER,
-                                     regParam=reg_param, elasticNetParam=0.0, standardization=False,
+                                     regParam=reg_param, elasticNetParam=0.0, standardization=False, tol=TOLERANCE,
                                      fitIntercept=True))
     return Pipeline(stages=stages)
 

@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import threading
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,6 +26,7 @@ from encore.sources.star import star_plays
 CURATED_VERSION = "4"
 
 _memo: dict[str, str] = {}
+_build_lock = threading.Lock()  # one build per table even when queries run on several threads
 
 
 def write_curated(plays: DataFrame, path: str, mode: str = "overwrite") -> str:
@@ -74,7 +76,8 @@ def build_from_raw(spark: SparkSession, raw: DataFrame, path: str) -> str:
     The cleaned, de-duplicated rows are first written to ``<path>-stage`` (same shared
     folder): the expensive ingest (joins / JSON decoding, de-duplication shuffle) runs once,
     the session passes read only the ``ts`` column of the stage, and a lost executor
-    re-reads files instead of recomputing the ingest.
+    re-reads files instead of recomputing the ingest. The stage is kept: it is the cleaned
+    table without session numbers, from which sessions with another gap can be derived.
     """
     from encore.operators.sessions import sessionize
 
@@ -99,7 +102,9 @@ def plays(spark: SparkSession, sf_dir: str) -> DataFrame:
     configure(spark)
     path = _memo.get(sf_dir) or star_curated_path(spark, sf_dir)
     if not _done(path):
-        path = build(spark, sf_dir)
+        with _build_lock:
+            if not _done(path):
+                path = build(spark, sf_dir)
     _memo[sf_dir] = path
     return read_curated(spark, path)
 
