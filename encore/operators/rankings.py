@@ -138,3 +138,8 @@ def _check_top_n(top_n: int) -> int:
     if not 5 <= int(top_n) <= 50:
         raise ValueError("top_n must be between 5 and 50")
     return int(top_n)
+
+
+def with_track_label(df: DataFrame) -> DataFrame:
+    """Adds ``label`` = ``"<track> - <artist>"`` (NULL if either part is NULL) for charts."""
+    return df.withColumn("label", F.concat(F.col(TRACK), F.lit(" - "), F.col(ARTIST)))

@@ -495,6 +495,16 @@ def q_ranking_tracks(spark, sf):
     return R.ranking_tracks(plays(spark, sf), 10)
 
 
+@register("ranking_track_labels", with_plays(f"""
+SELECT master_metadata_track_name, master_metadata_album_artist_name, {_PH},
+  master_metadata_track_name || ' - ' || master_metadata_album_artist_name AS label
+FROM plays WHERE is_song GROUP BY 1, 2
+ORDER BY plays DESC, master_metadata_track_name, master_metadata_album_artist_name LIMIT 10
+"""))
+def q_ranking_track_labels(spark, sf):
+    return R.with_track_label(R.ranking_tracks(plays(spark, sf), 10))
+
+
 @register("ranking_albums", _top(f"master_metadata_album_album_name, {_PH}", "1",
                                  "plays DESC, master_metadata_album_album_name", 10, "is_song"))
 def q_ranking_albums(spark, sf):
