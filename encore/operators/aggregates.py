@@ -161,9 +161,14 @@ def heatmap_wide(plays: DataFrame) -> DataFrame:
 
 
 def peak_hour_day(plays: DataFrame) -> DataFrame:
-    """Most active hour and weekday by hours (ties to the smallest key)."""
-    h = hourly_hours(plays).orderBy(F.col("play_hours").desc(), F.col("listening_hour").asc()).limit(1)
-    d = weekday_hours(plays).orderBy(F.col("play_hours").desc(), F.col("weekday_num").asc()).limit(1)
+    """Most active hour and weekday by hours (ties to the smallest key).
+
+    One aggregation to the (at most 168) weekday x hour cells; both arg-maxes read that."""
+    cells = plays.groupBy("weekday_num", "weekday_name", "listening_hour").agg(F.sum("ms_played").alias("_ms"))
+    h = cells.groupBy("listening_hour").agg(F.sum("_ms").alias("play_hours"))
+    d = cells.groupBy("weekday_num", "weekday_name").agg(F.sum("_ms").alias("play_hours"))
+    h = h.orderBy(F.col("play_hours").desc(), F.col("listening_hour").asc()).limit(1)
+    d = d.orderBy(F.col("play_hours").desc(), F.col("weekday_num").asc()).limit(1)
     return h.select(F.col("listening_hour").alias("most_active_hour")).crossJoin(
         d.select(F.col("weekday_name").alias("most_active_day"))
     )

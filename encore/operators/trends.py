@@ -45,31 +45,35 @@ def daily_trend(plays: DataFrame, window_days: int = 7) -> DataFrame:
 _LABELS = {"week": week_end_sunday, "month": month_end, "year": year_end}
 
 
+def _bins_until(freq: str, b, nxt):
+    """The bins from ``b`` up to, not including, the next present bin ``nxt`` (just ``b`` at
+    the end of the series)."""
+    if freq == "week":
+        span = F.sequence(b, F.date_sub(nxt, 7), F.expr("INTERVAL 7 DAYS"))
+    elif freq == "month":
+        months = F.round(F.months_between(nxt, b)).cast("int")  # both are month ends: whole
+        span = F.transform(F.sequence(F.lit(0), months - 1), lambda i: F.last_day(F.add_months(b, i)))
+    else:
+        span = F.transform(F.sequence(F.year(b), F.year(nxt) - 1), lambda y: F.make_date(y, F.lit(12), F.lit(31)))
+    return F.when(nxt.isNull(), F.array(b)).otherwise(span)
+
+
 def calendar_hours(plays: DataFrame, freq: str) -> DataFrame:
     """Resampled sums with empty bins as 0: ``date`` (bin label), ``play_hours``.
 
-    Labels: week -> the Sunday ending it, month -> last day, year -> 31 December. The bin
-    calendar is generated from the (one-row) min/max of the daily series, so its size is the
-    calendar span, not the data volume.
+    Labels: week -> the Sunday ending it, month -> last day, year -> 31 December. One pass:
+    the per-bin sums (one row per non-empty bin, bounded by the calendar span) are ordered by
+    a window, and every bin emits itself plus the empty bins before the next present one.
     """
     label_fn = _LABELS[freq]
-    d = daily_ms(plays).withColumn("bin", label_fn(F.col("date")))
-    sums = d.groupBy("bin").agg(F.sum("day_ms").alias("bin_ms"))
-    bounds = d.agg(F.min("bin").alias("lo"), F.max("bin").alias("hi"))
-    if freq == "week":
-        seq = F.sequence(F.col("lo"), F.col("hi"), F.expr("INTERVAL 7 DAYS"))
-    elif freq == "month":
-        # consecutive month ends (both bounds are month ends, so months_between is whole)
-        months = F.round(F.months_between(F.col("hi"), F.col("lo"))).cast("int")
-        seq = F.transform(F.sequence(F.lit(0), months), lambda i: F.last_day(F.add_months(F.col("lo"), i)))
-    else:
-        seq = F.transform(F.sequence(F.year("lo"), F.year("hi")), lambda y: F.make_date(y, F.lit(12), F.lit(31)))
-    cal = bounds.where(F.col("lo").isNotNull()).select(F.explode(seq).alias("bin"))
-    # The calendar has one row per bin of the span, so it is joined, not broadcast blindly:
-    # the planner's size estimate picks broadcast for spans of realistic length.
-    return (
-        cal.join(sums, "bin", "left")
-        .select(F.col("bin").alias("date"), (F.coalesce(F.col("bin_ms"), F.lit(0.0)) / F.lit(MS_PER_HOUR)).alias("play_hours"))
+    sums = daily_ms(plays).groupBy(label_fn(F.col("date")).alias("bin")).agg(F.sum("day_ms").alias("bin_ms"))
+    ordered = sums.withColumn("_next", F.lead("bin").over(Window.orderBy("bin")))
+    filled = ordered.select(
+        "bin_ms", F.posexplode(_bins_until(freq, F.col("bin"), F.col("_next"))).alias("pos", "date")
+    )
+    return filled.select(
+        "date",
+        (F.when(F.col("pos") == 0, F.col("bin_ms")).otherwise(F.lit(0.0)) / F.lit(MS_PER_HOUR)).alias("play_hours"),
     )
 
 
