@@ -23,6 +23,7 @@ from __future__ import annotations
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from encore.schema import SESSION_GAP_MINUTES
 
@@ -30,11 +31,24 @@ _US = "_ts_us"
 _B = "_bucket"
 
 
-def _epoch_us(col: str):
-    # Works for TIMESTAMP and TIMESTAMP_NTZ (the session zone is UTC, so no shift occurs).
+def _epoch_us(col: str, dtype=None):
+    """Epoch microseconds. TIMESTAMP_NTZ (wall-clock) values are measured without any time
+    zone, so gaps never depend on the session zone or daylight-saving shifts."""
+    if isinstance(dtype, T.TimestampNTZType):
+        c = F.col(col)
+        return (
+            F.unix_date(F.to_date(c)).cast("long") * F.lit(86_400_000_000)
+            + F.hour(c).cast("long") * F.lit(3_600_000_000)
+            + F.minute(c).cast("long") * F.lit(60_000_000)
+            + (F.date_part(F.lit("SECOND"), c) * F.lit(1_000_000)).cast("long")
+        )
     return F.unix_micros(F.col(col).cast("timestamp"))
 
 
+def _ts_type(df: DataFrame, col: str):
+    return df.schema[col].dataType
+
+
 def _bucket_splits(distinct_ts: DataFrame, target_rows: int, max_buckets: int) -> list[float]:
     """Approximate-quantile split points giving about equal buckets, at least one per core."""
     cores = distinct_ts.sparkSession.sparkContext.defaultParallelism
@@ -50,7 +64,7 @@ def _bucket_splits(distinct_ts: DataFrame, target_rows: int, max_buckets: int) -
 
 
 def _bucketed_distinct(df: DataFrame, ts_col: str, target_rows: int, max_buckets: int) -> DataFrame:
-    distinct_ts = df.where(F.col(ts_col).isNotNull()).select(_epoch_us(ts_col).alias(_US)).distinct()
+    distinct_ts = df.where(F.col(ts_col).isNotNull()).select(_epoch_us(ts_col, _ts_type(df, ts_col)).alias(_US)).distinct()
     splits = _bucket_splits(distinct_ts, target_rows, max_buckets)
     if not splits:
         return distinct_ts.withColumn(_B, F.lit(0.0))
@@ -115,7 +129,10 @@ def session_ids(
         _B, (F.sum("_nb").over(wb.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_nb")).alias("_off")
     )
     ids = local.join(F.broadcast(offsets), _B).select(_US, (F.col("_off") + F.col("_local")).cast("long").alias(out_col))
-    return df.select(ts_col).distinct().withColumn(_US, _epoch_us(ts_col)).join(ids, _US).select(ts_col, out_col)
+    return (
+        df.select(ts_col).distinct().withColumn(_US, _epoch_us(ts_col, _ts_type(df, ts_col)))
+        .join(ids, _US).select(ts_col, out_col)
+    )
 
 
 def sessionize(
@@ -136,7 +153,7 @@ def sessionize(
     """
     starts = session_starts(df, ts_col, gap_minutes, **kw)
     got = starts.limit(max_lookup_sessions + 1).collect()
-    us = _epoch_us(ts_col)
+    us = _epoch_us(ts_col, _ts_type(df, ts_col))
     if len(got) <= max_lookup_sessions:
         bounds = sorted(float(r["_start_us"]) for r in got)
         if len(bounds) <= 1:

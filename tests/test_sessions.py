@@ -49,3 +49,19 @@ def test_no_single_partition_exchange_over_rows(spark):
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "SinglePartition" not in plan
     assert out.where(F.col("session_id").isNull()).count() == 0
+
+
+def test_wall_clock_gaps_ignore_session_zone(spark):
+    """TIMESTAMP_NTZ gaps are wall-clock gaps even in a zone with a daylight-saving jump."""
+    import datetime as dt
+
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/Los_Angeles")
+    try:
+        rows = [(1, dt.datetime(2024, 3, 10, 1, 50)), (2, dt.datetime(2024, 3, 10, 2, 10)),
+                (3, dt.datetime(2024, 3, 10, 2, 45))]
+        df = spark.createDataFrame(rows, "id long, ts timestamp_ntz")
+        got = sorted(tuple(r) for r in sessionize(df, "ts", 30).select("id", "session_id").collect())
+        assert got == [(1, 1), (2, 1), (3, 2)]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
