@@ -5,7 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from encore.schema import DAY_END_HOUR, DAY_START_HOUR, MS_PER_HOUR, MS_PER_MINUTE
+from encore.schema import (
+    DAY_END_HOUR,
+    DAY_PERIOD_LABELS,
+    DAY_START_HOUR,
+    MS_PER_HOUR,
+    MS_PER_MINUTE,
+    WEEK_SEGMENT_LABELS,
+    WEEKDAY_NAMES,
+)
 
 
 def col(c: str | Column) -> Column:
@@ -52,11 +60,13 @@ def weekday_name(ts: str | Column = "ts") -> Column:
 
 def day_period(hour: str | Column = "listening_hour") -> Column:
     h = col(hour)
-    return F.when((h >= DAY_START_HOUR) & (h < DAY_END_HOUR), F.lit("Day")).otherwise(F.lit("Night"))
+    day, night = DAY_PERIOD_LABELS
+    return F.when((h >= DAY_START_HOUR) & (h < DAY_END_HOUR), F.lit(day)).otherwise(F.lit(night))
 
 
 def week_segment(weekday: str | Column = "weekday_num") -> Column:
-    return F.when(col(weekday) >= 5, F.lit("Weekend")).otherwise(F.lit("Weekday"))
+    weekend, weekday_ = WEEK_SEGMENT_LABELS
+    return F.when(col(weekday) >= 5, F.lit(weekend)).otherwise(F.lit(weekday_))
 
 
 def is_weekend(weekday: str | Column = "weekday_num") -> Column:
@@ -91,5 +101,15 @@ def uri_id(uri: str | Column) -> Column:
     return F.when(ok, F.element_at(parts, 3))
 
 
+def label(flag: str | Column, labels: tuple[str, str]) -> Column:
+    """Boolean -> (label when true, label when false)."""
+    return F.when(col(flag), F.lit(labels[0])).otherwise(F.lit(labels[1]))
+
+
+def weekday_name_of(num: str | Column) -> Column:
+    """Monday..Sunday from a Monday=0 weekday number."""
+    return F.element_at(F.array(*[F.lit(n) for n in WEEKDAY_NAMES]), col(num) + 1)
+
+
 def iso_date(d: str | Column) -> Column:
     return F.date_format(col(d), "yyyy-MM-dd")

@@ -11,8 +11,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from encore.functions.columns import count_rows, day_period, hours_of, mean_minutes, minutes_of, rate, week_segment
-from encore.schema import ALBUM, ARTIST
+from encore.functions.columns import (
+    count_rows,
+    day_period,
+    hours_of,
+    label,
+    mean_minutes,
+    minutes_of,
+    rate,
+    week_segment,
+    weekday_name_of,
+)
+from encore.schema import ALBUM, ARTIST, CONTENT_TYPES, INCOGNITO_LABELS, OFFLINE_LABELS, SHUFFLE_LABELS
 
 Keys = list[str] | None
 
@@ -52,9 +62,10 @@ def content_mix(plays: DataFrame) -> DataFrame:
         F.count_if(F.col("is_podcast")).alias("podcasts"),
         F.count_if(F.col("is_audiobook")).alias("audiobooks"),
     )
+    songs, podcasts, audiobooks = CONTENT_TYPES
     return agg.select(
-        F.expr("stack(3, 'Songs', CAST(songs AS DOUBLE), 'Podcasts', CAST(podcasts AS DOUBLE), "
-               "'Audiobooks', CAST(audiobooks AS DOUBLE)) AS (name, value)")
+        F.expr(f"stack(3, '{songs}', CAST(songs AS DOUBLE), '{podcasts}', CAST(podcasts AS DOUBLE), "
+               f"'{audiobooks}', CAST(audiobooks AS DOUBLE)) AS (name, value)")
     )
 
 
@@ -75,7 +86,7 @@ def shuffle_compare(plays: DataFrame) -> DataFrame:
         count_rows().cast("long").alias("count"),
     )
     return g.select(
-        F.when(F.col("shuffle"), F.lit("Shuffle On")).otherwise(F.lit("Shuffle Off")).alias("shuffle"),
+        label("shuffle", SHUFFLE_LABELS).alias("shuffle"),
         "skip_rate", "avg_minutes", "count",
     )
 
@@ -83,14 +94,14 @@ def shuffle_compare(plays: DataFrame) -> DataFrame:
 def offline_share(plays: DataFrame) -> DataFrame:
     g = plays.groupBy("offline").agg(hours_of().alias("hours"), rate("is_skipped").alias("skip_rate"))
     return g.select(
-        F.when(F.col("offline"), F.lit("Offline")).otherwise(F.lit("Online")).alias("offline"), "hours", "skip_rate"
+        label("offline", OFFLINE_LABELS).alias("offline"), "hours", "skip_rate"
     )
 
 
 def incognito_share(plays: DataFrame) -> DataFrame:
     g = plays.groupBy("incognito_mode").agg(hours_of().alias("hours"), count_rows().cast("long").alias("plays"))
     return g.select(
-        F.when(F.col("incognito_mode"), F.lit("Incognito")).otherwise(F.lit("Normal")).alias("incognito_mode"),
+        label("incognito_mode", INCOGNITO_LABELS).alias("incognito_mode"),
         "hours", "plays",
     )
 
@@ -133,10 +144,7 @@ def heatmap_long(plays: DataFrame) -> DataFrame:
     grid = spark.range(7).select(F.col("id").cast("int").alias("weekday_num")).crossJoin(
         spark.range(24).select(F.col("id").cast("int").alias("listening_hour"))
     )
-    names = F.element_at(
-        F.array(*[F.lit(n) for n in ["Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday"]]),
-        F.col("weekday_num") + 1,
-    )
+    names = weekday_name_of("weekday_num")
     return (
         F.broadcast(grid)
         .join(cells, ["weekday_num", "listening_hour"], "left")

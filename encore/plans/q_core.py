@@ -18,7 +18,7 @@ from encore.operators import statistics as S
 from encore.operators import trends
 from encore.plans.oracle import with_plays
 from encore.plans.registry import plays, register
-from encore.schema import ALBUM, ARTIST, RAW_COLUMNS, TRACK
+from encore.schema import ARTIST, TRACK
 from encore.sources.curated import curated_columns
 
 H = "coalesce(sum(ms_played), 0.0) / 3600000.0"

@@ -10,7 +10,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from encore.plans import oracle as O
 from encore.sources import curated
 
 Query = Callable[[SparkSession, str], DataFrame]

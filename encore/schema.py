@@ -37,6 +37,11 @@ RAW_COLUMNS = [
 
 WEEKDAY_NAMES = ["Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday"]
 CONTENT_TYPES = ["Songs", "Podcasts", "Audiobooks"]
+SHUFFLE_LABELS = ("Shuffle On", "Shuffle Off")        # (true, false)
+OFFLINE_LABELS = ("Offline", "Online")                # (true, false)
+INCOGNITO_LABELS = ("Incognito", "Normal")            # (true, false)
+DAY_PERIOD_LABELS = ("Day", "Night")                  # (6 <= hour < 18, otherwise)
+WEEK_SEGMENT_LABELS = ("Weekend", "Weekday")          # (weekday >= 5, otherwise)
 UNKNOWN_TRACK = "Unknown Track"
 UNKNOWN_ARTIST = "Unknown Artist"
 UNKNOWN_ALBUM = "Unknown Album"
