@@ -65,3 +65,18 @@ def test_wall_clock_gaps_ignore_session_zone(spark):
         assert got == [(1, 1), (2, 1), (3, 2)]
     finally:
         spark.conf.set("spark.sql.session.timeZone", old)
+
+
+def test_hot_timestamp_third_of_rows(spark):
+    """A third of all rows on one timestamp: combined before any shuffle, numbers unchanged."""
+    import datetime as dt
+
+    base = dt.datetime(2024, 1, 1)
+    rows = [(i, base + dt.timedelta(minutes=7 * i)) for i in range(600)]
+    rows += [(1000 + i, base + dt.timedelta(minutes=7 * 300)) for i in range(300)]  # hot timestamp
+    rows += [(5000, base + dt.timedelta(minutes=7 * 600 + 31))]  # a gap > 30 minutes
+    df = spark.createDataFrame(rows, "id long, ts timestamp_ntz").repartition(8)
+    for kw in [{}, {"target_rows_per_bucket": 40}, {"target_rows_per_bucket": 40, "max_lookup_sessions": 1}]:
+        got = dict(tuple(r) for r in sessionize(df, "ts", 30, **kw).select("id", "session_id").collect())
+        assert set(got.values()) == {1, 2}, kw
+        assert got[5000] == 2 and got[1000] == 1 and got[1299] == 1, kw
