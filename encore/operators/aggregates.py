@@ -190,3 +190,24 @@ def filter_options(plays: DataFrame) -> DataFrame:
     )
     artists = plays.select(F.col(ARTIST).alias("artist")).distinct()
     return artists.crossJoin(F.broadcast(span))  # one-row side
+
+
+def heatmap_present(plays: DataFrame) -> DataFrame:
+    """The legacy grid: weekdays present x hours present (zeros for empty cells), long form.
+
+    One aggregation to the cells (at most 7 x 24), gathered into one bounded list; the grid and
+    its values are array expressions over that list, so the data is read once.
+    """
+    cells = plays.groupBy("weekday_num", "weekday_name", "listening_hour").agg(minutes_of().alias("m"))
+    one = cells.agg(F.collect_list(F.struct("weekday_num", "weekday_name", "listening_hour", "m")).alias("c"))
+    days = F.array_distinct(F.transform("c", lambda x: F.struct(x["weekday_num"].alias("n"), x["weekday_name"].alias("w"))))
+    hours = F.array_distinct(F.transform("c", lambda x: x["listening_hour"]))
+    grid = one.select("c", F.explode(days).alias("d")).select("c", "d", F.explode(hours).alias("h"))
+    value = F.aggregate(
+        F.filter("c", lambda x: (x["weekday_num"] == F.col("d")["n"]) & (x["listening_hour"] == F.col("h"))),
+        F.lit(0.0), lambda acc, x: acc + x["m"],
+    )
+    return grid.select(
+        F.col("d")["n"].alias("weekday_num"), F.col("d")["w"].alias("weekday_name"),
+        F.col("h").alias("listening_hour"), value.alias("play_minutes"),
+    )

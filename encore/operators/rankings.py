@@ -104,12 +104,14 @@ def wrapped_weekend(plays: DataFrame) -> DataFrame:
 
 
 def wrapped_artist_year(plays: DataFrame) -> DataFrame:
-    """Top artist of the latest year present (uncorrelated scalar -> one-row broadcast)."""
+    """Top artist of the latest year present.
+
+    The latest year is an uncorrelated scalar subquery; on the curated table the filter on it
+    is a partition filter, so only that year's files are read for the ranking."""
     s = songs(plays)
-    latest = s.agg(F.max("year").alias("_latest"))  # one row
-    in_year = s.join(F.broadcast(latest), F.col("year") == F.col("_latest"))
-    top = _count_top1(in_year, ARTIST, ARTIST)
-    return F.broadcast(latest).crossJoin(top).select(F.col("_latest").alias("year"), ARTIST, "plays")
+    latest = s.select(F.max("year")).scalar()
+    top = _count_top1(s.where(F.col("year") == latest), ARTIST, ARTIST)
+    return top.select(latest.alias("year"), ARTIST, "plays")
 
 
 def _plays_hours(df: DataFrame, keys: list[str]) -> DataFrame:

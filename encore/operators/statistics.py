@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from encore.functions.student_t import t_interval, t_sf_two_sided
@@ -73,10 +73,13 @@ def confidence_interval(values: DataFrame, col: str = "x", confidence: float = 0
 
 
 def zscores(values: DataFrame, col: str = "x") -> DataFrame:
-    """Adds ``zscore`` = (x - mean) / population std; zero spread -> 0.0."""
-    m = values.agg(F.avg(col).alias("_mu"), F.stddev_pop(col).alias("_sd"))  # one row
-    z = (F.col(col) - F.col("_mu")) / F.nullif(F.col("_sd"), F.lit(0.0))
-    return values.crossJoin(F.broadcast(m)).withColumn("zscore", F.coalesce(z, F.lit(0.0))).drop("_mu", "_sd")
+    """Adds ``zscore`` = (x - mean) / population std; zero spread -> 0.0.
+
+    ``values`` is a per-day series (one row per calendar day, a bounded table): the moments
+    are whole-table windows over it, so the series is computed once."""
+    whole = Window.partitionBy()
+    z = (F.col(col) - F.avg(col).over(whole)) / F.nullif(F.stddev_pop(col).over(whole), F.lit(0.0))
+    return values.withColumn("zscore", F.coalesce(z, F.lit(0.0)))
 
 
 def anomaly_days(plays: DataFrame, threshold: float = 2.5) -> DataFrame:
@@ -154,31 +157,40 @@ def histogram(values: DataFrame, col: str = "x", bins: int = HISTOGRAM_BINS) ->
     """Equal-width bins over [min, max], last bin closed, all bins listed (zero counts too).
 
     All values equal -> one bin holding every value. ``density`` = count / (n * width).
+    ``values`` is a bounded per-day series: min/max/count are whole-table windows over it,
+    then one pass counts per bin and each bin emits the empty bins before the next one.
     """
-    v = values.where(F.col(col).isNotNull()).select(F.col(col).alias("x"))
-    m = v.agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.count(F.lit(1)).alias("n"))  # one row
+    whole = Window.partitionBy()
+    v = values.where(F.col(col).isNotNull()).select(
+        F.col(col).alias("x"), F.min(col).over(whole).alias("lo"), F.max(col).over(whole).alias("hi"),
+        F.count(F.lit(1)).over(whole).alias("n"),
+    )
     step = (F.col("hi") - F.col("lo")) / F.lit(float(bins))
-    idx = F.least(F.floor((F.col("x") - F.col("lo")) / step), F.lit(bins - 1)).cast("int")
     flat = F.col("hi") == F.col("lo")
-    counts = (
-        v.crossJoin(F.broadcast(m))
-        .select(F.when(flat, F.lit(0)).otherwise(idx).alias("bin"))
-        .groupBy("bin")
-        .agg(F.count(F.lit(1)).cast("long").alias("count"))
+    idx = F.when(flat, F.lit(0)).otherwise(F.least(F.floor((F.col("x") - F.col("lo")) / step), F.lit(bins - 1)))
+    counts = v.groupBy(idx.cast("int").alias("bin")).agg(
+        F.count(F.lit(1)).cast("long").alias("_c"), F.first("lo").alias("lo"), F.first("hi").alias("hi"),
+        F.first("n").alias("n"),
     )
-    edges = m.where(F.col("n") > 0).select(
-        F.explode(F.sequence(F.lit(0), F.when(flat, F.lit(0)).otherwise(F.lit(bins - 1)))).alias("bin"),
-        "lo", "hi", "n",
+    nxt = counts.withColumn("_next", F.lead("bin").over(Window.orderBy("bin")))
+    last = F.when(F.col("hi") == F.col("lo"), F.lit(0)).otherwise(F.lit(bins - 1))
+    # bins before the first present one, and between present ones, are empty
+    first_pad = F.when(F.lag("bin").over(Window.orderBy("bin")).isNull(), F.col("bin")).otherwise(F.lit(0))
+    filled = nxt.withColumn("_pad", first_pad).select(
+        "_c", "lo", "hi", "n", "bin",
+        F.explode(F.sequence(
+            F.col("bin") - F.col("_pad"),
+            F.coalesce(F.col("_next") - 1, last),
+        )).alias("b"),
     )
     width = (F.col("hi") - F.col("lo")) / F.lit(float(bins))
-    return edges.join(counts, "bin", "left").select(
-        "bin",
-        F.when(flat, F.col("lo")).otherwise(F.col("lo") + F.col("bin") * width).alias("range_start"),
-        F.when(flat, F.col("hi")).otherwise(F.col("lo") + F.col("bin") * width + width).alias("range_end"),
-        F.coalesce(F.col("count"), F.lit(0)).cast("long").alias("count"),
-        F.when(flat, F.lit(None).cast("double"))
-        .otherwise(F.coalesce(F.col("count"), F.lit(0)) / (F.col("n") * width))
-        .alias("density"),
+    cnt = F.when(F.col("b") == F.col("bin"), F.col("_c")).otherwise(F.lit(0)).cast("long")
+    return filled.select(
+        F.col("b").alias("bin"),
+        F.when(flat, F.col("lo")).otherwise(F.col("lo") + F.col("b") * width).alias("range_start"),
+        F.when(flat, F.col("hi")).otherwise(F.col("lo") + F.col("b") * width + width).alias("range_end"),
+        cnt.alias("count"),
+        F.when(flat, F.lit(None).cast("double")).otherwise(cnt / (F.col("n") * width)).alias("density"),
     )
 
 

@@ -310,6 +310,18 @@ def q_heatmap_wide(spark, sf):
     return A.heatmap_wide(plays(spark, sf))
 
 
+@register("heatmap_present", with_plays("""
+WITH cells AS (SELECT weekday_num, weekday_name, listening_hour, coalesce(sum(ms_played), 0.0) / 60000.0 AS m
+               FROM plays GROUP BY weekday_num, weekday_name, listening_hour)
+SELECT d.weekday_num, d.weekday_name, h.listening_hour, coalesce(c.m, 0.0) AS play_minutes
+FROM (SELECT DISTINCT weekday_num, weekday_name FROM cells) d
+CROSS JOIN (SELECT DISTINCT listening_hour FROM cells) h
+LEFT JOIN cells c ON c.weekday_num = d.weekday_num AND c.listening_hour = h.listening_hour
+"""))
+def q_heatmap_present(spark, sf):
+    return A.heatmap_present(plays(spark, sf))
+
+
 @register("peak_hour_day", with_plays(f"""
 SELECT h.listening_hour AS most_active_hour, d.weekday_name AS most_active_day
 FROM (SELECT listening_hour, {H} AS v FROM plays GROUP BY listening_hour ORDER BY v DESC, listening_hour LIMIT 1) h,

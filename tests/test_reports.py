@@ -43,3 +43,18 @@ def test_skip_model(spark):
     assert 0.0 <= r["accuracy"] <= 1.0 and 0.0 <= r["roc_auc"] <= 1.0
     assert set(r["report"]) == {"0", "1", "accuracy", "macro avg", "weighted avg"}
     assert r["report"]["0"]["support"] + r["report"]["1"]["support"] == r["report"]["accuracy"]["support"]
+
+
+def test_stratified_split_fractions(spark):
+    from pyspark.sql import functions as F
+
+    from encore.operators.skip_model import model_frame, stratified_split
+
+    d = model_frame(curated.plays(spark, SF_SMALL))
+    train, test = stratified_split(d)
+    for lbl in (0.0, 1.0):
+        n_all = d.where(F.col("label") == lbl).count()
+        n_test = test.where(F.col("label") == lbl).count()
+        assert abs(n_test / n_all - 0.25) < 0.02
+    assert train.count() + test.count() == d.count()
+    assert train.join(test, "_h", "left_semi").count() == 0  # disjoint
