@@ -1,9 +1,9 @@
 """Raw plays derived from the driver's star-schema tables (one line item = one play).
 
 The mapping is the one documented in FIXTURES.md; ``oracle`` SQL repeats it in DuckDB. All
-joins are equi-joins left to Catalyst/AQE: ``lineitem``-``orders`` and the ``part`` /
-``customer`` lookups shuffle on their keys (sort-merge at scale), ``nation`` (a few rows) is
-broadcast by the planner's own size check. Only the referenced columns are read.
+joins are inner equi-joins left to Catalyst/AQE (broadcast only under the planner's own size
+check, sort-merge at scale). The order-side dimensions are joined first, so the line items are
+shuffled only on their two keys. Only the referenced columns are read.
 """
 
 from __future__ import annotations
@@ -41,12 +41,10 @@ def star_plays(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = read_table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
     n = read_table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
 
-    j = (
-        l.join(o, l.l_orderkey == o.o_orderkey)
-        .join(p, l.l_partkey == p.p_partkey)
-        .join(c, o.o_custkey == c.c_custkey)
-        .join(n, c.c_nationkey == n.n_nationkey)
-    )
+    # Order-side dimensions first: orders x customer x nation is orders-sized, so the big
+    # lineitem side is shuffled only twice (orderkey, partkey), not three times.
+    oc = o.join(c.join(n, c.c_nationkey == n.n_nationkey), o.o_custkey == c.c_custkey)
+    j = l.join(oc, l.l_orderkey == oc.o_orderkey).join(p, l.l_partkey == p.p_partkey)
 
     key = F.col("l_orderkey") + F.col("l_linenumber")
     offset = (F.col("l_orderkey") * 7919 + F.col("l_linenumber") * 4801) % 86400
