@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from encore.schema import RAW_COLUMNS, raw_type
 
 STAR_SOURCE_FILE = "star_schema"
+BROADCAST_MAX_ROWS = 2_000_000  # rows of a joined dimension side that may be broadcast
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,8 +43,12 @@ def star_plays(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = read_table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
 
     # Order-side dimensions first: orders x customer x nation is orders-sized, so the big
-    # lineitem side is shuffled only twice (orderkey, partkey), not three times.
+    # lineitem side is shuffled only twice (orderkey, partkey), not three times. That side has
+    # at most as many rows as ``orders``; it is broadcast only when a count proves it small
+    # (the planner cannot tell: without statistics it sizes a join as the product of inputs).
     oc = o.join(c.join(n, c.c_nationkey == n.n_nationkey), o.o_custkey == c.c_custkey)
+    if o.count() <= BROADCAST_MAX_ROWS:
+        oc = F.broadcast(oc)
     j = l.join(oc, l.l_orderkey == oc.o_orderkey).join(p, l.l_partkey == p.p_partkey)
 
     key = F.col("l_orderkey") + F.col("l_linenumber")
