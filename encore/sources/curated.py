@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from encore.operators.prepare import prepare_plays
 from encore.session import configure, shared_dir
+from encore.sources.fs import exists
 from encore.sources.star import star_plays
 
 # Bump when the cleaning logic changes so stale curated tables are not reused.
@@ -60,12 +61,9 @@ def _fingerprint(sf_dir: str, tables: list[str]) -> str:
     return h.hexdigest()[:16]
 
 
-def _done(path: str) -> bool:
-    if path.startswith("file:"):
-        path = path[5:]
-    if "://" in path:
-        return False
-    return os.path.exists(os.path.join(path, "_SUCCESS"))
+def _done(spark: SparkSession, path: str) -> bool:
+    """A completed write leaves ``_SUCCESS``; a partial one does not and is rebuilt."""
+    return exists(spark, f"{path.rstrip('/')}/_SUCCESS")
 
 
 def star_curated_path(spark: SparkSession, sf_dir: str) -> str:
@@ -104,9 +102,9 @@ def plays(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Curated plays built from the star-schema tables in ``sf_dir`` (built on first use)."""
     configure(spark)
     path = _memo.get(sf_dir) or star_curated_path(spark, sf_dir)
-    if not _done(path):
+    if not _done(spark, path):
         with _build_lock:
-            if not _done(path):
+            if not _done(spark, path):
                 path = build(spark, sf_dir)
     _memo[sf_dir] = path
     return read_curated(spark, path)

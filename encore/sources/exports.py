@@ -20,13 +20,12 @@ line-delimited inputs use ``layout="lines"``: a line-split, fully parallel scan.
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from encore.schema import RAW_COLUMNS, RAW_SCHEMA, raw_type
 from encore.session import configure
+from encore.sources.fs import exists
 
 _TRIM = r"^[ \t\r\n]+|[ \t\r\n]+$"
 
@@ -47,12 +46,6 @@ CASE WHEN size(from_json(concat('[', t, ']'), 'array<variant>')) = 1
 """
 
 
-def _exists(path: str) -> bool:
-    if "://" in path and not path.startswith("file:"):
-        return True  # remote stores: let the reader decide
-    return os.path.exists(path.replace("file:", "", 1))
-
-
 def empty_raw(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], RAW_SCHEMA)
 
@@ -92,7 +85,7 @@ def records(spark: SparkSession, data_dir: str, layout: str = "files") -> DataFr
 def read_exports(spark: SparkSession, data_dir: str, layout: str = "files") -> DataFrame:
     """Raw plays (``RAW_SCHEMA``): expected columns typed (absent -> NULL), ``source_file`` is
     the base file name, unexpected keys in ``extra_json`` (NULL when there are none)."""
-    if not _exists(data_dir):
+    if not exists(spark, data_dir):
         return empty_raw(spark)
     return typed(records(spark, data_dir, layout))
 
@@ -102,7 +95,7 @@ def json_files(spark: SparkSession, data_dir: str) -> DataFrame:
 
     Uses the binary-file source with the content column pruned, so only listings are read.
     """
-    if not _exists(data_dir):
+    if not exists(spark, data_dir):
         return spark.createDataFrame([], "path string, file_name string")
     files = (
         spark.read.format("binaryFile")
