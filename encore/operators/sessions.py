@@ -140,7 +140,7 @@ def sessionize(
     ts_col: str = "ts",
     gap_minutes: float = SESSION_GAP_MINUTES,
     out_col: str = "session_id",
-    max_lookup_sessions: int = 4_000_000,
+    max_lookup_sessions: int = 1_000_000,
     **kw,
 ) -> DataFrame:
     """Add ``out_col`` to every row of ``df`` (rows with a NULL timestamp get NULL).
