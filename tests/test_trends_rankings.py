@@ -59,3 +59,19 @@ def test_top_n_bounds(spark):
         R.ranking_artists(p, 4)
     with pytest.raises(ValueError):
         R.ranking_artists(p, 51)
+
+
+def test_per_listener_series(make_plays):
+    from pyspark.sql import functions as F
+
+    rows = [{"ts": ts("2024-01-01 10:00:00"), "ms_played": 3600000.0, "source_file": "u1"},
+            {"ts": ts("2024-01-03 10:00:00"), "ms_played": 7200000.0, "source_file": "u1"},
+            {"ts": ts("2024-01-02 10:00:00"), "ms_played": 3600000.0, "source_file": "u2"}]
+    p = make_plays(rows, sessions=False).withColumn("listener", F.col("source_file"))
+    t = {(r["listener"], str(r["date"])): r["cumulative_hours"] for r in TR.daily_trend(p, by=["listener"]).collect()}
+    assert t == {("u1", "2024-01-01"): 1.0, ("u1", "2024-01-03"): 3.0, ("u2", "2024-01-02"): 1.0}
+    plan = TR.daily_trend(p, by=["listener"])._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" not in plan
+    w = TR.weekly_hours(p, by=["listener"]).collect()
+    assert sorted((r["listener"], str(r["date"]), r["play_hours"]) for r in w) == [
+        ("u1", "2024-01-07", 3.0), ("u2", "2024-01-07", 1.0)]
