@@ -237,3 +237,37 @@ def q_skip_report(spark, sf):
     if r.status != "ok":
         return spark.createDataFrame([], "label string, precision double, recall double, f1_score double, support double")
     return classification_report(r.scored)
+
+
+# --- S1-S4: the JSON export ingest, on exports Spark derives from the given tables -----------
+
+
+def _exports_dir(spark, sf):
+    """JSON exports of the star mapping (line-delimited part files), written once per input."""
+    from encore.session import shared_dir
+    from encore.sources.curated import is_written, star_curated_path
+
+    path = f"{shared_dir(spark)}/encore/exports/{star_curated_path(spark, sf).rsplit('/', 1)[-1]}"
+    if not is_written(spark, path):
+        star_plays(spark, sf).drop("source_file", "extra_json").write.mode("overwrite").json(path)
+    return path
+
+
+@register("ingest_exports", with_plays("""
+SELECT strftime(date, '%Y-%m-%d') AS date, CAST(count(*) AS BIGINT) AS plays,
+  coalesce(sum(ms_played), 0.0) / 3600000.0 AS play_hours, CAST(count_if(is_song) AS BIGINT) AS songs,
+  CAST(count_if(is_skipped) AS BIGINT) AS skipped
+FROM plays GROUP BY date
+"""))
+def q_ingest_exports(spark, sf):
+    from encore.operators.prepare import prepare_plays
+    from encore.sources.exports import read_exports
+
+    p = prepare_plays(read_exports(spark, _exports_dir(spark, sf)), with_sessions=False)
+    g = p.groupBy("date").agg(
+        F.count(F.lit(1)).cast("long").alias("plays"),
+        (F.coalesce(F.sum("ms_played"), F.lit(0.0)) / F.lit(3600000.0)).alias("play_hours"),
+        F.count_if(F.col("is_song")).cast("long").alias("songs"),
+        F.count_if(F.col("is_skipped")).cast("long").alias("skipped"),
+    )
+    return g.withColumn("date", F.date_format("date", "yyyy-MM-dd"))

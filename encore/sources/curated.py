@@ -61,7 +61,7 @@ def _fingerprint(sf_dir: str, tables: list[str]) -> str:
     return h.hexdigest()[:16]
 
 
-def _done(spark: SparkSession, path: str) -> bool:
+def is_written(spark: SparkSession, path: str) -> bool:
     """A completed write leaves ``_SUCCESS``; a partial one does not and is rebuilt."""
     return exists(spark, f"{path.rstrip('/')}/_SUCCESS")
 
@@ -102,9 +102,9 @@ def plays(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Curated plays built from the star-schema tables in ``sf_dir`` (built on first use)."""
     configure(spark)
     path = _memo.get(sf_dir) or star_curated_path(spark, sf_dir)
-    if not _done(spark, path):
+    if not is_written(spark, path):
         with _build_lock:
-            if not _done(spark, path):
+            if not is_written(spark, path):
                 path = build(spark, sf_dir)
     _memo[sf_dir] = path
     return read_curated(spark, path)
