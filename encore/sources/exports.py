@@ -27,23 +27,19 @@ from encore.schema import RAW_COLUMNS, RAW_SCHEMA, raw_type
 from encore.session import configure
 from encore.sources.fs import exists
 
-_TRIM = r"^[ \t\r\n]+|[ \t\r\n]+$"
-
-_DECODE_FILE = """
-CASE WHEN left(t, 1) = '[' AND size(from_json(concat('[', t, ']'), 'array<array<variant>>')) = 1
-       THEN from_json(concat('[', t, ']'), 'array<array<variant>>')[0]
-     WHEN left(t, 1) = '{' AND size(from_json(concat('[', t, ']'), 'array<variant>')) = 1
-       THEN from_json(concat('[', t, ']'), 'array<variant>')
-     ELSE flatten(transform(split(t, '\\r\\n|\\n|\\r'), l ->
-       CASE WHEN size(from_json(concat('[', l, ']'), 'array<variant>')) = 1
-            THEN from_json(concat('[', l, ']'), 'array<variant>')
-            ELSE CAST(array() AS array<variant>) END)) END
-"""
-
-_DECODE_LINE = """
-CASE WHEN size(from_json(concat('[', t, ']'), 'array<variant>')) = 1
-     THEN from_json(concat('[', t, ']'), 'array<variant>') ELSE CAST(array() AS array<variant>) END
-"""
+# Each candidate decoding is parsed once, in its own projection; a line or file that is not
+# exactly one JSON value (wrapped in brackets it must give an array of size 1) contributes
+# nothing.
+_WHOLE_ARRAY = "CASE WHEN left(t, 1) = '[' THEN from_json(concat('[', t, ']'), 'array<array<variant>>') END"
+_WHOLE_OBJECT = "CASE WHEN left(t, 1) = '{' THEN from_json(concat('[', t, ']'), 'array<variant>') END"
+# Files without a carriage return split on LF alone (JSON treats a trailing CR as whitespace);
+# others split on CRLF, LF or a lone CR, like ``str.splitlines``.
+_LINES = "CASE WHEN instr(t, '\\r') = 0 THEN split(t, '\\n') ELSE split(t, '\\r\\n|\\n|\\r') END"
+_PER_LINE = f"""flatten(transform(
+    transform({_LINES}, l -> from_json(concat('[', l, ']'), 'array<variant>')),
+    a -> CASE WHEN size(a) = 1 THEN a ELSE CAST(array() AS array<variant>) END))"""
+# An element is a record when it is a JSON object (it casts to a map).
+_IS_OBJECT = "try_variant_get(e, '$', 'map<string,variant>') IS NOT NULL"
 
 
 def empty_raw(spark: SparkSession) -> DataFrame:
@@ -55,9 +51,27 @@ def decode(text: DataFrame, layout: str = "files") -> DataFrame:
     per record. Shared by the batch reader and the streaming ingest."""
     if layout not in ("files", "lines"):
         raise ValueError("layout must be 'files' or 'lines'")
-    t = text.select("source_file", F.regexp_replace(F.col("value"), _TRIM, "").alias("t"))
-    e = t.select("source_file", F.explode(F.expr(_DECODE_FILE if layout == "files" else _DECODE_LINE)).alias("e"))
-    return e.where(F.expr("schema_of_variant(e) LIKE 'OBJECT%'"))
+    t = text.select("source_file", F.trim(F.col("value"), F.lit(" \t\r\n")).alias("t"))
+    if layout == "files":
+        parsed = t.select("source_file", "t", F.expr(_WHOLE_ARRAY).alias("_arr"), F.expr(_WHOLE_OBJECT).alias("_obj"))
+        flags = parsed.select(
+            "source_file", "t", "_arr", "_obj",
+            F.coalesce(F.size("_arr") == 1, F.lit(False)).alias("_is_arr"),
+            F.coalesce(F.size("_obj") == 1, F.lit(False)).alias("_is_obj"),
+        )
+        recs = flags.select(
+            "source_file",
+            F.when(F.col("_is_arr"), F.col("_arr")[0])
+            .when(F.col("_is_obj"), F.col("_obj"))
+            .otherwise(F.expr(_PER_LINE))  # only files that are not one JSON value go line by line
+            .alias("_recs"),
+        )
+    else:
+        one = t.select("source_file", F.expr("from_json(concat('[', t, ']'), 'array<variant>')").alias("_a"))
+        recs = one.select("source_file", F.expr(
+            "CASE WHEN size(_a) = 1 THEN _a ELSE CAST(array() AS array<variant>) END").alias("_recs"))
+    e = recs.select("source_file", F.explode("_recs").alias("e"))
+    return e.where(F.expr(_IS_OBJECT))
 
 
 def typed(rec: DataFrame) -> DataFrame:

@@ -115,3 +115,10 @@ def test_json_exports_equal_star_path(spark, tmp_path):
     sb = from_star.groupBy("session_id").count().count()
     assert sa == sb
     assert from_json.where(F.col("source_file").startswith("part-")).count() == from_json.count()
+
+
+def test_crlf_and_lone_cr_lines(spark, tmp_path):
+    _write(tmp_path, "crlf.json", '{"ts":"2024-01-02T00:00:00Z"}\r\n{"ts":"2024-01-03T00:00:00Z"}\r\nbad\r\n')
+    _write(tmp_path, "cr.json", '{"ts":"2024-01-04T00:00:00Z"}\r{"ts":"2024-01-05T00:00:00Z"}\r')
+    r = _rows(spark, tmp_path)
+    assert sorted(x["ts"][:10] for x in r) == ["2024-01-02", "2024-01-03", "2024-01-04", "2024-01-05"]
