@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import threading
+
 from pyspark.sql import functions as F
 
 from encore.operators import enrich as EN
@@ -196,15 +198,18 @@ def q_enrich_tracks(spark, sf):
 # --- M1-M9: skip model (iterative fit: no SQL oracle, rows-only check) ----------------------
 
 _models: dict[str, object] = {}
+_models_lock = threading.Lock()
 
 
 def _skip_result(spark, sf):
+    """The skip model of one input, trained once per process (the three skip queries share it)."""
     from encore.operators.skip_model import train_skip_model
     from encore.sources.curated import star_curated_path
 
     key = star_curated_path(spark, sf)
-    if key not in _models:
-        _models[key] = train_skip_model(plays(spark, sf))
+    with _models_lock:
+        if key not in _models:
+            _models[key] = train_skip_model(plays(spark, sf))
     return _models[key]
 
 
@@ -242,6 +247,9 @@ def q_skip_report(spark, sf):
 # --- S1-S4: the JSON export ingest, on exports Spark derives from the given tables -----------
 
 
+_exports_lock = threading.Lock()
+
+
 def _exports_dir(spark, sf):
     """JSON exports of the star mapping (line-delimited part files), written once per input."""
     from encore.session import shared_dir
@@ -249,7 +257,9 @@ def _exports_dir(spark, sf):
 
     path = f"{shared_dir(spark)}/encore/exports/{star_curated_path(spark, sf).rsplit('/', 1)[-1]}"
     if not is_written(spark, path):
-        star_plays(spark, sf).drop("source_file", "extra_json").write.mode("overwrite").json(path)
+        with _exports_lock:
+            if not is_written(spark, path):
+                star_plays(spark, sf).drop("source_file", "extra_json").write.mode("overwrite").json(path)
     return path
 
 
