@@ -106,32 +106,46 @@ def session_ids(
     out_col: str = "session_id",
     target_rows_per_bucket: int = 2_000_000,
     max_buckets: int = 200_000,
+    by: list[str] | None = None,
 ) -> DataFrame:
-    """Per distinct timestamp: ``(ts_col, out_col)`` — the join-based form, used above the
-    lookup bound. The session number is the count of session starts at or before the
-    timestamp: starts are numbered once (one row per session), then matched to timestamps
-    inside the same bucket by a window, with a per-bucket offset from a prefix sum over the
-    bucket table."""
+    """Per distinct (``by`` keys, timestamp): ``[by...], ts_col, out_col`` — the join-based form.
+
+    Buckets are global timestamp quantiles, so one listener holding a large share of the rows
+    still spreads over many buckets. Inside each (keys, bucket) a window flags session starts
+    and counts them; the previous bucket's last timestamp (per key) settles the first row of a
+    bucket, and a prefix sum of per-(keys, bucket) start counts gives each bucket its offset.
+    """
+    keys = list(by or [])
     gap_us = int(round(gap_minutes * 60 * 1_000_000))
-    b = _bucketed_distinct(df.select(ts_col), ts_col, target_rows_per_bucket, max_buckets)
-    last = b.groupBy(_B).agg(F.max(_US).alias("_last"))
-    wb = Window.orderBy(_B)
-    prev_last = last.select(F.col(_B), F.lag("_last").over(wb).alias("_prev_bucket_last"))
-    w = Window.partitionBy(_B).orderBy(_US)
+    us = _epoch_us(ts_col, _ts_type(df, ts_col))
+    d = df.where(F.col(ts_col).isNotNull()).select(*keys, us.alias(_US)).distinct()
+    splits = _bucket_splits(d.select(_US).distinct(), target_rows_per_bucket, max_buckets)
+    if splits:
+        bucketizer = Bucketizer(splits=[float("-inf")] + splits + [float("inf")], inputCol="_us_d", outputCol=_B)
+        b = bucketizer.transform(d.withColumn("_us_d", F.col(_US).cast("double"))).drop("_us_d")
+    else:
+        b = d.withColumn(_B, F.lit(0.0))
+    per_key = Window.partitionBy(*keys) if keys else Window.partitionBy()
+    last = b.groupBy(*keys, _B).agg(F.max(_US).alias("_last"))
+    prev_last = last.select(*keys, _B, F.lag("_last").over(per_key.orderBy(_B)).alias("_prev_bucket_last"))
+    # Without keys the edge table has one row per bucket (bounded): broadcast it.
+    edges = prev_last if keys else F.broadcast(prev_last)
+    w = Window.partitionBy(*keys, _B).orderBy(_US)
     prev = F.coalesce(F.lag(_US).over(w), F.col("_prev_bucket_last"))
-    flagged = b.join(F.broadcast(prev_last), _B).select(
-        _B, _US, (prev.isNull() | (F.col(_US) - prev > gap_us)).cast("long").alias("_brk")
+    flagged = b.join(edges, [*keys, _B]).select(
+        *keys, _B, _US, (prev.isNull() | (F.col(_US) - prev > gap_us)).cast("long").alias("_brk")
     )
-    w2 = Window.partitionBy(_B).orderBy(_US).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    local = flagged.withColumn("_local", F.sum("_brk").over(w2))
-    per_bucket = local.groupBy(_B).agg(F.sum("_brk").alias("_nb"))
+    local = flagged.withColumn("_local", F.sum("_brk").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    per_bucket = local.groupBy(*keys, _B).agg(F.sum("_brk").alias("_nb"))
     offsets = per_bucket.select(
-        _B, (F.sum("_nb").over(wb.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_nb")).alias("_off")
+        *keys, _B,
+        (F.sum("_nb").over(per_key.orderBy(_B).rowsBetween(Window.unboundedPreceding, 0)) - F.col("_nb")).alias("_off"),
     )
-    ids = local.join(F.broadcast(offsets), _B).select(_US, (F.col("_off") + F.col("_local")).cast("long").alias(out_col))
+    offsets = offsets if keys else F.broadcast(offsets)
+    ids = local.join(offsets, [*keys, _B]).select(*keys, _US, (F.col("_off") + F.col("_local")).cast("long").alias(out_col))
     return (
-        df.select(ts_col).distinct().withColumn(_US, _epoch_us(ts_col, _ts_type(df, ts_col)))
-        .join(ids, _US).select(ts_col, out_col)
+        df.select(*keys, ts_col).distinct().withColumn(_US, us)
+        .join(ids, [*keys, _US]).select(*keys, ts_col, out_col)
     )
 
 
@@ -141,16 +155,23 @@ def sessionize(
     gap_minutes: float = SESSION_GAP_MINUTES,
     out_col: str = "session_id",
     max_lookup_sessions: int = 1_000_000,
+    by: list[str] | None = None,
     **kw,
 ) -> DataFrame:
     """Add ``out_col`` to every row of ``df`` (rows with a NULL timestamp get NULL).
 
+    With ``by`` keys (e.g. a listener id) sessions are numbered per key from 1, through the
+    join-based form (the lookup needs one sorted list of starts).
+
     When there are at most ``max_lookup_sessions`` sessions (checked by fetching at most one
     more than the bound), their sorted start times become the split points of a binary-search
     bucketizer applied row by row: no shuffle of the rows at all. Above the bound the
     per-timestamp ids are joined back on the timestamp instead (a shuffle join; AQE splits a
     hot timestamp).
     """
+    if by:
+        ids = session_ids(df, ts_col, gap_minutes, out_col, by=list(by), **kw)
+        return df.join(ids, on=[*by, ts_col], how="left")
     starts = session_starts(df, ts_col, gap_minutes, **kw)
     got = starts.limit(max_lookup_sessions + 1).collect()
     us = _epoch_us(ts_col, _ts_type(df, ts_col))

@@ -80,3 +80,18 @@ def test_hot_timestamp_third_of_rows(spark):
         got = dict(tuple(r) for r in sessionize(df, "ts", 30, **kw).select("id", "session_id").collect())
         assert set(got.values()) == {1, 2}, kw
         assert got[5000] == 2 and got[1000] == 1 and got[1299] == 1, kw
+
+
+def test_per_listener_sessions_equal_partitioned_definition(spark):
+    """``by`` keys: numbering per listener equals a per-listener global-lag window."""
+    ref = dict(((u, e), s) for e, u, s in duckdb.sql(f"""
+        WITH t AS (SELECT DISTINCT user_id, ts FROM '{SF_SMALL}/events.parquet'),
+        l AS (SELECT user_id, ts, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) AS g FROM t),
+        s AS (SELECT user_id, ts, 1 + sum(CASE WHEN g > 1800000000 THEN 1 ELSE 0 END)
+                 OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS sid FROM l)
+        SELECT e.event_id, e.user_id, s.sid FROM '{SF_SMALL}/events.parquet' e JOIN s USING (user_id, ts)""").fetchall())
+    ev = read_table(spark, SF_SMALL, "events").select("event_id", "user_id", "ts")
+    for kw in [{}, {"target_rows_per_bucket": 40}]:
+        got = {(r[1], r[0]): r[2] for r in
+               sessionize(ev, "ts", 30, by=["user_id"], **kw).select("event_id", "user_id", "session_id").collect()}
+        assert got == ref, kw
