@@ -19,18 +19,30 @@ from encore.schema import ARTIST, HISTOGRAM_BINS, MS_PER_HOUR, MS_PER_MINUTE, OV
 _QS = [0.25, 0.5, 0.75, 0.9]
 
 
-def daily_values(plays: DataFrame) -> DataFrame:
-    """``date, x`` where x is daily listening hours."""
-    return daily_ms(plays).select("date", (F.col("day_ms") / F.lit(MS_PER_HOUR)).alias("x"))
+Keys = list[str] | None
 
 
-def describe(values: DataFrame, col: str = "x") -> DataFrame:
+def _k(by: Keys) -> list[str]:
+    return list(by or [])
+
+
+def _whole(by: Keys) -> Window:
+    """The whole (bounded, per-day) series, or each key's series."""
+    return Window.partitionBy(*_k(by))
+
+
+def daily_values(plays: DataFrame, by: Keys = None) -> DataFrame:
+    """``[by...], date, x`` where x is daily listening hours (per ``by`` key, e.g. a listener)."""
+    return daily_ms(plays, by=_k(by)).select(*_k(by), "date", (F.col("day_ms") / F.lit(MS_PER_HOUR)).alias("x"))
+
+
+def describe(values: DataFrame, col: str = "x", by: Keys = None) -> DataFrame:
     """mean, median, variance, std_dev (n-1; 0.0 for one value), p25/p50/p75/p90 (linear).
 
-    No row for an empty input.
+    No row for an empty input. With ``by`` keys, one row per key.
     """
     q = F.percentile(F.col(col), _QS)
-    agg = values.where(F.col(col).isNotNull()).agg(
+    agg = values.where(F.col(col).isNotNull()).groupBy(*_k(by)).agg(
         F.count(F.lit(1)).alias("n"),
         F.avg(col).alias("mean"),
         q.alias("_q"),
@@ -39,6 +51,7 @@ def describe(values: DataFrame, col: str = "x") -> DataFrame:
     )
     one = F.col("n") == 1
     return agg.where(F.col("n") > 0).select(
+        *_k(by),
         F.col("n").cast("long").alias("n"),
         "mean",
         F.col("_q")[1].alias("median"),
@@ -51,13 +64,13 @@ def describe(values: DataFrame, col: str = "x") -> DataFrame:
     )
 
 
-def daily_stats(plays: DataFrame) -> DataFrame:
-    return describe(daily_values(plays))
+def daily_stats(plays: DataFrame, by: Keys = None) -> DataFrame:
+    return describe(daily_values(plays, by), by=by)
 
 
-def ci_moments(values: DataFrame, col: str = "x") -> DataFrame:
-    """n, mean and standard error of the mean (one row)."""
-    return values.where(F.col(col).isNotNull()).agg(
+def ci_moments(values: DataFrame, col: str = "x", by: Keys = None) -> DataFrame:
+    """n, mean and standard error of the mean (one row, or one per key)."""
+    return values.where(F.col(col).isNotNull()).groupBy(*_k(by)).agg(
         F.count(F.lit(1)).cast("long").alias("n"),
         F.avg(col).alias("mean"),
         (F.stddev_samp(col) / F.sqrt(F.count(F.lit(1)))).alias("std_err"),
@@ -72,38 +85,38 @@ def confidence_interval(values: DataFrame, col: str = "x", confidence: float = 0
     return t_interval(confidence, row["n"] - 1, row["mean"], row["std_err"] or 0.0)
 
 
-def zscores(values: DataFrame, col: str = "x") -> DataFrame:
+def zscores(values: DataFrame, col: str = "x", by: Keys = None) -> DataFrame:
     """Adds ``zscore`` = (x - mean) / population std; zero spread -> 0.0.
 
     ``values`` is a per-day series (one row per calendar day, a bounded table): the moments
-    are whole-table windows over it, so the series is computed once."""
-    whole = Window.partitionBy()
+    are whole-series windows over it (per ``by`` key), so the series is computed once."""
+    whole = _whole(by)
     z = (F.col(col) - F.avg(col).over(whole)) / F.nullif(F.stddev_pop(col).over(whole), F.lit(0.0))
     return values.withColumn("zscore", F.coalesce(z, F.lit(0.0)))
 
 
-def anomaly_days(plays: DataFrame, threshold: float = 2.5) -> DataFrame:
+def anomaly_days(plays: DataFrame, threshold: float = 2.5, by: Keys = None) -> DataFrame:
     """Days whose |z| >= threshold (threshold must be in [1, 5]), highest z first."""
     if not 1.0 <= float(threshold) <= 5.0:
         raise ValueError("threshold must be between 1 and 5")
-    z = zscores(daily_values(plays))
+    z = zscores(daily_values(plays, by), by=by)
     return (
         z.where(F.abs(F.col("zscore")) >= F.lit(float(threshold)))
-        .select("date", F.col("x").alias("play_hours"), "zscore")
+        .select(*_k(by), "date", F.col("x").alias("play_hours"), "zscore")
         .orderBy(F.col("zscore").desc(), F.col("date").asc())
     )
 
 
-def weekend_moments(plays: DataFrame) -> DataFrame:
+def weekend_moments(plays: DataFrame, by: Keys = None) -> DataFrame:
     """Welch t statistic and degrees of freedom, weekday vs weekend daily minutes (one row).
 
     ``status`` is ``insufficient_data`` when either side has fewer than two days; the t
     statistic is NULL when both variances are zero.
     """
-    day = daily_ms(plays).select(
-        (F.col("day_ms") / F.lit(MS_PER_MINUTE)).alias("m"), (F.weekday("date") >= 5).alias("we")
+    day = daily_ms(plays, by=_k(by)).select(
+        *_k(by), (F.col("day_ms") / F.lit(MS_PER_MINUTE)).alias("m"), (F.weekday("date") >= 5).alias("we")
     )
-    a = day.agg(
+    a = day.groupBy(*_k(by)).agg(
         F.count_if(~F.col("we")).cast("long").alias("n1"),
         F.count_if(F.col("we")).cast("long").alias("n2"),
         F.avg(F.when(~F.col("we"), F.col("m"))).alias("weekday_mean"),
@@ -117,6 +130,7 @@ def weekend_moments(plays: DataFrame) -> DataFrame:
         F.pow(F.col("v1") / F.col("n1"), 2) / (F.col("n1") - 1) + F.pow(F.col("v2") / F.col("n2"), 2) / (F.col("n2") - 1)
     )
     return a.select(
+        *_k(by),
         F.when(ok, F.lit("ok")).otherwise(F.lit("insufficient_data")).alias("status"),
         F.col("n1").alias("weekday_days"),
         F.col("n2").alias("weekend_days"),
@@ -143,41 +157,45 @@ def weekend_test(plays: DataFrame) -> dict:
     }
 
 
-def artist_diversity(df: DataFrame) -> DataFrame:
-    """Simpson index 1 - sum(p^2) over artist shares; 0.0 for an empty input (one row)."""
-    counts = df.groupBy(ARTIST).agg(F.count(F.lit(1)).cast("double").alias("c"))
-    a = counts.agg(F.sum(F.col("c") * F.col("c")).alias("s2"), F.sum("c").alias("s1"))
+def artist_diversity(df: DataFrame, by: Keys = None) -> DataFrame:
+    """Simpson index 1 - sum(p^2) over artist shares; 0.0 for an empty input (one row, or one
+    per key)."""
+    counts = df.groupBy(*_k(by), ARTIST).agg(F.count(F.lit(1)).cast("double").alias("c"))
+    a = counts.groupBy(*_k(by)).agg(F.sum(F.col("c") * F.col("c")).alias("s2"), F.sum("c").alias("s1"))
     return a.select(
+        *_k(by),
         F.when(F.col("s1") > 0, F.lit(1.0) - F.col("s2") / (F.col("s1") * F.col("s1"))).otherwise(F.lit(0.0))
         .alias("diversity_score")
     )
 
 
-def histogram(values: DataFrame, col: str = "x", bins: int = HISTOGRAM_BINS) -> DataFrame:
+def histogram(values: DataFrame, col: str = "x", bins: int = HISTOGRAM_BINS, by: Keys = None) -> DataFrame:
     """Equal-width bins over [min, max], last bin closed, all bins listed (zero counts too).
 
     All values equal -> one bin holding every value. ``density`` = count / (n * width).
     ``values`` is a bounded per-day series: min/max/count are whole-table windows over it,
     then one pass counts per bin and each bin emits the empty bins before the next one.
     """
-    whole = Window.partitionBy()
+    keys = _k(by)
+    whole = _whole(by)
     v = values.where(F.col(col).isNotNull()).select(
-        F.col(col).alias("x"), F.min(col).over(whole).alias("lo"), F.max(col).over(whole).alias("hi"),
+        *keys, F.col(col).alias("x"), F.min(col).over(whole).alias("lo"), F.max(col).over(whole).alias("hi"),
         F.count(F.lit(1)).over(whole).alias("n"),
     )
     step = (F.col("hi") - F.col("lo")) / F.lit(float(bins))
     flat = F.col("hi") == F.col("lo")
     idx = F.when(flat, F.lit(0)).otherwise(F.least(F.floor((F.col("x") - F.col("lo")) / step), F.lit(bins - 1)))
-    counts = v.groupBy(idx.cast("int").alias("bin")).agg(
+    counts = v.groupBy(*keys, idx.cast("int").alias("bin")).agg(
         F.count(F.lit(1)).cast("long").alias("_c"), F.first("lo").alias("lo"), F.first("hi").alias("hi"),
         F.first("n").alias("n"),
     )
-    nxt = counts.withColumn("_next", F.lead("bin").over(Window.orderBy("bin")))
+    by_bin = whole.orderBy("bin")
+    nxt = counts.withColumn("_next", F.lead("bin").over(by_bin))
     last = F.when(F.col("hi") == F.col("lo"), F.lit(0)).otherwise(F.lit(bins - 1))
     # bins before the first present one, and between present ones, are empty
-    first_pad = F.when(F.lag("bin").over(Window.orderBy("bin")).isNull(), F.col("bin")).otherwise(F.lit(0))
+    first_pad = F.when(F.lag("bin").over(by_bin).isNull(), F.col("bin")).otherwise(F.lit(0))
     filled = nxt.withColumn("_pad", first_pad).select(
-        "_c", "lo", "hi", "n", "bin",
+        *keys, "_c", "lo", "hi", "n", "bin",
         F.explode(F.sequence(
             F.col("bin") - F.col("_pad"),
             F.coalesce(F.col("_next") - 1, last),
@@ -186,6 +204,7 @@ def histogram(values: DataFrame, col: str = "x", bins: int = HISTOGRAM_BINS) ->
     width = (F.col("hi") - F.col("lo")) / F.lit(float(bins))
     cnt = F.when(F.col("b") == F.col("bin"), F.col("_c")).otherwise(F.lit(0)).cast("long")
     return filled.select(
+        *keys,
         F.col("b").alias("bin"),
         F.when(flat, F.col("lo")).otherwise(F.col("lo") + F.col("b") * width).alias("range_start"),
         F.when(flat, F.col("hi")).otherwise(F.col("lo") + F.col("b") * width + width).alias("range_end"),
@@ -194,30 +213,30 @@ def histogram(values: DataFrame, col: str = "x", bins: int = HISTOGRAM_BINS) ->
     )
 
 
-def daily_histogram(plays: DataFrame) -> DataFrame:
-    return histogram(daily_values(plays))
+def daily_histogram(plays: DataFrame, by: Keys = None) -> DataFrame:
+    return histogram(daily_values(plays, by), by=by)
 
 
-def normal_overlay(values: DataFrame, col: str = "x", points: int = OVERLAY_POINTS) -> DataFrame:
+def normal_overlay(values: DataFrame, col: str = "x", points: int = OVERLAY_POINTS, by: Keys = None) -> DataFrame:
     """Normal density (sample std) on ``points`` evenly spaced values over [min, max].
 
     Needs more than one value; none when the spread is zero.
     """
-    m = values.where(F.col(col).isNotNull()).agg(
+    m = values.where(F.col(col).isNotNull()).groupBy(*_k(by)).agg(
         F.min(col).alias("lo"), F.max(col).alias("hi"), F.avg(col).alias("mu"),
         F.stddev_samp(col).alias("sd"), F.count(F.lit(1)).alias("n"),
     )
     step = (F.col("hi") - F.col("lo")) / F.lit(float(points - 1))
     pts = m.where((F.col("n") > 1) & (F.col("sd") > 0)).select(
-        F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("i"), "lo", "hi", "mu", "sd"
+        *_k(by), F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("i"), "lo", "hi", "mu", "sd"
     )
     x = F.when(F.col("i") == points - 1, F.col("hi")).otherwise(F.col("lo") + F.col("i") * step)
     pts = pts.withColumn("x", x)
     pdf = F.exp(-F.pow(F.col("x") - F.col("mu"), 2) / (F.lit(2.0) * F.pow(F.col("sd"), 2))) / (
         F.col("sd") * F.lit(math.sqrt(2.0 * math.pi))
     )
-    return pts.select(F.col("i").cast("int").alias("i"), "x", pdf.alias("density"))
+    return pts.select(*_k(by), F.col("i").cast("int").alias("i"), "x", pdf.alias("density"))
 
 
-def daily_normal_overlay(plays: DataFrame) -> DataFrame:
-    return normal_overlay(daily_values(plays))
+def daily_normal_overlay(plays: DataFrame, by: Keys = None) -> DataFrame:
+    return normal_overlay(daily_values(plays, by), by=by)

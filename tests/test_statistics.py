@@ -75,3 +75,32 @@ def test_normal_overlay(spark):
     o = S.normal_overlay(_values(spark, [1, 2, 4])).orderBy("i").collect()
     assert len(o) == 300 and o[0]["x"] == 1.0 and o[-1]["x"] == 4.0
     assert S.normal_overlay(_values(spark, [2.0])).count() == 0
+
+
+def test_per_key_statistics_equal_filtered_runs(spark):
+    """``by`` keys: each key's row equals the operator run on that key's plays alone."""
+    from encore.sources import curated
+
+    from conftest import SF_SMALL
+
+    p = curated.plays(spark, SF_SMALL)
+    keys = [r[0] for r in p.select("platform").distinct().collect()]
+
+    def rows(df, drop=()):
+        return sorted(tuple(round(v, 9) if isinstance(v, float) else v for k, v in r.asDict().items()
+                            if k not in drop) for r in df.collect())
+
+    checks = [
+        (lambda d, by=None: S.daily_stats(d, by=by)),
+        (lambda d, by=None: S.ci_moments(S.daily_values(d, by), by=by)),
+        (lambda d, by=None: S.anomaly_days(d, 2.0, by=by)),
+        (lambda d, by=None: S.weekend_moments(d, by=by)),
+        (lambda d, by=None: S.artist_diversity(d, by=by)),
+        (lambda d, by=None: S.daily_histogram(d, by=by)),
+        (lambda d, by=None: S.daily_normal_overlay(d, by=by)),
+    ]
+    for f in checks:
+        keyed = f(p, ["platform"])
+        for k in keys:
+            one = keyed.where(F.col("platform") == k)
+            assert rows(one, drop=("platform",)) == rows(f(p.where(F.col("platform") == k)))
