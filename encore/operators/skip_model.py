@@ -107,11 +107,20 @@ def train_skip_model(plays: DataFrame) -> SkipModelResult:
     if len(n_cls) < 2:
         return SkipModelResult("insufficient_data")
     w = F.when(F.col("label") == 1.0, F.lit(n_train / (2.0 * n_cls[1.0]))).otherwise(F.lit(n_train / (2.0 * n_cls[0.0])))
+    stages = build_pipeline(1.0 / (C_INVERSE_REG * n_train)).getStages()
     train = train.withColumn("_w", w).cache()
     try:
-        model = build_pipeline(1.0 / (C_INVERSE_REG * n_train)).fit(train)
+        # Feature stages first; the classifier's passes then read cached feature vectors
+        # instead of re-running imputation, scaling and encoding on every iteration.
+        features = Pipeline(stages=stages[:-1]).fit(train)
+        vectors = features.transform(train).select("features", "label", "_w").cache()
+        try:
+            classifier = stages[-1].fit(vectors)
+        finally:
+            vectors.unpersist()
     finally:
         train.unpersist()
+    model = PipelineModel(stages=features.stages + [classifier])
     scored = model.transform(test.withColumn("_w", F.lit(1.0))).select(
         "label", "prediction", vector_to_array("probability")[1].alias("probability")
     )
