@@ -15,7 +15,9 @@ exact method used here instead:
    bound, by a join of per-timestamp numbers (prefix sum of per-bucket start counts).
 
 Equal timestamps never split a session, so ties are harmless; a gap equal to the limit stays
-inside the session (strictly greater starts a new one).
+inside the session (strictly greater starts a new one). Optional ``by`` keys (a listener id)
+number sessions per key; the buckets stay global timestamp quantiles, so a listener with a
+large share of the log still spreads over many buckets.
 """
 
 from __future__ import annotations
@@ -50,7 +52,7 @@ def _ts_type(df: DataFrame, col: str):
 
 
 def _bucket_splits(distinct_ts: DataFrame, target_rows: int, max_buckets: int) -> list[float]:
-    """Approximate-quantile split points giving about equal buckets, at least one per core."""
+    """Approximate-quantile split points giving about equal buckets, at least two per core."""
     cores = distinct_ts.sparkSession.sparkContext.defaultParallelism
     n = distinct_ts.count()
     if n == 0:
