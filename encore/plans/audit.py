@@ -1,6 +1,6 @@
 """Plan audit: the physical shape of every registered query (development aid).
 
-For each query: parquet scans, shuffle exchanges, single-partition exchanges, join kinds,
+For each query: file scans (Parquet, text), shuffle exchanges, single-partition exchanges, join kinds,
 windows, top-k and cached scans of the executed plan — to check that filters and columns reach
 the scan, that no raw-log window runs on one partition, and that broadcasts are bounded.
 """
@@ -27,7 +27,7 @@ def audit(spark, sf_dir: str, execute: bool = False) -> list[dict]:
         if execute:
             df.collect()  # the executed (adaptive) plan of this DataFrame; use small test data
         plan = df._jdf.queryExecution().executedPlan().toString()
-        rec = {"query": name, "scans": len(re.findall(r"FileScan parquet", plan))}
+        rec = {"query": name, "scans": len(re.findall(r"FileScan \w+", plan))}
         for p in _PATTERNS:
             rec[p] = plan.count(p)
         rows.append(rec)
