@@ -48,16 +48,29 @@ def read_curated(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def _fingerprint(sf_dir: str, tables: list[str]) -> str:
+def _fingerprint(spark: SparkSession, sf_dir: str, tables: list[str]) -> str:
+    """Identity of the inputs: path, sizes and modification times of the table files.
+
+    Local paths use ``os.stat``; other file systems a listing through the binary-file source
+    (contents are not read), so a changed input never reuses a stale curated table."""
     h = hashlib.sha1(CURATED_VERSION.encode())
-    h.update(os.path.abspath(sf_dir).encode())
+    local = "://" not in sf_dir or sf_dir.startswith("file:")
+    h.update((os.path.abspath(sf_dir.replace("file:", "", 1)) if local else sf_dir.rstrip("/")).encode())
     for t in tables:
-        p = os.path.join(sf_dir, f"{t}.parquet")
-        try:
-            st = os.stat(p)
-            h.update(f"{t}:{st.st_size}:{int(st.st_mtime)}".encode())
-        except OSError:
-            h.update(f"{t}:?".encode())
+        p = f"{sf_dir.rstrip('/')}/{t}.parquet"
+        if local:
+            try:
+                st = os.stat(p.replace("file:", "", 1))
+                h.update(f"{t}:{st.st_size}:{int(st.st_mtime)}".encode())
+            except OSError:
+                h.update(f"{t}:?".encode())
+        else:
+            listing = (
+                spark.read.format("binaryFile").load(p)
+                .agg(F.count(F.lit(1)), F.sum("length"), F.max("modificationTime"))
+                .first()
+            )
+            h.update(f"{t}:{listing[0]}:{listing[1]}:{listing[2]}".encode())
     return h.hexdigest()[:16]
 
 
@@ -67,7 +80,7 @@ def is_written(spark: SparkSession, path: str) -> bool:
 
 
 def star_curated_path(spark: SparkSession, sf_dir: str) -> str:
-    key = _fingerprint(sf_dir, ["lineitem", "orders", "part", "customer", "nation"])
+    key = _fingerprint(spark, sf_dir, ["lineitem", "orders", "part", "customer", "nation"])
     return f"{shared_dir(spark)}/encore/curated/plays-{key}"
 
 
