@@ -11,21 +11,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder and read back, so that no later job depends on
-    its lineage or on the disk of one executor.
-
-    The folder is ``spark.checkpoint.dir``. Only a ``local`` master may go without the setting; a
-    temporary folder then stands in for it.
-    """
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share, ``spark.checkpoint.dir``. Only a ``local`` master may go
+    without the setting; a temporary folder then stands in for it."""
+    sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        folder = sc.getConf().get("spark.checkpoint.dir")
+        folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder:
             if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
                 raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
             folder = tempfile.mkdtemp(prefix="encore-checkpoint-")
         sc.setCheckpointDir(folder)
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared checkpoint folder and read back, so that no later job depends on
+    its lineage or on the disk of one executor."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
