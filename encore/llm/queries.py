@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from encore.llm import bpe, exact_dedup, packing, simhash
+from encore.llm import bpe, exact_dedup, langid, packing, simhash, toxicity
 
 QUERIES = {
     "op1_simhash_near_dedup": simhash.op1_simhash_near_dedup,
     "op3_bpe_encode_decode": bpe.op3_bpe_encode_decode,
     "op4_packing": packing.op4_packing,
+    "op6_toxicity": toxicity.op6_toxicity,
+    "op7_language_id": langid.op7_language_id,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
 }
 
