@@ -132,13 +132,13 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
                 texts = b.column(1).to_pylist()
                 lettered = np.array([any(map(str.isalpha, t or "")) for t in texts], bool)
                 rows = scores(texts)
-                mean = np.array([r.mean(axis=0) if len(r) else np.zeros(len(m.languages)) for r in rows])
+                mean = np.array([r.mean(axis=0) if len(r) else np.zeros(len(m.languages)) for r in rows], np.float64)
                 p = softmax((mean + m.bias) / m.temperature)
                 sure = np.where(lettered, p.max(axis=1), 0.0)
                 name = [m.languages[k] if ok else UNKNOWN for k, ok in zip(p.argmax(axis=1), lettered)]
                 accepted = lettered & (sure >= m.threshold)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0), pa.array(name), pa.array(sure), pa.array(accepted)],
+                    [b.column(0), pa.array(name, pa.string()), pa.array(sure, pa.float64()), pa.array(accepted)],
                     ["doc_id", "lang_pred", "score", "accepted"],
                 )
 

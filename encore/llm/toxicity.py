@@ -152,8 +152,8 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         for whole in batches:
             for b in slices(whole, limit=1 << 20):
                 worst = [windows(s[:, 0]).max() + m.bias for s in scores(b.column(1).to_pylist())]
-                out = 1 / (1 + np.exp(-np.clip(m.slope * np.array(worst) + m.shift, -30, 30)))
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out)], ["doc_id", "score"])
+                out = 1 / (1 + np.exp(-np.clip(m.slope * np.array(worst, np.float64) + m.shift, -30, 30)))
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.float64())], ["doc_id", "score"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {kind}, score double")
