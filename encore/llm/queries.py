@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from encore.llm import bpe, exact_dedup, langid, neighbours, packing, simhash, token_counts, toxicity
+from encore.llm import bpe, exact_dedup, langid, neighbours, packing, pii, simhash, token_counts, toxicity
 
 QUERIES = {
     "op1_simhash_near_dedup": simhash.op1_simhash_near_dedup,
     "op2_nearest_neighbours": neighbours.op2_nearest_neighbours,
     "op3_bpe_encode_decode": bpe.op3_bpe_encode_decode,
     "op4_packing": packing.op4_packing,
+    "op5_pii": pii.op5_pii,
     "op6_toxicity": toxicity.op6_toxicity,
     "op7_language_id": langid.op7_language_id,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
