@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from encore.llm import bpe, exact_dedup, langid, neighbours, packing, pii, simhash, token_counts, toxicity
+from encore.llm import bpe, exact_dedup, langid, neighbours, packing, pii, simhash, suffix_dedup, token_counts, toxicity
 
 QUERIES = {
     "op1_simhash_near_dedup": simhash.op1_simhash_near_dedup,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_toxicity": toxicity.op6_toxicity,
     "op7_language_id": langid.op7_language_id,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
+    "op9_suffix_dedup": suffix_dedup.op9_suffix_dedup,
     "op10_token_counts": token_counts.op10_token_counts,
 }
 
