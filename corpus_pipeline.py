@@ -8,14 +8,20 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from encore.llm import exact_dedup, packing, simhash
+from encore.llm import exact_dedup, packing, pii, simhash, toxicity
 from encore.llm.common import shared_folder, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity model rejects go; it learns from ``labels``."""
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    return toxicity.clean(docs, model).select(COLUMNS)
+
+
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the one with the largest id stays."""
     return exact_dedup.keep_one(docs).select(COLUMNS)
@@ -26,14 +32,22 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return simhash.keep_one(docs).select(COLUMNS)
 
 
+def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data is masked in the text; ``n_chars`` follows."""
+    rows = pii.redact(docs)
+    return rows.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast("long"))).select(COLUMNS)
+
+
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of token sequences, with the ids themselves."""
     return packing.pack(docs)
 
 
 STAGES = [
+    ("toxicity", toxic),
     ("exact_dedup", exact),
     ("simhash_near_dedup", near),
+    ("pii", private),
     ("packing", packed),
 ]
 

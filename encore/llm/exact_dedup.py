@@ -65,7 +65,8 @@ def frequent(rows: DataFrame, column: str, counters: int = COUNTERS) -> DataFram
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", counters: int = COUNTERS) -> DataFrame:
-    """One row per input row: ``doc_id, keep_id, group_size, kept, text_sha256``."""
+    """One row per input row: ``doc_id, keep_id, group_size, kept, text_sha256``, and ``rid``, the
+    number that ``monotonically_increasing_id`` gives the row."""
     rows = cut(
         docs.select(
             F.col(id_col).alias("doc_id"),
@@ -90,19 +91,20 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         "group_size",
         (F.col("rid") == F.col("best.rid")).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"),
+        "rid",
     )
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` without exact copies, all columns kept. Ids must be unique; rows with a
-    null id are judged like others but cannot be told apart, so all of them stay."""
-    gone = exact_groups(docs, id_col, text_col).where("not kept and doc_id is not null")
-    gone = gone.select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")
+    """The rows of ``docs`` without exact copies, all columns kept. ``docs`` is read twice and must be
+    stored or otherwise the same both times, since rows are told apart by their number."""
+    gone = exact_groups(docs, id_col, text_col).where("not kept").select(F.col("rid").alias("__rid"))
+    rows = docs.withColumn("__rid", F.monotonically_increasing_id())
+    return rows.join(gone, "__rid", "left_anti").select(docs.columns)
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_groups(table(spark, sf_dir, "documents"))
+    return exact_groups(table(spark, sf_dir, "documents")).drop("rid")
 
 
 OP8_SQL = """

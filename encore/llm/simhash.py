@@ -81,15 +81,18 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """Rows ``(doc_id, fp)``, ``fp`` the fingerprint's bits as a signed long."""
+    """Rows ``(doc_id, rid, fp)``: ``fp`` holds the fingerprint's bits as a signed long, ``rid`` is the
+    number that ``monotonically_increasing_id`` gives the row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fp = np.fromiter((fingerprint(t.as_py(), shingle) for t in b.column(1)), np.uint64, b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+            cols = [b.column(0), b.column(2), pa.array(fp.view(np.int64))]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "rid", "fp"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {kind}, fp long")
+    rows = docs.select(id_col, text_col, F.monotonically_increasing_id().alias("rid"))
+    return rows.mapInArrow(run, f"doc_id {kind}, rid long, fp long")
 
 
 # --- Golay keys -------------------------------------------------------------------------------
@@ -197,23 +200,31 @@ def near_groups(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, max_bits: int = MAX_BITS
 ) -> DataFrame:
     """One row per input row: ``doc_id``, ``fingerprint`` (16 hex digits), ``component_id`` (the
-    smallest id reachable over links of at most ``max_bits`` differing bits)."""
+    smallest id reachable over links of at most ``max_bits`` differing bits), ``kept`` (whether the
+    row is the first of its component) and ``rid`` (the row's number)."""
     rows = cut(fingerprints(docs, id_col, text_col, shingle))
-    fps = cut(rows.groupBy("fp").agg(F.count("*").alias("n"), F.min("doc_id").alias("least")))
+    place = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "rid")
+    fps = cut(rows.groupBy("fp").agg(F.count("*").alias("n"), F.min(place).alias("least")))
     root = components(links(fps, max_bits)).withColumnRenamed("node", "fp")
     named = fps.join(root, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = named.join(least, "root").select("fp", "component_id")
+    least = named.groupBy("root").agg(F.min("least").alias("first"))
+    named = named.join(least, "root").select("fp", "first")
     return rows.join(named, "fp").select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
+        "doc_id",
+        F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
+        F.col("first.doc_id").alias("component_id"),
+        (F.col("rid") == F.col("first.rid")).alias("kept"),
+        "rid",
     )
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of its group, and rows with a null id."""
-    gone = near_groups(docs, id_col, text_col).where("doc_id <> component_id").select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")
+    """Of each component the row with the smallest id, all columns kept. ``docs`` is read twice and
+    must be stored or otherwise the same both times, since rows are told apart by their number."""
+    gone = near_groups(docs, id_col, text_col).where("not kept").select(F.col("rid").alias("__rid"))
+    rows = docs.withColumn("__rid", F.monotonically_increasing_id())
+    return rows.join(gone, "__rid", "left_anti").select(docs.columns)
 
 
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_groups(table(spark, sf_dir, "documents"))
+    return near_groups(table(spark, sf_dir, "documents")).drop("rid", "kept")

@@ -21,6 +21,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -142,6 +143,14 @@ def train(
     return fit(rows["t"].tolist(), rows["y"].to_numpy())
 
 
+def chances(model: Model, scores: WordScores, texts: list[str | None]) -> np.ndarray:
+    """Scores of texts; a few hundred at a time, so that their words' margins stay small."""
+    worst: list[float] = []
+    for at in range(0, len(texts), 256):
+        worst += [windows(s[:, 0]).max() + model.bias for s in scores(texts[at : at + 256])]
+    return 1 / (1 + np.exp(-np.clip(model.slope * np.array(worst, np.float64) + model.shift, -30, 30)))
+
+
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows ``(doc_id, score)``, score from 0 to 1."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 2^17 floats
@@ -151,14 +160,26 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         scores = WordScores(m.projected[:, None])
         for whole in batches:
             for b in slices(whole, limit=1 << 20):
-                worst = [windows(s[:, 0]).max() + m.bias for s in scores(b.column(1).to_pylist())]
-                out = 1 / (1 + np.exp(-np.clip(m.slope * np.array(worst, np.float64) + m.shift, -30, 30)))
+                out = chances(m, scores, b.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.float64())], ["doc_id", "score"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {kind}, score double")
 
 
+def clean(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` that score under ``threshold``, all columns kept."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    @F.pandas_udf("double")
+    def scored(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        scores = WordScores(shared.value.projected[:, None])
+        for texts in parts:
+            yield pd.Series(chances(shared.value, scores, texts.tolist()), dtype=float)
+
+    return docs.where(scored(F.coalesce(F.col(text_col), F.lit(""))) < threshold)
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = train(docs, table(spark, sf_dir, "labels"))
