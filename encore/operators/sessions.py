@@ -1,36 +1,31 @@
-"""Gap-based sessions over a whole log without a single-task global sort.
-
-``W.orderBy(ts)`` alone plans ``Exchange SinglePartition``: the whole log on one task. The
-exact method used here instead:
-
-1. reduce the log to its distinct timestamps (partial aggregation map-side, so a timestamp
-   holding a third of all rows costs one row after the combine);
-2. cut the distinct timestamps into range buckets of about equal size at approximate
-   quantiles (a bounded array of split points), bucket with a binary search;
-3. a distinct timestamp starts a session when the previous one is more than the gap earlier:
-   ``lag`` inside the bucket, and for a bucket's first timestamp the maximum of the nearest
-   earlier bucket (a one-row-per-bucket table);
-4. rows get their session number by a binary search of their timestamp among the sorted
-   session starts — a size-checked lookup, no shuffle of the rows — or, above the size
-   bound, by a join of per-timestamp numbers (prefix sum of per-bucket start counts).
-
-Equal timestamps never split a session, so ties are harmless; a gap equal to the limit stays
-inside the session (strictly greater starts a new one). Optional ``by`` keys (a listener id)
-number sessions per key; the buckets stay global timestamp quantiles, so a listener with a
-large share of the log still spreads over many buckets.
+"""Gap-based sessions over a whole log without a global sort of its rows.
+
+Time is cut into slots as wide as the gap. Two plays of one slot lie closer together than the gap,
+so a slot never holds a session border: all that matters of it is its first and last timestamp
+(partial aggregation, so a timestamp holding a third of all rows costs one row per task). A session
+starts with a slot whose first timestamp lies more than the gap after the last one of the slot
+before it, and a slot's session number is the running count of such starts. The count runs inside
+parts of ``SLOTS`` neighbouring slots; a part's offset comes from a table with one row per part
+(3.7 years each for a gap of 30 minutes). Rows then get the number of their slot by an equi-join.
+
+One plan for every size; building it starts no job. A gap equal to the limit stays inside the
+session. Optional ``by`` keys (a listener id) number sessions per key. Rows with a NULL timestamp,
+or a NULL key, get NULL; their join keys are spread so that they do not meet in one task.
 """
 
 from __future__ import annotations
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from encore.schema import SESSION_GAP_MINUTES
 
+SLOTS = 65_536  # slots whose starts are counted in one window
+
 _US = "_ts_us"
-_B = "_bucket"
+_S = "_slot"
+_P = "_part"
 
 
 def _epoch_us(col: str, dtype=None):
@@ -47,107 +42,44 @@ def _epoch_us(col: str, dtype=None):
     return F.unix_micros(F.col(col).cast("timestamp"))
 
 
-def _ts_type(df: DataFrame, col: str):
-    return df.schema[col].dataType
-
+def _floor_div(c, n: int):
+    """Integer floor division (``pmod`` keeps it exact for times before the epoch)."""
+    return ((c - F.pmod(c, F.lit(n))) / F.lit(n)).cast("long")
 
-def _bucket_splits(distinct_ts: DataFrame, target_rows: int, max_buckets: int) -> list[float]:
-    """Approximate-quantile split points giving about equal buckets, at least two per core."""
-    cores = distinct_ts.sparkSession.sparkContext.defaultParallelism
-    n = distinct_ts.count()
-    if n == 0:
-        return []
-    buckets = max(1, min(max_buckets, max(2 * cores, -(-n // target_rows))))
-    if buckets == 1 or n < 2 * buckets:
-        return []
-    probs = [i / buckets for i in range(1, buckets)]
-    bounds = distinct_ts.agg(F.percentile_approx(_US, probs, max(10000, 4 * buckets)).alias("q")).first()["q"]
-    return sorted({float(b) for b in bounds})
 
+def _slot(df: DataFrame, ts_col: str, gap_us: int):
+    return _floor_div(_epoch_us(ts_col, df.schema[ts_col].dataType), max(1, gap_us))
 
-def _bucketed_distinct(df: DataFrame, ts_col: str, target_rows: int, max_buckets: int) -> DataFrame:
-    distinct_ts = df.where(F.col(ts_col).isNotNull()).select(_epoch_us(ts_col, _ts_type(df, ts_col)).alias(_US)).distinct()
-    splits = _bucket_splits(distinct_ts, target_rows, max_buckets)
-    if not splits:
-        return distinct_ts.withColumn(_B, F.lit(0.0))
-    bucketizer = Bucketizer(splits=[float("-inf")] + splits + [float("inf")], inputCol="_us_d", outputCol=_B)
-    return bucketizer.transform(distinct_ts.withColumn("_us_d", F.col(_US).cast("double"))).drop("_us_d")
 
-
-def session_starts(
-    df: DataFrame,
-    ts_col: str = "ts",
-    gap_minutes: float = SESSION_GAP_MINUTES,
-    target_rows_per_bucket: int = 2_000_000,
-    max_buckets: int = 200_000,
-) -> DataFrame:
-    """Epoch microseconds ``_start_us`` of every session's first play (unordered).
-
-    A distinct timestamp starts a session when it is the first overall or lies more than the
-    gap after the previous distinct timestamp. The previous timestamp is a ``lag`` inside the
-    bucket; for a bucket's first timestamp it is the last timestamp of the nearest earlier
-    bucket, taken from a per-bucket maximum (one row per bucket, a proven bound).
-    """
-    gap_us = int(round(gap_minutes * 60 * 1_000_000))
-    b = _bucketed_distinct(df, ts_col, target_rows_per_bucket, max_buckets)
-    last = b.groupBy(_B).agg(F.max(_US).alias("_last"))
-    wb = Window.orderBy(_B)
-    prev_last = last.select(F.col(_B), F.lag("_last").over(wb).alias("_prev_bucket_last"))
-    w = Window.partitionBy(_B).orderBy(_US)
-    prev = F.coalesce(F.lag(_US).over(w), F.col("_prev_bucket_last"))
-    flagged = b.join(F.broadcast(prev_last), _B).select(_US, prev.alias("_prev"))
-    return flagged.where(F.col("_prev").isNull() | (F.col(_US) - F.col("_prev") > gap_us)).select(
-        F.col(_US).alias("_start_us")
-    )
-
-
-def session_ids(
-    df: DataFrame,
-    ts_col: str = "ts",
-    gap_minutes: float = SESSION_GAP_MINUTES,
-    out_col: str = "session_id",
-    target_rows_per_bucket: int = 2_000_000,
-    max_buckets: int = 200_000,
-    by: list[str] | None = None,
+def session_slots(
+    df: DataFrame, ts_col: str = "ts", gap_minutes: float = SESSION_GAP_MINUTES,
+    out_col: str = "session_id", by: list[str] | None = None,
 ) -> DataFrame:
-    """Per distinct (``by`` keys, timestamp): ``[by...], ts_col, out_col`` — the join-based form.
-
-    Buckets are global timestamp quantiles, so one listener holding a large share of the rows
-    still spreads over many buckets. Inside each (keys, bucket) a window flags session starts
-    and counts them; the previous bucket's last timestamp (per key) settles the first row of a
-    bucket, and a prefix sum of per-(keys, bucket) start counts gives each bucket its offset.
-    """
+    """Per (``by`` keys, slot of the width of the gap): the session number, ``[by...], _slot, out_col``."""
     keys = list(by or [])
     gap_us = int(round(gap_minutes * 60 * 1_000_000))
-    us = _epoch_us(ts_col, _ts_type(df, ts_col))
-    d = df.where(F.col(ts_col).isNotNull()).select(*keys, us.alias(_US)).distinct()
-    splits = _bucket_splits(d.select(_US).distinct(), target_rows_per_bucket, max_buckets)
-    if splits:
-        bucketizer = Bucketizer(splits=[float("-inf")] + splits + [float("inf")], inputCol="_us_d", outputCol=_B)
-        b = bucketizer.transform(d.withColumn("_us_d", F.col(_US).cast("double"))).drop("_us_d")
-    else:
-        b = d.withColumn(_B, F.lit(0.0))
-    per_key = Window.partitionBy(*keys) if keys else Window.partitionBy()
-    last = b.groupBy(*keys, _B).agg(F.max(_US).alias("_last"))
-    prev_last = last.select(*keys, _B, F.lag("_last").over(per_key.orderBy(_B)).alias("_prev_bucket_last"))
-    # Without keys the edge table has one row per bucket (bounded): broadcast it.
-    edges = prev_last if keys else F.broadcast(prev_last)
-    w = Window.partitionBy(*keys, _B).orderBy(_US)
-    prev = F.coalesce(F.lag(_US).over(w), F.col("_prev_bucket_last"))
-    flagged = b.join(edges, [*keys, _B]).select(
-        *keys, _B, _US, (prev.isNull() | (F.col(_US) - prev > gap_us)).cast("long").alias("_brk")
-    )
-    local = flagged.withColumn("_local", F.sum("_brk").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    per_bucket = local.groupBy(*keys, _B).agg(F.sum("_brk").alias("_nb"))
-    offsets = per_bucket.select(
-        *keys, _B,
-        (F.sum("_nb").over(per_key.orderBy(_B).rowsBetween(Window.unboundedPreceding, 0)) - F.col("_nb")).alias("_off"),
+    us = _epoch_us(ts_col, df.schema[ts_col].dataType)
+    slots = (
+        df.where(F.col(ts_col).isNotNull())
+        .select(*keys, us.alias(_US), _slot(df, ts_col, gap_us).alias(_S))
+        .groupBy(*keys, _S).agg(F.min(_US).alias("_first"), F.max(_US).alias("_last"))
+        .withColumn(_P, _floor_div(F.col(_S), SLOTS))
     )
-    offsets = offsets if keys else F.broadcast(offsets)
-    ids = local.join(offsets, [*keys, _B]).select(*keys, _US, (F.col("_off") + F.col("_local")).cast("long").alias(out_col))
+    inside = Window.partitionBy(*keys, _P).orderBy(_S)
+    # the first slot of a part has no slot before it here; the part table settles it
+    starts = (F.col("_first") - F.lag("_last").over(inside) > gap_us).cast("long")
+    slots = slots.withColumn("_brk", F.coalesce(starts, F.lit(0).cast("long")))
+    parts = slots.groupBy(*keys, _P).agg(
+        F.min("_first").alias("_first"), F.max("_last").alias("_last"), F.sum("_brk").alias("_inner"))
+    order = Window.partitionBy(*keys).orderBy(_P)
+    before = F.lag("_last").over(order)
+    parts = parts.withColumn("_new", (before.isNull() | (F.col("_first") - before > gap_us)).cast("long"))
+    running = F.sum(F.col("_new") + F.col("_inner")).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    parts = parts.select(*keys, _P, (running - F.col("_inner")).alias("_base"))
+    local = F.sum("_brk").over(inside.rowsBetween(Window.unboundedPreceding, 0))
     return (
-        df.select(*keys, ts_col).distinct().withColumn(_US, us)
-        .join(ids, [*keys, _US]).select(*keys, ts_col, out_col)
+        slots.withColumn("_local", local).join(parts, [*keys, _P])
+        .select(*keys, _S, (F.col("_base") + F.col("_local")).cast("long").alias(out_col))
     )
 
 
@@ -156,51 +88,13 @@ def sessionize(
     ts_col: str = "ts",
     gap_minutes: float = SESSION_GAP_MINUTES,
     out_col: str = "session_id",
-    max_lookup_sessions: int = 1_000_000,
     by: list[str] | None = None,
-    **kw,
 ) -> DataFrame:
-    """Add ``out_col`` to every row of ``df`` (rows with a NULL timestamp get NULL).
-
-    With ``by`` keys (e.g. a listener id) sessions are numbered per key from 1, through the
-    join-based form (the lookup needs one sorted list of starts).
-
-    When there are at most ``max_lookup_sessions`` sessions (checked by fetching at most one
-    more than the bound), their sorted start times become the split points of a binary-search
-    bucketizer applied row by row: no shuffle of the rows at all. Above the bound the
-    per-timestamp ids are joined back on the timestamp instead (a shuffle join; AQE splits a
-    hot timestamp).
-    """
-    if by:
-        ids = session_ids(df, ts_col, gap_minutes, out_col, by=list(by), **kw)
-        return df.join(ids, on=[*by, ts_col], how="left")
-    starts = session_starts(df, ts_col, gap_minutes, **kw)
-    got = starts.limit(max_lookup_sessions + 1).collect()
-    us = _epoch_us(ts_col, _ts_type(df, ts_col))
-    if len(got) <= max_lookup_sessions:
-        bounds = sorted(float(r["_start_us"]) for r in got)
-        if len(bounds) <= 1:
-            return df.withColumn(out_col, F.when(us.isNotNull(), F.lit(1).cast("long")))
-        bucketizer = Bucketizer(
-            splits=[float("-inf")] + bounds[1:] + [float("inf")],
-            inputCol="_sess_us",
-            outputCol="_sess_b",
-            handleInvalid="keep",
-        )
-        cols = df.columns
-        b = bucketizer.transform(df.withColumn("_sess_us", us.cast("double")))
-        return b.select(
-            *cols, F.when(F.col("_sess_us").isNotNull(), (F.col("_sess_b") + 1).cast("long")).alias(out_col)
-        )
-    ids = session_ids(df, ts_col, gap_minutes, out_col, **kw)
-    return df.join(ids, on=ts_col, how="left")
-
-
-def session_summary(df: DataFrame, session_col: str = "session_id", ts_col: str = "ts") -> DataFrame:
-    """Per session: start, end, plays and listened hours (rows must carry ``ms_played``)."""
-    return df.groupBy(session_col).agg(
-        F.min(ts_col).alias("session_start"),
-        F.max(ts_col).alias("session_end"),
-        F.count(F.lit(1)).alias("plays"),
-        (F.sum("ms_played") / F.lit(3600000.0)).alias("play_hours"),
-    )
+    """Add ``out_col`` to every row of ``df``; with ``by`` keys sessions are numbered per key from 1."""
+    keys = list(by or [])
+    ids = session_slots(df, ts_col, gap_minutes, out_col, keys)
+    gap_us = int(round(gap_minutes * 60 * 1_000_000))
+    # a row without a timestamp takes one of many slots that do not exist
+    nowhere = F.lit(-(1 << 60)) - F.pmod(F.xxhash64(*df.columns), F.lit(1 << 20))
+    rows = df.withColumn(_S, F.coalesce(_slot(df, ts_col, gap_us), nowhere))
+    return rows.join(ids, [*keys, _S], "left").select(*df.columns, out_col)
