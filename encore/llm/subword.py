@@ -9,6 +9,7 @@ that is needed: one row of class logits per bucket.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
 
 import numpy as np
 
@@ -62,6 +63,26 @@ def subwords(words: list[str], buckets: int = BUCKETS) -> tuple[np.ndarray, np.n
     return (ids[order] % np.uint64(buckets)).astype(np.int64), starts
 
 
+class Corpus:
+    """Texts as numbers of words, and the words' subwords; built text by text in little memory."""
+
+    def __init__(self, texts: Iterable[str | None]):
+        number: dict[str, int] = {}
+        self.docs = [
+            np.array([number.setdefault(w, len(number)) for w in words_of(t)], dtype=np.int32) for t in texts
+        ]
+        words = list(number)
+        parts = [subwords(words[i : i + 20_000]) for i in range(0, len(words), 20_000)]
+        shift = np.cumsum([0, *[len(ids) for ids, _ in parts]])
+        self.ids = np.concatenate([ids for ids, _ in parts] or [np.zeros(0)]).astype(np.int32)
+        self.starts = np.concatenate([s + d for (_, s), d in zip(parts, shift)] or [np.zeros(0)]).astype(np.int64)
+        self.stops = np.append(self.starts[1:], len(self.ids))
+
+    def bag(self, words: np.ndarray) -> np.ndarray:
+        """The subwords of some words."""
+        return np.concatenate([self.ids[self.starts[w] : self.stops[w]] for w in words.tolist()])
+
+
 def means(rows: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Means of the runs of ``rows`` that begin at ``starts``."""
     count = np.diff(np.append(starts, len(rows)))

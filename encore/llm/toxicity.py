@@ -17,7 +17,7 @@ the id and text columns of the documents are read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,9 +27,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from encore.llm.bpe import slices
 from encore.llm.common import table
-from encore.llm.subword import Bag, WordScores, means, subwords, words_of
+from encore.llm.subword import Bag, Corpus, WordScores, means
 
-MAX_ROWS = 3000  # labelled rows per class that training reads at most
+MAX_ROWS = 2000  # labelled rows per class that training reads at most
 MAX_CHARS = 20_000  # characters of a text that training reads at most
 WINDOW = 4  # words
 ROUNDS = 12
@@ -55,26 +55,18 @@ def windows(margins: np.ndarray, width: int = WINDOW) -> np.ndarray:
     return (total[width:] - total[:-width]) / width
 
 
-def fit(texts: list[str | None], labels: np.ndarray, seed: int = 7) -> Model:
-    split = [words_of(t) for t in texts]
-    vocabulary = sorted({w for ws in split for w in ws})
-    if not vocabulary:
+def fit(texts: Iterable[str | None], labels: np.ndarray, seed: int = 7) -> Model:
+    corpus = Corpus(texts)
+    docs = corpus.docs
+    if not len(corpus.ids):
         raise ValueError("no words to learn from")
-    number = {w: i for i, w in enumerate(vocabulary)}
-    docs = [np.array([number[w] for w in ws], dtype=np.int64) for ws in split]
-    ids, starts = subwords(vocabulary)
-    stops = np.append(starts[1:], len(ids))
-
-    def bag(words: np.ndarray) -> np.ndarray:
-        return np.concatenate([ids[starts[w] : stops[w]] for w in words.tolist()])
-
     model = Bag(2, seed=seed)
     usable = [i for i, d in enumerate(docs) if len(d)]
     share = np.where(labels == 1, 0.5 / max(1, (labels == 1).sum()), 0.5 / max(1, (labels == 0).sum())) * len(labels)
 
     def margins() -> np.ndarray:
         p = model.projected()
-        return means((p[:, 1] - p[:, 0])[ids], starts)
+        return means((p[:, 1] - p[:, 0])[corpus.ids], corpus.starts)
 
     for r in range(ROUNDS):
         # the first rounds see samples of whole texts, so that frequent signs of a class stand out
@@ -92,13 +84,15 @@ def fit(texts: list[str | None], labels: np.ndarray, seed: int = 7) -> Model:
         for at in range(0, len(order), 32):
             some = order[at : at + 32]
             rows = [usable[j] for j in some]
-            model.step([bag(picked[j]) for j in some], labels[rows], rate, share[rows])
+            model.step([corpus.bag(picked[j]) for j in some], labels[rows], rate, share[rows])
     p = model.projected()
     projected = (p[:, 1] - p[:, 0]).astype(np.float32)
     bias = float(model.bias[1] - model.bias[0])
     at_word = margins()
     worst = np.array([windows(at_word[d]).max() + bias for d in docs])
-    slope, shift = logistic(worst, labels)
+    # a window of unknown words, a margin of nothing, is a clean example too
+    blank = max(1, len(docs) // 10)
+    slope, shift = logistic(np.append(worst, np.full(blank, bias)), np.append(labels, np.zeros(blank)))
     return Model(projected, bias, slope, shift)
 
 
@@ -137,10 +131,10 @@ def train(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_rows: int = MAX_ROWS
 ) -> Model:
     """A model from the labelled texts; ``labels`` has ``doc_id`` and ``toxic`` (1 or 0)."""
-    rows = training_rows(docs, labels, id_col, text_col, max_rows).toPandas().sort_values("__id")
-    if rows["y"].nunique() < 2:
+    rows = sorted(training_rows(docs, labels, id_col, text_col, max_rows).collect(), key=lambda r: r["__id"])
+    if len({r["y"] for r in rows}) < 2:
         raise ValueError("labels of both classes are needed")
-    return fit(rows["t"].tolist(), rows["y"].to_numpy())
+    return fit((r["t"] for r in rows), np.array([r["y"] for r in rows]))
 
 
 def chances(model: Model, scores: WordScores, texts: list[str | None]) -> np.ndarray:
