@@ -38,12 +38,36 @@ SENTENCE_CUT = 24  # a cut between two sentences of a document weighs as much as
 WORD_CUT = 256  # a cut within a sentence
 WINDOW_COST = 4  # a further sequence
 BLOCK_WINDOWS = 128  # a block closes with the document that reaches so many windows
-CACHED_WORDS = 800_000  # words whose ids a worker remembers; only speed depends on it
+CACHED_WORDS = 1_500_000  # words whose ids a worker remembers; only speed depends on it
 
 # The tokenizer splits at white space and drops it, so words between it are encoded independently
 # and can be remembered. 0x1c-0x1f are no white space to the tokenizer, though str.split() thinks so.
 ODD_SPACE = re.compile("[\x1c-\x1f]")
 WORDS = re.compile(f"[^{SPACE}]+")
+PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"  # ASCII without the apostrophe, which may begin a token
+
+
+class Stems(dict):
+    """Ids of words without closing punctuation, as bytes; the tokenizer is asked once."""
+
+    def __init__(self, tokenizer: Tokenizer):
+        self.tokenizer = tokenizer
+
+    def __missing__(self, stem: str) -> bytes:
+        ids = self[stem] = array("i", self.tokenizer.encode(stem, add_special_tokens=False).ids).tobytes()
+        return ids
+
+
+class Words(dict):
+    """Ids of whole words, as bytes."""
+
+    def __init__(self, stems: Stems):
+        self.stems = stems
+
+    def __missing__(self, word: str) -> bytes:
+        stem, tail = parts(word)
+        ids = self[word] = self.stems[stem] + self.stems[tail] if tail else self.stems[stem]
+        return ids
 
 
 class WordTokenizer:
@@ -53,21 +77,31 @@ class WordTokenizer:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.known: dict[str, bytes] = {}
+        self.stems = Stems(self.tokenizer)
+        self.words = Words(self.stems)
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
         self.ends_sentence = np.zeros(max(vocabulary.values()) + 1, bool)
         for token, i in vocabulary.items():
             self.ends_sentence[i] = bool(re.search(r"[.!?][^\w]*(</w>)$", token))
 
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        words = [WORDS.findall(t) if ODD_SPACE.search(t) else t.split() for t in (t or "" for t in texts)]
-        if len(self.known) > CACHED_WORDS:
-            self.known.clear()
-        known = self.known
-        new = [w for w in {w for ws in words for w in ws} if w not in known]
-        for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            known[w] = array("i", e.ids).tobytes()
-        return [np.frombuffer(b"".join([known[w] for w in ws]), np.int32) for ws in words]
+    def encode(self, text: str | None) -> np.ndarray:
+        """The ids of a text (int32)."""
+        text = text or ""
+        words = WORDS.findall(text) if ODD_SPACE.search(text) else text.split()
+        for known in (self.words, self.stems):
+            if len(known) > CACHED_WORDS:
+                known.clear()
+        return np.frombuffer(b"".join(map(self.words.__getitem__, words)), np.int32)
+
+
+def parts(word: str) -> tuple[str, str]:
+    """The word without the punctuation at its end, in lower case where it is plain ASCII (as the
+    tokenizer's normaliser has it), and that punctuation. The tokenizer splits at this place, since
+    the character before it is a letter or digit."""
+    stem = word.rstrip(PUNCTUATION)
+    if not stem or not stem[-1].lower()[-1].isalnum():
+        return word, ""
+    return stem.lower() if stem.isascii() else stem, word[len(stem) :]
 
 
 @cache
@@ -186,7 +220,8 @@ def pack(
         for whole in batches:
             for b in slices(whole, limit=1 << 20):
                 names.append(b.column(0))
-                for ids in tok.encode(b.column(1).to_pylist()):
+                for text in b.column(1):
+                    ids = tok.encode(text.as_py())
                     block.append(np.concatenate([ids, end]))
                     tokens += len(ids) + 1
                 if tokens >= BLOCK_WINDOWS * length:
