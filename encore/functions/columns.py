@@ -11,6 +11,7 @@ from encore.schema import (
     DAY_START_HOUR,
     MS_PER_HOUR,
     MS_PER_MINUTE,
+    URI_SCHEMES,
     WEEK_SEGMENT_LABELS,
     WEEKDAY_NAMES,
 )
@@ -86,19 +87,18 @@ def year_end(d: str | Column = "date") -> Column:
     return F.make_date(F.year(col(d)), F.lit(12), F.lit(31))
 
 
+def _uri_part(uri: str | Column, n: int) -> Column:
+    """Part ``n`` of ``<scheme>:<kind>:<id>``; another scheme or not exactly three parts -> NULL."""
+    parts = F.split(col(uri), ":")
+    return F.when((F.size(parts) == 3) & parts[0].isin(URI_SCHEMES), parts[n])
+
+
 def uri_kind(uri: str | Column) -> Column:
-    """``spotify:<kind>:<id>`` -> kind; other prefix or not exactly three parts -> NULL."""
-    u = col(uri)
-    parts = F.split(u, ":")
-    ok = u.startswith("spotify:") & (F.size(parts) == 3)
-    return F.when(ok, F.element_at(parts, 2))
+    return _uri_part(uri, 1)
 
 
 def uri_id(uri: str | Column) -> Column:
-    u = col(uri)
-    parts = F.split(u, ":")
-    ok = u.startswith("spotify:") & (F.size(parts) == 3)
-    return F.when(ok, F.element_at(parts, 3))
+    return _uri_part(uri, 2)
 
 
 def label(flag: str | Column, labels: tuple[str, str]) -> Column:
@@ -109,7 +109,3 @@ def label(flag: str | Column, labels: tuple[str, str]) -> Column:
 def weekday_name_of(num: str | Column) -> Column:
     """Monday..Sunday from a Monday=0 weekday number."""
     return F.element_at(F.array(*[F.lit(n) for n in WEEKDAY_NAMES]), col(num) + 1)
-
-
-def iso_date(d: str | Column) -> Column:
-    return F.date_format(col(d), "yyyy-MM-dd")

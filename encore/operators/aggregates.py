@@ -32,18 +32,28 @@ def _k(by: Keys) -> list[str]:
 
 
 def kpis(plays: DataFrame, by: Keys = None) -> DataFrame:
-    """Headline figures; an empty selection gives one row of zeros (no ``by``)."""
-    n = count_rows()
-    aggs = [
-        hours_of().alias("total_hours"),
-        F.count_if(F.col("is_song")).cast("long").alias("tracks_played"),
+    """Headline figures; an empty selection gives one row of zeros (no ``by``).
+
+    The log is read into one group per (artist, album) by partial aggregation; the distinct
+    counts then run over those groups, so no log row is expanded per distinct count."""
+    groups = plays.groupBy(*_k(by), ARTIST, ALBUM).agg(
+        F.sum("ms_played").alias("_ms"),
+        F.count_if(F.col("is_song")).alias("_songs"),
+        F.sum(F.col("is_skipped").cast("long")).alias("_skipped"),
+        F.sum(F.col("shuffle").cast("long")).alias("_shuffled"),
+        F.count(F.lit(1)).alias("_n"),
+    )
+    n = F.sum("_n")
+    zero = F.lit(0).cast("long")
+    return groups.groupBy(*_k(by)).agg(
+        (F.coalesce(F.sum("_ms"), F.lit(0.0)) / F.lit(3600000.0)).alias("total_hours"),
+        F.coalesce(F.sum("_songs"), zero).alias("tracks_played"),
         F.count_distinct(ARTIST).cast("long").alias("unique_artists"),
         F.count_distinct(ALBUM).cast("long").alias("unique_albums"),
-        F.coalesce(F.sum(F.col("is_skipped").cast("long")) / n * F.lit(100.0), F.lit(0.0)).alias("skip_rate"),
-        F.coalesce(F.sum(F.col("shuffle").cast("long")) / n * F.lit(100.0), F.lit(0.0)).alias("shuffle_rate"),
-        n.cast("long").alias("rows"),
-    ]
-    return plays.groupBy(*_k(by)).agg(*aggs)
+        F.coalesce(F.sum("_skipped") / n * F.lit(100.0), F.lit(0.0)).alias("skip_rate"),
+        F.coalesce(F.sum("_shuffled") / n * F.lit(100.0), F.lit(0.0)).alias("shuffle_rate"),
+        F.coalesce(n, zero).alias("rows"),
+    )
 
 
 def hourly_hours(plays: DataFrame, by: Keys = None) -> DataFrame:

@@ -14,9 +14,6 @@ from pyspark.sql import functions as F
 
 from encore.schema import ARTIST
 
-# Lists longer than this become a broadcast left-semi join instead of an IN-list.
-ISIN_LIMIT = 1000
-
 _TYPE_FLAG = {"Songs": "is_song", "Podcasts": "is_podcast", "Audiobooks": "is_audiobook"}
 
 
@@ -44,12 +41,7 @@ def artists(plays: DataFrame, names: list[str] | None) -> DataFrame:
     """Empty or missing list = no filter."""
     if not names:
         return plays
-    names = list(dict.fromkeys(names))
-    if len(names) <= ISIN_LIMIT:
-        return plays.where(F.col(ARTIST).isin(names))
-    spark = plays.sparkSession
-    sel = spark.createDataFrame([(n,) for n in names], f"{ARTIST} string")
-    return plays.join(F.broadcast(sel), ARTIST, "left_semi")
+    return plays.where(F.col(ARTIST).isin(list(dict.fromkeys(names))))
 
 
 def content_types(plays: DataFrame, types: list[str] | None) -> DataFrame:

@@ -16,6 +16,7 @@ from encore.operators.sessions import sessionize
 from encore.schema import (
     ALBUM,
     ARTIST,
+    EXPORT_KEYS,
     FULL_PLAY_MINUTES,
     MS_PER_HOUR,
     MS_PER_MINUTE,
@@ -53,7 +54,11 @@ def to_bool(c: Column, dtype: T.DataType) -> Column:
 
 
 def complete_raw(df: DataFrame) -> DataFrame:
-    """Missing expected columns become NULL; others are kept (U1/S4 on frames)."""
+    """Columns under an export's own keys are renamed, missing expected columns become NULL, others
+    are kept (U1/S4 on frames)."""
+    for name, key in EXPORT_KEYS.items():
+        if name not in df.columns:
+            df = df.withColumnRenamed(key, name)
     for name in RAW_COLUMNS + ["source_file", "extra_json"]:
         if name not in df.columns:
             df = df.withColumn(name, F.lit(None).cast(raw_type(name) if name in RAW_COLUMNS else "string"))
@@ -85,7 +90,7 @@ def prepare_plays(
     df = df.withColumns(derived)
 
     is_podcast = (
-        F.col("episode_name").isNotNull() | F.col("episode_show_name").isNotNull() | F.col("spotify_episode_uri").isNotNull()
+        F.col("episode_name").isNotNull() | F.col("episode_show_name").isNotNull() | F.col("episode_uri").isNotNull()
     )
     is_audiobook = (
         F.col("audiobook_title").isNotNull() | F.col("audiobook_uri").isNotNull() | F.col("audiobook_chapter_uri").isNotNull()

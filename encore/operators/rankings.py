@@ -8,11 +8,13 @@ Ties are broken by the group keys ascending, in Spark and in the oracle alike.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from encore.functions.columns import count_rows, hours_of, minutes_of
-from encore.schema import ALBUM, ARTIST, LATE_NIGHT_HOURS, REPEAT_MIN_PLAYS, TRACK
+from encore.schema import ALBUM, ARTIST, LATE_NIGHT_HOURS, REPEAT_MIN_PLAYS, TRACK, TRACK_URI
 
 
 def top_k(agg: DataFrame, keys: list[str], metrics: list[str], k: int | None) -> DataFrame:
@@ -40,16 +42,28 @@ def favorite_albums(plays: DataFrame, k: int = 10) -> DataFrame:
     return top_k(g, ["album", "artist"], ["play_hours"], k)
 
 
+def first_uri(plays: DataFrame, top: DataFrame, keys: list[str]) -> DataFrame:
+    """``top`` (k rows, ``keys`` unique) with ``track_uri``: the URI of each row's earliest play
+    that has one, the smallest of several at the same time. Only plays of the k keys are looked at."""
+    k = F.broadcast(top.select(*[F.col(c).alias(f"_k_{c}") for c in keys]))  # k rows
+    match = reduce(lambda a, b: a & b, [F.col(c) == F.col(f"_k_{c}") for c in keys])
+    hits = plays.where(F.col(TRACK_URI).isNotNull()).select(*keys, "ts", TRACK_URI).join(k, match)
+    found = hits.groupBy(*[f"_k_{c}" for c in keys]).agg(F.min(F.struct("ts", TRACK_URI))[TRACK_URI].alias("track_uri"))
+    on = reduce(lambda a, b: a & b, [F.col(c) == F.col(f"_k_{c}") for c in keys])
+    return top.join(F.broadcast(found), on, "left").drop(*[f"_k_{c}" for c in keys])
+
+
 def featured_track(plays: DataFrame) -> DataFrame:
-    """Most streamed (track, artist, album) among songs, then most minutes; first/last play day."""
-    g = songs(plays).groupBy(TRACK, ARTIST, ALBUM).agg(
+    """Most streamed (track, artist, album) among songs, then most minutes; first/last play day.
+    The ranking is a hash aggregate; the URI is looked up for the winner alone."""
+    keys = [TRACK, ARTIST, ALBUM]
+    g = songs(plays).groupBy(*keys).agg(
         count_rows().cast("long").alias("streams"),
         minutes_of().alias("listening_minutes"),
         F.min("ts").alias("_first"),
         F.max("ts").alias("_last"),
-        F.min_by("spotify_track_uri", F.when(F.col("spotify_track_uri").isNotNull(), F.col("ts"))).alias("track_uri"),
     )
-    top = top_k(g, [TRACK, ARTIST, ALBUM], ["streams", "listening_minutes"], 1)
+    top = first_uri(songs(plays), top_k(g, keys, ["streams", "listening_minutes"], 1), keys)
     return top.select(
         F.col(TRACK).alias("track"), F.col(ARTIST).alias("artist"), F.col(ALBUM).alias("album"),
         "streams", "listening_minutes",

@@ -17,10 +17,10 @@ _PATTERNS = [
 
 
 def audit(spark, sf_dir: str, execute: bool = False) -> list[dict]:
-    import __spark_entry__ as E
+    from encore.plans.registry import QUERIES
 
     rows = []
-    for name, q in E.queries().items():
+    for name, q in QUERIES.items():
         if name.startswith("skip_"):
             continue  # MLlib fits run eagerly; their plans are per-stage
         df = q(spark, sf_dir)

@@ -20,10 +20,10 @@ SELECT o.o_orderdate + to_seconds({_OFF}) AS ts,
   CASE WHEN p.p_size % 10 = 0 OR p.p_size % 11 = 0 THEN NULL ELSE p.p_brand END AS master_metadata_album_artist_name,
   CASE WHEN p.p_size % 10 = 0 OR p.p_size % 11 = 0 THEN NULL ELSE p.p_type END AS master_metadata_album_album_name,
   CASE WHEN p.p_size % 10 = 0 OR p.p_size % 11 = 0 THEN NULL
-       ELSE CONCAT('spotify:track:', CAST(p.p_partkey AS VARCHAR)) END AS spotify_track_uri,
+       ELSE CONCAT('music:track:', CAST(p.p_partkey AS VARCHAR)) END AS track_uri,
   CASE WHEN p.p_size % 10 = 0 THEN p.p_name END AS episode_name,
   CAST(NULL AS VARCHAR) AS episode_show_name,
-  CAST(NULL AS VARCHAR) AS spotify_episode_uri,
+  CAST(NULL AS VARCHAR) AS episode_uri,
   CASE WHEN p.p_size % 11 = 0 THEN p.p_name END AS audiobook_title,
   CAST(NULL AS VARCHAR) AS audiobook_uri,
   CAST(NULL AS VARCHAR) AS audiobook_chapter_uri,
@@ -50,7 +50,7 @@ SELECT ts, coalesce(platform, 'unknown') AS platform,
   coalesce(master_metadata_track_name, 'Unknown Track') AS master_metadata_track_name,
   coalesce(master_metadata_album_artist_name, 'Unknown Artist') AS master_metadata_album_artist_name,
   coalesce(master_metadata_album_album_name, 'Unknown Album') AS master_metadata_album_album_name,
-  spotify_track_uri, episode_name, episode_show_name, spotify_episode_uri, audiobook_title, audiobook_uri,
+  track_uri, episode_name, episode_show_name, episode_uri, audiobook_title, audiobook_uri,
   audiobook_chapter_uri, audiobook_chapter_title,
   coalesce(reason_start, 'unknown') AS reason_start, coalesce(reason_end, 'unknown') AS reason_end,
   coalesce(shuffle, FALSE) AS shuffle, skipped, coalesce(offline, FALSE) AS offline, offline_timestamp,
@@ -60,9 +60,9 @@ SELECT ts, coalesce(platform, 'unknown') AS platform,
   CAST(ts AS DATE) AS date, CAST(year(ts) AS INTEGER) AS year, CAST(month(ts) AS INTEGER) AS month,
   dayname(ts) AS weekday_name, CAST(isodow(ts) - 1 AS INTEGER) AS weekday_num,
   CAST(hour(ts) AS INTEGER) AS listening_hour,
-  (episode_name IS NOT NULL OR episode_show_name IS NOT NULL OR spotify_episode_uri IS NOT NULL) AS is_podcast,
+  (episode_name IS NOT NULL OR episode_show_name IS NOT NULL OR episode_uri IS NOT NULL) AS is_podcast,
   (audiobook_title IS NOT NULL OR audiobook_uri IS NOT NULL OR audiobook_chapter_uri IS NOT NULL) AS is_audiobook,
-  NOT ((episode_name IS NOT NULL OR episode_show_name IS NOT NULL OR spotify_episode_uri IS NOT NULL)
+  NOT ((episode_name IS NOT NULL OR episode_show_name IS NOT NULL OR episode_uri IS NOT NULL)
        OR (audiobook_title IS NOT NULL OR audiobook_uri IS NOT NULL OR audiobook_chapter_uri IS NOT NULL)) AS is_song,
   coalesce(skipped, FALSE) AS is_skipped,
   (NOT coalesce(skipped, FALSE))

@@ -85,20 +85,20 @@ def q_content_flags(spark, sf):
 
 
 @register("track_uri_parts", with_plays("""
-SELECT spotify_track_uri,
-  CASE WHEN starts_with(spotify_track_uri, 'spotify:') AND len(string_split(spotify_track_uri, ':')) = 3
-       THEN string_split(spotify_track_uri, ':')[2] END AS uri_kind,
-  CASE WHEN starts_with(spotify_track_uri, 'spotify:') AND len(string_split(spotify_track_uri, ':')) = 3
-       THEN string_split(spotify_track_uri, ':')[3] END AS uri_id,
+SELECT track_uri,
+  CASE WHEN starts_with(track_uri, 'music:') AND len(string_split(track_uri, ':')) = 3
+       THEN string_split(track_uri, ':')[2] END AS uri_kind,
+  CASE WHEN starts_with(track_uri, 'music:') AND len(string_split(track_uri, ':')) = 3
+       THEN string_split(track_uri, ':')[3] END AS uri_id,
   CAST(count(*) AS BIGINT) AS plays
-FROM plays GROUP BY spotify_track_uri
+FROM plays GROUP BY track_uri
 """))
 def q_track_uri_parts(spark, sf):
     from encore.functions.columns import uri_id, uri_kind
 
-    g = plays(spark, sf).groupBy("spotify_track_uri").agg(F.count(F.lit(1)).cast("long").alias("plays"))
+    g = plays(spark, sf).groupBy("track_uri").agg(F.count(F.lit(1)).cast("long").alias("plays"))
     return g.select(
-        "spotify_track_uri", uri_kind("spotify_track_uri").alias("uri_kind"), uri_id("spotify_track_uri").alias("uri_id"),
+        "track_uri", uri_kind("track_uri").alias("uri_kind"), uri_id("track_uri").alias("uri_id"),
         "plays",
     )
 
@@ -434,7 +434,7 @@ def q_favorite_albums(spark, sf):
     f"""master_metadata_track_name AS track, master_metadata_album_artist_name AS artist,
   master_metadata_album_album_name AS album, CAST(count(*) AS BIGINT) AS streams, {MIN} AS listening_minutes,
   {D.format(c='min(ts)')} AS first_play, {D.format(c='max(ts)')} AS last_play,
-  arg_min(spotify_track_uri, ts) FILTER (WHERE spotify_track_uri IS NOT NULL) AS track_uri""",
+  arg_min(track_uri, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') || track_uri) FILTER (WHERE track_uri IS NOT NULL) AS track_uri""",
     "1, 2, 3", "streams DESC, listening_minutes DESC, track, artist, album", 1, "is_song"))
 def q_featured_track(spark, sf):
     return R.featured_track(plays(spark, sf))

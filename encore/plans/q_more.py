@@ -12,7 +12,7 @@ from encore.operators.prepare import dedup_plays
 from encore.operators.sessions import sessionize
 from encore.plans.oracle import with_plays, with_raw
 from encore.plans.registry import plays, register
-from encore.schema import ARTIST, RAW_COLUMNS, TRACK
+from encore.schema import ARTIST, EXPORT_KEYS, RAW_COLUMNS, TRACK
 from encore.sources import catalog as C
 from encore.sources.records import to_records
 from encore.sources.star import read_table, star_plays
@@ -103,7 +103,9 @@ def q_records_nullfill(spark, sf):
 _AP = """SELECT p_brand AS artist,
   CASE WHEN p_brand LIKE '%5' THEN NULL ELSE 'https://img.primary.example/artist/' || replace(p_brand, '#', '-') END
     AS image_url,
-  'https://open.primary.example/artist/' || replace(p_brand, '#', '-') AS external_url
+  CASE WHEN p_brand LIKE '%4' THEN NULL ELSE 'https://open.primary.example/artist/' || replace(p_brand, '#', '-') END
+    AS external_url,
+  'genre-a, genre-' || substring(p_brand, 7, 1) AS genres, CAST(substring(p_brand, 7, 2) AS INTEGER) AS popularity
 FROM (SELECT DISTINCT p_brand FROM part) WHERE p_brand NOT LIKE '%3'"""
 _AF = """SELECT p_brand AS artist,
   CASE WHEN p_brand LIKE '%1' THEN NULL ELSE 'https://cdn.fallback.example/xl/' || replace(p_brand, '#', '-') END
@@ -113,8 +115,10 @@ _AF = """SELECT p_brand AS artist,
   'https://www.fallback.example/artist/' || replace(p_brand, '#', '-') AS link
 FROM (SELECT DISTINCT p_brand FROM part)"""
 _ACODE = "replace(p_type, ' ', '_') || '/' || replace(p_brand, '#', '-')"
-_LP = f"""SELECT p_type AS album, p_brand AS artist, 'https://img.primary.example/album/' || {_ACODE} AS image_url,
-  'https://open.primary.example/album/' || {_ACODE} AS external_url
+_LP = f"""SELECT p_type AS album, p_brand AS artist,
+  CASE WHEN p_brand LIKE '%1' THEN NULL ELSE 'https://img.primary.example/album/' || {_ACODE} END AS image_url,
+  CASE WHEN p_brand LIKE '%5' THEN NULL ELSE 'https://open.primary.example/album/' || {_ACODE} END AS external_url,
+  '2001-01-01' AS release_date
 FROM (SELECT DISTINCT p_type, p_brand FROM part) WHERE p_brand NOT LIKE '%4'"""
 _LF = f"""SELECT p_type AS album, p_brand AS artist,
   CASE WHEN p_brand LIKE '%2' THEN NULL ELSE 'https://cdn.fallback.example/cover-xl/' || {_ACODE} END AS cover_xl,
@@ -137,12 +141,14 @@ ap AS ({_AP}), af AS ({_AF})
 SELECT t.artist, t.play_hours,
   CASE WHEN ap.artist IS NOT NULL THEN ap.image_url ELSE coalesce(af.picture_xl, af.picture_big, af.picture_medium) END
     AS image_url,
-  CASE WHEN ap.artist IS NOT NULL THEN ap.external_url ELSE af.link END AS external_url
+  CASE WHEN ap.artist IS NOT NULL THEN ap.external_url ELSE af.link END AS external_url,
+  coalesce(ap.genres, '') AS genres, CAST(ap.popularity AS DOUBLE) AS popularity
 FROM top t LEFT JOIN ap ON ap.artist = t.artist AND t.artist <> '' LEFT JOIN af ON af.artist = t.artist AND t.artist <> ''
 """))
 def q_enrich_artists(spark, sf):
     top = R.top_artists_hours(plays(spark, sf), 10)
-    return EN.enrich_artists(top, C.artist_primary(spark, sf), C.artist_fallback(spark, sf))
+    out = EN.enrich_artists(top, C.artist_primary(spark, sf), C.artist_fallback(spark, sf))
+    return out.withColumn("popularity", F.col("popularity").cast("double"))
 
 
 @register("enrich_albums", with_plays(f"""
@@ -153,7 +159,7 @@ lp AS ({_LP}), lf AS ({_LF})
 SELECT t.album, t.artist, t.play_hours,
   CASE WHEN lp.album IS NOT NULL THEN lp.image_url ELSE coalesce(lf.cover_xl, lf.cover_big, lf.cover_medium) END
     AS image_url,
-  CASE WHEN lp.album IS NOT NULL THEN lp.external_url ELSE lf.link END AS external_url
+  CASE WHEN lp.album IS NOT NULL THEN lp.external_url ELSE lf.link END AS external_url, lp.release_date
 FROM top t LEFT JOIN lp ON lp.album = t.album AND lp.artist = t.artist
 LEFT JOIN lf ON lf.album = t.album AND lf.artist = t.artist
 """))
@@ -172,10 +178,11 @@ def _fields(alias_i: str, alias_n: str) -> str:
 @register("enrich_tracks", with_plays(f"""
 WITH top AS (SELECT master_metadata_track_name AS track, master_metadata_album_artist_name AS artist,
                CAST(count(*) AS BIGINT) AS plays, coalesce(sum(ms_played), 0.0) / 3600000.0 AS hours,
-               arg_min(spotify_track_uri, ts) FILTER (WHERE spotify_track_uri IS NOT NULL) AS track_uri
+               arg_min(track_uri, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') || track_uri) FILTER (WHERE track_uri IS NOT NULL)
+                 AS track_uri
              FROM plays WHERE is_song GROUP BY 1, 2 ORDER BY plays DESC, track, artist LIMIT 10),
 cat AS ({_TC}),
-t AS (SELECT *, CASE WHEN starts_with(track_uri, 'spotify:') AND len(string_split(track_uri, ':')) = 3
+t AS (SELECT *, CASE WHEN starts_with(track_uri, 'music:') AND len(string_split(track_uri, ':')) = 3
                       AND string_split(track_uri, ':')[2] = 'track' THEN string_split(track_uri, ':')[3] END AS tid
       FROM top),
 bn AS (SELECT t.track, t.artist, min(c.track_id) AS track_id FROM t JOIN cat c
@@ -192,9 +199,9 @@ def q_enrich_tracks(spark, sf):
     g = p.groupBy(F.col(TRACK).alias("track"), F.col(ARTIST).alias("artist")).agg(
         F.count(F.lit(1)).cast("long").alias("plays"),
         (F.coalesce(F.sum("ms_played"), F.lit(0.0)) / F.lit(3600000.0)).alias("hours"),
-        F.min_by("spotify_track_uri", F.when(F.col("spotify_track_uri").isNotNull(), F.col("ts"))).alias("track_uri"),
     )
-    top = R.top_k(g, ["track", "artist"], ["plays"], 10)
+    top = R.first_uri(p.withColumnsRenamed({TRACK: "track", ARTIST: "artist"}), R.top_k(g, ["track", "artist"], ["plays"], 10),
+                      ["track", "artist"])
     return EN.enrich_tracks(top, C.track_catalog(spark, sf))
 
 
@@ -262,7 +269,8 @@ def _exports_dir(spark, sf):
     if not is_written(spark, path):
         with _exports_lock:
             if not is_written(spark, path):
-                star_plays(spark, sf).drop("source_file", "extra_json").write.mode("overwrite").json(path)
+                raw = star_plays(spark, sf).drop("source_file", "extra_json")
+                raw.withColumnsRenamed(EXPORT_KEYS).write.mode("overwrite").json(path)
     return path
 
 
@@ -284,3 +292,73 @@ def q_ingest_exports(spark, sf):
         F.count_if(F.col("is_skipped")).cast("long").alias("skipped"),
     )
     return g.withColumn("date", F.date_format("date", "yyyy-MM-dd"))
+
+
+# --- S1-S4: every file shape, with missing, extra and broken parts ------------------------------
+
+
+def _shapes_dir(spark, sf):
+    """Export files of all shapes made from ``orders`` and ``nation``, written once per input: arrays
+    on one line, line-delimited files with bad lines, files that begin with a bad line, pretty-printed
+    arrays and, one per nation, pretty-printed objects in a subfolder. Each file is one text row, so
+    that it can hold anything."""
+    from encore.session import shared_dir
+    from encore.sources import fs
+    from encore.sources.curated import is_written, star_curated_path
+
+    path = f"{shared_dir(spark)}/encore/shapes/{star_curated_path(spark, sf).rsplit('/', 1)[-1]}"
+    with _exports_lock:
+        if is_written(spark, path):
+            return path
+        o = read_table(spark, sf, "orders").select("o_orderkey", "o_orderdate", "o_orderpriority")
+        rec = F.to_json(F.struct(
+            F.date_format("o_orderdate", "yyyy-MM-dd'T'00:00:00'Z'").alias("ts"),
+            (F.col("o_orderkey") % 100000).alias("ms_played"),
+            F.concat(F.lit("order-"), F.col("o_orderkey").cast("string")).alias(TRACK),
+            F.when(F.col("o_orderkey") % 3 != 0, F.col("o_orderpriority")).alias("platform"),
+            F.when(F.col("o_orderkey") % 7 == 0, F.col("o_orderkey")).alias("zz"),
+        ))  # a NULL field is left out: a missing key
+        shape = F.element_at(F.array(*[F.lit(x) for x in ("array", "lines", "late", "pretty")]),
+                             (F.col("o_orderkey") % 4 + 1).cast("int"))
+        name = F.concat(shape, F.lit("-"), F.floor(F.col("o_orderkey") / 20000).cast("string"))
+        files = o.groupBy(name.alias("name")).agg(F.collect_list(rec).alias("r"))  # <= 5000 records a file
+        text = (
+            F.when(F.col("name").startswith("array"), F.concat(F.lit("["), F.array_join("r", ","), F.lit(", 7]")))
+            .when(F.col("name").startswith("lines"), F.concat(F.array_join("r", "\noops\n"), F.lit("\n\n{\n")))
+            .when(F.col("name").startswith("late"), F.concat(F.lit("not json\n"), F.array_join("r", "\r\n")))
+            .otherwise(F.concat(F.lit("[\n  "), F.array_join("r", ",\n  "), F.lit("\n]\n")))
+        )
+        n = read_table(spark, sf, "nation").select(
+            F.concat(F.lit("deep/nation-"), F.col("n_nationkey").cast("string")).alias("name"),
+            F.concat(F.lit('{\n "ts": "2020-01-01T00:00:00Z",\n "conn_country": "'), F.col("n_name"), F.lit('"\n}')).alias("value"),
+        )
+        rows = files.select("name", text.alias("value")).unionByName(n).withColumn("_f", F.regexp_replace("name", "/", "~"))
+        rows.select("_f", "value").write.mode("overwrite").partitionBy("_f").text(f"{path}-rows")
+        for part, _, _ in fs.listing(spark, f"{path}-rows"):
+            target = part.rsplit("/", 2)[-2].removeprefix("_f=").replace("%7E", "~").replace("~", "/")
+            fs.move(spark, part, f"{path}/{target}.json")
+        fs.touch(spark, f"{path}/_SUCCESS")
+        fs.remove(spark, f"{path}-rows")
+    return path
+
+
+@register("ingest_shapes", """
+WITH o AS (
+  SELECT o_orderkey AS k, o_orderdate, o_orderpriority,
+    CASE o_orderkey % 4 WHEN 0 THEN 'array' WHEN 1 THEN 'lines' WHEN 2 THEN 'late' ELSE 'pretty' END
+      || '-' || CAST(CAST(floor(o_orderkey / 20000) AS BIGINT) AS VARCHAR) || '.json' AS source_file
+  FROM orders)
+SELECT source_file, strftime(o_orderdate, '%Y-%m-%d') || 'T00:00:00Z' AS ts, CAST(k % 100000 AS DOUBLE) AS ms_played,
+  'order-' || CAST(k AS VARCHAR) AS track, CASE WHEN k % 3 <> 0 THEN o_orderpriority END AS platform,
+  CAST(NULL AS VARCHAR) AS country, CASE WHEN k % 7 = 0 THEN '{"zz":' || CAST(k AS VARCHAR) || '}' END AS extra_json
+FROM o
+UNION ALL
+SELECT 'nation-' || CAST(n_nationkey AS VARCHAR) || '.json', '2020-01-01T00:00:00Z', NULL, NULL, NULL, n_name, NULL FROM nation
+""")
+def q_ingest_shapes(spark, sf):
+    from encore.sources.exports import read_exports
+
+    return read_exports(spark, _shapes_dir(spark, sf)).select(
+        "source_file", "ts", "ms_played", F.col(TRACK).alias("track"), "platform",
+        F.col("conn_country").alias("country"), "extra_json",
+    )

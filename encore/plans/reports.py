@@ -22,12 +22,20 @@ from encore.operators import filters as FL
 from encore.operators import rankings as R
 from encore.operators import statistics as S
 from encore.operators import trends as TR
-from encore.schema import ARTIST, CONTENT_TYPES
+from encore.schema import ALBUM, ARTIST, CONTENT_TYPES, TRACK, TRACK_URI
+
+
+# What any report reads: a persisted selection holds these columns only.
+_REPORT_COLUMNS = [
+    "ts", "ms_played", "play_minutes", "play_hours", "date", "year", "month", "weekday_name", "weekday_num",
+    "listening_hour", "is_podcast", "is_audiobook", "is_song", "is_skipped", "is_fully_played", "platform",
+    "reason_start", "reason_end", "shuffle", "offline", "incognito_mode", TRACK, ARTIST, ALBUM, TRACK_URI,
+]
 
 
 def _select(plays, start, end, artists, content_types, persist) -> DataFrame:
     df = FL.apply_filters(plays, start, end, artists, content_types or list(CONTENT_TYPES))
-    return df.persist(StorageLevel.MEMORY_AND_DISK) if persist else df
+    return df.select(*_REPORT_COLUMNS).persist(StorageLevel.MEMORY_AND_DISK) if persist else df
 
 
 def release(report: dict) -> None:
@@ -112,6 +120,7 @@ def listening_trends(plays, start=None, end=None, artists=None, content_types=No
         "weekly": TR.weekly_hours(sel).orderBy("date"),
         "monthly": TR.monthly_hours(sel).orderBy("date"),
         "yearly": TR.yearly_hours(sel).orderBy("date"),
+        "rows": sel.count(),
         "stats": {} if stats is None else {k: stats[k] for k in
                                            ["mean", "median", "variance", "std_dev", "p25", "p50", "p75", "p90"]},
     }
@@ -129,6 +138,7 @@ def behavior_analysis(plays, start=None, end=None, artists=None, content_types=N
         "offlineShare": A.offline_share(sel),
         "incognitoShare": A.incognito_share(sel),
         "platformUsage": A.platform_usage(sel).orderBy(F.col("plays").desc(), "platform"),
+        "rows": sel.count(),
     }
 
 
@@ -141,6 +151,7 @@ def time_patterns(plays, start=None, end=None, artists=None, content_types=None,
         "seasonal": A.monthly_seasonality(sel).orderBy("month"),
         "dayNight": A.day_night(sel),
         "weekSegment": A.week_segment_hours(sel),
+        "rows": sel.count(),
         "hourCurve": A.hourly_hours(sel).orderBy("listening_hour"),
     }
 
@@ -160,6 +171,8 @@ def statistical_insights(plays, start=None, end=None, artists=None, content_type
         "histogram": S.histogram(values).orderBy("bin"),
         "overlay": S.normal_overlay(values).orderBy("i"),
         "hypothesis": S.weekend_test(sel),
+        "distribution": values,
+        "rows": sel.count(),
     }
 
 
@@ -177,7 +190,13 @@ def artist_song_analytics(plays, start=None, end=None, artists=None, content_typ
         albums = EN.enrich_albums(albums, catalogs["album_primary"], catalogs["album_fallback"])
         spot = EN.enrich_artists(spot, catalogs["artist_primary"], catalogs["artist_fallback"])
         if "track_catalog" in catalogs:
-            featured = EN.enrich_tracks(featured.drop("image_url", "external_url"), catalogs["track_catalog"])
+            # the track's record wins; the album's image and link stay where the track has none
+            album = {"image_url": "_album_image_url", "external_url": "_album_external_url"}
+            featured = EN.enrich_tracks(featured.withColumnsRenamed(album), catalogs["track_catalog"])
+            featured = featured.withColumns({
+                "image_url": F.coalesce("album_image", "_album_image_url"),
+                "external_url": F.coalesce("external_url", "_album_external_url"),
+            }).drop(*album.values())
     year = R.wrapped_artist_year(sel).first()
     return {
         "_selection": sel,

@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
+import json
+from pathlib import Path
+
 from pyspark.sql import types as T
 
+# The export files' own names: keys that differ from the column names here, and URI schemes.
+_FORMAT = json.loads((Path(__file__).parent / "export_format.json").read_text())
+EXPORT_KEYS: dict[str, str] = _FORMAT["keys"]
+URI_SCHEMES: list[str] = _FORMAT["uri_schemes"]
+
 # ---------------------------------------------------------------------------
 # These must equal the export format and the dashboard's labels.
 # ---------------------------------------------------------------------------
 
-# The 23 columns an export record is expected to carry, in export order.
+# The 23 columns an export record is expected to carry, in export order (see ``export_key``).
 RAW_COLUMNS = [
     "ts",
     "platform",
@@ -18,10 +26,10 @@ RAW_COLUMNS = [
     "master_metadata_track_name",
     "master_metadata_album_artist_name",
     "master_metadata_album_album_name",
-    "spotify_track_uri",
+    "track_uri",
     "episode_name",
     "episode_show_name",
-    "spotify_episode_uri",
+    "episode_uri",
     "audiobook_title",
     "audiobook_uri",
     "audiobook_chapter_uri",
@@ -62,10 +70,17 @@ MS_PER_HOUR = 3600000.0
 TRACK = "master_metadata_track_name"
 ARTIST = "master_metadata_album_artist_name"
 ALBUM = "master_metadata_album_album_name"
+TRACK_URI = "track_uri"
+
+
+def export_key(column: str) -> str:
+    """The key of a raw column in an export record."""
+    return EXPORT_KEYS.get(column, column)
+
 
 _STRING_COLS = {
-    "platform", "conn_country", "ip_addr", TRACK, ARTIST, ALBUM, "spotify_track_uri",
-    "episode_name", "episode_show_name", "spotify_episode_uri", "audiobook_title",
+    "platform", "conn_country", "ip_addr", TRACK, ARTIST, ALBUM, "track_uri",
+    "episode_name", "episode_show_name", "episode_uri", "audiobook_title",
     "audiobook_uri", "audiobook_chapter_uri", "audiobook_chapter_title", "reason_start",
     "reason_end", "offline_timestamp",
 }

@@ -25,14 +25,14 @@ def _brand_code(c: str = "p_brand"):
 
 def artist_primary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """artist, image_url, external_url, genres, popularity. Brands ending in 3 are missing;
-    brands ending in 5 have no image."""
+    brands ending in 5 have no image, those ending in 4 no link."""
     p = read_table(spark, sf_dir, "part").select("p_brand").distinct().where(~F.col("p_brand").endswith("3"))
     code = _brand_code()
     return p.select(
         F.col("p_brand").alias("artist"),
         F.when(F.col("p_brand").endswith("5"), F.lit(None).cast("string"))
         .otherwise(F.concat(F.lit(PRIMARY_IMG + "/artist/"), code)).alias("image_url"),
-        F.concat(F.lit(PRIMARY + "/artist/"), code).alias("external_url"),
+        F.when(~F.col("p_brand").endswith("4"), F.concat(F.lit(PRIMARY + "/artist/"), code)).alias("external_url"),
         F.array(F.lit("genre-a"), F.concat(F.lit("genre-"), F.substring("p_brand", 7, 1))).alias("genres"),
         F.substring("p_brand", 7, 2).cast("int").alias("popularity"),
     )
@@ -57,13 +57,14 @@ def _album_code():
 
 
 def album_primary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """album, artist, image_url, external_url, release_date. Brands ending in 4 are missing."""
+    """album, artist, image_url, external_url, release_date. Brands ending in 4 are missing, those
+    ending in 1 have no image and those ending in 5 no link."""
     p = read_table(spark, sf_dir, "part").select("p_type", "p_brand").distinct().where(~F.col("p_brand").endswith("4"))
     return p.select(
         F.col("p_type").alias("album"),
         F.col("p_brand").alias("artist"),
-        F.concat(F.lit(PRIMARY_IMG + "/album/"), _album_code()).alias("image_url"),
-        F.concat(F.lit(PRIMARY + "/album/"), _album_code()).alias("external_url"),
+        F.when(~F.col("p_brand").endswith("1"), F.concat(F.lit(PRIMARY_IMG + "/album/"), _album_code())).alias("image_url"),
+        F.when(~F.col("p_brand").endswith("5"), F.concat(F.lit(PRIMARY + "/album/"), _album_code())).alias("external_url"),
         F.lit("2001-01-01").alias("release_date"),
     )
 

@@ -12,21 +12,20 @@ row-group min/max statistics prune date ranges within a year.
 from __future__ import annotations
 
 import hashlib
-import os
 import threading
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from encore.operators.prepare import prepare_plays
 from encore.session import configure, shared_dir
-from encore.sources.fs import exists
+from encore.sources import fs
 from encore.sources.star import star_plays
 
 # Bump when the cleaning logic changes so stale curated tables are not reused.
-CURATED_VERSION = "6"
+CURATED_VERSION = "7"
 
-_memo: dict[str, str] = {}
 _build_lock = threading.Lock()  # one build per table even when queries run on several threads
 
 
@@ -49,34 +48,17 @@ def read_curated(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _fingerprint(spark: SparkSession, sf_dir: str, tables: list[str]) -> str:
-    """Identity of the inputs: path, sizes and modification times of the table files.
-
-    Local paths use ``os.stat``; other file systems a listing through the binary-file source
-    (contents are not read), so a changed input never reuses a stale curated table."""
+    """Identity of the inputs: every data file's path, size and modification time, listed anew on
+    each call, so that a changed input never reuses a stale curated table."""
     h = hashlib.sha1(CURATED_VERSION.encode())
-    local = "://" not in sf_dir or sf_dir.startswith("file:")
-    h.update((os.path.abspath(sf_dir.replace("file:", "", 1)) if local else sf_dir.rstrip("/")).encode())
     for t in tables:
-        p = f"{sf_dir.rstrip('/')}/{t}.parquet"
-        if local:
-            try:
-                st = os.stat(p.replace("file:", "", 1))
-                h.update(f"{t}:{st.st_size}:{int(st.st_mtime)}".encode())
-            except OSError:
-                h.update(f"{t}:?".encode())
-        else:
-            listing = (
-                spark.read.format("binaryFile").load(p)
-                .agg(F.count(F.lit(1)), F.sum("length"), F.max("modificationTime"))
-                .first()
-            )
-            h.update(f"{t}:{listing[0]}:{listing[1]}:{listing[2]}".encode())
+        h.update(repr(fs.listing(spark, f"{sf_dir.rstrip('/')}/{t}.parquet")).encode())
     return h.hexdigest()[:16]
 
 
 def is_written(spark: SparkSession, path: str) -> bool:
     """A completed write leaves ``_SUCCESS``; a partial one does not and is rebuilt."""
-    return exists(spark, f"{path.rstrip('/')}/_SUCCESS")
+    return fs.exists(spark, f"{path.rstrip('/')}/_SUCCESS")
 
 
 def star_curated_path(spark: SparkSession, sf_dir: str) -> str:
@@ -84,42 +66,45 @@ def star_curated_path(spark: SparkSession, sf_dir: str) -> str:
     return f"{shared_dir(spark)}/encore/curated/plays-{key}"
 
 
-def build_from_raw(spark: SparkSession, raw: DataFrame, path: str) -> str:
+def build_from_raw(spark: SparkSession, raw: DataFrame, path: str, replace: bool = True) -> str:
     """Clean ``raw`` into the curated table at ``path``.
 
-    The cleaned, de-duplicated rows are first written to ``<path>-stage`` (same shared
-    folder): the expensive ingest (joins / JSON decoding, de-duplication shuffle) runs once,
-    the session passes read only the ``ts`` column of the stage, and a lost executor
-    re-reads files instead of recomputing the ingest. The stage is kept: it is the cleaned
-    table without session numbers, from which sessions with another gap can be derived.
+    The cleaned, de-duplicated rows are first written next to it (same shared folder): the
+    expensive ingest (joins / JSON decoding, de-duplication shuffle) runs once, the session
+    passes read only the ``ts`` column of that stage, and a lost executor re-reads files
+    instead of recomputing the ingest. Both are written under names of this build's own; the
+    finished table is then renamed to ``path``, so builds at the same time do not mix.
     """
     from encore.operators.sessions import sessionize
 
     configure(spark)
-    stage = f"{path}-stage"
-    prepare_plays(raw, with_sessions=False).write.mode("overwrite").parquet(stage)
-    staged = spark.read.parquet(stage)
-    write_curated(sessionize(staged, "ts"), path)
+    own = f"{path.rstrip('/')}-{uuid.uuid4().hex}"
+    try:
+        prepare_plays(raw, with_sessions=False).write.parquet(f"{own}-stage")
+        staged = spark.read.parquet(f"{own}-stage")
+        write_curated(sessionize(staged, "ts"), own)
+        fs.publish(spark, own, path, replace)
+    finally:
+        fs.remove(spark, f"{own}-stage")
+        fs.remove(spark, own)  # only there if another build was first
     return path
 
 
-def build(spark: SparkSession, sf_dir: str) -> str:
-    """(Re)build the curated table of ``sf_dir`` unconditionally."""
-    path = star_curated_path(spark, sf_dir)
-    build_from_raw(spark, star_plays(spark, sf_dir), path)
-    _memo[sf_dir] = path
-    return path
+def build(spark: SparkSession, sf_dir: str, replace: bool = True) -> str:
+    """Build the curated table of ``sf_dir``; without ``replace`` a table that another build
+    published meanwhile stays."""
+    return build_from_raw(spark, star_plays(spark, sf_dir), star_curated_path(spark, sf_dir), replace)
 
 
 def plays(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Curated plays built from the star-schema tables in ``sf_dir`` (built on first use)."""
+    """Curated plays built from the star-schema tables in ``sf_dir`` (built on first use, and anew
+    when the tables' files change)."""
     configure(spark)
-    path = _memo.get(sf_dir) or star_curated_path(spark, sf_dir)
+    path = star_curated_path(spark, sf_dir)
     if not is_written(spark, path):
         with _build_lock:
             if not is_written(spark, path):
-                path = build(spark, sf_dir)
-    _memo[sf_dir] = path
+                build(spark, sf_dir, replace=False)
     return read_curated(spark, path)
 
 

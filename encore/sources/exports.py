@@ -1,29 +1,33 @@
 """Tolerant JSON ingest of play-history exports.
 
-One scan over the whole directory (recursive, ``*.json`` only) — the scan is file-parallel,
-not a driver loop. Each file is decoded leniently, like a JSON parser with a line-by-line
-fallback:
+Files are found recursively (``*.json`` only). Each is decoded leniently, like a JSON parser with a
+line-by-line fallback:
 
 * a JSON array -> its elements; a single object -> one record;
 * otherwise every line is decoded on its own and bad lines are skipped;
 * elements that are not objects are dropped; a blank file gives nothing.
 
+A file whose first line is a complete JSON object can only be line-delimited (anything after it
+would make the whole text invalid), so it is read by lines: split over tasks, of any length. All
+other files - arrays, pretty-printed documents, files that begin with a bad line - are decoded
+whole, one file a row, with the line-by-line fallback there; one beyond a row's limit raises.
+``file_report`` tells per file how it was read, its records and its skipped lines.
+
 Decoding uses VARIANT: wrapping the text in brackets makes the decode strict (the outer array
 must close), arrays are decoded element by element (one VARIANT has a size limit), and
 ``try_variant_get`` extracts each expected column with its type. Keys outside the expected
 columns survive as canonical JSON in ``extra_json`` (``to_json`` of a variant map sorts keys,
 so it can take part in de-duplication).
-
-``layout="files"`` holds one file per task (exports are megabytes). For very large
-line-delimited inputs use ``layout="lines"``: a line-split, fully parallel scan.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from encore.schema import RAW_COLUMNS, RAW_SCHEMA, raw_type
+from encore.schema import RAW_COLUMNS, RAW_SCHEMA, export_key, raw_type
 from encore.session import configure
 from encore.sources.fs import exists
 
@@ -46,62 +50,128 @@ def empty_raw(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], RAW_SCHEMA)
 
 
-def decode(text: DataFrame, layout: str = "files") -> DataFrame:
-    """``source_file, value`` (file or line text) -> ``source_file, e``: one VARIANT object
-    per record. Shared by the batch reader and the streaming ingest."""
-    if layout not in ("files", "lines"):
-        raise ValueError("layout must be 'files' or 'lines'")
-    t = text.select("source_file", F.trim(F.col("value"), F.lit(" \t\r\n")).alias("t"))
-    if layout == "files":
-        parsed = t.select("source_file", "t", F.expr(_WHOLE_ARRAY).alias("_arr"), F.expr(_WHOLE_OBJECT).alias("_obj"))
-        flags = parsed.select(
-            "source_file", "t", "_arr", "_obj",
-            F.coalesce(F.size("_arr") == 1, F.lit(False)).alias("_is_arr"),
-            F.coalesce(F.size("_obj") == 1, F.lit(False)).alias("_is_obj"),
-        )
-        recs = flags.select(
-            "source_file",
-            F.when(F.col("_is_arr"), F.col("_arr")[0])
-            .when(F.col("_is_obj"), F.col("_obj"))
-            .otherwise(F.expr(_PER_LINE))  # only files that are not one JSON value go line by line
-            .alias("_recs"),
-        )
-    else:
-        one = t.select("source_file", F.expr("from_json(concat('[', t, ']'), 'array<variant>')").alias("_a"))
-        recs = one.select("source_file", F.expr(
-            "CASE WHEN size(_a) = 1 THEN _a ELSE CAST(array() AS array<variant>) END").alias("_recs"))
-    e = recs.select("source_file", F.explode("_recs").alias("e"))
-    return e.where(F.expr(_IS_OBJECT))
+_ONE = "from_json(concat('[', t, ']'), 'array<variant>')"
+_TRIMMED = "trim(BOTH ' \t\r\n' FROM value)"
+
+
+def decode(text: DataFrame) -> DataFrame:
+    """``source_file, value`` (a file's text) -> ``source_file, e``: one VARIANT object per record.
+    Shared by the batch reader and the streaming ingest."""
+    t = text.select("source_file", F.expr(_TRIMMED).alias("t"))
+    parsed = t.select("source_file", "t", F.expr(_WHOLE_ARRAY).alias("_arr"), F.expr(_WHOLE_OBJECT).alias("_obj"))
+    recs = parsed.select(
+        "source_file",
+        F.when(F.size("_arr") == 1, F.col("_arr")[0])
+        .when(F.size("_obj") == 1, F.col("_obj"))
+        .otherwise(F.expr(_PER_LINE))  # only files that are not one JSON value go line by line
+        .alias("_recs"),
+    )
+    return recs.select("source_file", F.explode("_recs").alias("e")).where(F.expr(_IS_OBJECT))
+
+
+def decode_lines(text: DataFrame) -> DataFrame:
+    """``source_file, value`` (one line) -> ``source_file, e`` as ``decode``."""
+    one = text.select("source_file", F.expr(_TRIMMED).alias("t")).select("source_file", F.expr(_ONE).alias("a"))
+    return one.where(F.size("a") == 1).select("source_file", F.col("a")[0].alias("e")).where(F.expr(_IS_OBJECT))
+
+
+PATTERN = "*.json"
+
 
+def base_name(path: str | Column) -> Column:
+    """Base name of a file from its path in a row's metadata, where odd characters are escaped."""
+    last = F.element_at(F.split(path, "/"), -1)
+    return F.url_decode(F.replace(last, F.lit("+"), F.lit("%2B")))
 
+
+def _find(pattern: str) -> dict:
+    return {"recursiveFileLookup": True, "pathGlobFilter": pattern}
 def typed(rec: DataFrame) -> DataFrame:
     """VARIANT records -> raw plays: expected columns typed (absent -> NULL; ``ts`` kept as
     text for ``prepare`` to parse), unexpected keys as canonical JSON in ``extra_json``."""
     cols = []
     for c in RAW_COLUMNS:
         t = "string" if c == "ts" else raw_type(c).simpleString()
-        cols.append(F.expr(f"try_variant_get(e, '$.{c}', '{t}')").alias(c))
-    expected = ", ".join(f"'{c}'" for c in RAW_COLUMNS)
+        cols.append(F.expr(f"try_variant_get(e, '$.{export_key(c)}', '{t}')").alias(c))
+    expected = ", ".join(f"'{export_key(c)}'" for c in RAW_COLUMNS)
     extra = F.expr(
         f"map_filter(try_variant_get(e, '$', 'map<string,variant>'), (k, v) -> NOT array_contains(array({expected}), k))"
     )
     return rec.select(*cols, F.col("source_file"), F.when(F.size(extra) > 0, F.to_json(extra)).alias("extra_json"))
 
 
-def records(spark: SparkSession, data_dir: str, layout: str = "files") -> DataFrame:
+def _line_delimited(spark: SparkSession, data_dir: str, pattern: str) -> list[str]:
+    """Paths of the files whose first line (that is not blank) is a complete JSON object. Only the
+    first block of each file is decoded; what returns to the driver is a part of its file listing."""
+    head = spark.read.text(data_dir, **_find(pattern)).select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("at"),
+        F.expr(_TRIMMED).alias("t"), F.monotonically_increasing_id().alias("id"),
+    ).where("at = 0 AND t <> ''")
+    whole = F.expr(f"left(t, 1) = '{{' AND size({_ONE}) = 1")
+    first = head.groupBy("path").agg(F.min("id").alias("a"), F.min(F.when(whole, F.col("id"))).alias("b"))
+    return [r["path"] for r in first.where("a = b").select("path").collect()]
+
+
+def _plain(spark: SparkSession, uri: str) -> str:
+    """A path as the reader wants it, from the escaped form in a row's metadata."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(uri)).toString()
+    return re.sub(r"([\\*?\[\]{}])", r"\\\1", path)
+
+
+def _texts(spark: SparkSession, data_dir: str, pattern: str) -> tuple[DataFrame | None, DataFrame | None]:
+    """``(lines, files)``: line-delimited files by line, the others whole; None where there are none."""
+    lines = sorted(_plain(spark, p) for p in _line_delimited(spark, data_dir, pattern))
+    every = spark.read.format("binaryFile").options(**_find(pattern)).load(data_dir).select("_metadata.file_path").distinct()
+    files = sorted(set(_plain(spark, r["file_path"]) for r in every.collect()) - set(lines))  # the listing
+    out = []
+    for paths, whole in ((lines, False), (files, True)):
+        text = spark.read.text(paths, wholetext=whole) if paths else None
+        out.append(text.select(base_name("_metadata.file_path").alias("source_file"), "value") if paths else None)
+    return out[0], out[1]
+
+
+def records(spark: SparkSession, data_dir: str, pattern: str = PATTERN) -> DataFrame:
     """``source_file, e`` for every record of every ``*.json`` file under ``data_dir``."""
     configure(spark)
-    opts = {"recursiveFileLookup": True, "pathGlobFilter": "*.json"}
-    text = spark.read.text(data_dir, wholetext=True, **opts) if layout == "files" else spark.read.text(data_dir, **opts)
-    return decode(text.select(F.col("_metadata.file_name").alias("source_file"), "value"), layout)
+    lines, files = _texts(spark, data_dir, pattern)
+    parts = [f(t) for f, t in ((decode_lines, lines), (decode, files)) if t is not None]
+    if not parts:
+        return decode(spark.createDataFrame([], "source_file string, value string"))
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
+
+def file_report(spark: SparkSession, data_dir: str, pattern: str = PATTERN) -> DataFrame:
+    """Per file name: ``read_as`` ('lines' or 'file'), ``records`` and ``skipped_lines`` (not blank,
+    not decodable; 0 for a file that is one JSON value)."""
+    configure(spark)
+    lines, files = _texts(spark, data_dir, pattern)
+    schema = "source_file string, read_as string, records long, skipped_lines long"
+    out = spark.createDataFrame([], schema)
+    if lines is not None:
+        t = lines.select("source_file", F.expr(_TRIMMED).alias("t")).where("t <> ''").withColumn("a", F.expr(_ONE))
+        e = t.withColumn("e", F.when(F.size("a") == 1, F.col("a")[0]))
+        out = out.unionByName(e.groupBy("source_file").agg(
+            F.lit("lines").alias("read_as"), F.count_if(F.expr(_IS_OBJECT)).alias("records"),
+            F.count_if(F.coalesce(F.size("a") != 1, F.lit(True))).alias("skipped_lines")))
+    if files is not None:
+        n = decode(files).groupBy("source_file").agg(F.count(F.lit(1)).alias("records"))
+        t = files.select("source_file", F.expr(_TRIMMED).alias("t")).select(
+            "source_file", "t", F.expr(_WHOLE_ARRAY).alias("x"), F.expr(_WHOLE_OBJECT).alias("y"))
+        bad = F.expr(f"size(filter(transform({_LINES}, l -> {_TRIMMED.replace('value', 'l')}), "
+                     f"t -> t <> '' AND coalesce(size({_ONE}), 0) <> 1))")
+        one = (F.coalesce(F.size("x") == 1, F.lit(False))) | (F.coalesce(F.size("y") == 1, F.lit(False)))
+        s = t.groupBy("source_file").agg(F.sum(F.when(one, 0).otherwise(bad)).alias("skipped_lines"))
+        out = out.unionByName(s.join(n, "source_file", "left").select(
+            "source_file", F.lit("file").alias("read_as"), F.coalesce("records", F.lit(0)).alias("records"), "skipped_lines"))
+    return out
 
 
-def read_exports(spark: SparkSession, data_dir: str, layout: str = "files") -> DataFrame:
+def read_exports(spark: SparkSession, data_dir: str, pattern: str = PATTERN) -> DataFrame:
     """Raw plays (``RAW_SCHEMA``): expected columns typed (absent -> NULL), ``source_file`` is
     the base file name, unexpected keys in ``extra_json`` (NULL when there are none)."""
     if not exists(spark, data_dir):
         return empty_raw(spark)
-    return typed(records(spark, data_dir, layout))
+    return typed(records(spark, data_dir, pattern))
 
 
 def json_files(spark: SparkSession, data_dir: str) -> DataFrame:

@@ -1,29 +1,63 @@
-"""Path checks that work on any file system Spark can read (local, HDFS, object stores)."""
+"""Path checks through Spark's own file systems (the session's default one where a path names none)."""
 
 from __future__ import annotations
 
-import os
-
-from pyspark.errors import AnalysisException
 from pyspark.sql import SparkSession
 
 
-def _local(path: str) -> str | None:
-    if path.startswith("file:"):
-        return path[5:]
-    if "://" not in path:
-        return path
-    return None
+def _path(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
 def exists(spark: SparkSession, path: str) -> bool:
-    """True if ``path`` (file or folder) exists. Local paths are checked directly; others with a
-    listing through the binary-file source (contents are not read)."""
-    loc = _local(path)
-    if loc is not None:
-        return os.path.exists(loc)
-    try:
-        spark.read.format("binaryFile").load(path).select("path").limit(1).collect()
-        return True
-    except AnalysisException:
-        return False
+    """True if ``path`` (file or folder) exists."""
+    p, fs = _path(spark, path)
+    return fs.exists(p)
+
+
+def listing(spark: SparkSession, path: str) -> list[tuple[str, int, int]]:
+    """``(name, bytes, modified)`` of the data files of a file or folder, at any depth; empty if
+    there is none. Hidden files (``_``, ``.``) are left out."""
+    p, fs = _path(spark, path)
+    if not fs.exists(p):
+        return []
+    out, found = [], fs.listFiles(p, True)
+    while found.hasNext():
+        f = found.next()
+        if not f.getPath().getName().startswith(("_", ".")):
+            out.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return sorted(out)
+
+
+def publish(spark: SparkSession, staged: str, path: str, replace: bool = False) -> bool:
+    """Renames a finished folder to ``path``; False if ``path`` is there already and is not to be
+    replaced. Of several builders one wins, and no reader sees a part of a table."""
+    target, fs = _path(spark, path)
+    if fs.exists(target):
+        if not replace:
+            return False
+        fs.delete(target, True)
+    fs.mkdirs(target.getParent())
+    # renaming onto a folder that appeared meanwhile would move the table into it
+    return not fs.exists(target) and bool(fs.rename(_path(spark, staged)[0], target))
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    p, fs = _path(spark, path)
+    fs.delete(p, True)
+
+
+def move(spark: SparkSession, path: str, new: str) -> None:
+    """Moves a file, making the folders above its new place; a file there is replaced."""
+    p, fs = _path(spark, path)
+    target = _path(spark, new)[0]
+    fs.mkdirs(target.getParent())
+    fs.delete(target, False)
+    if not fs.rename(p, target):
+        raise OSError(f"cannot move {path} to {new}")
+
+
+def touch(spark: SparkSession, path: str) -> None:
+    p, fs = _path(spark, path)
+    fs.create(p, True).close()

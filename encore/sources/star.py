@@ -14,41 +14,27 @@ from pyspark.sql import functions as F
 from encore.schema import RAW_COLUMNS, raw_type
 
 STAR_SOURCE_FILE = "star_schema"
-BROADCAST_MAX_ROWS = 2_000_000  # rows of a joined dimension side that may be broadcast
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def widen(df: DataFrame) -> DataFrame:
-    """Spread an input that arrives in fewer partitions than the cluster has cores (a small,
-    single-row-group file) so the joins after the scan run in parallel. At scale the scan
-    already yields many more partitions than cores and this is a no-op."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores)
-    return df
-
-
 def star_plays(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw plays in ``RAW_SCHEMA`` column order (untyped cleaning is left to ``prepare``)."""
-    l = widen(read_table(spark, sf_dir, "lineitem").select(
+    l = read_table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
         "l_tax", "l_discount", "l_returnflag", "l_linestatus",
-    ))
+    )
     o = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority")
     p = read_table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size")
     c = read_table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
     n = read_table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
 
     # Order-side dimensions first: orders x customer x nation is orders-sized, so the big
-    # lineitem side is shuffled only twice (orderkey, partkey), not three times. That side has
-    # at most as many rows as ``orders``; it is broadcast only when a count proves it small
-    # (the planner cannot tell: without statistics it sizes a join as the product of inputs).
+    # lineitem side is shuffled only twice (orderkey, partkey), not three times. The join
+    # strategy is left to the planner and AQE.
     oc = o.join(c.join(n, c.c_nationkey == n.n_nationkey), o.o_custkey == c.c_custkey)
-    if o.count() <= BROADCAST_MAX_ROWS:
-        oc = F.broadcast(oc)
     j = l.join(oc, l.l_orderkey == oc.o_orderkey).join(p, l.l_partkey == p.p_partkey)
 
     key = F.col("l_orderkey") + F.col("l_linenumber")
@@ -68,8 +54,8 @@ def star_plays(spark: SparkSession, sf_dir: str) -> DataFrame:
         "master_metadata_track_name": meta("p_name"),
         "master_metadata_album_artist_name": meta("p_brand"),
         "master_metadata_album_album_name": meta("p_type"),
-        "spotify_track_uri": F.when(no_meta, F.lit(None)).otherwise(
-            F.concat(F.lit("spotify:track:"), F.col("p_partkey").cast("string"))
+        "track_uri": F.when(no_meta, F.lit(None)).otherwise(
+            F.concat(F.lit("music:track:"), F.col("p_partkey").cast("string"))
         ),
         "episode_name": F.when(F.col("p_size") % 10 == 0, F.col("p_name")),
         "audiobook_title": F.when(F.col("p_size") % 11 == 0, F.col("p_name")),

@@ -12,12 +12,14 @@ The checkpoint location must be in the shared folder (``spark.checkpoint.dir``)
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from encore.session import configure, shared_dir
-from encore.sources.exports import decode, typed
+from encore.sources.exports import base_name, decode, typed
 
 
 def export_stream(spark: SparkSession, export_dir: str, max_files_per_trigger: int | None = None) -> DataFrame:
@@ -27,8 +29,8 @@ def export_stream(spark: SparkSession, export_dir: str, max_files_per_trigger: i
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
     text = reader.text(export_dir, wholetext=True, pathGlobFilter="*.json", recursiveFileLookup=True)
-    named = text.select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("source_file"), "value")
-    return typed(decode(named, "files"))
+    named = text.select(base_name(F.input_file_name()).alias("source_file"), "value")
+    return typed(decode(named))
 
 
 def start_ingest(
@@ -41,7 +43,9 @@ def start_ingest(
 ) -> StreamingQuery:
     """Append newly arrived records to ``raw_table`` (Parquet). ``available_now`` processes
     everything present and stops; otherwise a ``processing_time`` trigger keeps it running."""
-    ckpt = checkpoint or f"{shared_dir(spark)}/encore/streams/ingest-checkpoint"
+    # one checkpoint per pair of folders: two streams must never resume each other's log
+    pair = hashlib.sha1(f"{export_dir.rstrip('/')}\n{raw_table.rstrip('/')}".encode()).hexdigest()[:16]
+    ckpt = checkpoint or f"{shared_dir(spark)}/encore/streams/ingest-{pair}"
     w = (
         export_stream(spark, export_dir)
         .writeStream.format("parquet")

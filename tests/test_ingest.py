@@ -4,7 +4,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from encore.sources.exports import json_files, read_exports
+from encore.sources.exports import file_report, json_files, read_exports
 
 
 def _write(d, name, text):
@@ -77,9 +77,31 @@ def test_recursive_discovery_extras_and_missing_dir(spark, tmp_path):
     assert json_files(spark, str(tmp_path)).count() == 1
 
 
-def test_lines_layout(spark, tmp_path):
-    _write(tmp_path, "k.json", '{"ts":"2024-01-02T00:00:00Z"}\nbad\n{"ts":"2024-01-03T00:00:00Z"}\n')
-    assert read_exports(spark, str(tmp_path), layout="lines").count() == 2
+def test_each_file_is_read_its_own_way_and_reported(spark, tmp_path):
+    day = '{"ts":"2024-01-0%dT00:00:00Z"}'
+    _write(tmp_path, "lines.json", f"\n  {day % 2}\nbad\n[{day % 3}]\n{day % 4}\n")
+    _write(tmp_path, "array.json", f"[{day % 1},{day % 2}]")
+    _write(tmp_path, "late.json", f"oops\n{day % 5}\n")
+    _write(tmp_path, "a b[1]{x}.json", f"{day % 6}")
+    _write(tmp_path, "sub dir/pretty.json", "{\n" + day[1:] % 7)
+    _write(tmp_path, "blank.json", " \n ")
+    got = [(r["source_file"], r["ts"][8:10]) for r in _rows(spark, tmp_path)]
+    assert got == [("a b[1]{x}.json", "06"), ("array.json", "01"), ("array.json", "02"), ("late.json", "05"),
+                   ("lines.json", "02"), ("lines.json", "04"), ("pretty.json", "07")]
+    report = {r["source_file"]: tuple(r)[1:] for r in file_report(spark, str(tmp_path)).collect()}
+    assert report == {"lines.json": ("lines", 2, 1), "array.json": ("file", 2, 0), "late.json": ("file", 1, 1),
+                      "a b[1]{x}.json": ("lines", 1, 0), "pretty.json": ("file", 1, 0), "blank.json": ("file", 0, 0)}
+
+
+def test_large_line_files_are_split(spark, tmp_path):
+    _write(tmp_path, "big.json", "".join('{"ts":"2024-01-01T00:00:00Z","ms_played":%d}\n' % i for i in range(20000)))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    try:
+        df = read_exports(spark, str(tmp_path))
+        assert df.rdd.getNumPartitions() > 4 and df.count() == 20000
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
 
 
 def test_end_to_end_prepare_from_files(spark, tmp_path):
@@ -98,13 +120,15 @@ def test_json_exports_equal_star_path(spark, tmp_path):
     """Spark-written JSON exports of the star mapping ingest to the same plays."""
     from encore.operators import trends as TR
     from encore.operators.prepare import prepare_plays
+    from encore.schema import EXPORT_KEYS
     from encore.sources import curated
     from encore.sources.star import star_plays
 
     from conftest import SF_SMALL
 
     out = str(tmp_path / "exports")
-    star_plays(spark, SF_SMALL).drop("source_file", "extra_json").repartition(4).write.json(out)
+    raw = star_plays(spark, SF_SMALL).drop("source_file", "extra_json").withColumnsRenamed(EXPORT_KEYS)
+    raw.repartition(4).write.json(out)
     from_json = prepare_plays(read_exports(spark, out))
     from_star = curated.plays(spark, SF_SMALL)
     assert from_json.count() == from_star.count()

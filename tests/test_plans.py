@@ -23,13 +23,36 @@ def test_no_cartesian_products(rows):
 
 
 def test_row_level_queries_have_no_single_partition(rows):
-    for q in ["sessionize", "listening_sessions", "event_sessions", "prepared_plays", "filter_date_range",
+    for q in ["listening_sessions", "prepared_plays", "filter_date_range",
               "filter_artists", "filter_content_types", "filter_combined", "repeated_tracks", "records_nullfill"]:
         assert rows[q]["Exchange SinglePartition"] == 0, q
 
 
+def test_sessions_gather_their_part_table_only(rows):
+    for q in ["sessionize", "event_sessions"]:
+        assert rows[q]["Exchange SinglePartition"] == 1, q
+
+
+def test_kpis_expand_groups_not_the_log(spark):
+    from encore.plans.registry import QUERIES
+
+    plan = QUERIES["kpis"](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+    log = plan[plan.index("Exchange hashpartitioning(master_metadata"):] if "Expand" in plan else plan
+    assert "Expand" not in log.split("FileScan")[0].split("Exchange hashpartitioning(master_metadata")[-1]
+
+
+def test_rankings_with_a_uri_sort_no_log_rows(spark):
+    from encore.plans.registry import QUERIES
+
+    for q in ["featured_track", "enrich_tracks"]:
+        plan = QUERIES[q](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+        for line in plan.split("\n"):
+            if "SortAggregate" in line:  # only over the plays of the k winners
+                assert "_k_" in line, line
+
+
 def test_rankings_are_top_k(rows):
-    for q in ["top_artists_hours", "top_tracks_hours", "favorite_albums", "featured_track", "album_spotlight",
+    for q in ["top_artists_hours", "top_tracks_hours", "favorite_albums", "album_spotlight",
               "ranking_artists", "ranking_tracks", "ranking_albums", "platform_share"]:
         assert rows[q]["TakeOrderedAndProject"] == 1, q
 
