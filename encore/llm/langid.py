@@ -1,8 +1,8 @@
 """Language identification: averaged hashed subword embeddings with a linear softmax, trained by
 stochastic gradient descent in numpy, with calibrated rejection.
 
-Training reads at most ``MAX_ROWS`` texts per language, picked by a hash of their id, and at most
-``MAX_CHARS`` of each, from the documents that may be learned from. A tenth of them is kept back to
+Training reads about ``MAX_ROWS`` texts of each of the ``MAX_LANGUAGES`` most frequent languages, picked
+by a hash of their id, and at most ``MAX_CHARS`` of each, from the documents that may be learned from. A tenth of them is kept back to
 calibrate: a temperature makes the largest softmax share a probability, and the rejection threshold
 is the lowest at which the accepted texts are right in ``PRECISION`` of all cases. Prediction reads
 whole texts.
@@ -20,13 +20,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from encore.llm.bpe import slices
 from encore.llm.common import table
-from encore.llm.subword import Bag, WordScores, subwords, words_of
+from encore.llm.subword import Bag, Corpus, WordScores
 
-MAX_ROWS = 1500  # texts per language that training reads at most
+MAX_ROWS = 1500  # texts per language that training reads, give or take a few per cent
 MAX_CHARS = 2000  # characters of a text that training reads at most
 MAX_LANGUAGES = 400
 EPOCHS = 8
@@ -53,16 +53,12 @@ def fit(texts: list[str], languages: list[str], seed: int = 11) -> Model:
     names = sorted(set(languages))
     if not names:
         raise ValueError("no language to learn from")
-    split = [words_of(t) for t in texts]
-    keep = [i for i, ws in enumerate(split) if ws]
-    vocabulary = sorted({w for i in keep for w in split[i]})
-    if not vocabulary:
+    corpus = Corpus(texts)
+    docs = corpus.docs
+    keep = [i for i, d in enumerate(docs) if len(d)]
+    if not keep:
         raise ValueError("no words to learn from")
-    number = {w: i for i, w in enumerate(vocabulary)}
-    docs = {i: np.array([number[w] for w in split[i]], dtype=np.int64) for i in keep}
     label = np.array([names.index(x) for x in languages])
-    ids, starts = subwords(vocabulary)
-    stops = np.append(starts[1:], len(ids))
     model = Bag(len(names), seed=seed)
     kept_back = set(keep[::10]) if len(keep) >= 100 else set()
     learn = np.array([i for i in keep if i not in kept_back])
@@ -75,7 +71,7 @@ def fit(texts: list[str], languages: list[str], seed: int = 11) -> Model:
             for i in rows:
                 d = docs[i]
                 first = int(model.rng.integers(max(1, len(d) - 20)))  # any twenty words of the text
-                bags.append(np.concatenate([ids[starts[w] : stops[w]] for w in d[first : first + 20].tolist()]))
+                bags.append(corpus.bag(d[first : first + 20]))
             model.step(bags, label[rows], rate)
     projected = model.projected().astype(np.float32)
     check = sorted(kept_back) or learn.tolist()
@@ -106,17 +102,14 @@ def train(
     max_rows: int = MAX_ROWS,
 ) -> Model:
     """A model from the documents outside the held-out fold."""
-    rows = docs.select(F.col(id_col).alias("__id"), F.col(lang_col).alias("y"))
-    rows = rows.where("__id is not null and y is not null").where(fold("__id") != HELD_OUT)
-    # per language the ids of the smallest hashes, first per slice of the hash: no language meets in one task
-    rows = rows.withColumn("h", F.xxhash64("__id")).withColumn("part", F.pmod("h", F.lit(64)))
-    near = Window.partitionBy("y", "part").orderBy("h", "__id")
-    rows = rows.withColumn("r", F.row_number().over(near)).where(F.col("r") <= max_rows)
-    best = Window.partitionBy("y").orderBy("h", "__id")
-    rows = rows.withColumn("r", F.row_number().over(best)).where(F.col("r") <= max_rows).select("__id", "y")
-    rows = rows.limit(max_rows * MAX_LANGUAGES)
-    text = docs.select(F.col(id_col).alias("__id"), F.substring(F.col(text_col), 1, MAX_CHARS).alias("t"))
-    sample = text.join(rows, "__id").where("t is not null").dropDuplicates(["__id"]).toPandas().sort_values("__id")
+    rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("t"), F.col(lang_col).alias("y"))
+    rows = rows.where("__id is not null and y is not null and t is not null").where(fold("__id") != HELD_OUT)
+    size = rows.groupBy("y").count().orderBy(F.desc("count"), "y").limit(MAX_LANGUAGES)
+    # every row decides by its id's hash, so that no language meets in one task
+    chance = F.pmod(F.xxhash64("__id"), F.lit(1 << 30)) / float(1 << 30)
+    picked = rows.join(F.broadcast(size), "y").where(chance < max_rows / F.col("count"))
+    picked = picked.select("__id", "y", F.substring("t", 1, MAX_CHARS).alias("t")).dropDuplicates(["__id"])
+    sample = picked.toPandas().sort_values("__id")
     return fit(sample["t"].tolist(), sample["y"].tolist())
 
 
