@@ -6,9 +6,9 @@ logistic regression with L2 strength C = 1: MLlib minimises the weighted *mean*
 lambda/2 |w|^2, so lambda = 1 / (C * sum of weights) = 1 / n_train with balanced weights
 (they sum to n_train); the intercept is not penalised in either formulation.
 
-The split is a deterministic stratified 75/25: every row gets a seeded 64-bit hash; inside each
-class the rows below the class's 25th hash percentile form the test set. No per-class sort,
-no collection of a class on one task.
+The split is a deterministic stratified 75/25: every row gets a seeded hash that any engine with MD5
+can repeat; inside each class the hash slots (65,536 of them) up to the one where a quarter of the
+class is reached form the test set. No per-class sort, no collection of a class on one task.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 # The model's feature lists.
@@ -49,29 +49,37 @@ def model_frame(plays: DataFrame) -> DataFrame:
     cols = [F.col(c).cast("double").alias(c) for c in FEATURES_NUMERIC]
     cols += [F.col(c).cast("string").alias(c) for c in FEATURES_CATEGORICAL]
     cols += [F.col(c).cast("double").alias(c) for c in FEATURES_BOOLEAN]
-    ident = [F.col("ts").cast("string"), F.col("ms_played"), F.col("master_metadata_track_name"),
-             F.col("platform"), F.col("reason_start"), F.col("reason_end"), F.col("source_file")]
+    ident = F.concat_ws("|", F.lit(str(SEED)), F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.col("ms_played").cast("long"),
+                        "master_metadata_track_name", "platform", "reason_start", "reason_end", "source_file")
     return s.select(
         *cols,
         F.col("is_skipped").cast("double").alias("label"),
-        F.xxhash64(F.lit(SEED), *ident).alias("_h"),
+        F.conv(F.substring(F.md5(ident), 1, 8), 16, 10).cast("long").alias("_h"),  # 32 bits
     )
 
 
-def stratified_split(df: DataFrame, label: str = "label", test_fraction: float = TEST_FRACTION):
-    """Per-class cut of the row hash at its ``test_fraction`` percentile.
+def _slot():
+    return F.shiftright("_h", 16)
+
+
+def class_cuts(df: DataFrame, label: str = "label", test_fraction: float = TEST_FRACTION) -> DataFrame:
+    """Per class: ``n`` rows, ``cut`` (the last hash slot of the test set) and ``n_test``."""
+    slots = df.groupBy(label, _slot().alias("slot")).agg(F.count(F.lit(1)).alias("c"))
+    up = Window.partitionBy(label).orderBy("slot")  # at most 65,536 slots a class
+    slots = slots.select(label, "slot", F.sum("c").over(up).alias("upto"), F.sum("c").over(Window.partitionBy(label)).alias("n"))
+    reached = slots.where(F.col("upto") >= F.col("n") * test_fraction)
+    first = reached.groupBy(label).agg(F.min("n").alias("n"), F.min("slot").alias("cut"), F.min("upto").alias("n_test"))
+    return first
 
-    One aggregation yields one cut per class (two numbers, fetched once), so the train and
-    test frames are plain filters that do not re-run the percentile.
-    """
-    cuts = {r[label]: r["_cut"] for r in
-            df.groupBy(label).agg(F.percentile_approx("_h", test_fraction, 10000).alias("_cut")).collect()}
+
+def stratified_split(df: DataFrame, label: str = "label", test_fraction: float = TEST_FRACTION):
+    """``(train, test)`` by each class's cut; the cuts (one number per class) are fetched once, so both
+    frames are plain filters."""
+    cuts = {r[label]: r["cut"] for r in class_cuts(df, label, test_fraction).collect()}
     cut = F.lit(None).cast("long")
     for k, v in cuts.items():
         cut = F.when(F.col(label) == F.lit(k), F.lit(v)).otherwise(cut)
-    test = df.where(F.col("_h") <= cut)
-    train = df.where(F.col("_h") > cut)
-    return train, test
+    return df.where(_slot() > cut), df.where(_slot() <= cut)
 
 
 def build_pipeline(reg_param: float) -> Pipeline:

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -85,6 +86,22 @@ def confidence_interval(values: DataFrame, col: str = "x", confidence: float = 0
     return t_interval(confidence, row["n"] - 1, row["mean"], row["std_err"] or 0.0)
 
 
+def daily_ci(plays: DataFrame, confidence: float = 0.95, by: Keys = None) -> DataFrame:
+    """``[by...], n, mean, lower, upper``: the t interval of mean daily hours (NULL bounds for fewer
+    than two days). The quantile is computed on the aggregated rows, one per key."""
+    m = ci_moments(daily_values(plays, by), by=by)
+
+    @F.pandas_udf("double")
+    def half_width(n: pd.Series, std_err: pd.Series) -> pd.Series:
+        return pd.Series([None if k < 2 else t_interval(confidence, k - 1, 0.0, e or 0.0)[1] for k, e in zip(n, std_err)],
+                         dtype="float64")
+
+    half = half_width("n", F.coalesce("std_err", F.lit(0.0)))
+    return m.where(F.col("n") > 0).withColumn("_h", half).select(
+        *_k(by), "n", "mean", (F.col("mean") - F.col("_h")).alias("lower"), (F.col("mean") + F.col("_h")).alias("upper")
+    )
+
+
 def zscores(values: DataFrame, col: str = "x", by: Keys = None) -> DataFrame:
     """Adds ``zscore`` = (x - mean) / population std; zero spread -> 0.0.
 
@@ -141,6 +158,17 @@ def weekend_moments(plays: DataFrame, by: Keys = None) -> DataFrame:
     )
 
 
+def weekend_p(plays: DataFrame, by: Keys = None) -> DataFrame:
+    """``weekend_moments`` with the two-sided ``p_value`` (NULL without a t statistic), computed on the
+    aggregated rows, one per key."""
+
+    @F.pandas_udf("double")
+    def tail(t: pd.Series, dof: pd.Series) -> pd.Series:
+        return pd.Series([None if pd.isna(x) else t_sf_two_sided(x, d) for x, d in zip(t, dof)], dtype="float64")
+
+    return weekend_moments(plays, by).withColumn("p_value", tail("t_stat", "dof"))
+
+
 def weekend_test(plays: DataFrame) -> dict:
     """The hypothesis result as a dict, with the two-sided p-value."""
     r = weekend_moments(plays).first()

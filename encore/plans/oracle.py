@@ -9,7 +9,7 @@ from __future__ import annotations
 _OFF = "((l.l_orderkey * 7919 + l.l_linenumber * 4801) % 86400)"
 
 RAW_SQL = f"""
-SELECT o.o_orderdate + to_seconds({_OFF}) AS ts,
+SELECT CASE WHEN (l.l_orderkey * 3 + l.l_linenumber) % 59 <> 0 THEN o.o_orderdate + to_seconds({_OFF}) END AS ts,
   c.c_mktsegment AS platform,
   CASE WHEN (l.l_orderkey + l.l_linenumber) % 97 = 0 THEN NULL
        WHEN (l.l_orderkey + l.l_linenumber) % 89 = 0 THEN -1.0E0
@@ -24,7 +24,7 @@ SELECT o.o_orderdate + to_seconds({_OFF}) AS ts,
   CASE WHEN p.p_size % 10 = 0 THEN p.p_name END AS episode_name,
   CAST(NULL AS VARCHAR) AS episode_show_name,
   CAST(NULL AS VARCHAR) AS episode_uri,
-  CASE WHEN p.p_size % 11 = 0 THEN p.p_name END AS audiobook_title,
+  CASE WHEN p.p_size % 11 = 0 OR p.p_size = 30 THEN p.p_name END AS audiobook_title,
   CAST(NULL AS VARCHAR) AS audiobook_uri,
   CAST(NULL AS VARCHAR) AS audiobook_chapter_uri,
   CAST(NULL AS VARCHAR) AS audiobook_chapter_title,

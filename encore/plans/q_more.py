@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from encore.operators import enrich as EN
 from encore.operators import rankings as R
+from encore.operators import statistics as S
 from encore.operators.prepare import dedup_plays
 from encore.operators.sessions import sessionize
 from encore.plans.oracle import with_plays, with_raw
@@ -17,6 +18,10 @@ from encore.sources import catalog as C
 from encore.sources.records import to_records
 from encore.sources.star import read_table, star_plays
 
+def _r6(df, *cols):
+    return df.withColumns({c: F.round(c, 6) for c in cols})
+
+
 # --- W3: sessions --------------------------------------------------------------------------
 
 _EVENT_SESSIONS = """
@@ -87,7 +92,7 @@ def q_dedup_plays(spark, sf):
 
 
 @register("records_nullfill", with_raw("""
-SELECT strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, coalesce(ms_played, 0) AS ms_played,
+SELECT coalesce(strftime(ts, '%Y-%m-%d %H:%M:%S'), '') AS ts, coalesce(ms_played, 0) AS ms_played,
   coalesce(master_metadata_track_name, '') AS master_metadata_track_name,
   coalesce(episode_name, '') AS episode_name, coalesce(audiobook_title, '') AS audiobook_title,
   coalesce(reason_end, '') AS reason_end
@@ -254,6 +259,94 @@ def q_skip_report(spark, sf):
     return classification_report(r.scored)
 
 
+_SKIP_ROWS = """SELECT is_skipped::INTEGER AS label, play_minutes, listening_hour, platform, reason_start, reason_end,
+  CAST('0x' || substr(md5(concat_ws('|', '42', strftime(ts, '%Y-%m-%d %H:%M:%S'), CAST(ms_played AS BIGINT),
+    master_metadata_track_name, platform, reason_start, reason_end, source_file)), 1, 4) AS BIGINT) AS slot
+FROM plays WHERE is_song"""
+_SKIP_CUTS = """s AS (SELECT label, slot, count(*) AS c FROM d GROUP BY ALL),
+u AS (SELECT label, slot, sum(c) OVER (PARTITION BY label ORDER BY slot) AS upto, sum(c) OVER (PARTITION BY label) AS n FROM s),
+k AS (SELECT label, min(n) AS n, min(slot) AS cut, min(upto) AS n_test FROM u WHERE upto >= n * 0.25 GROUP BY label)"""
+
+
+@register("skip_split", with_plays(f"""
+WITH d AS ({_SKIP_ROWS}), {_SKIP_CUTS}
+SELECT CAST(label AS DOUBLE) AS label, CAST(n AS BIGINT) AS n, CAST(cut AS BIGINT) AS cut, CAST(n_test AS BIGINT) AS n_test FROM k
+"""))
+def q_skip_split(spark, sf):
+    from encore.operators.skip_model import class_cuts, model_frame
+
+    return class_cuts(model_frame(plays(spark, sf))).select(
+        "label", F.col("n").cast("long").alias("n"), F.col("cut").cast("long").alias("cut"), F.col("n_test").cast("long").alias("n_test"))
+
+
+@register("skip_features", with_plays(f"""
+WITH d AS ({_SKIP_ROWS}), {_SKIP_CUTS},
+t AS (SELECT d.* FROM d JOIN k ON d.label = k.label AND d.slot > k.cut)
+SELECT 'play_minutes' AS feature, round(avg(play_minutes), 6) AS mean, round(stddev_samp(play_minutes), 6) AS deviation,
+  CAST(0 AS BIGINT) AS categories FROM t
+UNION ALL SELECT 'listening_hour', round(avg(listening_hour), 6), round(stddev_samp(listening_hour), 6), 0 FROM t
+UNION ALL SELECT 'platform', 0.0, 0.0, count(DISTINCT platform) FROM t
+UNION ALL SELECT 'reason_start', 0.0, 0.0, count(DISTINCT reason_start) FROM t
+UNION ALL SELECT 'reason_end', 0.0, 0.0, count(DISTINCT reason_end) FROM t
+"""))
+def q_skip_features(spark, sf):
+    """What the fitted pipeline's scaler and indexer hold."""
+    from encore.operators.skip_model import FEATURES_CATEGORICAL, FEATURES_NUMERIC
+
+    r = _skip_result(spark, sf)
+    schema = "feature string, mean double, deviation double, categories long"
+    if r.status != "ok":
+        return spark.createDataFrame([], schema)
+    scaler, indexer = r.model.stages[2], r.model.stages[3]
+    rows = [(f, round(float(m), 6), round(float(d), 6), 0) for f, m, d in zip(FEATURES_NUMERIC, scaler.mean, scaler.std)]
+    rows += [(f, 0.0, 0.0, len(x)) for f, x in zip(FEATURES_CATEGORICAL, indexer.labelsArray)]
+    return spark.createDataFrame(rows, schema)
+
+
+# The metric operators over a score that SQL can repeat.
+_FIXED = """SELECT is_skipped::INTEGER AS label, CASE WHEN play_minutes < 3 THEN 1 ELSE 0 END AS prediction,
+  1 / (1 + play_minutes) AS p FROM plays WHERE is_song"""
+
+
+def _fixed_score(spark, sf):
+    s = plays(spark, sf).where("is_song")
+    return s.select(F.col("is_skipped").cast("double").alias("label"),
+                    F.when(F.col("play_minutes") < 3, 1.0).otherwise(0.0).alias("prediction"),
+                    (1 / (1 + F.col("play_minutes"))).alias("probability"))
+
+
+@register("score_metrics", with_plays(f"""
+WITH d AS ({_FIXED}), r AS (SELECT label, p, prediction, rank() OVER (ORDER BY p) AS lo, count(*) OVER (PARTITION BY p) AS same FROM d)
+SELECT CAST(count(*) AS BIGINT) AS n_test, round(avg(CASE WHEN label = prediction THEN 1.0 ELSE 0.0 END), 6) AS accuracy,
+  round((sum(CASE WHEN label = 1 THEN lo + (same - 1) / 2.0 END) - sum(label) * (sum(label) + 1) / 2.0)
+        / (sum(label) * CAST(sum(1 - label) AS DOUBLE)), 6) AS roc_auc FROM r
+"""))
+def q_score_metrics(spark, sf):
+    from encore.operators.skip_model import metrics
+
+    return _r6(metrics(_fixed_score(spark, sf)), "accuracy", "roc_auc")
+
+
+@register("score_report", with_plays(f"""
+WITH d AS ({_FIXED}),
+c AS (SELECT k, CAST(count(*) FILTER (WHERE label = k AND prediction = k) AS DOUBLE) AS hit,
+  CAST(count(*) FILTER (WHERE prediction = k) AS DOUBLE) AS named, CAST(count(*) FILTER (WHERE label = k) AS DOUBLE) AS support
+  FROM d, (VALUES (0), (1)) v(k) GROUP BY k),
+m AS (SELECT k, coalesce(hit / nullif(named, 0), 0) AS pr, coalesce(hit / nullif(support, 0), 0) AS re, support, hit FROM c),
+f AS (SELECT *, coalesce(2 * pr * re / nullif(pr + re, 0), 0) AS f1 FROM m),
+t AS (SELECT sum(support) AS n, sum(hit) / sum(support) AS acc FROM f)
+SELECT CAST(k AS VARCHAR) AS label, round(pr, 6) AS precision, round(re, 6) AS recall, round(f1, 6) AS f1_score, support FROM f
+UNION ALL SELECT 'accuracy', round(acc, 6), round(acc, 6), round(acc, 6), n FROM t
+UNION ALL SELECT 'macro avg', round(avg(pr), 6), round(avg(re), 6), round(avg(f1), 6), sum(support) FROM f
+UNION ALL SELECT 'weighted avg', round(sum(pr * support) / sum(support), 6), round(sum(re * support) / sum(support), 6),
+  round(sum(f1 * support) / sum(support), 6), sum(support) FROM f
+"""))
+def q_score_report(spark, sf):
+    from encore.operators.skip_model import classification_report
+
+    return _r6(classification_report(_fixed_score(spark, sf)), "precision", "recall", "f1_score")
+
+
 # --- S1-S4: the JSON export ingest, on exports Spark derives from the given tables -----------
 
 
@@ -362,3 +455,39 @@ def q_ingest_shapes(spark, sf):
         "source_file", "ts", "ms_played", F.col(TRACK).alias("track"), "platform",
         F.col("conn_country").alias("country"), "extra_json",
     )
+
+
+# --- A21, A22: interval bounds and p-value as columns ------------------------------------------
+
+# The oracle has no Student distribution. The quantile is its expansion in 1/dof around the normal
+# one, which for hundreds of days is exact to far more digits than are compared; the tail is an
+# integral of the density, after t = sqrt(dof) * tan(angle), by Simpson's rule.
+_Z = "1.959963984540054"  # fixed value: 97.5 % quantile of the normal distribution
+_T975 = f"""({_Z} + (pow({_Z}, 3) + {_Z}) / (4 * v) + (5 * pow({_Z}, 5) + 16 * pow({_Z}, 3) + 3 * {_Z}) / (96 * v * v)
+  + (3 * pow({_Z}, 7) + 19 * pow({_Z}, 5) + 17 * pow({_Z}, 3) - 15 * {_Z}) / (384 * v * v * v))"""
+_SIMPSON = """(SELECT sum(CASE WHEN i = 0 OR i = 20000 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END
+    * pow(cos({a} + (pi() / 2 - {a}) * i / 20000.0), v - 1)) * (pi() / 2 - {a}) FROM generate_series(0, 20000) g(i))"""
+
+
+@register("daily_ci", with_plays(f"""
+WITH d AS (SELECT date, coalesce(sum(ms_played), 0.0) / 3600000.0 AS x FROM plays GROUP BY date),
+m AS (SELECT CAST(count(*) AS BIGINT) AS n, avg(x) AS mean, stddev_samp(x) / sqrt(count(*)) AS se, count(*) - 1.0 AS v FROM d)
+SELECT n, round(mean, 6) AS mean, round(mean - {_T975} * se, 6) AS lower, round(mean + {_T975} * se, 6) AS upper FROM m
+"""))
+def q_daily_ci(spark, sf):
+    return _r6(S.daily_ci(plays(spark, sf)), "mean", "lower", "upper")
+
+
+@register("weekend_p", with_plays(f"""
+WITH d AS (SELECT date, coalesce(sum(ms_played), 0.0) / 60000.0 AS m FROM plays GROUP BY date),
+g AS (SELECT count(*) FILTER (WHERE isodow(date) < 6) AS n1, count(*) FILTER (WHERE isodow(date) >= 6) AS n2,
+  avg(m) FILTER (WHERE isodow(date) < 6) AS m1, avg(m) FILTER (WHERE isodow(date) >= 6) AS m2,
+  var_samp(m) FILTER (WHERE isodow(date) < 6) AS v1, var_samp(m) FILTER (WHERE isodow(date) >= 6) AS v2 FROM d),
+t AS (SELECT (m1 - m2) / sqrt(v1 / n1 + v2 / n2) AS t,
+  pow(v1 / n1 + v2 / n2, 2) / (pow(v1 / n1, 2) / (n1 - 1) + pow(v2 / n2, 2) / (n2 - 1)) AS v FROM g)
+SELECT round(t, 6) AS t_stat, round(v, 6) AS dof,
+  round({_SIMPSON.format(a="atan(abs(t) / sqrt(v))")} / {_SIMPSON.format(a="0.0")}, 6) AS p_value FROM t
+"""))
+def q_weekend_p(spark, sf):
+    return _r6(S.weekend_p(plays(spark, sf)).select("t_stat", "dof", "p_value"), "t_stat", "dof", "p_value")
+

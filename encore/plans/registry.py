@@ -33,4 +33,4 @@ def plays(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # Importing the modules registers their queries.
-from encore.plans import q_core, q_more  # noqa: E402,F401
+from encore.plans import q_core, q_more, q_reports  # noqa: E402,F401,I001

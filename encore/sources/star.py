@@ -45,7 +45,9 @@ def star_plays(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.when(no_meta, F.lit(None)).otherwise(F.col(col))
 
     exprs: dict[str, Column] = {
-        "ts": F.timestamp_add("SECOND", offset.cast("int"), F.col("o_orderdate")),
+        # some plays have no time, and some are podcast and audiobook at once (see FIXTURES.md)
+        "ts": F.when((F.col("l_orderkey") * 3 + F.col("l_linenumber")) % 59 != 0,
+                     F.timestamp_add("SECOND", offset.cast("int"), F.col("o_orderdate"))),
         "platform": F.col("c_mktsegment"),
         "ms_played": F.when(key % 97 == 0, F.lit(None))
         .when(key % 89 == 0, F.lit(-1.0))
@@ -58,7 +60,7 @@ def star_plays(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.concat(F.lit("music:track:"), F.col("p_partkey").cast("string"))
         ),
         "episode_name": F.when(F.col("p_size") % 10 == 0, F.col("p_name")),
-        "audiobook_title": F.when(F.col("p_size") % 11 == 0, F.col("p_name")),
+        "audiobook_title": F.when((F.col("p_size") % 11 == 0) | (F.col("p_size") == 30), F.col("p_name")),
         "reason_start": F.col("o_orderpriority"),
         "reason_end": F.when(F.col("l_suppkey") % 13 == 0, F.lit(None)).otherwise(
             F.concat(F.lit("end_"), (F.col("l_suppkey") % 5).cast("string"))

@@ -58,3 +58,31 @@ def test_stratified_split_fractions(spark):
         assert abs(n_test / n_all - 0.25) < 0.02
     assert train.count() + test.count() == d.count()
     assert train.join(test, "_h", "left_semi").count() == 0  # disjoint
+
+
+def test_coefficients_equal_a_newton_solve(spark):
+    """The fit against numpy: weighted mean log-loss plus lambda / 2 |w|^2, intercept free."""
+    import numpy as np
+    from pyspark.ml.functions import vector_to_array
+    from pyspark.sql import functions as F
+
+    from encore.operators.skip_model import model_frame, stratified_split, train_skip_model
+
+    p = curated.plays(spark, SF_SMALL)
+    r = train_skip_model(p)
+    train, _ = stratified_split(model_frame(p))
+    rows = r.model.transform(train.withColumn("_w", F.lit(1.0))).select(vector_to_array("features").alias("x"), "label").collect()
+    x = np.array([row["x"] for row in rows])
+    y = np.array([row["label"] for row in rows])
+    weight = np.where(y == 1, len(y) / (2 * y.sum()), len(y) / (2 * (1 - y).sum()))
+    x1 = np.hstack([x, np.ones((len(x), 1))])
+    ridge = np.full(x1.shape[1], 1.0)
+    ridge[-1] = 0.0
+    w = np.zeros(x1.shape[1])
+    for _ in range(50):
+        q = 1 / (1 + np.exp(-x1 @ w))
+        grad = x1.T @ (weight * (q - y)) + ridge * w
+        hess = (x1 * (weight * q * (1 - q))[:, None]).T @ x1 + np.diag(ridge)
+        w -= np.linalg.lstsq(hess, grad, rcond=None)[0]
+    got = np.append(r.model.stages[-1].coefficients.toArray(), r.model.stages[-1].intercept)
+    assert np.abs(got - w).max() < 1e-4
