@@ -70,10 +70,6 @@ def week_segment(weekday: str | Column = "weekday_num") -> Column:
     return F.when(col(weekday) >= 5, F.lit(weekend)).otherwise(F.lit(weekday_))
 
 
-def is_weekend(weekday: str | Column = "weekday_num") -> Column:
-    return col(weekday) >= 5
-
-
 def week_end_sunday(d: str | Column = "date") -> Column:
     """Label of the week holding ``d``: the Sunday that ends it."""
     return F.date_add(col(d), (F.lit(6) - F.weekday(col(d))).cast("int"))

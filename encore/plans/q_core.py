@@ -28,11 +28,6 @@ D = "strftime({c}, '%Y-%m-%d')"
 TS = "strftime({c}, '%Y-%m-%d %H:%M:%S')"
 
 
-def iso_date(c: str | Column, name: str | None = None) -> Column:
-    c = F.col(c) if isinstance(c, str) else c
-    return F.date_format(c, "yyyy-MM-dd").alias(name or "date")
-
-
 def iso_ts(c: str, name: str | None = None) -> Column:
     return F.date_format(F.col(c), "yyyy-MM-dd HH:mm:ss").alias(name or c)
 

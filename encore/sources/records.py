@@ -25,7 +25,3 @@ def to_records(df: DataFrame, columns: list[str]) -> DataFrame:
 def to_json_lines(df: DataFrame, columns: list[str]) -> DataFrame:
     """One JSON object per row (``value`` column), ready for ``write.text``."""
     return to_records(df, columns).select(F.to_json(F.struct(*columns)).alias("value"))
-
-
-def write_json_lines(df: DataFrame, columns: list[str], path: str, mode: str = "overwrite") -> None:
-    to_json_lines(df, columns).write.mode(mode).text(path)
