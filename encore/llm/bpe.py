@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from encore.llm.common import table
+from encore.llm.common import map_texts, table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 # What a worker remembers at most; only its speed depends on these.
@@ -229,7 +229,7 @@ def encode(
 
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"doc_id {kind}, ids array<int>" + ", decoded binary" * decoded
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return map_texts(docs.select(id_col, text_col), run, schema)
 
 
 def decode(rows: DataFrame, path: str | None = None, pattern: str = public_tokenizers.PATTERN) -> DataFrame:

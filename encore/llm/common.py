@@ -3,14 +3,32 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+BATCH_ROWS = 1000  # texts in an Arrow batch; the default of 10,000 rows takes much memory on both sides
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lets the session send Python at most ``BATCH_ROWS`` rows at a time."""
+    if not 0 < int(spark.conf.get(_BATCH)) <= BATCH_ROWS:
+        spark.conf.set(_BATCH, BATCH_ROWS)
+
+
+def map_texts(rows: DataFrame, function: Callable, schema: str | StructType) -> DataFrame:
+    """``rows.mapInArrow`` in small batches."""
+    small_batches(rows.sparkSession)
+    return rows.mapInArrow(function, schema)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share, ``spark.checkpoint.dir``. Only a ``local`` master may go
     without the setting; a temporary folder then stands in for it."""
@@ -37,8 +55,8 @@ def components(links: DataFrame) -> DataFrame:
     smallest node reached; only nodes with a link appear.
 
     Alternates large-star and small-star steps until the edge set rests, so the rounds grow with
-    the logarithm of the longest chain. Minima are taken with partial aggregation and joined back,
-    so a node with very many links is never gathered in one task.
+    the logarithm of the longest chain. Minima are taken with partial aggregation and joined back
+    as a stored table, so a node with very many links is never gathered in one task.
     """
     edges = cut(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
 
@@ -49,7 +67,9 @@ def components(links: DataFrame) -> DataFrame:
     while True:
         # large star: every neighbour above a node is tied to the node's smallest neighbour
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # stored, so that the join reads plain shuffles and the partition of a node of very many links
+        # can be split
+        low = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.where("u <> v").distinct()
         # small star: every neighbour below a node, and the node, is tied to the smallest of them

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from encore.llm.bpe import slices
-from encore.llm.common import table
+from encore.llm.common import map_texts, table
 from encore.llm.subword import Bag, Corpus, WordScores
 
 MAX_ROWS = 1500  # texts per language that training reads, give or take a few per cent
@@ -137,7 +137,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"doc_id {kind}, lang_pred string, score double, accepted boolean"
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return map_texts(docs.select(id_col, text_col), run, schema)
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ import numpy as np
 
 BUCKETS = 1 << 17
 GRAMS = (3, 4, 5)
-CACHED_WORDS = 600_000  # words whose logits a worker remembers; only speed depends on it
+CACHED_WORDS = 250_000  # words whose logits a worker remembers; only speed depends on it
 LETTERS = re.compile(r"[^\W\d_]+")
 
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)

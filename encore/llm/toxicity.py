@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from encore.llm.bpe import slices
-from encore.llm.common import table
+from encore.llm.common import map_texts, small_batches, table
 from encore.llm.subword import Bag, Corpus, WordScores, means
 
 MAX_ROWS = 2000  # labelled rows per class that training reads at most
@@ -158,7 +158,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.float64())], ["doc_id", "score"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {kind}, score double")
+    return map_texts(docs.select(id_col, text_col), run, f"doc_id {kind}, score double")
 
 
 def clean(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
@@ -171,6 +171,7 @@ def clean(docs: DataFrame, model: Model, text_col: str = "text", threshold: floa
         for texts in parts:
             yield pd.Series(chances(shared.value, scores, texts.tolist()), dtype=float)
 
+    small_batches(docs.sparkSession)
     return docs.where(scored(F.coalesce(F.col(text_col), F.lit(""))) < threshold)
 
 
