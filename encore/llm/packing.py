@@ -17,7 +17,6 @@ from __future__ import annotations
 import os
 import re
 from array import array
-from collections import deque
 from collections.abc import Iterator
 from functools import cache
 
@@ -29,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tokenizers import Tokenizer
 
 from encore.llm.bpe import SPACE, slices
-from encore.llm.common import table
+from encore.llm.common import map_texts, table
 
 VOCABULARY = "word_bpe_49k.json"
 LENGTH = 4096
@@ -38,7 +37,6 @@ SENTENCE_CUT = 24  # a cut between two sentences of a document weighs as much as
 WORD_CUT = 256  # a cut within a sentence
 WINDOW_COST = 4  # a further sequence
 BLOCK_WINDOWS = 128  # a block closes with the document that reaches so many windows
-CACHED_WORDS = 1_500_000  # words whose ids a worker remembers; only speed depends on it
 
 # The tokenizer splits at white space and drops it, so words between it are encoded independently
 # and can be remembered. 0x1c-0x1f are no white space to the tokenizer, though str.split() thinks so.
@@ -47,27 +45,69 @@ WORDS = re.compile(f"[^{SPACE}]+")
 PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"  # ASCII without the apostrophe, which may begin a token
 
 
-class Stems(dict):
-    """Ids of words without closing punctuation, as bytes; the tokenizer is asked once."""
+class Remembered(dict):
+    """A bounded memory of what ``make`` gives for a key. Two generations: at the limit the entries
+    become the old ones and the former old ones go, unless they were asked for again since."""
 
-    def __init__(self, tokenizer: Tokenizer):
-        self.tokenizer = tokenizer
+    limit = 0
+
+    def __init__(self):
+        self.old: dict[str, bytes] = {}
 
-    def __missing__(self, stem: str) -> bytes:
-        ids = self[stem] = array("i", self.tokenizer.encode(stem, add_special_tokens=False).ids).tobytes()
-        return ids
+    def __missing__(self, key: str) -> bytes:
+        found = self.old.get(key)
+        if found is None:
+            found = self.make(key)
+        self[key] = found
+        return found
 
+    def trim(self) -> None:
+        if len(self) > self.limit:
+            self.old = dict(self)
+            self.clear()
 
-class Words(dict):
+
+class Stems(Remembered):
+    """Ids of words without closing punctuation, as bytes; the tokenizer is asked once.
+
+    A word of Latin letters passes the normaliser as its lower case and the splitter in one piece,
+    so the vocabulary's merges are applied to it directly (in the byte alphabet they are written in).
+    """
+
+    limit = 450_000
+
+    def __init__(self, tokenizer: Tokenizer):
+        super().__init__()
+        self.tokenizer = tokenizer
+        self.merges = tokenizer.model
+        # the byte alphabet: printable Latin-1 stands for itself, other bytes for 256, 257, ...
+        plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+        other = [b for b in range(256) if b not in plain]
+        self.letters = {**{b: chr(b) for b in plain}, **{b: chr(256 + i) for i, b in enumerate(other)}}
+
+    def make(self, stem: str) -> bytes:
+        if stem.isalpha() and (stem.isascii() or (max(stem) < "\u0180" and "\u0130" not in stem)):
+            word = stem.lower()
+            if not word.isascii():
+                word = "".join(map(self.letters.__getitem__, word.encode()))
+            ids = [t.id for t in self.merges.tokenize(word)]
+        else:
+            ids = self.tokenizer.encode(stem, add_special_tokens=False).ids
+        return array("i", ids).tobytes()
+
+
+class Words(Remembered):
     """Ids of whole words, as bytes."""
 
+    limit = 700_000
+
     def __init__(self, stems: Stems):
+        super().__init__()
         self.stems = stems
 
-    def __missing__(self, word: str) -> bytes:
+    def make(self, word: str) -> bytes:
         stem, tail = parts(word)
-        ids = self[word] = self.stems[stem] + self.stems[tail] if tail else self.stems[stem]
-        return ids
+        return self.stems[stem] + self.stems[tail] if tail else self.stems[stem]
 
 
 class WordTokenizer:
@@ -88,9 +128,8 @@ class WordTokenizer:
         """The ids of a text (int32)."""
         text = text or ""
         words = WORDS.findall(text) if ODD_SPACE.search(text) else text.split()
-        for known in (self.words, self.stems):
-            if len(known) > CACHED_WORDS:
-                known.clear()
+        self.words.trim()
+        self.stems.trim()
         return np.frombuffer(b"".join(map(self.words.__getitem__, words)), np.int32)
 
 
@@ -130,28 +169,36 @@ def cuts(ends: np.ndarray, sentences: np.ndarray, length: int = LENGTH) -> list[
     price = np.full(len(at), WORD_CUT + WINDOW_COST)
     price[np.isin(at, sentences)] = SENTENCE_CUT + WINDOW_COST
     price[np.isin(at, ends)] = WINDOW_COST
-    exact: dict[int, list[int]] = {}  # cut -> earlier cuts that a power of two away
+    exact: list[list[int] | None] = [None] * len(at)  # earlier cuts that are a power of two away
     for p in powers:
         i = np.minimum(np.searchsorted(at, at - p), len(at) - 1)
-        for j in np.flatnonzero(at[i] == at - p).tolist():
-            exact.setdefault(j, []).append(int(i[j]))
+        hit = np.flatnonzero(at[i] == at - p)
+        for j, k in zip(hit.tolist(), i[hit].tolist()):
+            if exact[j] is None:
+                exact[j] = [k]
+            else:
+                exact[j].append(k)
     place, price = at.tolist(), price.tolist()
     cost, back = [0] * len(place), [0] * len(place)
-    queue: deque[tuple[int, int]] = deque([(0, 0)])  # (cost + position, cut), rising
+    keys, cuts_, head = [0], [0], 0  # the queue from ``head`` on: cost + position, rising, and its cut
     for j in range(1, len(place)):
         here = place[j]
-        while place[queue[0][1]] < here - length:
-            queue.popleft()
-        low, best = queue[0]
-        low += length - here
-        for i in exact.get(j, ()):
-            if cost[i] < low:
-                low, best = cost[i], i
-        cost[j], back[j] = low + price[j], best
-        key = cost[j] + here
-        while queue and queue[-1][0] >= key:
-            queue.pop()
-        queue.append((key, j))
+        while place[cuts_[head]] < here - length:
+            head += 1
+        low, best = keys[head] + length - here, cuts_[head]
+        near = exact[j]
+        if near:
+            for i in near:
+                if cost[i] < low:
+                    low, best = cost[i], i
+        low += price[j]
+        cost[j], back[j] = low, best
+        key = low + here
+        while len(keys) > head and keys[-1] >= key:
+            keys.pop()
+            cuts_.pop()
+        keys.append(key)
+        cuts_.append(j)
     out, j = [total], len(place) - 1
     while j:
         j = back[j]
@@ -230,7 +277,7 @@ def pack(
             yield flush()
 
     schema = f"doc_id {kind.simpleString()}, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return map_texts(docs.select(id_col, text_col), run, schema)
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

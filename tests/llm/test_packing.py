@@ -14,7 +14,7 @@ PATH = public_tokenizers.path(packing.VOCABULARY)
 LIBRARY = Tokenizer.from_file(PATH)
 LIBRARY.encode_special_tokens = True
 OWN = packing.WordTokenizer(PATH)
-PARTS = ["a", "The", "É", "é", "́", ".", "!!", "'s", "'", "1", "²", "漢", "\x01", " ", "  ", "\n", "\x85", "\x1c", "<|endoftext|>", "_", "İ", "ß", "ﬁ", "-", "word,"]
+PARTS = ["a", "The", "É", "é", "́", ".", "!!", "'s", "'", "1", "²", "漢", "\x01", " ", "  ", "\n", "\x85", "\x1c", "<|endoftext|>", "_", "İ", "ß", "ﬁ", "-", "word,", "Ł", "ŉ", "ª", "à", "Œ", "µ", "ÿŸ", "İx"]
 
 
 @settings(max_examples=300, deadline=None)
