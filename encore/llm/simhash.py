@@ -31,7 +31,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from encore.llm.common import components, cut, table
+from encore.llm.common import components, cut, map_texts, table
 
 SHINGLE = 4
 MAX_BITS = 4
@@ -92,7 +92,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(id_col, text_col, F.monotonically_increasing_id().alias("rid"))
-    return rows.mapInArrow(run, f"doc_id {kind}, rid long, fp long")
+    return map_texts(rows, run, f"doc_id {kind}, rid long, fp long")
 
 
 # --- Golay keys -------------------------------------------------------------------------------
@@ -178,7 +178,8 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
 
     keys = keyed(fps)
     centre = keys.groupBy("key").agg(F.max(F.struct("n", "fp")).alias("c"), F.count("*").alias("members"))
-    centre = centre.where("members > 1").select("key", F.col("c.fp").alias("centre"), "members")
+    # stored, so that the join reads two plain shuffles, of which a hot key's partition can be split
+    centre = cut(centre.where("members > 1").select("key", F.col("c.fp").alias("centre"), "members"))
     buckets = cut(keys.join(centre, "key").select("key", "fp", "centre", "members"))
     stars = buckets.where(close("fp", "centre") & (F.col("fp") != F.col("centre")))
     stars = cut(stars.select(F.col("fp").alias("a"), F.col("centre").alias("b")).distinct())
