@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from encore.llm.bpe import slices
-from encore.llm.common import cut, table
+from encore.llm.common import cut, map_texts, small_batches, table
 
 KINDS = ["email", "ip", "card", "phone"]
 ROUNDS = 3
@@ -183,7 +183,7 @@ def scanned(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 )
 
     schema = f"doc_id {kind}, key binary, base array<{SPAN}>, found array<{FOUND}>"
-    return rows.mapInArrow(run, schema)
+    return map_texts(rows, run, schema)
 
 
 def trusted(found: DataFrame, rounds: int = ROUNDS, threshold: float = THRESHOLD) -> DataFrame:
@@ -216,7 +216,8 @@ def added(rows: DataFrame) -> DataFrame:
     found = rows.select("key", F.explode("found").alias("f")).select("key", "f.*")
     more = found.where("not seed").join(trusted(found), ["kind", "instance"])
     more = more.select("key", F.struct("kind", "start", "end").alias("span")).distinct()
-    return more.groupBy("key").agg(F.collect_list("span").alias("more"))
+    # stored, so that the joins read plain shuffles, of which a hot text's partition can be split
+    return cut(more.groupBy("key").agg(F.collect_list("span").alias("more")))
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -260,6 +261,7 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
         return pd.Series([one(t, m) for t, m in zip(text, more)], dtype=object)
 
+    small_batches(docs.sparkSession)
     more = added(cut(scanned(docs, id_col, text_col))).select(F.col("key").alias("__key"), F.col("more").alias("__more"))
     rows = docs.join(more, key_of(text_col) == F.col("__key"), "left")
     return rows.withColumn(text_col, masked(F.col(text_col), F.col("__more"))).select(docs.columns)
