@@ -55,13 +55,15 @@ class Vocabulary:
         self.halves: dict[int, tuple[int, int]] = {}  # the last merge that makes a token
         self.pairs: dict[int, bool] = {}  # apart() by left << 32 | right
         self.longest = 1
-        self.endings = ahocorasick.Automaton()  # all tokens that end at a byte, longest first
+        self.single = [ranks.get(bytes([b]), -1) for b in range(256)]
+        self.endings = ahocorasick.Automaton()  # the tokens of several bytes that end at a byte, longest first
         for token, rank in sorted(ranks.items(), key=lambda x: x[1]):
-            if len(token) > 1:
-                parts = self._merged(token, rank)
-                if len(parts) != 2:
-                    continue  # merging never reaches it
-                self.halves[rank] = (ranks[parts[0]], ranks[parts[1]])
+            if len(token) < 2:
+                continue
+            parts = self._merged(token, rank)
+            if len(parts) != 2:
+                continue  # merging never reaches it
+            self.halves[rank] = (ranks[parts[0]], ranks[parts[1]])
             self.longest = max(self.longest, len(token))
             self.endings.add_word(token.decode("latin-1"), (rank, len(token)))
         self.endings.make_automaton()
@@ -95,24 +97,31 @@ class Vocabulary:
                 return True
 
     def fill(self, data: bytes, start: int, last: list[int]) -> None:
-        """Sets the last token of the prefixes longer than ``start`` (``last`` holds the others)."""
-        pairs, known = self.pairs, self.pairs.get
+        """Sets the last token of the prefixes longer than ``start`` (``last`` holds the others). Where
+        no token of several bytes fits, it is the byte itself."""
+        pairs, known, single = self.pairs, self.pairs.get, self.single
         last.extend([-1] * (len(data) + 1 - len(last)))
         back = max(0, start - self.longest)
-        for at, (t, n) in self.endings.iter(data[back:].decode("latin-1")):
+        for at, (t, n) in self.endings.iter(data[back:].decode("latin-1") if back else data.decode("latin-1")):
             end = back + at + 1
             if end <= start or last[end] >= 0:
                 continue
             if n < end:
-                key = last[end - n] << 32 | t
+                before = last[end - n]
+                if before < 0:
+                    before = last[end - n] = single[data[end - n - 1]]
+                key = before << 32 | t
                 fits = known(key)
                 if fits is None:
                     if len(pairs) >= CACHED_PAIRS:
                         pairs.clear()
-                    fits = pairs[key] = self.apart(last[end - n], t)
+                    fits = pairs[key] = self.apart(before, t)
                 if not fits:
                     continue
             last[end] = t
+        for end in range(start + 1, len(last)):
+            if last[end] < 0:
+                last[end] = single[data[end - 1]]
 
 
 class Prefixes:
