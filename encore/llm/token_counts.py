@@ -3,8 +3,8 @@
 Changes to documents become signed rows: an insert adds a document and its tokens, a delete takes
 them away, a revision takes the old count away and adds the new one (under a new tokenizer version,
 language or source, if those changed). Rows are summed by source, language and tokenizer version and
-committed per batch: a batch owns one folder of the rollup, written in overwrite mode, so committing
-it again, after a retry or twice by mistake, leaves the totals as they are. Totals are sums over the
+committed per batch: a batch owns one folder of the rollup, written aside and renamed, so committing it
+again, after a retry or twice by mistake, leaves the totals as they are. Totals are sums over the
 committed batches; nothing already counted is read again.
 
 Defined cases: a null text has no tokens but its document counts; a null source, language or version
@@ -27,7 +27,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
 from encore.llm.bpe import read_ranks, slices
-from encore.llm.common import cut, shared_folder, table
+from encore.llm.common import cut, map_texts, shared_folder, table
+from encore.sources import fs
 
 KEYS = ["source", "lang", "tokenizer"]
 ROLLUP = T.StructType(
@@ -63,7 +64,7 @@ def counted(docs: DataFrame, versions: dict[str, Column], text_col: str = "text"
 
     kind = rows.schema["row"].dataType
     schema = T.StructType([T.StructField("row", kind), *[T.StructField(v, T.LongType()) for v in names]])
-    return rows.mapInArrow(run, schema).select("row.*", *names)
+    return map_texts(rows, run, schema).select("row.*", *names)
 
 
 def inserts(rows: DataFrame, version: str, tokens: str) -> DataFrame:
@@ -100,23 +101,19 @@ class Rollup:
         self.spark, self.path = spark, path.rstrip("/")
 
     def commit(self, batch: str, deltas: DataFrame) -> None:
-        """Makes ``deltas`` (signed rows) the content of the batch, whatever it held before. Spark
-        writes aside and moves the files when all tasks are done, so a lost task or a broken-off
-        commit adds nothing; a reader sees the batch once the write is complete."""
+        """Makes ``deltas`` (signed rows) the content of the batch, whatever it held before. They are
+        written aside and renamed when complete, so a lost task or a broken-off commit adds nothing
+        and a reader sees the batch as it was or as it will be."""
         if not re.fullmatch(r"[A-Za-z0-9_-]+", batch):
             raise ValueError("a batch name has letters, digits, - and _ only")
-        summed(deltas).write.mode("overwrite").parquet(f"{self.path}/batch={batch}")
+        aside = f"{self.path}/_aside-{uuid.uuid4().hex}"
+        summed(deltas).write.parquet(aside)
+        fs.publish(self.spark, aside, f"{self.path}/batch={batch}", replace=True)
 
     def batches(self) -> list[str]:
         """Names of the committed batches."""
-        jvm = self.spark._jvm
-        folder = jvm.org.apache.hadoop.fs.Path(self.path)
-        fs = folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not fs.exists(folder):
-            return []
-        found = [s.getPath() for s in fs.listStatus(folder)]
-        done = [p for p in found if fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
-        return sorted(p.getName().removeprefix("batch=") for p in done)
+        files = [path.split("/") for path, _, _ in fs.listing(self.spark, self.path)]
+        return sorted({f[-2].removeprefix("batch=") for f in files if f[-2].startswith("batch=")})
 
     def totals(self) -> DataFrame:
         """``source, lang, tokenizer, n_docs, n_tokens`` over all committed batches."""

@@ -59,10 +59,12 @@ def test_batches_are_additive_and_idempotent(spark, documents, tmp_path):
         rollup.commit("a/b", tc.inserts(docs, "v1", tc.FIRST))
 
 
-def test_a_broken_off_commit_is_not_counted(spark, documents, tmp_path):
+def test_a_broken_off_commit_is_not_counted(spark, documents, tmp_path, monkeypatch):
     docs = tc.counted(documents([(1, "one two")]), {tc.FIRST: F.lit(True)})
     rollup = tc.Rollup(spark, str(tmp_path / "rollup"))
     rollup.commit("done", tc.inserts(docs, "v1", tc.FIRST))
-    rollup.commit("broken", tc.inserts(docs, "v1", tc.FIRST))
-    (tmp_path / "rollup" / "batch=broken" / "_SUCCESS").unlink()  # as if the driver was lost before the end
+    with monkeypatch.context() as m:  # the driver is lost after the write, before the rename
+        m.setattr(tc.fs, "publish", lambda *a, **k: False)
+        rollup.commit("broken", tc.inserts(docs, "v1", tc.FIRST))
+        rollup.commit("done", tc.deletes(docs, "v1", tc.FIRST))
     assert rollup.batches() == ["done"] and [r.n_docs for r in rollup.totals().collect()] == [1]
