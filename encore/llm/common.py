@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -50,6 +51,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written as a Parquet table in the shared folder and read back: like ``cut``, for large
+    tables, which are far smaller in columns. The table stays until the folder is cleared."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def components(links: DataFrame) -> DataFrame:
     """Connected components of ``links(a, b)`` (long node ids): rows ``(node, root)``, root the
     smallest node reached; only nodes with a link appear.

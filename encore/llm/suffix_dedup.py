@@ -16,7 +16,7 @@ order fit Spark:
    their 128-bit hashes, again with partial aggregation, so no key is ever gathered in one task.
 
 ``keep="none"`` removes every byte of a repeated window, ``keep="first"`` spares the earliest copy
-in the order of (id, position). Hashes of 64 bits name contents within a key, and pairs of them
+in reading order (row, position). Hashes of 64 bits name contents within a key, and pairs of them
 windows.
 
 Defined cases: a null text is empty; matches never cross texts; texts shorter than a window lose
@@ -34,15 +34,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from encore.llm.common import cut, table
+from encore.llm.common import map_texts, stored, table
 
 LENGTH = 200
 GRAM = 64
-CHUNK = 1 << 20  # bytes of text scanned at a time
+CHUNK = 1 << 17  # bytes of text scanned at a time; what is computed per byte then stays in the cache
 BATCH_BYTES = 4 << 20  # content sorted at a time
 BATCH_CONTENTS = 4096  # contents of a key that one suffix order takes
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
+_SPREAD = np.uint64(0xD6E8FEB86659FD93)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 
@@ -79,6 +80,13 @@ class Hashes:
             sums = np.cumsum(_byte_values(seed)[data] * _powers(size, False)[: len(data)], dtype=np.uint64)
         self.sums = np.concatenate([np.zeros(1, np.uint64), sums])
 
+    def order(self, gram: int) -> np.ndarray:
+        """For every piece of ``gram`` bytes, 32 hash bits above the 32 bits of its place."""
+        n = len(self.sums) - gram
+        with np.errstate(over="ignore"):
+            h = (self.sums[gram:] - self.sums[:n]) * self.back[:n] * _SPREAD
+        return (h & ~np.uint64(0xFFFFFFFF)) | np.arange(n, dtype=np.uint64)
+
     def of(self, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
             return _mixed((self.sums[stop] - self.sums[start]) * self.back[start])
@@ -95,17 +103,15 @@ def zones(data: np.ndarray, ends: np.ndarray, length: int, gram: int) -> tuple[n
     if n <= 0:
         return none, none, none.view(np.uint64), none.view(np.uint64)
     hashes = Hashes(data)
-    at = np.arange(len(data) - gram + 1)
-    # 32 bits of hash, then the place: the smallest is the leftmost of the smallest hashes
-    least = (hashes.of(at, at + gram) & ~np.uint64(0xFFFFFFFF)) | at.astype(np.uint64)
+    least = hashes.order(gram)  # the smallest is the leftmost of the smallest hashes
     span, have = length - gram + 1, 1
     while 2 * have <= span:
         least = np.minimum(least[:-have], least[have:])
         have *= 2
     least = np.minimum(least[:n], least[span - have : span - have + n])
     anchor = (least & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    window = np.arange(n)
-    inside = window + length <= ends[np.searchsorted(ends, window, side="right")]
+    last_fit = ends - length  # the last window of each text
+    inside = np.arange(n) <= np.repeat(last_fit, np.diff(ends, prepend=0))[:n]
     new = np.ones(n, bool)
     new[1:] = (anchor[1:] != anchor[:-1]) | ~inside[:-1]
     start = np.flatnonzero(new & inside)
@@ -113,8 +119,7 @@ def zones(data: np.ndarray, ends: np.ndarray, length: int, gram: int) -> tuple[n
         return none, none, none.view(np.uint64), none.view(np.uint64)
     # a zone ends before the next start, or where windows no longer fit in the text
     stop = np.append(start[1:], n)
-    last_fit = ends[np.searchsorted(ends, start, side="right")] - length + 1
-    stop = np.minimum(stop, last_fit)
+    stop = np.minimum(stop, last_fit[np.searchsorted(ends, start, side="right")] + 1)
     key = hashes.of(anchor[start], anchor[start] + gram)
     # content: the covered bytes, and where the anchor lies in them
     with np.errstate(over="ignore"):
@@ -247,9 +252,10 @@ def shared_zones(texts: DataFrame, length: int, gram: int) -> DataFrame:
                     }
                 )
 
-    found = texts.select("rid", "text").mapInArrow(scan, "key long, content long, rid long, start long, windows int")
+    found = map_texts(texts.select("rid", "text"), scan, "key long, content long, rid long, start long, windows int")
     per_key = found.groupBy("key").agg(F.count("*").alias("n"), F.min("content").alias("lo"), F.max("content").alias("hi"))
-    per_key = per_key.where("n > 1").select("key", (F.col("lo") == F.col("hi")).alias("single"))
+    # stored, so that the join reads two plain shuffles, of which a hot key's partition can be split
+    per_key = stored(per_key.where("n > 1").select("key", (F.col("lo") == F.col("hi")).alias("single")))
     return found.join(per_key, "key")
 
 
@@ -275,7 +281,7 @@ def pieces(copies: DataFrame, texts: DataFrame, length: int) -> DataFrame:
 
     wanted = copies.groupBy("rid").agg(F.collect_list(F.struct("key", "content", "start", "windows")).alias("wanted"))
     both = texts.join(wanted, "rid").select("rid", "text", "wanted")
-    return both.mapInArrow(fetch, "key long, content long, rid long, start long, piece binary")
+    return map_texts(both, fetch, "key long, content long, rid long, start long, piece binary")
 
 
 def judged(copies: DataFrame, texts: DataFrame, length: int) -> DataFrame:
@@ -351,19 +357,27 @@ def numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def repeated_spans(texts: DataFrame, length: int, gram: int, keep: str) -> DataFrame:
     """``rid, spans``: byte spans to remove, as they come from the zones (they may overlap)."""
-    shared = cut(shared_zones(texts, length, gram))
+    shared = stored(shared_zones(texts, length, gram))
     copies = shared.groupBy("key", "content").agg(
         F.min(F.struct("rid", "start", "windows", "single")).alias("c"), F.count("*").alias("n")
     )
-    copies = cut(copies.select("key", "content", "n", "c.*"))
+    copies = stored(copies.select("key", "content", "n", "c.*"))
     found = judged(copies.where("not single"), texts, length)
     known = copies.select("key", "content", "n", F.col("rid").alias("rid1"), F.col("start").alias("start1"))
-    known = known.join(found, ["key", "content"], "left")
     rows = shared.join(known, ["key", "content"])
     if keep == "none":
         whole, part = F.col("n") > 1, F.col("any")
     else:
         whole, part = (F.col("rid") != F.col("rid1")) | (F.col("start") != F.col("start1")), F.col("earlier")
+    # Only one zone of a content can still need its runs. The others, of which there may be very
+    # many alike, take a key of their own that meets nothing.
+    apart = F.xxhash64("rid", "start")
+    rows = rows.select(
+        "rid", "start", "windows", whole.alias("whole"),
+        F.when(whole, apart).otherwise(F.col("key")).alias("key"), F.when(whole, apart).otherwise(F.col("content")).alias("content"),
+    )
+    rows = rows.join(found, ["key", "content"], "left")
+    whole = F.col("whole")
     all_ = F.array(F.struct(F.lit(0).alias("from"), F.col("windows").alias("to"))).cast(RUNS)
     rows = rows.select("rid", "start", F.explode(F.when(whole, all_).otherwise(part)).alias("r"))
     span = F.struct((F.col("start") + F.col("r.from")).alias("from"), (F.col("start") + F.col("r.to") - 1 + length).alias("to"))
@@ -421,7 +435,7 @@ def remove_repeats(
 
     rows = texts.join(spans, "rid", "left").select("doc_id", "text", "spans")
     schema = f"doc_id {kind}, n_bytes long, spans array<struct<from:long,to:long>>, kept binary"
-    return rows.mapInArrow(apply, schema)
+    return map_texts(rows, apply, schema)
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
