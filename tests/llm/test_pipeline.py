@@ -6,8 +6,8 @@ import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
-from test_pii import brute as brute_spans
-from test_simhash import brute_components, brute_fingerprint
+from .test_pii import brute as brute_spans
+from .test_simhash import brute_components, brute_fingerprint
 
 from encore.llm import pii, subword, toxicity
 
