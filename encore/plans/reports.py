@@ -45,14 +45,15 @@ def release(report: dict) -> None:
 
 
 def _kpi_dict(sel: DataFrame) -> dict:
-    r = A.kpis(sel).first()
+    # display rounding is Spark's (half up), as everywhere
+    r = A.kpis(sel).withColumns({c: F.round(c, 2) for c in ("total_hours", "skip_rate", "shuffle_rate")}).first()
     return {
-        "totalHours": round(float(r["total_hours"]), 2),
+        "totalHours": float(r["total_hours"]),
         "tracksPlayed": int(r["tracks_played"]),
         "uniqueArtists": int(r["unique_artists"]),
         "uniqueAlbums": int(r["unique_albums"]),
-        "skipRate": round(float(r["skip_rate"]), 2),
-        "shuffleRate": round(float(r["shuffle_rate"]), 2),
+        "skipRate": float(r["skip_rate"]),
+        "shuffleRate": float(r["shuffle_rate"]),
         "rows": int(r["rows"]),
     }
 
