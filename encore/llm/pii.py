@@ -9,7 +9,9 @@ that end above the threshold are added to the base spans, which always stay.
 
 A pattern is the word before and the word before that, or the word before with its punctuation and
 the word after; a value's digits (or its letters, for emails) name the instance, so the same
-identifier in another spelling is the same instance.
+identifier in another spelling is the same instance. A run of numbers in which several identifiers
+may be joined is split at its spaces, and every reading of its parts that has the digits of a phone
+or a card is an instance of its own; all readings of a run together weigh as one extraction.
 
 Defined cases: a null text is empty; spans are in code points, end exclusive; texts are read whole;
 repeated rows are judged each; null ids are kept; an empty table gives an empty result. Only the id
@@ -19,6 +21,7 @@ and text columns are read.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -94,35 +97,79 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 NUMBER = re.compile(r"\(?[0-9](?:[\x20().-]{0,2}[0-9])++")
 OTHER_MAIL = re.compile(r"[A-Za-z0-9._%+-]{1,64}\x20?(?:@|\(at\)|\[at\]|\{at\})\x20?[A-Za-z0-9-]{1,63}(?:(?:\.|\x20?\(dot\)\x20?|\[dot\])[A-Za-z0-9-]{1,63}){0,8}")
+DIGITS = re.compile(r"[0-9]+")
 NEAR = 60  # characters on either side that hold the context
 
 
-def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """``(kind, start, end)`` of what might be of a kind but is no base span, nor overlaps one."""
-    taken = sorted((a, b) for _, a, b in base)
-    found = []
-    for m in NUMBER.finditer(text):
-        n = m.end() - m.start()
-        if n < 7 or n > 40:
+def _parts(text: str, run: re.Match, covered: list[tuple[int, int]]) -> Iterator[list[tuple[int, int, int]]]:
+    """The separable parts ``(start, end, digits)`` of a run, in lists of neighbours: the run without
+    what base spans cover, split at spaces and, where a part has more digits than any identifier, at
+    every separator."""
+    words, last, i = [], None, 0
+    for m in DIGITS.finditer(text, *run.span()):
+        a, b = m.span()
+        while i < len(covered) and covered[i][1] <= a:
+            i += 1
+        if i < len(covered) and covered[i][0] < b:
+            last = None
             continue
+        if last is None:
+            words.append([[]])  # the run begins, or goes on after a base span
+        elif "\x20" in text[last:a]:
+            words[-1].append([])
+        words[-1][-1].append((a, b))
+        last = b
+    for row in words:
         # part of a longer word or name, such as a hexadecimal token, is no identifier of a person
-        if (m.start() and (text[m.start() - 1].isalnum() or text[m.start() - 1] in "_.")) or text[m.end() : m.end() + 1].isalnum():
-            continue
-        digits = len(_digits(m[0]))
-        if m[0].count(".") == 3 and re.fullmatch(r"[0-9.]+", m[0]):
-            continue  # four numbers with dots that are no address
-        if 13 <= digits <= 19:
-            found.append((2, m.start(), m.end()))
-        elif 7 <= digits <= 12:
-            found.append((3, m.start(), m.end()))
-    if "@" in text or "(at)" in text or "[at]" in text or "{at}" in text:
-        found += [(0, m.start(), m.end()) for m in OTHER_MAIL.finditer(text)]
+        before = row[0][0][0] - (text[row[0][0][0] - 1 : row[0][0][0]] == "(")
+        if before and (text[before - 1].isalnum() or text[before - 1] in "_."):
+            row = row[1:]
+        if row and text[row[-1][-1][1] : row[-1][-1][1] + 1].isalnum():
+            row = row[:-1]
+        out = []
+        for word in row:
+            n = sum(b - a for a, b in word)
+            out += [(word[0][0], word[-1][1], n)] if n <= 19 else [(a, b, b - a) for a, b in word]
+        yield out
+
+
+def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int]]:
+    """``(kind, start, end, run)`` of what might be of a kind but is no base span, nor overlaps one.
+    Neighbouring parts of a run of numbers are read together in every way that has 7 to 19 digits; the
+    readings of a run share its number."""
+    taken: list[tuple[int, int]] = []
+    for a, b in sorted((a, b) for _, a, b in base):
+        if taken and a < taken[-1][1]:
+            taken[-1] = taken[-1][0], max(b, taken[-1][1])
+        else:
+            taken.append((a, b))
     out, i = [], 0
-    for kind, a, b in sorted(found, key=lambda x: x[1]):
-        while i < len(taken) and taken[i][1] <= a:
+    for m in NUMBER.finditer(text):
+        while i < len(taken) and taken[i][1] <= m.start():
             i += 1
-        if i == len(taken) or taken[i][0] >= b:
-            out.append((kind, a, b))
+        end = i
+        while end < len(taken) and taken[end][0] < m.end():
+            end += 1
+        for parts in _parts(text, m, taken[i:end]):
+            for k, (a, _, _) in enumerate(parts):
+                a -= text[a - 1 : a] == "("
+                plus = text[a - 1 : a] == "+" and not text[max(0, a - 2) : a - 1].isalnum()
+                digits = 0
+                for _, b, n in parts[k : k + 19]:  # a part has a digit at least
+                    digits += n
+                    if digits > 19:
+                        break
+                    if 7 <= digits <= 15:
+                        out.append((3, a - plus, b, m.start()))
+                    if digits >= 13:
+                        out.append((2, a, b, m.start()))
+    i = 0
+    if "@" in text or "(at)" in text or "[at]" in text or "{at}" in text:
+        for m in OTHER_MAIL.finditer(text):
+            while i < len(taken) and taken[i][1] <= m.start():
+                i += 1
+            if i == len(taken) or taken[i][0] >= m.end():
+                out.append((0, m.start(), m.end(), m.start()))
     return out
 
 
@@ -145,7 +192,7 @@ def contexts(text: str, start: int, end: int) -> list[str]:
 # --- Spark -------------------------------------------------------------------------------------
 
 SPAN = "struct<kind:int,start:int,end:int>"
-FOUND = "struct<kind:int,start:int,end:int,seed:boolean,instance:string,patterns:array<string>>"
+FOUND = "struct<kind:int,start:int,end:int,seed:boolean,instance:string,patterns:array<struct<pattern:string,weight:double>>>"
 
 
 def key_of(text_col: str):
@@ -158,14 +205,25 @@ def scanned(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     rows = docs.select(id_col, text_col, key_of(text_col).alias("key"))
     kind = docs.schema[id_col].dataType.simpleString()
     span = pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32())])
-    found = pa.struct([*span, ("seed", pa.bool_()), ("instance", pa.string()), ("patterns", pa.list_(pa.string()))])
+    pattern = pa.struct([("pattern", pa.string()), ("weight", pa.float64())])
+    found = pa.struct([*span, ("seed", pa.bool_()), ("instance", pa.string()), ("patterns", pa.list_(pattern))])
 
     def one(text: str) -> tuple[list[dict], list[dict]]:
         base = base_spans(text)
-        all_ = [(*s, True) for s in base] + [(*s, False) for s in candidates(text, base)]
+        all_ = [(*s, None) for s in base] + candidates(text, base)
+        around = [contexts(text, a, b) for _, a, b, _ in all_]
+        # a run charges a pattern once, however many readings of it the pattern extracts
+        readings = Counter((run, k, p) for (k, _, _, run), ps in zip(all_, around) for p in ps if run is not None)
         return [dict(zip(("kind", "start", "end"), s)) for s in base], [
-            {"kind": k, "start": a, "end": b, "seed": seed, "instance": instance(k, text[a:b]), "patterns": contexts(text, a, b)}
-            for k, a, b, seed in all_
+            {
+                "kind": k,
+                "start": a,
+                "end": b,
+                "seed": run is None,
+                "instance": instance(k, text[a:b]),
+                "patterns": [{"pattern": p, "weight": 1 / max(1, readings[run, k, p])} for p in ps],
+            }
+            for (k, a, b, run), ps in zip(all_, around)
         ]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,7 +248,8 @@ def trusted(found: DataFrame, rounds: int = ROUNDS, threshold: float = THRESHOLD
     """Instances ``(kind, instance)`` that are no seeds and end above the threshold. ``found`` has one
     row per occurrence: ``kind, instance, seed, patterns``."""
     nodes = found.groupBy("kind", "instance").agg(F.max("seed").alias("seed"))
-    edges = found.select("kind", "instance", F.explode("patterns").alias("pattern")).distinct()
+    edges = found.select("kind", "instance", F.explode("patterns").alias("p")).select("kind", "instance", "p.*")
+    edges = edges.groupBy("kind", "instance", "pattern").agg(F.max("weight").alias("weight"))
     edges = cut(edges.join(nodes, ["kind", "instance"]))
     score = None
     for _ in range(rounds):
@@ -200,7 +259,7 @@ def trusted(found: DataFrame, rounds: int = ROUNDS, threshold: float = THRESHOLD
             weighed = edges.join(score, ["kind", "instance"], "left")
             weighed = weighed.withColumn("score", F.when(F.col("seed"), 1.0).otherwise(F.coalesce("score", F.lit(0.0))))
         pattern = weighed.groupBy("kind", "pattern").agg(
-            F.sum("score").alias("good"), F.count("*").alias("all"), F.sum(F.col("seed").cast("int")).alias("seeds")
+            F.sum(F.col("weight") * F.col("score")).alias("good"), F.sum("weight").alias("all"), F.sum(F.col("seed").cast("int")).alias("seeds")
         )
         pattern = pattern.where(F.col("seeds") >= MIN_SEEDS)
         pattern = pattern.select("kind", "pattern", (F.col("good") / (F.col("all") + SMOOTHING)).alias("trust"))
@@ -212,7 +271,8 @@ def trusted(found: DataFrame, rounds: int = ROUNDS, threshold: float = THRESHOLD
 
 
 def added(rows: DataFrame) -> DataFrame:
-    """``key, more``: the spans that trusted patterns add to the texts of ``scanned`` rows."""
+    """``key, more``: the spans that trusted patterns add to the texts of ``scanned`` rows; trusted
+    readings of a run are all added, also where they overlap."""
     found = rows.select("key", F.explode("found").alias("f")).select("key", "f.*")
     more = found.where("not seed").join(trusted(found), ["kind", "instance"])
     more = more.select("key", F.struct("kind", "start", "end").alias("span")).distinct()

@@ -50,6 +50,33 @@ def test_patterns_discover_unseen_identifiers(documents):
     assert left[101] == rows[13][1]
 
 
+def readings(text):
+    return {(k, text[a:b]) for k, a, b, _ in pii.candidates(text, pii.base_spans(text))}
+
+
+def test_fused_runs_are_read_in_parts():
+    text = "cards 7536784127813050 4845168114407329 of mine"
+    assert not pii.base_spans(text)
+    assert readings(text) == {(2, "7536784127813050"), (2, "4845168114407329")}
+    text = "at +1 (826) 555-4081 190.137.223.204 today"
+    assert [k for k, *_ in pii.base_spans(text)] == [1]
+    assert (3, "+1 (826) 555-4081") in readings(text) and not any("190" in v for _, v in readings(text))
+    assert {(3, "555-0199-7777"), (2, "555-0199-7777 12")} <= readings("call 555-0199-7777 12 times")
+    assert {(2, "4111-1111-1111-1111"), (2, "5500-0000-0000-0005")} <= readings("4111-1111-1111-1111 5500-0000-0000-0005")
+    # no border but the dashes: they separate
+    assert {(2, "4111111111111111"), (2, "5500000000000005")} <= readings("4111111111111111-5500000000000005")
+    assert (3, "555-0199-7777") in readings("555-0199-7777 12th") and not readings("x5550199777 12")
+
+
+def test_fused_identifiers_are_added(documents):
+    rows = [(i, f"Please call mobile number +1 (555) 01{i:02d}-{1000 + i} about order") for i in range(12)]
+    rows += [(100, "Please call mobile number 555-0199-7777 12 times"), (101, "Please call mobile number +1 (826) 555-4081 190.137.223.204 now")]
+    rows += [(102, "Please call mobile number 555 019 9777 about order")]
+    got = {r.doc_id: [tuple(s) for s in r.spans] for r in pii.find(documents(rows)).collect()}
+    assert (3, 26, 39) in got[100] and (3, 26, 43) in got[101]
+    assert (3, 26, 38) in got[102]
+
+
 def test_odd_rows(documents, odd_rows):
     rows = odd_rows + [(30, "mail é.a@b.co and a@b.co"), (31, "a@b.co; 10.0.0.1; 4111 1111 1111 1111; +1 (555) 010-1234")]
     got = pii.find(documents(rows, extra=True)).collect()
