@@ -5,7 +5,8 @@ other run that merely looks like an identifier, is an instance; the words around
 lexical patterns of its kind. Spark scores the graph of patterns and instances in rounds: a pattern
 is trusted by the share of seeds and trusted instances among all that it extracts (smoothed, and only
 with enough different seeds), an instance by the noisy-or of its patterns. Occurrences of instances
-that end above the threshold are added to the base spans, which always stay.
+that end above the threshold, and of seeds in another spelling, are added to the base spans, which
+always stay.
 
 A pattern is the word before and the word before that, or the word before with its punctuation and
 the word after; a value's digits (or its letters, for emails) name the instance, so the same
@@ -245,12 +246,13 @@ def scanned(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def trusted(found: DataFrame, rounds: int = ROUNDS, threshold: float = THRESHOLD) -> DataFrame:
-    """Instances ``(kind, instance)`` that are no seeds and end above the threshold. ``found`` has one
-    row per occurrence: ``kind, instance, seed, patterns``."""
-    nodes = found.groupBy("kind", "instance").agg(F.max("seed").alias("seed"))
+    """Instances ``(kind, instance)`` with occurrences that are no base spans: those that end above the
+    threshold, and seeds in another spelling, which score 1. ``found`` has one row per occurrence:
+    ``kind, instance, seed, patterns``."""
+    nodes = cut(found.groupBy("kind", "instance").agg(F.max("seed").alias("seed"), F.min("seed").alias("only")))
     edges = found.select("kind", "instance", F.explode("patterns").alias("p")).select("kind", "instance", "p.*")
     edges = edges.groupBy("kind", "instance", "pattern").agg(F.max("weight").alias("weight"))
-    edges = cut(edges.join(nodes, ["kind", "instance"]))
+    edges = cut(edges.join(nodes.drop("only"), ["kind", "instance"]))
     score = None
     for _ in range(rounds):
         if score is None:
@@ -267,7 +269,9 @@ def trusted(found: DataFrame, rounds: int = ROUNDS, threshold: float = THRESHOLD
         score = cut(
             reached.groupBy("kind", "instance").agg((1 - F.exp(F.sum(F.log(1 - F.col("trust"))))).alias("score"))
         )
-    return score.where(F.col("score") >= threshold).select("kind", "instance")
+    respelled = nodes.where("seed and not only").select("kind", "instance")
+    # stored, so that the join with the occurrences reads plain shuffles, of which a hot one can be split
+    return cut(score.where(F.col("score") >= threshold).select("kind", "instance").unionByName(respelled))
 
 
 def added(rows: DataFrame) -> DataFrame:

@@ -77,6 +77,18 @@ def test_fused_identifiers_are_added(documents):
     assert (3, 26, 38) in got[102]
 
 
+def test_seeds_in_another_spelling_are_added(documents):
+    rows = [(1, "john@x.com"), (2, "+49 1512 345 67890"), (3, "4111 1111 1111 1111"), (4, "+1 (555) 010-1234")]
+    other = [(11, "ask john (at) x (dot) com today"), (12, "or 4915 1234567890 today"), (13, "of 4111.1111.1111.1111 today"), (14, "or 1.555.010.1234 today")]
+    got = {r.doc_id: [tuple(s) for s in r.spans] for r in pii.find(documents(rows + other)).collect()}
+    assert got[11] == [(0, 4, 25)] and got[13] == [(2, 3, 22)] and got[14] == [(3, 3, 17)]
+    assert (3, 3, 18) in got[12] and len(got[12]) == 1
+    left = {r.doc_id: r.text for r in pii.redact(documents(rows + other)).collect()}
+    assert [left[i] for i in range(11, 15)] == ["ask [EMAIL] today", "or [PHONE] today", "of [CARD] today", "or [PHONE] today"]
+    # without the seeds, nothing tells of them
+    assert not any(r.spans for r in pii.find(documents(other)).collect())
+
+
 def test_odd_rows(documents, odd_rows):
     rows = odd_rows + [(30, "mail é.a@b.co and a@b.co"), (31, "a@b.co; 10.0.0.1; 4111 1111 1111 1111; +1 (555) 010-1234")]
     got = pii.find(documents(rows, extra=True)).collect()
