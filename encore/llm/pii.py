@@ -9,7 +9,7 @@ that end above the threshold, and of seeds in another spelling, are added to the
 always stay.
 
 A pattern is the word before and the word before that, or the word before with its punctuation and
-the word after; a value's digits (or its letters, for emails) name the instance, so the same
+the word after; a value's digits (its letters for emails, its numbers for addresses) name the instance, so the same
 identifier in another spelling is the same instance. A run of numbers in which several identifiers
 may be joined is split at its spaces, and every reading of its parts that has the digits of a phone
 or a card is an instance of its own; all readings of a run together weigh as one extraction.
@@ -21,6 +21,7 @@ and text columns are read.
 
 from __future__ import annotations
 
+import ipaddress
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -99,6 +100,9 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 NUMBER = re.compile(r"\(?[0-9](?:[\x20().-]{0,2}[0-9])++")
 OTHER_MAIL = re.compile(r"[A-Za-z0-9._%+-]{1,64}\x20?(?:@|\(at\)|\[at\]|\{at\})\x20?[A-Za-z0-9-]{1,63}(?:(?:\.|\x20?\(dot\)\x20?|\[dot\])[A-Za-z0-9-]{1,63}){0,8}")
 DIGITS = re.compile(r"[0-9]+")
+_DOT = r"(?:\x20?(?:\.|\[\.\]|\(\.\)|\{\.\}|\[dot\]|\(dot\)|\{dot\})\x20?)"
+OTHER_IP = re.compile(rf"(?<![\w.])[0-9]{{1,3}}(?:{_DOT}[0-9]{{1,3}}){{3}}(?!\w)", re.IGNORECASE)
+IP6 = re.compile(r"(?<![\w:.])(?:[0-9A-Fa-f]{0,4}:){2,8}(?:[0-9A-Fa-f]{1,4})?(?![\w:])")
 NEAR = 60  # characters on either side that hold the context
 
 
@@ -164,18 +168,36 @@ def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, i
                         out.append((3, a - plus, b, m.start()))
                     if digits >= 13:
                         out.append((2, a, b, m.start()))
-    i = 0
+    whole = []
     if "@" in text or "(at)" in text or "[at]" in text or "{at}" in text:
-        for m in OTHER_MAIL.finditer(text):
-            while i < len(taken) and taken[i][1] <= m.start():
-                i += 1
-            if i == len(taken) or taken[i][0] >= m.end():
-                out.append((0, m.start(), m.end(), m.start()))
+        whole += [(0, m.start(), m.end()) for m in OTHER_MAIL.finditer(text)]
+    whole += [(1, m.start(), m.end()) for m in OTHER_IP.finditer(text) if all(int(p) <= 255 for p in DIGITS.findall(m[0]))]
+    if ":" in text:
+        whole += [(1, m.start(), m.end()) for m in IP6.finditer(text) if _ip6(m[0])]
+    i = 0
+    for kind, a, b in sorted(whole, key=lambda x: x[1]):
+        while i < len(taken) and taken[i][1] <= a:
+            i += 1
+        if i == len(taken) or taken[i][0] >= b:
+            out.append((kind, a, b, a))
     return out
 
 
+def _ip6(value: str) -> str | None:
+    """The usual form of an IPv6 address; None for other values and the address of zeros."""
+    try:
+        address = ipaddress.IPv6Address(value)
+    except ValueError:
+        return None
+    return str(address) if int(address) else None
+
+
 def instance(kind: int, value: str) -> str:
-    return re.sub(r"[^a-z0-9]", "", re.sub(r"\(at\)|\[at\]|\{at\}|\(dot\)|\[dot\]", "", value.lower())) if kind == 0 else _digits(value)
+    if kind == 0:
+        return re.sub(r"[^a-z0-9]", "", re.sub(r"\(at\)|\[at\]|\{at\}|\(dot\)|\[dot\]", "", value.lower()))
+    if kind == 1:
+        return _ip6(value) or ".".join(p.lstrip("0") or "0" for p in DIGITS.findall(value))
+    return _digits(value)
 
 
 def contexts(text: str, start: int, end: int) -> list[str]:

@@ -89,6 +89,20 @@ def test_seeds_in_another_spelling_are_added(documents):
     assert not any(r.spans for r in pii.find(documents(other)).collect())
 
 
+def test_addresses_in_other_shapes(documents):
+    shapes = ["10[.]20[.]30[.]40", "10 . 20 . 30 . 40", "10(dot)20(dot)30(dot)40", "2001:db8::8a2e:370:7334", "2001:DB8:0:0:0:8A2E:370:7334"]
+    for shape in shapes:
+        assert (1, shape) in readings(f"login from host {shape} at noon"), shape
+    for text in ("at 12:30:45 today", "std::vector", "a :: b", "300[.]20[.]30[.]40"):
+        assert not any(k == 1 for k, _ in readings(text)), text
+    rows = [(i, f"login from host 10.20.30.{i} at noon") for i in range(12)]
+    rows += [(100 + i, f"login from host {shape} at noon") for i, shape in enumerate(shapes)]
+    rows += [(200, "seen 10[.]20[.]30[.]5 there"), (201, "seen 1[.]0[.]203[.]05 there")]
+    got = {r.doc_id: [tuple(s) for s in r.spans] for r in pii.find(documents(rows)).collect()}
+    assert all((1, 16, 16 + len(shape)) in got[100 + i] for i, shape in enumerate(shapes))
+    assert got[200] == [(1, 5, 21)] and not got[201]
+
+
 def test_odd_rows(documents, odd_rows):
     rows = odd_rows + [(30, "mail é.a@b.co and a@b.co"), (31, "a@b.co; 10.0.0.1; 4111 1111 1111 1111; +1 (555) 010-1234")]
     got = pii.find(documents(rows, extra=True)).collect()
