@@ -1,8 +1,9 @@
 """Language identification: averaged hashed subword embeddings with a linear softmax, trained by
 stochastic gradient descent in numpy, with calibrated rejection.
 
-Training reads about ``MAX_ROWS`` texts of each of the ``MAX_LANGUAGES`` most frequent languages, picked
-by a hash of their id, and at most ``MAX_CHARS`` of each, from the documents that may be learned from. A tenth of them is kept back to
+Training reads about ``MAX_ROWS`` texts of every language, picked by a hash of their id, and at most
+``MAX_CHARS`` of each, from the documents that may be learned from. Where that makes more than
+``TOTAL_ROWS``, the languages share that total evenly, ``LEAST_ROWS`` each at least. A tenth of them is kept back to
 calibrate: a temperature makes the largest softmax share a probability, and the rejection threshold
 is the lowest at which the accepted texts are right in ``PRECISION`` of all cases. Prediction reads
 whole texts.
@@ -28,7 +29,8 @@ from encore.llm.subword import Bag, Corpus, WordScores
 
 MAX_ROWS = 1500  # texts per language that training reads, give or take a few per cent
 MAX_CHARS = 2000  # characters of a text that training reads at most
-MAX_LANGUAGES = 400
+TOTAL_ROWS = 600_000  # texts that training reads in all, unless the languages' least shares are more
+LEAST_ROWS = 20  # texts per language that a shared total leaves
 EPOCHS = 8
 PRECISION = 0.99
 FOLDS, HELD_OUT = 4, 2
@@ -104,10 +106,13 @@ def train(
     """A model from the documents outside the held-out fold."""
     rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("t"), F.col(lang_col).alias("y"))
     rows = rows.where("__id is not null and y is not null and t is not null").where(fold("__id") != HELD_OUT)
-    size = rows.groupBy("y").count().orderBy(F.desc("count"), "y").limit(MAX_LANGUAGES)
+    size = rows.groupBy("y").count()
+    languages = size.agg(F.count("*").alias("languages"))
+    share = F.least(F.lit(max_rows), F.greatest(F.lit(LEAST_ROWS), F.lit(TOTAL_ROWS) / F.col("languages")))
+    size = size.crossJoin(F.broadcast(languages)).select("y", (share / F.col("count")).alias("share"))
     # every row decides by its id's hash, so that no language meets in one task
     chance = F.pmod(F.xxhash64("__id"), F.lit(1 << 30)) / float(1 << 30)
-    picked = rows.join(F.broadcast(size), "y").where(chance < max_rows / F.col("count"))
+    picked = rows.join(F.broadcast(size), "y").where(chance < F.col("share"))
     picked = picked.select("__id", "y", F.substring("t", 1, MAX_CHARS).alias("t")).dropDuplicates(["__id"])
     sample = picked.toPandas().sort_values("__id")
     return fit(sample["t"].tolist(), sample["y"].tolist())

@@ -128,3 +128,12 @@ def test_language_defined_cases(documents, odd_rows):
     assert langid.predict(documents([]), m).count() == 0
     with pytest.raises(ValueError):
         langid.train(documents([]))
+
+
+def test_every_language_is_learned_from(documents, monkeypatch):
+    monkeypatch.setattr(langid, "fit", lambda texts, languages: languages)
+    rows = [(i, f"text {i}", f"l{i % 450:03d}", "s0") for i in range(4500)]
+    assert len(set(langid.train(documents(rows)))) == 450
+    monkeypatch.setattr(langid, "TOTAL_ROWS", 450, raising=False)
+    monkeypatch.setattr(langid, "LEAST_ROWS", 4, raising=False)
+    assert 1000 < len(langid.train(documents(rows))) < 2500  # about 4 of 7.5 rows a language
