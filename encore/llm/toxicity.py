@@ -6,8 +6,8 @@ between finding each labelled text's worst window under the current model and a
 gradient descent on the windows' bags. Misspelled words share the n-gram vectors of the known ones.
 A logistic curve over the worst window's logit, fitted on the same rows, calibrates the score.
 
-Training reads at most ``MAX_ROWS`` labelled texts per class, picked by a hash of their id, and at
-most ``MAX_CHARS`` of each. Scoring reads whole texts.
+Training reads at most ``MAX_ROWS`` labelled texts per class, picked by a hash of their id. They are
+read whole, as a label may rest on any part of a text, and so are the texts that are scored.
 
 Defined cases: a null text, or one without letters, gets the score of an empty window; labels that
 are null, or of ids the documents lack, are ignored; without two classes of labelled rows training
@@ -30,7 +30,6 @@ from encore.llm.common import map_texts, small_batches, table
 from encore.llm.subword import Bag, Corpus, WordScores, means
 
 MAX_ROWS = 2000  # labelled rows per class that training reads at most
-MAX_CHARS = 20_000  # characters of a text that training reads at most
 WINDOW = 4  # words
 ROUNDS = 12
 FOLDS, HELD_OUT = 5, 0
@@ -119,7 +118,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str
     mixed = F.xxhash64("__id")
     some = [known.where(f"y = {y}").orderBy(mixed, "__id").limit(max_rows) for y in (0, 1)]
     picked = some[0].unionByName(some[1])  # at most 2 * max_rows ids
-    rows = docs.select(F.col(id_col).alias("__id"), F.substring(F.col(text_col), 1, MAX_CHARS).alias("t"))
+    rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("t"))
     return rows.join(F.broadcast(picked), "__id").dropDuplicates(["__id"])
 
 

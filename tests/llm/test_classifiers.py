@@ -137,3 +137,12 @@ def test_every_language_is_learned_from(documents, monkeypatch):
     monkeypatch.setattr(langid, "TOTAL_ROWS", 450, raising=False)
     monkeypatch.setattr(langid, "LEAST_ROWS", 4, raising=False)
     assert 1000 < len(langid.train(documents(rows))) < 2500  # about 4 of 7.5 rows a language
+
+
+def test_training_reads_whole_texts(spark, documents):
+    rows = [(i, f"{'garden ' * 4000}{'moron' if i % 2 else 'river'}", i % 2) for i in range(20)]
+    docs, labels = tables(spark, documents, rows)
+    got = toxicity.training_rows(docs, labels, "doc_id", "text", 100).collect()
+    assert got and all(r["t"] == rows[r["__id"]][1] for r in got)
+    model = toxicity.train(docs, labels)
+    assert chances(model, ["garden moron garden garden"])[0] > chances(model, ["garden river garden garden"])[0]
