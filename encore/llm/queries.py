@@ -2,7 +2,21 @@
 
 from __future__ import annotations
 
-from encore.llm import bpe, exact_dedup, langid, neighbours, packing, pii, simhash, suffix_dedup, token_counts, toxicity
+from encore.llm import (
+    bpe,
+    exact_dedup,
+    hard_negatives,
+    langid,
+    lexical,
+    neighbours,
+    packing,
+    pii,
+    secret_scan,
+    simhash,
+    suffix_dedup,
+    token_counts,
+    toxicity,
+)
 
 QUERIES = {
     "op1_simhash_near_dedup": simhash.op1_simhash_near_dedup,
@@ -15,9 +29,14 @@ QUERIES = {
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     "op9_suffix_dedup": suffix_dedup.op9_suffix_dedup,
     "op10_token_counts": token_counts.op10_token_counts,
+    "op11_secret_scan": secret_scan.op11_secret_scan,
+    "op12_hard_negatives": hard_negatives.op12_hard_negatives,
+    "op13_lexical_search": lexical.op13_lexical_search,
 }
 
 SQL = {
     "op2_nearest_neighbours": neighbours.OP2_SQL,
     "op8_exact_dedup": exact_dedup.OP8_SQL,
+    "op12_hard_negatives": hard_negatives.OP12_SQL,
+    "op13_lexical_search": lexical.OP13_SQL,
 }

@@ -17,7 +17,7 @@ def test_sql_matches(spark, name):
 
 def test_one_query_per_operator_and_the_pipeline():
     names = [q for q in E.queries() if q.startswith("op")]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14))
     assert E.queries()["pipeline"] is corpus_pipeline.run
     assert set(queries.SQL) <= set(E.oracle_sql())
 
