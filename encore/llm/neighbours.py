@@ -9,7 +9,7 @@ the worst score in the query's heap, are computed again in double precision from
 vectors and pushed on the heap. The cells' heaps are merged by rank. So the result is exact.
 
 Defined cases: vectors that are null, empty, zero, or hold a null or non-finite component take no
-part, as query or candidate; vectors of different lengths never meet; rows with the query's own id
+part, as query or candidate; all others do, of any magnitude; vectors of different lengths never meet; rows with the query's own id
 are no candidates; a query with fewer than ``k`` candidates returns them all; ties go to the smaller
 id; repeated rows count as rows; an empty table gives an empty result. Only the id and vector
 columns are read; rows with a null id take no part.
@@ -18,6 +18,7 @@ columns are read; rows with a null id take no part.
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -62,9 +63,12 @@ def dealt(rows: DataFrame, per_group: int, n: int) -> DataFrame:
 
 
 class Quantised:
-    """int8 form of the rows of a matrix, with what is needed to bound its errors."""
+    """int8 form of the rows of a matrix, with what is needed to bound its errors. Every row is first
+    scaled by a power of two to components below 1, so that no norm overflows."""
 
     def __init__(self, x: np.ndarray):
+        self.exponent = np.frexp(np.abs(x).max(axis=1))[1]
+        x = np.ldexp(x, -self.exponent[:, None])
         self.scale = np.abs(x).max(axis=1) / 127
         self.codes = np.rint(x / self.scale[:, None]).astype(np.int8)
         back = self.codes * self.scale[:, None]
@@ -80,13 +84,19 @@ def bounds(q: Quantised, c: Quantised, rows: slice) -> tuple[np.ndarray, np.ndar
     whole = q.codes[rows].astype(kind) @ c.codes.T.astype(kind)
     guess = whole.astype(np.float64) * q.scale[rows, None] * c.scale[None, :]
     off = q.back_norm[rows, None] * c.rounding[None, :] + q.rounding[rows, None] * c.norm[None, :]
-    return guess, off * (1 + 1e-9) + 1e-12 * q.norm[rows, None] * c.norm[None, :]
+    off = off * (1 + 1e-9) + 1e-12 * q.norm[rows, None] * c.norm[None, :]
+    power = q.exponent[rows, None] + c.exponent[None, :]
+    # the products of such pairs may leave the range of doubles: nothing is known of what they add up to
+    loose = (power > 950) | (power < -900)
+    power = np.where(loose, 0, power)
+    return np.where(loose, 0.0, np.ldexp(guess, power)), np.where(loose, np.inf, np.ldexp(off, power))
 
 
 def search_tile(
     queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, row_ids: np.ndarray, k: int
 ) -> list[list[tuple[float, int]]]:
-    """For each query the best ``k`` of the rows as ``(score, -id)``, in a heap."""
+    """For each query the best ``k`` of the rows as ``(score, -id)``, in a heap. A score that is not a
+    number (sums of infinite products of both signs) is above all others, as in SQL."""
     q, c = Quantised(queries), Quantised(rows)
     heaps: list[list[tuple[float, int]]] = [[] for _ in queries]
     for at in range(0, len(queries), TILE):
@@ -99,14 +109,17 @@ def search_tile(
         for i in range(0, len(one), 20_000):
             a, b = one[i : i + 20_000] + at, two[i : i + 20_000]
             # added in the order of the components, so that equal vectors get equal scores everywhere
-            score = np.cumsum(queries[a] * rows[b], axis=1)[:, -1]
-            for query, s, row in zip(a.tolist(), score.tolist(), row_ids[b].tolist()):
+            with np.errstate(over="ignore", invalid="ignore"):
+                score = np.cumsum(queries[a] * rows[b], axis=1)[:, -1]
+            no_number = np.isnan(score)
+            keys = zip(no_number.tolist(), np.where(no_number, 0.0, score).tolist(), (-row_ids[b]).tolist())
+            for query, entry in zip(a.tolist(), keys):
                 heap = heaps[query]
                 if len(heap) < k:
-                    heapq.heappush(heap, (s, -row))
-                elif (s, -row) > heap[0]:
-                    heapq.heapreplace(heap, (s, -row))
-    return heaps
+                    heapq.heappush(heap, entry)
+                elif entry > heap[0]:
+                    heapq.heapreplace(heap, entry)
+    return [[(math.nan if no_number else s, row) for no_number, s, row in heap] for heap in heaps]
 
 
 def nearest(queries: DataFrame, rows: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", k: int = K) -> DataFrame:
