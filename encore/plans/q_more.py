@@ -457,6 +457,71 @@ def q_ingest_shapes(spark, sf):
     )
 
 
+# --- S1, S2: the file listing, and large arrays read in ranges -----------------------------------
+
+
+@register("export_files", """
+SELECT CASE o_orderkey % 4 WHEN 0 THEN 'array' WHEN 1 THEN 'lines' WHEN 2 THEN 'late' ELSE 'pretty' END
+  || '-' || CAST(CAST(floor(o_orderkey / 20000) AS BIGINT) AS VARCHAR) || '.json' AS file_name FROM orders GROUP BY 1
+UNION ALL SELECT 'nation-' || CAST(n_nationkey AS VARCHAR) || '.json' FROM nation
+""")
+def q_export_files(spark, sf):
+    from encore.sources.exports import json_files
+
+    return json_files(spark, _shapes_dir(spark, sf)).select("file_name")
+
+
+RANGE_BYTES = 262_144  # of the ranges that the arrays below are read in
+
+
+def _arrays_dir(spark, sf):
+    """One-line arrays of nested records, with brackets and quotes in texts, made from ``orders``: files
+    far larger than ``RANGE_BYTES``. Every seventh file misses its closing bracket."""
+    from encore.session import shared_dir
+    from encore.sources import fs
+    from encore.sources.curated import is_written, star_curated_path
+
+    path = f"{shared_dir(spark)}/encore/arrays/{star_curated_path(spark, sf).rsplit('/', 1)[-1]}"
+    with _exports_lock:
+        if is_written(spark, path):
+            return path
+        o = read_table(spark, sf, "orders").select("o_orderkey", "o_orderdate", "o_orderstatus", "o_orderpriority")
+        rec = F.to_json(F.struct(
+            F.date_format("o_orderdate", "yyyy-MM-dd'T'00:00:00'Z'").alias("ts"),
+            (F.col("o_orderkey") % 100000).alias("ms_played"),
+            F.concat("o_orderstatus", F.lit('}, {"ts": "\\'), "o_orderpriority").alias(TRACK),
+            F.struct(F.array(F.struct(F.col("o_orderkey").cast("string").alias("k")), F.struct(F.lit("]}").alias("k"))).alias("b")).alias("zz"),
+        ))
+        files = o.groupBy(F.floor(F.col("o_orderkey") / 20000).alias("f")).agg(F.collect_list(rec).alias("r"))  # <= 20000 records
+        end = F.when(F.col("f") % 7 == 3, "").otherwise("]")
+        rows = files.select(F.col("f").alias("_f"), F.concat(F.lit("["), F.array_join("r", ", "), end).alias("value"))
+        rows.write.mode("overwrite").partitionBy("_f").text(f"{path}-rows")
+        for part, _, _ in fs.listing(spark, f"{path}-rows"):
+            fs.move(spark, part, f"{path}/{part.rsplit('/', 2)[-2].removeprefix('_f=')}.json")
+        fs.touch(spark, f"{path}/_SUCCESS")
+        fs.remove(spark, f"{path}-rows")
+    return path
+
+
+@register("ingest_arrays", """
+SELECT CAST(CAST(floor(o_orderkey / 20000) AS BIGINT) AS VARCHAR) || '.json' AS source_file,
+  strftime(o_orderdate, '%Y-%m-%d') || 'T00:00:00Z' AS ts, CAST(o_orderkey % 100000 AS DOUBLE) AS ms_played,
+  o_orderstatus || '}, {"ts": "\\' || o_orderpriority AS track,
+  '{"zz":{"b":[{"k":"' || CAST(o_orderkey AS VARCHAR) || '"},{"k":"]}"}]}}' AS extra_json
+FROM orders WHERE CAST(floor(o_orderkey / 20000) AS BIGINT) % 7 <> 3
+""")
+def q_ingest_arrays(spark, sf):
+    from encore.sources.exports import read_exports
+
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(RANGE_BYTES))
+    try:  # arrays are cut while the frame is made
+        raw = read_exports(spark, _arrays_dir(spark, sf))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    return raw.select("source_file", "ts", "ms_played", F.col(TRACK).alias("track"), "extra_json")
+
+
 # --- A21, A22: interval bounds and p-value as columns ------------------------------------------
 
 # The oracle has no Student distribution. The quantile is its expansion in 1/dof around the normal

@@ -7,10 +7,11 @@ line-by-line fallback:
 * otherwise every line is decoded on its own and bad lines are skipped;
 * elements that are not objects are dropped; a blank file gives nothing.
 
-A file whose first line is a complete JSON object can only be line-delimited (anything after it
-would make the whole text invalid), so it is read by lines: split over tasks, of any length. All
-other files - arrays, pretty-printed documents, files that begin with a bad line - are decoded
-whole, one file a row, with the line-by-line fallback there; one beyond a row's limit raises.
+A file of one reader split (at most ``WHOLE_BYTES``) is one row and decoded whole, which reads each text
+once. Of a larger file only the first line is looked at, in tasks: if that is a complete JSON object,
+the file can only be line-delimited (anything after it would make the whole text invalid) and is read
+by lines. Arrays and objects are cut into chunks at their records' ends by many tasks (``split_json``),
+of any length; what is not sound as a whole goes by lines like everything else.
 ``file_report`` tells per file how it was read, its records and its skipped lines.
 
 Decoding uses VARIANT: wrapping the text in brackets makes the decode strict (the outer array
@@ -22,13 +23,12 @@ so it can take part in de-duplication).
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from encore.schema import RAW_COLUMNS, RAW_SCHEMA, export_key, raw_type
 from encore.session import configure
+from encore.sources import fs, split_json
 from encore.sources.fs import exists
 
 # Each candidate decoding is parsed once, in its own projection; a line or file that is not
@@ -51,7 +51,7 @@ def empty_raw(spark: SparkSession) -> DataFrame:
 
 
 _ONE = "from_json(concat('[', t, ']'), 'array<variant>')"
-_TRIMMED = "trim(BOTH ' \t\r\n' FROM value)"
+_TRIMMED = "trim(BOTH ' \t\r\n\ufeff' FROM value)"  # blanks and a byte order mark
 
 
 def decode(text: DataFrame) -> DataFrame:
@@ -86,7 +86,9 @@ def base_name(path: str | Column) -> Column:
 
 def _find(pattern: str) -> dict:
     return {"recursiveFileLookup": True, "pathGlobFilter": pattern}
-def typed(rec: DataFrame) -> DataFrame:
+
+
+def typed(rec: DataFrame, *more: str) -> DataFrame:
     """VARIANT records -> raw plays: expected columns typed (absent -> NULL; ``ts`` kept as
     text for ``prepare`` to parse), unexpected keys as canonical JSON in ``extra_json``."""
     cols = []
@@ -97,72 +99,94 @@ def typed(rec: DataFrame) -> DataFrame:
     extra = F.expr(
         f"map_filter(try_variant_get(e, '$', 'map<string,variant>'), (k, v) -> NOT array_contains(array({expected}), k))"
     )
-    return rec.select(*cols, F.col("source_file"), F.when(F.size(extra) > 0, F.to_json(extra)).alias("extra_json"))
+    return rec.select(*cols, F.col("source_file"), F.when(F.size(extra) > 0, F.to_json(extra)).alias("extra_json"), *more)
 
 
-def _line_delimited(spark: SparkSession, data_dir: str, pattern: str) -> list[str]:
-    """Paths of the files whose first line (that is not blank) is a complete JSON object. Only the
-    first block of each file is decoded; what returns to the driver is a part of its file listing."""
-    head = spark.read.text(data_dir, **_find(pattern)).select(
-        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("at"),
-        F.expr(_TRIMMED).alias("t"), F.monotonically_increasing_id().alias("id"),
-    ).where("at = 0 AND t <> ''")
-    whole = F.expr(f"left(t, 1) = '{{' AND size({_ONE}) = 1")
-    first = head.groupBy("path").agg(F.min("id").alias("a"), F.min(F.when(whole, F.col("id"))).alias("b"))
-    return [r["path"] for r in first.where("a = b").select("path").collect()]
+WHOLE_BYTES = 16 << 20  # of a file that is decoded in one row
 
+_SPLIT = {"[": (1, split_json.array_elements), "{": (0, split_json.object_elements)}
 
-def _plain(spark: SparkSession, uri: str) -> str:
-    """A path as the reader wants it, from the escaped form in a row's metadata."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(uri)).toString()
-    return re.sub(r"([\\*?\[\]{}])", r"\\\1", path)
 
+def _whole_bytes(spark: SparkSession) -> int:
+    """A file beyond this is not one row: a reader split, at most ``WHOLE_BYTES``."""
+    split = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    return min(WHOLE_BYTES, split)
 
-def _texts(spark: SparkSession, data_dir: str, pattern: str) -> tuple[DataFrame | None, DataFrame | None]:
-    """``(lines, files)``: line-delimited files by line, the others whole; None where there are none."""
-    lines = sorted(_plain(spark, p) for p in _line_delimited(spark, data_dir, pattern))
-    every = spark.read.format("binaryFile").options(**_find(pattern)).load(data_dir).select("_metadata.file_path").distinct()
-    files = sorted(set(_plain(spark, r["file_path"]) for r in every.collect()) - set(lines))  # the listing
-    out = []
-    for paths, whole in ((lines, False), (files, True)):
-        text = spark.read.text(paths, wholetext=whole) if paths else None
-        out.append(text.select(base_name("_metadata.file_path").alias("source_file"), "value") if paths else None)
-    return out[0], out[1]
 
+def _named(text: DataFrame) -> DataFrame:
+    return text.select(base_name("_metadata.file_path").alias("source_file"), "value")
 
-def records(spark: SparkSession, data_dir: str, pattern: str = PATTERN) -> DataFrame:
-    """``source_file, e`` for every record of every ``*.json`` file under ``data_dir``."""
-    configure(spark)
-    lines, files = _texts(spark, data_dir, pattern)
-    parts = [f(t) for f, t in ((decode_lines, lines), (decode, files)) if t is not None]
-    if not parts:
-        return decode(spark.createDataFrame([], "source_file string, value string"))
-    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
+def _small(spark: SparkSession, data_dir: str, pattern: str) -> DataFrame:
+    """``source_file, value``: the small files, one row each. The size prunes the file listing."""
+    text = spark.read.text(data_dir, wholetext=True, **_find(pattern))
+    return _named(text.where(F.col("_metadata.file_size") <= _whole_bytes(spark)))
+
+
+def _by_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
+    return _named(spark.read.text(paths))
+
+
+def _large(spark: SparkSession, data_dir: str, pattern: str) -> tuple[list[str], DataFrame | None]:
+    """``(by_lines, plays)``: paths of the large files that are read by lines, and the typed rows of those
+    that are one JSON value, also of elements that are no records (``is_record``); None if there are none.
+    The paths come from the listing."""
+    listed = spark.read.format("binaryFile").options(**_find(pattern)).load(data_dir)
+    paths = [r["path"] for r in listed.where(F.col("length") > _whole_bytes(spark)).select("_metadata.file_path").toDF("path").collect()]
+    if not paths:
+        return [], None
+    line = split_json.heads(spark, [split_json.plain_path(spark, p) for p in paths])
+    one = F.expr(f"left(t, 1) = '{{' AND coalesce(size({_ONE}) = 1, false)")
+    kinds = line.select("path", F.expr(_TRIMMED.replace("value", "line")).alias("t")).select(
+        "path", F.when(one, "lines").otherwise(F.left("t", F.lit(1))).alias("kind"))
+    by_kind: dict[str, list[str]] = {}
+    for r in kinds.collect():
+        by_kind.setdefault(r["kind"] if r["kind"] in _SPLIT else "lines", []).append(r["path"])
+    lines, plays = set(by_kind.get("lines", [])), None
+    for first, (level, elements) in _SPLIT.items():
+        if first not in by_kind:
+            continue
+        stage = fs.temporary(spark, "ingest")
+        chunks = split_json.cut_files(spark, sorted(split_json.plain_path(spark, p) for p in by_kind[first]), level, stage)
+        found = elements(chunks)
+        rec = found.select("path", "sound", F.explode_outer("elements").alias("e"))
+        rec = rec.withColumn("source_file", base_name("path")).withColumn("is_record", F.expr(f"coalesce({_IS_OBJECT}, false)"))
+        typed(rec, "path", "sound", "is_record").write.parquet(f"{stage}/plays")
+        staged = spark.read.parquet(f"{stage}/plays")
+        broken = [r["path"] for r in staged.where("NOT sound").select("path").distinct().collect()]
+        lines |= set(broken)
+        if broken:
+            staged = staged.join(spark.createDataFrame([(p,) for p in broken], "path string"), "path", "left_anti")
+        plays = staged if plays is None else plays.unionByName(staged)
+    return sorted(split_json.plain_path(spark, p) for p in lines), plays
 
 
 def file_report(spark: SparkSession, data_dir: str, pattern: str = PATTERN) -> DataFrame:
-    """Per file name: ``read_as`` ('lines' or 'file'), ``records`` and ``skipped_lines`` (not blank,
-    not decodable; 0 for a file that is one JSON value)."""
+    """Per file name: ``read_as`` ('lines', 'file', or 'parts' for one JSON value that was cut into
+    chunks), ``records`` and ``skipped_lines`` (not blank, not decodable; 0 for a file that is one JSON value)."""
     configure(spark)
-    lines, files = _texts(spark, data_dir, pattern)
-    schema = "source_file string, read_as string, records long, skipped_lines long"
-    out = spark.createDataFrame([], schema)
-    if lines is not None:
-        t = lines.select("source_file", F.expr(_TRIMMED).alias("t")).where("t <> ''").withColumn("a", F.expr(_ONE))
+    files = _small(spark, data_dir, pattern)
+    n = decode(files).groupBy("source_file").agg(F.count(F.lit(1)).alias("records"))
+    t = files.select("source_file", F.expr(_TRIMMED).alias("t")).select(
+        "source_file", "t", F.expr(_WHOLE_ARRAY).alias("x"), F.expr(_WHOLE_OBJECT).alias("y"))
+    bad = F.expr(f"size(filter(transform({_LINES}, l -> {_TRIMMED.replace('value', 'l')}), "
+                 f"t -> t <> '' AND coalesce(size({_ONE}), 0) <> 1))")
+    one = (F.coalesce(F.size("x") == 1, F.lit(False))) | (F.coalesce(F.size("y") == 1, F.lit(False)))
+    first = f"element_at(filter(transform({_LINES}, l -> {_TRIMMED.replace('value', 'l')}), l -> l <> ''), 1)"
+    by_line = F.expr(f"coalesce(left(t, 1) = '{{' AND size({_ONE.replace('t,', first + ',')}) = 1, false)")
+    s = t.groupBy("source_file").agg(
+        F.max(F.when(by_line, "lines").otherwise("file")).alias("read_as"), F.sum(F.when(one, 0).otherwise(bad)).alias("skipped_lines"))
+    out = s.join(n, "source_file", "left").select("source_file", "read_as", F.coalesce("records", F.lit(0)).alias("records"), "skipped_lines")
+    paths, plays = _large(spark, data_dir, pattern)
+    if paths:
+        t = _by_lines(spark, paths).select("source_file", F.expr(_TRIMMED).alias("t")).where("t <> ''").withColumn("a", F.expr(_ONE))
         e = t.withColumn("e", F.when(F.size("a") == 1, F.col("a")[0]))
         out = out.unionByName(e.groupBy("source_file").agg(
             F.lit("lines").alias("read_as"), F.count_if(F.expr(_IS_OBJECT)).alias("records"),
             F.count_if(F.coalesce(F.size("a") != 1, F.lit(True))).alias("skipped_lines")))
-    if files is not None:
-        n = decode(files).groupBy("source_file").agg(F.count(F.lit(1)).alias("records"))
-        t = files.select("source_file", F.expr(_TRIMMED).alias("t")).select(
-            "source_file", "t", F.expr(_WHOLE_ARRAY).alias("x"), F.expr(_WHOLE_OBJECT).alias("y"))
-        bad = F.expr(f"size(filter(transform({_LINES}, l -> {_TRIMMED.replace('value', 'l')}), "
-                     f"t -> t <> '' AND coalesce(size({_ONE}), 0) <> 1))")
-        one = (F.coalesce(F.size("x") == 1, F.lit(False))) | (F.coalesce(F.size("y") == 1, F.lit(False)))
-        s = t.groupBy("source_file").agg(F.sum(F.when(one, 0).otherwise(bad)).alias("skipped_lines"))
-        out = out.unionByName(s.join(n, "source_file", "left").select(
-            "source_file", F.lit("file").alias("read_as"), F.coalesce("records", F.lit(0)).alias("records"), "skipped_lines"))
+    if plays is not None:
+        out = out.unionByName(plays.groupBy("source_file").agg(
+            F.lit("parts").alias("read_as"), F.count_if("is_record").alias("records"), F.lit(0).alias("skipped_lines")))
     return out
 
 
@@ -171,7 +195,12 @@ def read_exports(spark: SparkSession, data_dir: str, pattern: str = PATTERN) ->
     the base file name, unexpected keys in ``extra_json`` (NULL when there are none)."""
     if not exists(spark, data_dir):
         return empty_raw(spark)
-    return typed(records(spark, data_dir, pattern))
+    configure(spark)
+    out = typed(decode(_small(spark, data_dir, pattern)))
+    paths, plays = _large(spark, data_dir, pattern)
+    if paths:
+        out = out.unionByName(typed(decode_lines(_by_lines(spark, paths))))
+    return out if plays is None else out.unionByName(plays.where("is_record").select(out.columns))
 
 
 def json_files(spark: SparkSession, data_dir: str) -> DataFrame:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import uuid
+
 from pyspark.sql import SparkSession
 
 
@@ -61,3 +65,18 @@ def move(spark: SparkSession, path: str, new: str) -> None:
 def touch(spark: SparkSession, path: str) -> None:
     p, fs = _path(spark, path)
     fs.create(p, True).close()
+
+
+def temporary(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared folder for a job's intermediate tables. It goes when the driver's
+    process ends."""
+    from encore.session import shared_dir
+
+    path = f"{shared_dir(spark)}/encore/tmp/{name}-{uuid.uuid4().hex}"
+
+    def drop() -> None:
+        with contextlib.suppress(Exception):  # the JVM may have ended first
+            remove(spark, path)
+
+    atexit.register(drop)
+    return path
