@@ -7,11 +7,10 @@ line-by-line fallback:
 * otherwise every line is decoded on its own and bad lines are skipped;
 * elements that are not objects are dropped; a blank file gives nothing.
 
-A file of one reader split (at most ``WHOLE_BYTES``) is one row and decoded whole, which reads each text
-once. Of a larger file only the first line is looked at, in tasks: if that is a complete JSON object,
-the file can only be line-delimited (anything after it would make the whole text invalid) and is read
-by lines. Arrays and objects are cut into chunks at their records' ends by many tasks (``split_json``),
-of any length; what is not sound as a whole goes by lines like everything else.
+A file of one reader split (at most ``WHOLE_BYTES``) is one row and decoded whole. A larger one, of any
+length, is cut into chunks at its records' ends by many tasks (``split_json``): an array, an object, or a
+line-delimited file without bad lines. Either way its text is read once. Large files with bad
+lines, and what is not sound as a whole, are read once more, by lines.
 ``file_report`` tells per file how it was read, its records and its skipped lines.
 
 Decoding uses VARIANT: wrapping the text in brackets makes the decode strict (the outer array
@@ -104,9 +103,6 @@ def typed(rec: DataFrame, *more: str) -> DataFrame:
 
 WHOLE_BYTES = 16 << 20  # of a file that is decoded in one row
 
-_SPLIT = {"[": (1, split_json.array_elements), "{": (0, split_json.object_elements)}
-
-
 def _whole_bytes(spark: SparkSession) -> int:
     """A file beyond this is not one row: a reader split, at most ``WHOLE_BYTES``."""
     split = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
@@ -135,30 +131,16 @@ def _large(spark: SparkSession, data_dir: str, pattern: str) -> tuple[list[str],
     paths = [r["path"] for r in listed.where(F.col("length") > _whole_bytes(spark)).select("_metadata.file_path").toDF("path").collect()]
     if not paths:
         return [], None
-    line = split_json.heads(spark, [split_json.plain_path(spark, p) for p in paths])
-    one = F.expr(f"left(t, 1) = '{{' AND coalesce(size({_ONE}) = 1, false)")
-    kinds = line.select("path", F.expr(_TRIMMED.replace("value", "line")).alias("t")).select(
-        "path", F.when(one, "lines").otherwise(F.left("t", F.lit(1))).alias("kind"))
-    by_kind: dict[str, list[str]] = {}
-    for r in kinds.collect():
-        by_kind.setdefault(r["kind"] if r["kind"] in _SPLIT else "lines", []).append(r["path"])
-    lines, plays = set(by_kind.get("lines", [])), None
-    for first, (level, elements) in _SPLIT.items():
-        if first not in by_kind:
-            continue
-        stage = fs.temporary(spark, "ingest")
-        chunks = split_json.cut_files(spark, sorted(split_json.plain_path(spark, p) for p in by_kind[first]), level, stage)
-        found = elements(chunks)
-        rec = found.select("path", "sound", F.explode_outer("elements").alias("e"))
-        rec = rec.withColumn("source_file", base_name("path")).withColumn("is_record", F.expr(f"coalesce({_IS_OBJECT}, false)"))
-        typed(rec, "path", "sound", "is_record").write.parquet(f"{stage}/plays")
-        staged = spark.read.parquet(f"{stage}/plays")
-        broken = [r["path"] for r in staged.where("NOT sound").select("path").distinct().collect()]
-        lines |= set(broken)
-        if broken:
-            staged = staged.join(spark.createDataFrame([(p,) for p in broken], "path string"), "path", "left_anti")
-        plays = staged if plays is None else plays.unionByName(staged)
-    return sorted(split_json.plain_path(spark, p) for p in lines), plays
+    stage = fs.temporary(spark, "ingest")
+    found = split_json.elements(split_json.cut_files(spark, [split_json.plain_path(spark, p) for p in paths], stage))
+    rec = found.select("path", "sound", F.explode_outer("elements").alias("e"))
+    rec = rec.withColumn("source_file", base_name("path")).withColumn("is_record", F.expr(f"coalesce({_IS_OBJECT}, false)"))
+    typed(rec, "path", "sound", "is_record").write.parquet(f"{stage}/plays")
+    plays = spark.read.parquet(f"{stage}/plays")
+    lines = sorted(r["path"] for r in plays.where("NOT sound").select("path").distinct().collect())
+    if lines:
+        plays = plays.join(spark.createDataFrame([(p,) for p in lines], "path string"), "path", "left_anti")
+    return [split_json.plain_path(spark, p) for p in lines], plays
 
 
 def file_report(spark: SparkSession, data_dir: str, pattern: str = PATTERN) -> DataFrame:

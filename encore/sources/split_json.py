@@ -1,4 +1,4 @@
-"""Large JSON arrays and objects read in byte ranges, by many tasks.
+"""Large JSON files read in byte ranges, by many tasks, their text once.
 
 A JSON text can be cut safely only where one of its records ends, and where that is depends on all
 quotes and brackets before. So the text is read in pieces that end at every ``}`` (Spark's text reader with
@@ -6,15 +6,17 @@ that line separator splits files over tasks), and
 
 1. every task goes through its file ranges once. It notes what a range does to the state of the text -
    how many quotes it holds, and how the depth changes, for a start outside and inside a string - and
-   cuts it at the record ends it finds when it takes the range to start between two records;
+   cuts it at the record ends it finds when it takes the range to start between two records. The range
+   that begins a file also notes its kind, so that no other step looks at its layout;
 2. a prefix scan over the ranges of a file (one row each) composes those notes to the true state at
    every start. Where a guess was wrong (nested records, quoted braces), that file's ranges are cut once
    more, from their true states;
 3. what lies between the last cut of a range and the first one of a later range is put together, a
    record that spans ranges. It must fit in a row, as any record.
 
-Every chunk is then decoded strictly; a file all of whose chunks are sound is one JSON value. Other
-files are the caller's to read by lines.
+Every chunk is then decoded strictly. An array or object all of whose chunks are sound is one JSON
+value; a line-delimited file all of whose chunks are one record on a line of its own needs no second
+look either. Other files are the caller's to read by lines.
 """
 
 from __future__ import annotations
@@ -40,9 +42,10 @@ def _depth(text: bytes) -> int:
 
 
 class Range:
-    """One range of a file, piece by piece, from a state: ``quoted`` (inside a string) and ``depth``."""
+    """One range of a file, piece by piece, from a state: ``quoted`` (inside a string) and ``depth``.
+    Records end at the depth ``level``."""
 
-    def __init__(self, level: int, quoted: int, depth: int):
+    def __init__(self, level: int = 0, quoted: int = 0, depth: int = 0):
         self.level, self.quoted, self.depth = level, quoted, depth
         self.parity, self.quotes, self.bytes = 0, 0, 0
         self.change = [0, 0]  # of the depth, from a start outside and one inside a string
@@ -90,14 +93,30 @@ class Range:
         return self._part(TAIL if self.cuts else WHOLE, b"")
 
 
-def _cutter(level: int, states: dict):
-    """The task side: pieces ``path, at, size, value`` in file order -> rows of ``_SCHEMA``."""
+ARRAY, OBJECT, LINES, OTHER = "[", "{", "l", "-"  # kinds of files
+_BLANK_BYTES = b" \t\r\n\xef\xbb\xbf"  # and a byte order mark
+
+
+def _kind(first: bytes) -> str:
+    """What a file may be, by the text up to its first cut. If its first record stands on one line it
+    can only be line-delimited."""
+    text = first.strip(_BLANK_BYTES)
+    if text[:1] == b"{":
+        return OBJECT if re.search(rb"[\r\n]", text) else LINES
+    return ARRAY if text[:1] == b"[" else OTHER
+
+
+def _cutter(states: dict):
+    """The task side: pieces ``path, at, size, value`` in file order -> rows of ``_SCHEMA``. ``states`` has
+    ``(level, quoted, depth)`` of the ranges whose start is known."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, range_, held, rows, waiting = None, None, None, [], 0
+        key, range_, held, kind, rows, waiting = None, None, None, None, [], 0
 
         def add(part: int, text: bytes | None) -> None:
-            nonlocal waiting
+            nonlocal waiting, kind
+            if kind is None and not key[1]:
+                kind = _kind(text or b"")
             rows.append((*key[:2], part, text, None, None, None, None, None, None))
             waiting += len(text or b"")
 
@@ -107,7 +126,7 @@ def _cutter(level: int, states: dict):
             range_.read(held, last=True)
             cuts = range_.cuts
             add(*range_.rest())
-            rows.append((*key[:2], NOTE, None, range_.bytes, range_.quotes, *range_.change, cuts, key[2]))
+            rows.append((*key[:2], NOTE, kind and kind.encode(), range_.bytes, range_.quotes, *range_.change, cuts, key[2]))
 
         def batch() -> pa.RecordBatch:
             nonlocal rows, waiting
@@ -120,8 +139,9 @@ def _cutter(level: int, states: dict):
             for path, at, size, piece in zip(*(c.to_pylist() for c in b.columns)):
                 if (path, at, size) != key:
                     close()
-                    key, held = (path, at, size), None
-                    range_ = Range(level, *states.get((path, at), (0, level if at else 0)))
+                    key, held, kind = (path, at, size), None, None
+                    begins_array = not at and piece.lstrip(_BLANK_BYTES)[:1] == b"["
+                    range_ = Range(*states.get((path, at), (int(begins_array), 0, 0)))
                 if held is not None:
                     found = range_.read(held, last=False)
                     if found:
@@ -135,11 +155,11 @@ def _cutter(level: int, states: dict):
     return run
 
 
-def _cut(spark: SparkSession, paths: list[str], level: int, states: dict) -> DataFrame:
+def _cut(spark: SparkSession, paths: list[str], states: dict) -> DataFrame:
     pieces = spark.read.text(paths, lineSep="}").select(
         F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("at"),
         F.col("_metadata.file_size").alias("size"), F.col("value").cast("binary").alias("value"))
-    return pieces.mapInArrow(_cutter(level, states), _SCHEMA)
+    return pieces.mapInArrow(_cutter(states), _SCHEMA)
 
 
 def _states(notes: DataFrame) -> DataFrame:
@@ -150,22 +170,28 @@ def _states(notes: DataFrame) -> DataFrame:
     return s.select("path", "at", "quoted", F.coalesce(F.sum("change").over(before), F.lit(0)).alias("depth"))
 
 
-def cut_files(spark: SparkSession, paths: list[str], level: int, stage: str) -> DataFrame:
-    """The chunks of the files: ``path, first, last, text``. ``level`` is the depth at which records end:
-    1 for arrays, 0 for single objects. ``stage`` is a folder for the cut pieces; each is written once,
-    and once more for a file whose ranges do not start between records."""
-    _cut(spark, paths, level, {}).write.parquet(f"{stage}/guessed")
+def cut_files(spark: SparkSession, paths: list[str], stage: str) -> DataFrame:
+    """The chunks of the files: ``path, kind, first, last, text``. ``stage`` is a folder for the cut pieces; each is
+    written once, and once more for an array or object whose ranges do not start between records. (A
+    line-delimited file with such ranges is better read by lines; its kind is then ``OTHER``.)"""
+    _cut(spark, paths, {}).write.partitionBy("part").parquet(f"{stage}/guessed")
     cut = spark.read.schema(_SCHEMA).parquet(f"{stage}/guessed")
-    true = _states(cut.where(F.col("part") == NOTE))
-    off = true.where((F.col("at") > 0) & ((F.col("quoted") != 0) | (F.col("depth") != level))).select("path").distinct()
+    notes = cut.where(F.col("part") == NOTE)
+    kinds = notes.where("at = 0").select("path", F.col("text").cast("string").alias("kind"))
+    level = (F.col("kind") == ARRAY).cast("int")
+    true = _states(notes).join(kinds, "path").withColumn("level", level)
+    off = true.where((F.col("at") > 0) & ((F.col("quoted") != 0) | (F.col("depth") != F.col("level")))).select("path").distinct()
+    wrong = true.join(off, "path", "left_semi")
     # one row per range of the files to be cut again
-    again = {(r["path"], r["at"]): (r["quoted"], r["depth"]) for r in true.join(off, "path", "left_semi").collect()}
+    again = {(r["path"], r["at"]): (r["level"], r["quoted"], r["depth"]) for r in wrong.where(F.col("kind").isin(ARRAY, OBJECT)).collect()}
     if again:
-        wrong = sorted({p for p, _ in again})
-        _cut(spark, [plain_path(spark, p) for p in wrong], level, again).write.parquet(f"{stage}/known")
-        names = spark.createDataFrame([(p,) for p in wrong], "path string")
-        cut = cut.join(names, "path", "left_anti").unionByName(spark.read.schema(_SCHEMA).parquet(f"{stage}/known"))
-    return _joined(cut)
+        names = sorted({p for p, _ in again})
+        _cut(spark, [plain_path(spark, p) for p in names], again).write.partitionBy("part").parquet(f"{stage}/known")
+        known = spark.read.schema(_SCHEMA).parquet(f"{stage}/known")
+        cut = cut.join(spark.createDataFrame([(p,) for p in names], "path string"), "path", "left_anti").unionByName(known)
+    by_line = wrong.where(F.col("kind") == LINES).select("path", F.lit(OTHER).alias("other")).distinct()
+    kinds = kinds.join(by_line, "path", "left").select("path", F.coalesce("other", "kind").alias("kind"))
+    return _joined(cut).join(kinds, "path")
 
 
 def _joined(cut: DataFrame) -> DataFrame:
@@ -188,66 +214,33 @@ def _joined(cut: DataFrame) -> DataFrame:
     return full.unionByName(spanning)
 
 
-_BLANKS = "' \\t\\r\\n'"
+_BLANKS = "' \\t\\r\\n\\ufeff'"
 _T = f"trim(BOTH {_BLANKS} FROM text)"
 
 
-def array_elements(chunks: DataFrame) -> DataFrame:
-    """Chunks of arrays -> ``path, sound, elements array<variant>``."""
-    t = chunks.select("path", "first", "last", F.expr(_T).alias("t"))
-    t = t.withColumn("body", F.expr("""CASE WHEN first AND left(t, 1) = '[' THEN substr(t, 2)
+def elements(chunks: DataFrame) -> DataFrame:
+    """``path, sound, elements array<variant>``: the values of each chunk, and whether it is as a chunk of
+    its file's kind must be."""
+    t = chunks.select("path", "kind", "first", "last", "text", F.expr(_T).alias("t"))
+    # of an array: brackets at its ends, a comma before every other chunk
+    t = t.withColumn("body", F.expr(f"""CASE WHEN kind <> '{ARRAY}' THEN NULL WHEN first AND left(t, 1) = '[' THEN substr(t, 2)
         WHEN NOT first AND left(t, 1) = ',' THEN substr(t, 2) WHEN NOT first AND last AND t = ']' THEN t END"""))
     t = t.withColumn("body", F.expr(f"""CASE WHEN NOT last THEN body
         WHEN right(body, 1) = ']' THEN trim(BOTH {_BLANKS} FROM left(body, length(body) - 1)) END"""))
     t = t.withColumn("a", F.expr("CASE WHEN body <> '' THEN from_json(concat('[[', body, ']]'), 'array<array<variant>>') END"))
-    none = "body = '' AND last AND (first OR t = ']')"
-    return t.select("path", F.expr(f"coalesce(size(a) = 1 OR ({none}), false)").alias("sound"),
-                    F.expr("CASE WHEN size(a) = 1 THEN a[0] END").alias("elements"))
-
-
-def object_elements(chunks: DataFrame) -> DataFrame:
-    """Chunks of files that should be one object each -> ``path, sound, elements array<variant>``."""
-    t = chunks.select("path", "first", "last", F.expr(_T).alias("t"))
-    t = t.withColumn("a", F.expr("CASE WHEN first AND left(t, 1) = '{' THEN from_json(concat('[', t, ']'), 'array<variant>') END"))
-    return t.select("path", F.expr("coalesce(size(a) = 1 OR (NOT first AND last AND t = ''), false)").alias("sound"),
-                    F.expr("CASE WHEN size(a) = 1 THEN a END").alias("elements"))
+    # of a single object: the object, then blanks; of lines: objects, each on a line of its own
+    t = t.withColumn("lines", F.expr(rf"""CASE WHEN kind = '{OBJECT}' AND first THEN array(t)
+        WHEN kind = '{LINES}' AND (first OR left(text, instr(text, '{{')) RLIKE '[\\r\\n]') THEN split(t, '[\\r\\n]+') END"""))
+    t = t.withColumn("o", F.expr("""CASE WHEN forall(lines, l -> left(ltrim(l), 1) = '{') THEN
+        transform(lines, l -> from_json(concat('[', l, ']'), 'array<variant>')) END"""))
+    t = t.withColumn("o", F.expr("CASE WHEN forall(o, x -> size(x) = 1) THEN flatten(o) END"))
+    nothing = f"kind = '{ARRAY}' AND body = '' AND last AND (first OR t = ']') OR kind IN ('{OBJECT}', '{LINES}') AND NOT first AND last AND t = ''"
+    return t.select(
+        "path", F.expr(f"coalesce(size(a) = 1, false) OR o IS NOT NULL OR coalesce({nothing}, false)").alias("sound"),
+        F.expr("CASE WHEN size(a) = 1 THEN a[0] ELSE o END").alias("elements"))
 
 
 def plain_path(spark: SparkSession, uri: str) -> str:
     """A path as the reader wants it, from the escaped form in a row's metadata."""
     path = spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(uri)).toString()
     return re.sub(r"([\\*?\[\]{}])", r"\\\1", path)
-
-
-# --- layout ----------------------------------------------------------------------------------------
-
-
-def _head(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The first line that is not blank, of the ranges that begin a file, as far as it is needed: one
-    that begins an array is known by its bracket."""
-    done, text = False, b""
-    for b in batches:
-        for path, at, piece in zip(*(c.to_pylist() for c in b.columns)):
-            if at:
-                return  # a range further on: nothing more is read of it
-            text = (text + piece + b"}").lstrip(b" \t\r\n\xef\xbb\xbf")
-            done = text[:1] == b"[" or re.search(rb"[\r\n]", text) is not None
-            if done:
-                break
-        if done:
-            break
-    if text:
-        line = re.split(rb"[\r\n]", text, maxsplit=1)[0]
-        yield pa.RecordBatch.from_pydict({"path": pa.array([path]), "line": pa.array([b"[" if line[:1] == b"[" else line], pa.binary())})
-
-
-def heads(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """``path, line``: the first line of every file, or ``[`` where it begins an array. Each range of a file
-    has a task of its own, which ends after the first rows; only the first one reads on to the line's end."""
-    probe = spark.newSession()  # settings of its own
-    probe.conf.set("spark.sql.files.maxPartitionBytes", spark.conf.get("spark.sql.files.maxPartitionBytes"))
-    probe.conf.set("spark.sql.files.openCostInBytes", "1g")  # no two ranges in a task
-    probe.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "8")
-    pieces = probe.read.text(paths, lineSep="}").select(
-        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("at"), F.col("value").cast("binary").alias("value"))
-    return pieces.mapInArrow(_head, "path string, line binary").select("path", F.col("line").cast("string").alias("line"))
