@@ -522,6 +522,36 @@ def q_ingest_arrays(spark, sf):
     return raw.select("source_file", "ts", "ms_played", F.col(TRACK).alias("track"), "extra_json")
 
 
+# --- U1: union of frames with columns of unlike types --------------------------------------------
+
+
+@register("union_unlike", """
+WITH a AS (
+  SELECT CAST(o_orderkey AS VARCHAR) AS id, CAST(o_orderkey % 100 AS DOUBLE) AS size, CAST(o_orderdate AS DATE) AS day, CAST(o_orderkey % 2 = 0 AS VARCHAR) AS flag,
+    CAST(o_custkey AS DOUBLE) AS in_k, NULL AS in_s, o_orderstatus AS only_here, NULL AS segment FROM orders),
+b AS (
+  SELECT c_name AS id, c_acctbal AS size, CAST(NULL AS DATE) AS day, CAST(c_custkey AS VARCHAR) AS flag,
+    c_acctbal AS in_k, c_mktsegment AS in_s, NULL AS only_here, c_mktsegment AS segment FROM customer),
+u AS (SELECT * FROM a UNION ALL SELECT * FROM b)
+SELECT n AS first, id, size, strftime(day, '%Y-%m-%d') AS day, flag, in_k, in_s, only_here, segment
+FROM u, (VALUES ('orders'), ('customer')) AS o(n)
+""")
+def q_union_unlike(spark, sf):
+    """Orders and customers as one frame, in either order: numbers beside texts, flags beside numbers,
+    dates beside timestamps, structs of unlike fields."""
+    from encore.sources.exports import union_frames
+
+    a = read_table(spark, sf, "orders").select(
+        F.col("o_orderkey").alias("id"), (F.col("o_orderkey") % 100).cast("int").alias("size"), F.to_date("o_orderdate").alias("day"),
+        (F.col("o_orderkey") % 2 == 0).alias("flag"), F.struct(F.col("o_custkey").alias("k")).alias("in"), F.col("o_orderstatus").alias("only_here"))
+    b = read_table(spark, sf, "customer").select(
+        F.col("c_name").alias("id"), F.col("c_acctbal").alias("size"), F.lit(None).cast("timestamp").alias("day"), F.col("c_custkey").alias("flag"),
+        F.struct(F.col("c_mktsegment").alias("s"), F.col("c_acctbal").alias("k")).alias("in"), F.col("c_mktsegment").alias("segment"))
+    columns = ["id", "size", F.date_format("day", "yyyy-MM-dd").alias("day"), "flag", F.col("in.k").alias("in_k"), F.col("in.s").alias("in_s"), "only_here", "segment"]
+    first = union_frames([a, b]).select(F.lit("orders").alias("first"), *columns)
+    return first.unionByName(union_frames([b, a]).select(F.lit("customer").alias("first"), *columns))
+
+
 # --- A21, A22: interval bounds and p-value as columns ------------------------------------------
 
 # The oracle has no Student distribution. The quantile is its expansion in 1/dof around the normal

@@ -22,8 +22,11 @@ so it can take part in de-duplication).
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from encore.schema import RAW_COLUMNS, RAW_SCHEMA, export_key, raw_type
 from encore.session import configure
@@ -202,11 +205,82 @@ def json_files(spark: SparkSession, data_dir: str) -> DataFrame:
     return files.select("path", F.element_at(F.split("path", "/"), -1).alias("file_name")).orderBy("path")
 
 
+_WIDER = ["tinyint", "smallint", "int", "bigint", "float", "double"]
+
+
+def common_type(a: T.DataType, b: T.DataType) -> T.DataType:
+    """The smallest type that holds the values of both: of two numbers the wider one (a decimal beside
+    anything but a whole number is a double), timestamps over dates, arrays, maps and structs by their parts;
+    text for all that have nothing in common."""
+    if a == b or isinstance(b, T.NullType):
+        return a
+    if isinstance(a, T.NullType):
+        return b
+    if isinstance(a, T.NumericType) and isinstance(b, T.NumericType):
+        names = [t.simpleString() for t in (a, b)]
+        if all(n in _WIDER for n in names):
+            i, j = sorted(map(_WIDER.index, names))
+            # single precision holds no int and no bigint
+            return T.DoubleType() if _WIDER[j] == "float" and i >= 2 else (a if names[0] == _WIDER[j] else b)
+        digits = [(t.precision - t.scale, t.scale) if isinstance(t, T.DecimalType) else {"tinyint": (3, 0), "smallint": (5, 0), "int": (10, 0), "bigint": (20, 0)}.get(n) for t, n in zip((a, b), names)]
+        if None in digits or max(d[0] for d in digits) + max(d[1] for d in digits) > 38:
+            return T.DoubleType()
+        whole, scale = max(d[0] for d in digits), max(d[1] for d in digits)
+        return T.DecimalType(whole + scale, scale)
+    times = (T.DateType, T.TimestampType, T.TimestampNTZType)
+    if isinstance(a, times) and isinstance(b, times):
+        return T.TimestampNTZType() if {type(a), type(b)} == {T.DateType, T.TimestampNTZType} else T.TimestampType()
+    if isinstance(a, T.ArrayType) and isinstance(b, T.ArrayType):
+        return T.ArrayType(common_type(a.elementType, b.elementType), True)
+    if isinstance(a, T.MapType) and isinstance(b, T.MapType):
+        return T.MapType(common_type(a.keyType, b.keyType), common_type(a.valueType, b.valueType), True)
+    if isinstance(a, T.StructType) and isinstance(b, T.StructType):
+        return common_schema(a, b)
+    return T.StringType()
+
+
+def common_schema(a: T.StructType, b: T.StructType) -> T.StructType:
+    """All fields of both by name, in order of appearance, each of their common type."""
+    of_b = {f.name: f.dataType for f in b.fields}
+    fields = [(f.name, common_type(f.dataType, of_b.pop(f.name, f.dataType))) for f in a.fields]
+    return T.StructType([T.StructField(n, t, True) for n, t in [*fields, *of_b.items()]])
+
+
+_NESTED = (T.StructType, T.ArrayType, T.MapType)
+
+
+def as_type(c: Column, have: T.DataType, want: T.DataType) -> Column:
+    """``c`` in a wider type; text of nested values is JSON."""
+    if have == want:
+        return c
+    if isinstance(have, T.StructType) and isinstance(want, T.StructType):
+        of = {f.name: f.dataType for f in have.fields}
+        parts = [(as_type(c.getField(f.name), of[f.name], f.dataType) if f.name in of else F.lit(None).cast(f.dataType)).alias(f.name) for f in want.fields]
+        return F.when(c.isNotNull(), F.struct(*parts))
+    if isinstance(have, T.ArrayType) and isinstance(want, T.ArrayType):
+        return F.transform(c, lambda x: as_type(x, have.elementType, want.elementType))
+    if isinstance(have, T.MapType) and isinstance(want, T.MapType):
+        keys = F.transform(F.map_keys(c), lambda x: as_type(x, have.keyType, want.keyType))
+        return F.map_from_arrays(keys, F.transform(F.map_values(c), lambda x: as_type(x, have.valueType, want.valueType)))
+    if isinstance(want, T.StringType) and isinstance(have, _NESTED):
+        return F.to_json(c)
+    return c.cast(want)
+
+
 def union_frames(frames: list[DataFrame]) -> DataFrame:
-    """Union by column name of unlike frames (missing columns -> NULL)."""
+    """Union by column name of unlike frames: missing columns are NULL, columns of unlike types get a
+    type that holds the values of all frames (``common_type``), whatever the frames' order."""
     if not frames:
         raise ValueError("no frames")
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f, allowMissingColumns=True)
+    # text absorbs every other type, so it is known before two others meet
+    schema = reduce(common_schema, [f.schema for f in frames])
+    schema = reduce(common_schema, [f.schema for f in frames], schema)
+    out = None
+    for f in frames:
+        of = {x.name: x.dataType for x in f.schema.fields}
+        one = f.select(*[
+            (as_type(F.col(f"`{x.name}`"), of[x.name], x.dataType) if x.name in of else F.lit(None).cast(x.dataType)).alias(x.name)
+            for x in schema.fields
+        ])
+        out = one if out is None else out.unionByName(one)
     return out

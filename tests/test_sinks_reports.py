@@ -61,3 +61,43 @@ def test_heatmap_present_only_seen_axes(make_plays):
     got = {(r["weekday_name"], r["listening_hour"]): r["play_minutes"] for r in A.heatmap_present(p).collect()}
     assert got == {("Monday", 10): 1.0, ("Monday", 22): 0.0, ("Wednesday", 10): 0.0, ("Wednesday", 22): 2.0}
     assert A.heatmap_long(p).count() == 168
+
+
+def test_union_of_unlike_types_does_not_depend_on_the_order(spark):
+    import datetime as dt
+    import itertools
+
+    frames = [
+        spark.createDataFrame([(1, [1, 2], (1, "a"), {"k": 1})], "v int, l array<int>, s struct<a:int,b:string>, m map<string,int>"),
+        spark.createDataFrame([("x", [1.5], (True,), {"k": "z"})], "v string, l array<double>, s struct<a:boolean>, m map<string,string>"),
+        spark.createDataFrame([(dt.date(2024, 1, 2), None)], "v date, extra float"),
+        spark.createDataFrame([(True, 3)], "v boolean, extra bigint"),
+    ]
+    seen = set()
+    for order in itertools.permutations(frames):
+        u = union_frames(list(order))
+        got = sorted(str(r) for r in u.select("v", "l", "s.a", "s.b", "m", "extra").collect())
+        seen.add((tuple(got), u.schema["v"].dataType.simpleString(), u.schema["extra"].dataType.simpleString(), u.schema["l"].dataType.simpleString()))
+    assert len(seen) == 1
+    rows, v, extra, arrays = seen.pop()
+    assert (v, extra, arrays) == ("string", "double", "array<double>")
+    assert any("v='2024-01-02'" in r for r in rows) and any("m={'k': '1'}" in r for r in rows) and any("a='true'" in r for r in rows)
+
+
+def test_common_type_of_numbers():
+    from pyspark.sql import types as T
+
+    from encore.sources.exports import common_type
+
+    def both(a, b):
+        assert common_type(a, b) == common_type(b, a)
+        return common_type(a, b)
+
+    assert both(T.IntegerType(), T.LongType()) == T.LongType()
+    assert both(T.IntegerType(), T.FloatType()) == T.DoubleType()
+    assert both(T.ShortType(), T.FloatType()) == T.FloatType()
+    assert both(T.DecimalType(10, 2), T.IntegerType()) == T.DecimalType(12, 2)
+    assert both(T.DecimalType(38, 20), T.LongType()) == T.DoubleType()
+    assert both(T.DateType(), T.TimestampType()) == T.TimestampType()
+    assert both(T.BooleanType(), T.IntegerType()) == T.StringType()
+    assert both(T.NullType(), T.StructType([])) == T.StructType([])
