@@ -5,7 +5,7 @@ is a join against a catalog table: the ranked side has k rows (a proven bound, s
 ``limit(k)`` result), so it is the broadcast side — the catalog is scanned once, filtered by a
 broadcast hash join against the k keys, and reduced to the first record per key before it is
 joined back. No catalog row is broadcast and no per-row request is made. The ranked frame is used
-twice (keys, result); a caller who wants it computed once caches it and releases it.
+several times (keys, result), so it is computed once, into the shared checkpoint folder.
 
 Of several records of a key the first by link wins, records without a link last, so a record
 that lacks one still counts and keeps its image.
@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from encore.functions.columns import uri_id, uri_kind
+from encore.operators.rankings import once
 
 
 def _blank(c: Column) -> Column:
@@ -71,6 +72,7 @@ def _complete(catalog: DataFrame, optional: dict[str, str]) -> DataFrame:
 def enrich_artists(top: DataFrame, primary: DataFrame, fallback: DataFrame) -> DataFrame:
     """Adds ``image_url``, ``external_url``, ``genres`` (comma-separated) and ``popularity`` to a
     ranked frame with an ``artist`` column; the last two come from the primary catalog alone."""
+    top = once(top)
     keys = top.select("artist").where(~_blank(F.col("artist")))
     primary = _complete(primary, {"genres": "array<string>", "popularity": "int"})
     p = first_match(primary, keys, ["artist"], lambda c, k: c["artist"] == k["_k_artist"],
@@ -96,6 +98,7 @@ def _album_cond(c: DataFrame, k: DataFrame) -> Column:
 def enrich_albums(top: DataFrame, primary: DataFrame, fallback: DataFrame) -> DataFrame:
     """Adds ``image_url``, ``external_url`` and (from the primary catalog) ``release_date`` to a ranked
     frame with ``album`` and ``artist``."""
+    top = once(top)
     keys = top.select("album", "artist").where(~_blank(F.col("album")))
     primary = _complete(primary, {"release_date": "string"})
     p = first_match(primary, keys, ["album", "artist"], _album_cond,
@@ -122,7 +125,7 @@ def enrich_tracks(top: DataFrame, catalog: DataFrame) -> DataFrame:
     The record found by URI id wins; otherwise the one found by (track, artist); ``matched_by``
     says which ('id', 'name' or NULL).
     """
-    t = top.withColumn("_tid", F.when(uri_kind("track_uri") == "track", uri_id("track_uri")))
+    t = once(top).withColumn("_tid", F.when(uri_kind("track_uri") == "track", uri_id("track_uri")))
     by_id = first_match(catalog, t.where(F.col("_tid").isNotNull()), ["_tid"],
                         lambda c, k: c["track_id"] == k["_k__tid"], _TRACK_FIELDS, ["track_id"])
     name_keys = t.where(~_blank(F.col("track")))

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from encore.functions.columns import count_rows, hours_of, minutes_of
 from encore.schema import ALBUM, ARTIST, LATE_NIGHT_HOURS, REPEAT_MIN_PLAYS, TRACK, TRACK_URI
+from encore.session import shared_dir
 
 
 def top_k(agg: DataFrame, keys: list[str], metrics: list[str], k: int | None) -> DataFrame:
@@ -42,9 +43,18 @@ def favorite_albums(plays: DataFrame, k: int = 10) -> DataFrame:
     return top_k(g, ["album", "artist"], ["play_hours"], k)
 
 
+def once(top: DataFrame) -> DataFrame:
+    """A ranked result of k rows, computed here and kept in the shared checkpoint folder: what uses it
+    several times does not rank the log again."""
+    shared_dir(top.sparkSession)
+    return top.checkpoint()
+
+
 def first_uri(plays: DataFrame, top: DataFrame, keys: list[str]) -> DataFrame:
     """``top`` (k rows, ``keys`` unique) with ``track_uri``: the URI of each row's earliest play
-    that has one, the smallest of several at the same time. Only plays of the k keys are looked at."""
+    that has one, the smallest of several at the same time. Only plays of the k keys are looked at, in a
+    second scan of the log; the ranking itself is computed ``once``."""
+    top = once(top)
     k = F.broadcast(top.select(*[F.col(c).alias(f"_k_{c}") for c in keys]))  # k rows
     match = reduce(lambda a, b: a & b, [F.col(c) == F.col(f"_k_{c}") for c in keys])
     hits = plays.where(F.col(TRACK_URI).isNotNull()).select(*keys, "ts", TRACK_URI).join(k, match)

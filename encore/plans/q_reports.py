@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from encore.operators.numbering import numbered
 from encore.plans import reports as RP
 from encore.plans.oracle import with_plays
 from encore.plans.registry import SQL, plays, register
@@ -31,10 +32,16 @@ def _at(report: dict, path: str):
     return reduce(lambda r, k: r[k], path.split("."), report)
 
 
+# sections with a row per artist or track; the others have k rows, or one per day or category
+_UNBOUNDED = {"artists", "rankings.repeatedTracks"}
+
+
 def _frame_rows(section: str, df: DataFrame, order: str, cols: list[str]) -> DataFrame:
-    w = Window.orderBy(*[F.col(o.removesuffix(" desc")).desc() if o.endswith(" desc") else F.col(o)
-                         for o in order.split(", ")])
-    df = df.withColumn("_p", F.row_number().over(w))  # display frames: k rows or one per day
+    by = [F.col(o.removesuffix(" desc")).desc() if o.endswith(" desc") else F.col(o).asc() for o in order.split(", ")]
+    if section in _UNBOUNDED:
+        df = numbered(df, by, "_p")
+    else:
+        df = df.withColumn("_p", F.row_number().over(Window.orderBy(*by)))
 
     def field(c: str):
         is_text = c in _TEXT
@@ -172,9 +179,14 @@ _report("report_artist_song", RP.artist_song_analytics, {
                "rows diversityScore"),
 })
 
-# an empty selection gives empty frames and zeros
-_report("report_empty", lambda p: RP.dashboard(p, start="2100-01-01"), {
-    "hourly": (f"SELECT * FROM ({SQL['hourly_hours']}) h WHERE FALSE", "listening_hour", "listening_hour play_hours"),
-    "topArtists": (f"SELECT * FROM ({SQL['top_artists_hours']}) h WHERE FALSE", "artist", "artist play_hours"),
+# a selection that no play of the log belongs to: every frame is empty, every figure 0
+_NONE = "SELECT * FROM ({}) q WHERE FALSE"
+_report("report_empty", lambda p: RP.dashboard(p, artists=["no artist of this name"]), {
+    "hourly": (_NONE.format(SQL["hourly_hours"]), *_HOURLY[1:]),
+    "weekday": (_NONE.format(SQL["weekday_hours"]), *_WEEKDAY[1:]),
+    "daily": (_NONE.format(SQL["daily_hours"]), *_DAILY[1:]),
+    "topArtists": (_NONE.format(SQL["top_artists_hours"]), "artist", "artist play_hours"),
+    "topTracks": (_NONE.format(SQL["top_tracks_hours"]), "track", "track play_hours"),
+    "favoriteAlbums": (_NONE.format(SQL["favorite_albums"]), "album, artist", "album artist play_hours"),
 }, {"kpis": ("SELECT 0 AS totalHours, 0 AS tracksPlayed, 0 AS uniqueArtists, 0 AS uniqueAlbums, 0 AS skipRate, "
              "0 AS shuffleRate, 0 AS rows", _KPIS[1])})

@@ -44,7 +44,8 @@ def write_curated(plays: DataFrame, path: str, mode: str = "overwrite") -> str:
 
 
 def read_curated(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+    """The newest version of a curated table; a frame keeps to the version it was made from."""
+    return spark.read.parquet(fs.current(spark, path) or path)
 
 
 def _fingerprint(spark: SparkSession, sf_dir: str, tables: list[str]) -> str:
@@ -58,7 +59,7 @@ def _fingerprint(spark: SparkSession, sf_dir: str, tables: list[str]) -> str:
 
 def is_written(spark: SparkSession, path: str) -> bool:
     """A completed write leaves ``_SUCCESS``; a partial one does not and is rebuilt."""
-    return fs.exists(spark, f"{path.rstrip('/')}/_SUCCESS")
+    return fs.exists(spark, f"{path.rstrip('/')}/_SUCCESS") or fs.current(spark, path) is not None
 
 
 def star_curated_path(spark: SparkSession, sf_dir: str) -> str:
@@ -73,7 +74,8 @@ def build_from_raw(spark: SparkSession, raw: DataFrame, path: str, replace: bool
     expensive ingest (joins / JSON decoding, de-duplication shuffle) runs once, the session
     passes read only the ``ts`` column of that stage, and a lost executor re-reads files
     instead of recomputing the ingest. Both are written under names of this build's own; the
-    finished table is then renamed to ``path``, so builds at the same time do not mix.
+    finished table then becomes the newest version of ``path``, whose readers see it whole or not at all.
+    Without ``replace`` it is renamed to ``path``, unless another build was first.
     """
     from encore.operators.sessions import sessionize
 
@@ -83,16 +85,19 @@ def build_from_raw(spark: SparkSession, raw: DataFrame, path: str, replace: bool
         prepare_plays(raw, with_sessions=False).write.parquet(f"{own}-stage")
         staged = spark.read.parquet(f"{own}-stage")
         write_curated(sessionize(staged, "ts"), own)
-        fs.publish(spark, own, path, replace)
+        if replace:
+            fs.publish_version(spark, own, path)
+        else:
+            fs.publish(spark, own, path)
     finally:
         fs.remove(spark, f"{own}-stage")
         fs.remove(spark, own)  # only there if another build was first
     return path
 
 
-def build(spark: SparkSession, sf_dir: str, replace: bool = True) -> str:
-    """Build the curated table of ``sf_dir``; without ``replace`` a table that another build
-    published meanwhile stays."""
+def build(spark: SparkSession, sf_dir: str, replace: bool = False) -> str:
+    """Build the curated table of ``sf_dir``. Its path names the inputs, so a table that another build
+    published meanwhile is the same and stays."""
     return build_from_raw(spark, star_plays(spark, sf_dir), star_curated_path(spark, sf_dir), replace)
 
 
@@ -104,7 +109,7 @@ def plays(spark: SparkSession, sf_dir: str) -> DataFrame:
     if not is_written(spark, path):
         with _build_lock:
             if not is_written(spark, path):
-                build(spark, sf_dir, replace=False)
+                build(spark, sf_dir)
     return read_curated(spark, path)
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import re
 import uuid
 
 from pyspark.sql import SparkSession
@@ -36,15 +37,64 @@ def listing(spark: SparkSession, path: str) -> list[tuple[str, int, int]]:
 
 def publish(spark: SparkSession, staged: str, path: str, replace: bool = False) -> bool:
     """Renames a finished folder to ``path``; False if ``path`` is there already and is not to be
-    replaced. Of several builders one wins, and no reader sees a part of a table."""
+    replaced. Of several builders one wins, and no reader sees a part of a table. A table that is to be
+    replaced is first moved aside, and back if the rename fails; between the two no table is there, so
+    tables with readers are better published as versions (``publish_version``)."""
     target, fs = _path(spark, path)
+    old = None
     if fs.exists(target):
         if not replace:
             return False
-        fs.delete(target, True)
+        old = _path(spark, f"{target.getParent()}/.{target.getName()}-{uuid.uuid4().hex}")[0]
+        if not fs.rename(target, old):
+            raise OSError(f"cannot move {path} aside")
     fs.mkdirs(target.getParent())
     # renaming onto a folder that appeared meanwhile would move the table into it
-    return not fs.exists(target) and bool(fs.rename(_path(spark, staged)[0], target))
+    done = not fs.exists(target) and bool(fs.rename(_path(spark, staged)[0], target))
+    if old is not None:
+        if done:
+            fs.delete(old, True)
+        elif not fs.exists(target):
+            fs.rename(old, target)
+    return done
+
+
+_VERSION = re.compile(r"v([0-9]{10})(\.done)?")
+
+
+def _versions(spark: SparkSession, path: str) -> tuple[list[int], list[int]]:
+    """Numbers of the version folders of a table, and of those that are committed."""
+    p, fs = _path(spark, path)
+    if not fs.exists(p):
+        return [], []
+    names = [_VERSION.fullmatch(f.getPath().getName().lstrip("_")) for f in fs.listStatus(p)]
+    return sorted(int(m[1]) for m in names if m and not m[2]), sorted(int(m[1]) for m in names if m and m[2])
+
+
+def publish_version(spark: SparkSession, staged: str, path: str, keep: int = 2) -> str:
+    """Makes a finished folder the newest version of the table ``path``: it is renamed to a version of
+    its own, and then a marker file appears, which is the commit. A reader at any moment, and a crash
+    after any step, finds the version before or this one. Older versions but ``keep`` go afterwards, so that
+    readers of the one before can end."""
+    root, fs = _path(spark, path)
+    fs.mkdirs(root)
+    folders, done = _versions(spark, path)
+    n = max([0, *folders, *done]) + 1
+    target = f"{path.rstrip('/')}/v{n:010d}"
+    if not fs.rename(_path(spark, staged)[0], _path(spark, target)[0]):
+        raise OSError(f"cannot rename {staged} to {target}")
+    # fails if another builder took the same number, whose table may then hold this one as a subfolder
+    fs.create(_path(spark, f"{path.rstrip('/')}/_v{n:010d}.done")[0], False).close()
+    for old in [v for v in done if v <= n - keep]:
+        remove(spark, f"{path.rstrip('/')}/_v{old:010d}.done")
+        remove(spark, f"{path.rstrip('/')}/v{old:010d}")
+    return target
+
+
+def current(spark: SparkSession, path: str) -> str | None:
+    """The newest committed version of a table, None if there is none."""
+    done = _versions(spark, path)[1]
+    return f"{path.rstrip('/')}/v{done[-1]:010d}" if done else None
 
 
 def remove(spark: SparkSession, path: str) -> None:
