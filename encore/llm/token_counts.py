@@ -18,7 +18,7 @@ from __future__ import annotations
 import re
 import uuid
 from collections.abc import Iterator
-from functools import cache, reduce
+from functools import cache
 
 import public_tokenizers
 import pyarrow as pa
@@ -102,23 +102,30 @@ class Rollup:
 
     def commit(self, batch: str, deltas: DataFrame) -> None:
         """Makes ``deltas`` (signed rows) the content of the batch, whatever it held before. They are
-        written aside and renamed when complete, so a lost task or a broken-off commit adds nothing
-        and a reader sees the batch as it was or as it will be."""
+        written aside and become the batch's newest version when complete, so a lost task or a commit
+        that breaks off at any step adds and takes nothing, and a reader sees the batch as it was or as
+        it will be."""
         if not re.fullmatch(r"[A-Za-z0-9_-]+", batch):
             raise ValueError("a batch name has letters, digits, - and _ only")
         aside = f"{self.path}/_aside-{uuid.uuid4().hex}"
         summed(deltas).write.parquet(aside)
-        fs.publish(self.spark, aside, f"{self.path}/batch={batch}", replace=True)
+        fs.publish_version(self.spark, aside, f"{self.path}/batch={batch}")
 
     def batches(self) -> list[str]:
         """Names of the committed batches."""
+        return sorted(self._versions())
+
+    def _versions(self) -> dict[str, str]:
+        """The folder of each committed batch."""
         files = [path.split("/") for path, _, _ in fs.listing(self.spark, self.path)]
-        return sorted({f[-2].removeprefix("batch=") for f in files if f[-2].startswith("batch=")})
+        names = {part.removeprefix("batch=") for f in files for part in f[-3:-1] if part.startswith("batch=")}
+        found = {name: fs.current(self.spark, f"{self.path}/batch={name}") for name in names}
+        return {name: folder for name, folder in found.items() if folder}
 
     def totals(self) -> DataFrame:
         """``source, lang, tokenizer, n_docs, n_tokens`` over all committed batches."""
-        parts = [self.spark.read.schema(ROLLUP).parquet(f"{self.path}/batch={b}") for b in self.batches()]
-        rows = reduce(DataFrame.unionByName, parts) if parts else self.spark.createDataFrame([], ROLLUP)
+        folders = sorted(self._versions().values())
+        rows = self.spark.read.schema(ROLLUP).parquet(*folders) if folders else self.spark.createDataFrame([], ROLLUP)
         return summed(rows).where("n_docs <> 0 or n_tokens <> 0")
 
 

@@ -64,7 +64,31 @@ def test_a_broken_off_commit_is_not_counted(spark, documents, tmp_path, monkeypa
     rollup = tc.Rollup(spark, str(tmp_path / "rollup"))
     rollup.commit("done", tc.inserts(docs, "v1", tc.FIRST))
     with monkeypatch.context() as m:  # the driver is lost after the write, before the rename
-        m.setattr(tc.fs, "publish", lambda *a, **k: False)
+        m.setattr(tc.fs, "publish_version", lambda *a, **k: None)
         rollup.commit("broken", tc.inserts(docs, "v1", tc.FIRST))
         rollup.commit("done", tc.deletes(docs, "v1", tc.FIRST))
     assert rollup.batches() == ["done"] and [r.n_docs for r in rollup.totals().collect()] == [1]
+
+
+def test_a_commit_that_breaks_off_changes_nothing(spark, tmp_path, monkeypatch):
+    from encore.sources import fs
+
+    def delta(n):
+        return spark.createDataFrame([("s", "en", "t", 1, n)], tc.ROLLUP)
+
+    rollup = tc.Rollup(spark, str(tmp_path / "r"))
+    rollup.commit("a", delta(5))
+    real = fs._path
+
+    def crash(s, p):
+        if p.endswith(".done"):
+            raise RuntimeError("lost")
+        return real(s, p)
+
+    monkeypatch.setattr(fs, "_path", crash)
+    with pytest.raises(RuntimeError):
+        rollup.commit("a", delta(7))
+    monkeypatch.setattr(fs, "_path", real)
+    assert [r["n_tokens"] for r in rollup.totals().collect()] == [5]
+    rollup.commit("a", delta(7))
+    assert [r["n_tokens"] for r in rollup.totals().collect()] == [7] and rollup.batches() == ["a"]
