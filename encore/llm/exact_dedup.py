@@ -74,7 +74,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             F.monotonically_increasing_id().alias("rid"),
         )
     )
-    heavy = cut(frequent(rows, "digest", counters).coalesce(1))  # at most counters + 1 digests
+    heavy = cut(frequent(rows, "digest", counters))  # at most counters + 1 digests
     best = F.struct("doc_id", F.col("rid"))
     # large groups: partial counts are all that is shuffled, the verified winners are broadcast
     hot = rows.join(F.broadcast(heavy), "digest", "left_semi")
