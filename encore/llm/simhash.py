@@ -208,7 +208,8 @@ def near_groups(
     fps = cut(rows.groupBy("fp").agg(F.count("*").alias("n"), F.min(place).alias("least")))
     root = components(links(fps, max_bits)).withColumnRenamed("node", "fp")
     named = fps.join(root, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = named.groupBy("root").agg(F.min("least").alias("first"))
+    # stored, so that the join reads plain shuffles and the partition of a large component can be split
+    least = cut(named.groupBy("root").agg(F.min("least").alias("first")))
     named = named.join(least, "root").select("fp", "first")
     return rows.join(named, "fp").select(
         "doc_id",
