@@ -1,8 +1,9 @@
 """Language identification: averaged hashed subword embeddings with a linear softmax, trained by
 stochastic gradient descent in numpy, with calibrated rejection.
 
-Training reads about ``MAX_ROWS`` texts of every language, picked by a hash of their id, and at most
-``MAX_CHARS`` of each, from the documents that may be learned from. Where that makes more than
+Training reads about ``MAX_ROWS`` texts of every language, picked by a hash of their id, from the
+documents that may be learned from; of a long one it gets ``WINDOWS`` runs of ``WINDOW`` words from
+anywhere in the text. Where that makes more than
 ``TOTAL_ROWS``, the languages share that total evenly, ``LEAST_ROWS`` each at least. A tenth of them is kept back to
 calibrate: a temperature makes the largest softmax share a probability, and the rejection threshold
 is the lowest at which the accepted texts are right in ``PRECISION`` of all cases. Prediction reads
@@ -10,12 +11,14 @@ whole texts.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0 and rejected; texts with
 a null language are not learned from; with a single language every text with a letter gets it;
-without any language training raises ``ValueError``; repeated rows are predicted alike; an empty
+without any language every text is ``und`` with score 0; of several rows of an id one is learned
+from, the first by language, then text; repeated rows are predicted alike; an empty
 table to predict gives an empty result. Only the id, text and language columns are read.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,10 +28,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from encore.llm.bpe import slices
 from encore.llm.common import map_texts, table
-from encore.llm.subword import Bag, Corpus, WordScores
+from encore.llm.subword import BUCKETS, Bag, Corpus, WordScores, words_of
 
 MAX_ROWS = 1500  # texts per language that training reads, give or take a few per cent
-MAX_CHARS = 2000  # characters of a text that training reads at most
+WINDOW = 20  # words of a training bag
+WINDOWS = 16  # bags of a text that training draws from
 TOTAL_ROWS = 600_000  # texts that training reads in all, unless the languages' least shares are more
 LEAST_ROWS = 20  # texts per language that a shared total leaves
 EPOCHS = 8
@@ -72,8 +76,8 @@ def fit(texts: list[str], languages: list[str], seed: int = 11) -> Model:
             bags = []
             for i in rows:
                 d = docs[i]
-                first = int(model.rng.integers(max(1, len(d) - 20)))  # any twenty words of the text
-                bags.append(corpus.bag(d[first : first + 20]))
+                first = int(model.rng.integers(max(1, len(d) - WINDOW)))  # any twenty words of the text
+                bags.append(corpus.bag(d[first : first + WINDOW]))
             model.step(bags, label[rows], rate)
     projected = model.projected().astype(np.float32)
     check = sorted(kept_back) or learn.tolist()
@@ -103,7 +107,8 @@ def train(
     lang_col: str = "lang",
     max_rows: int = MAX_ROWS,
 ) -> Model:
-    """A model from the documents outside the held-out fold."""
+    """A model from the documents outside the held-out fold. Without words of a known language it is one
+    that knows no language. Of several rows of an id the first by language, then text, counts."""
     rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("t"), F.col(lang_col).alias("y"))
     rows = rows.where("__id is not null and y is not null and t is not null").where(fold("__id") != HELD_OUT)
     size = rows.groupBy("y").count()
@@ -113,17 +118,46 @@ def train(
     # every row decides by its id's hash, so that no language meets in one task
     chance = F.pmod(F.xxhash64("__id"), F.lit(1 << 30)) / float(1 << 30)
     picked = rows.join(F.broadcast(size), "y").where(chance < F.col("share"))
-    picked = picked.select("__id", "y", F.substring("t", 1, MAX_CHARS).alias("t")).dropDuplicates(["__id"])
-    sample = picked.toPandas().sort_values("__id")
+    picked = picked.groupBy("__id").agg(F.min(F.struct("y", "t")).alias("r")).select("__id", "r.y", "r.t")
+    sample = drawn(picked).toPandas().sort_values("__id")
+    if not any(map(words_of, sample["t"])):
+        return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0), 1.0, 1.0)
     return fit(sample["t"].tolist(), sample["y"].tolist())
 
 
+def drawn(rows: DataFrame) -> DataFrame:
+    """``__id, y, t`` with longer texts replaced by ``WINDOWS`` runs of ``WINDOW`` words from anywhere in them, so
+    that a bounded part of each travels; where they lie follows from the text."""
+
+    def some(text: str) -> str:
+        words = words_of(text)
+        if len(words) <= WINDOWS * WINDOW:
+            return text
+        at = np.random.default_rng(zlib.crc32(text.encode())).integers(len(words) - WINDOW + 1, size=WINDOWS)
+        return " ".join(w for a in at for w in words[a : a + WINDOW])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in slices(whole, column=2):
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([some(t) for t in b.column(2).to_pylist()], pa.string())], b.schema.names)
+
+    return map_texts(rows.select("__id", "y", "t"), run, rows.select("__id", "y", "t").schema)
+
+
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows ``(doc_id, lang_pred, score, accepted)``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 2^17 floats per language
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
+        if not m.languages:
+            for b in batches:
+                n = b.num_rows
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0), pa.array([UNKNOWN] * n, pa.string()), pa.array(np.zeros(n)), pa.array(np.zeros(n, bool))],
+                    ["doc_id", "lang_pred", "score", "accepted"],
+                )
+            return
         scores = WordScores(m.projected)
         for whole in batches:
             for b in slices(whole, limit=1 << 20):

@@ -10,13 +10,15 @@ Training reads at most ``MAX_ROWS`` labelled texts per class, picked by a hash o
 read whole, as a label may rest on any part of a text, and so are the texts that are scored.
 
 Defined cases: a null text, or one without letters, gets the score of an empty window; labels that
-are null, or of ids the documents lack, are ignored; without two classes of labelled rows training
-raises ``ValueError``; repeated rows are scored alike; an empty table gives an empty result. Only
+are null, or of ids the documents lack, are ignored; without words of
+both classes every text scores next to 0; of several rows of an id the highest label and the first text
+in order count; repeated rows are scored alike; an empty table gives an empty result. Only
 the id and text columns of the documents are read.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -27,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from encore.llm.bpe import slices
 from encore.llm.common import map_texts, small_batches, table
-from encore.llm.subword import Bag, Corpus, WordScores, means
+from encore.llm.subword import BUCKETS, Bag, Corpus, WordScores, means, words_of
 
 MAX_ROWS = 2000  # labelled rows per class that training reads at most
 WINDOW = 4  # words
@@ -112,14 +114,15 @@ def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[float, flo
 def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, max_rows: int) -> DataFrame:
     """At most ``max_rows`` labelled texts per class from the folds that may be learned from."""
     known = labels.select(F.col("doc_id").alias("__id"), F.col("toxic").cast("int").alias("y"))
-    known = known.where("__id is not null and y in (0, 1)").dropDuplicates(["__id"])
+    # of several labels of an id the higher one counts, of several texts the first in order
+    known = known.where("__id is not null and y in (0, 1)").groupBy("__id").agg(F.max("y").alias("y"))
     known = known.join(docs.select(F.col(id_col).alias("__id")).distinct(), "__id", "left_semi")
     known = known.where(fold("__id", FOLDS) != HELD_OUT)
     mixed = F.xxhash64("__id")
     some = [known.where(f"y = {y}").orderBy(mixed, "__id").limit(max_rows) for y in (0, 1)]
     picked = some[0].unionByName(some[1])  # at most 2 * max_rows ids
     rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("t"))
-    return rows.join(F.broadcast(picked), "__id").dropDuplicates(["__id"])
+    return rows.join(F.broadcast(picked), "__id").groupBy("__id", "y").agg(F.min("t").alias("t"))
 
 
 def fold(column: str, folds: int):
@@ -129,10 +132,11 @@ def fold(column: str, folds: int):
 def train(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_rows: int = MAX_ROWS
 ) -> Model:
-    """A model from the labelled texts; ``labels`` has ``doc_id`` and ``toxic`` (1 or 0)."""
+    """A model from the labelled texts; ``labels`` has ``doc_id`` and ``toxic`` (1 or 0). Without texts of
+    both classes it is one that scores every text 0."""
     rows = sorted(training_rows(docs, labels, id_col, text_col, max_rows).collect(), key=lambda r: r["__id"])
-    if len({r["y"] for r in rows}) < 2:
-        raise ValueError("labels of both classes are needed")
+    if len({r["y"] for r in rows}) < 2 or not any(words_of(r["t"]) for r in rows):
+        return Model(np.zeros(BUCKETS, np.float32), 0.0, 0.0, -math.inf)
     return fit((r["t"] for r in rows), np.array([r["y"] for r in rows]))
 
 

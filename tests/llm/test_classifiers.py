@@ -76,10 +76,34 @@ def test_toxicity_on_tables(spark, documents, odd_rows):
     assert toxicity.score(documents([]), m).count() == 0
 
 
-def test_toxicity_needs_two_classes(spark, documents):
-    docs, labels = tables(spark, documents, [(i, t, 0) for i, t, _ in corpus(20)])
-    with pytest.raises(ValueError):
-        toxicity.train(docs, labels)
+@pytest.mark.parametrize("rows", [[], [(i, t, 0) for i, t, _ in corpus(20)], [(i, "", i % 2) for i in range(20)]])
+def test_toxicity_without_two_classes_rejects_nothing(spark, documents, rows):
+    docs, labels = tables(spark, documents, rows)
+    m = toxicity.train(docs, labels)
+    assert all(r.score < 1e-9 for r in toxicity.score(docs, m).collect())
+    assert toxicity.clean(docs, m).count() == len(rows)
+
+
+def _same(a, b):
+    return all(np.array_equal(getattr(a, f), getattr(b, f)) for f in a.__dataclass_fields__)
+
+
+def test_models_do_not_depend_on_the_partitions(spark, documents):
+    """Ids that occur several times, with unlike texts, labels and languages."""
+    rows = corpus(60)
+    docs, labels = tables(spark, documents, rows + [(i % 20, f"{t} more words", 1 - y) for i, t, y in rows])
+    one, *others = [toxicity.train(docs.repartition(n), labels.repartition(n)) for n in (1, 3, 7)]
+    assert all(_same(one, m) for m in others)
+    texts = [(i % 50, ("the house and the tree " if i % 2 else "das haus und der baum ") * (1 + i % 40), "en" if i % 3 else "de", "s") for i in range(120)]
+    one, *others = [langid.train(documents(texts).repartition(n)) for n in (1, 3, 7)]
+    assert all(_same(one, m) for m in others)
+
+
+def test_training_draws_from_whole_texts(documents):
+    rows = [(i, "word " * 3000 + ("ende " if i % 2 else "finish ") * 3000, "de" if i % 2 else "en", "s") for i in range(8)]
+    drawn = langid.drawn(documents(rows).selectExpr("doc_id as __id", "lang as y", "text as t")).collect()
+    assert all(len(r["t"].split()) == langid.WINDOWS * langid.WINDOW for r in drawn)
+    assert sum("ende" in r["t"] or "finish" in r["t"] for r in drawn) == 8
 
 
 def test_training_leaves_the_held_out_fold_alone(spark, documents):
@@ -126,8 +150,8 @@ def test_language_defined_cases(documents, odd_rows):
     assert [x[0] for x in by[8]] == ["de", "de"] and by[9][0][0] == "en" and by[None][0][0] == "en"
     assert all(0 <= g.score <= 1 for g in got)
     assert langid.predict(documents([]), m).count() == 0
-    with pytest.raises(ValueError):
-        langid.train(documents([]))
+    nothing = langid.train(documents([]))
+    assert [tuple(r)[1:] for r in langid.predict(documents(rows[-2:]), nothing).collect()] == [("und", 0.0, False)] * 2
 
 
 def test_every_language_is_learned_from(documents, monkeypatch):
