@@ -6,8 +6,10 @@ between finding each labelled text's worst window under the current model and a
 gradient descent on the windows' bags. Misspelled words share the n-gram vectors of the known ones.
 A logistic curve over the worst window's logit, fitted on the same rows, calibrates the score.
 
-Training reads at most ``MAX_ROWS`` labelled texts per class, picked by a hash of their id. They are
-read whole, as a label may rest on any part of a text, and so are the texts that are scored.
+Training reads at most ``MAX_ROWS`` labelled texts per class, picked by a hash of their id, and of them
+as many, in the hash's order, as have ``MAX_CHARS`` characters together, so that what the driver holds is
+bounded. They are read whole, as a label may rest on any part of a text, and so are the texts that are
+scored; a labelled text longer than ``MAX_CHARS`` alone teaches nothing, but is scored as any other.
 
 Defined cases: a null text, or one without letters, gets the score of an empty window; labels that
 are null, or of ids the documents lack, are ignored; without words of
@@ -25,13 +27,14 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from encore.llm.bpe import slices
-from encore.llm.common import map_texts, small_batches, table
+from encore.llm.common import cut, map_texts, small_batches, table
 from encore.llm.subword import BUCKETS, Bag, Corpus, WordScores, means, words_of
 
 MAX_ROWS = 2000  # labelled rows per class that training reads at most
+MAX_CHARS = 32_000_000  # characters per class that they have together at most
 WINDOW = 4  # words
 ROUNDS = 12
 FOLDS, HELD_OUT = 5, 0
@@ -111,8 +114,11 @@ def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[float, flo
     return float(w[0] / scale), float(w[1] - w[0] * mean / scale)
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, max_rows: int) -> DataFrame:
-    """At most ``max_rows`` labelled texts per class from the folds that may be learned from."""
+def training_rows(
+    docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, max_rows: int, max_chars: int = MAX_CHARS
+) -> DataFrame:
+    """At most ``max_rows`` labelled texts, of ``max_chars`` characters together, per class from the
+    folds that may be learned from."""
     known = labels.select(F.col("doc_id").alias("__id"), F.col("toxic").cast("int").alias("y"))
     # of several labels of an id the higher one counts, of several texts the first in order
     known = known.where("__id is not null and y in (0, 1)").groupBy("__id").agg(F.max("y").alias("y"))
@@ -122,7 +128,12 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str
     some = [known.where(f"y = {y}").orderBy(mixed, "__id").limit(max_rows) for y in (0, 1)]
     picked = some[0].unionByName(some[1])  # at most 2 * max_rows ids
     rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("t"))
-    return rows.join(F.broadcast(picked), "__id").groupBy("__id", "y").agg(F.min("t").alias("t"))
+    rows = cut(rows.join(F.broadcast(picked), "__id").groupBy("__id", "y").agg(F.min("t").alias("t")))
+    # running sums over ids and lengths only; texts stay where they are
+    sizes = rows.select("__id", "y", F.coalesce(F.length("t"), F.lit(0)).cast("long").alias("size"))
+    upto = F.sum("size").over(Window.partitionBy("y").orderBy(mixed, "__id"))
+    fitting = sizes.where(F.col("size") <= max_chars).withColumn("upto", upto).where(F.col("upto") <= max_chars)
+    return rows.join(F.broadcast(fitting.select("__id")), "__id", "left_semi")
 
 
 def fold(column: str, folds: int):
@@ -130,11 +141,16 @@ def fold(column: str, folds: int):
 
 
 def train(
-    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_rows: int = MAX_ROWS
+    docs: DataFrame,
+    labels: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    max_rows: int = MAX_ROWS,
+    max_chars: int = MAX_CHARS,
 ) -> Model:
     """A model from the labelled texts; ``labels`` has ``doc_id`` and ``toxic`` (1 or 0). Without texts of
     both classes it is one that scores every text 0."""
-    rows = sorted(training_rows(docs, labels, id_col, text_col, max_rows).collect(), key=lambda r: r["__id"])
+    rows = sorted(training_rows(docs, labels, id_col, text_col, max_rows, max_chars).collect(), key=lambda r: r["__id"])
     if len({r["y"] for r in rows}) < 2 or not any(words_of(r["t"]) for r in rows):
         return Model(np.zeros(BUCKETS, np.float32), 0.0, 0.0, -math.inf)
     return fit((r["t"] for r in rows), np.array([r["y"] for r in rows]))

@@ -170,3 +170,14 @@ def test_training_reads_whole_texts(spark, documents):
     assert got and all(r["t"] == rows[r["__id"]][1] for r in got)
     model = toxicity.train(docs, labels)
     assert chances(model, ["garden moron garden garden"])[0] > chances(model, ["garden river garden garden"])[0]
+
+
+def test_training_texts_are_bounded_together(spark, documents):
+    rows = corpus(200) + [(900, "moron " * 4000, 1), (901, None, 0)]
+    docs, labels = tables(spark, documents, rows)
+    whole = {r["__id"]: r for r in toxicity.training_rows(docs, labels, "doc_id", "text", 2000).collect()}
+    got = toxicity.training_rows(docs, labels, "doc_id", "text", 2000, max_chars=20_000).collect()
+    assert 0 < len(got) < len(whole) and 900 in whole and all(whole[r["__id"]]["t"] == r["t"] for r in got)
+    for y in (0, 1):
+        assert 10_000 < sum(len(r["t"] or "") for r in got if r["y"] == y) <= 20_000
+    assert toxicity.train(docs, labels, max_chars=1).slope == 0
