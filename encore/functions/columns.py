@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from encore.schema import (
@@ -30,17 +30,30 @@ def minutes_of(ms: str | Column = "ms_played") -> Column:
     return F.coalesce(F.sum(col(ms)), F.lit(0.0)) / F.lit(MS_PER_MINUTE)
 
 
-def mean_minutes(ms: str | Column = "ms_played") -> Column:
-    return F.sum(col(ms)) / F.count(F.lit(1)) / F.lit(MS_PER_MINUTE)
+ROWS = "_rows"  # in a rollup (operators/rollup.py): how many plays a row stands for
 
 
-def rate(flag: str | Column) -> Column:
-    """Share of true values (0..1) as ``sum/count``."""
-    return F.sum(col(flag).cast("long")) / F.count(F.lit(1))
+def count_rows(df: DataFrame | None = None) -> Column:
+    """How many plays there are; a rollup's rows count as the plays they stand for."""
+    if df is not None and ROWS in df.columns:
+        return F.coalesce(F.sum(ROWS), F.lit(0))
+    return F.count(F.lit(1))
 
 
-def count_rows() -> Column:
-    return F.count(F.lit(1))
+def count_true(flag: str | Column, df: DataFrame | None = None) -> Column:
+    """How many plays have the flag."""
+    if df is not None and ROWS in df.columns:
+        return F.coalesce(F.sum(F.when(col(flag), F.col(ROWS))), F.lit(0))
+    return F.count_if(col(flag))
+
+
+def mean_minutes(df: DataFrame | None = None) -> Column:
+    return F.sum("ms_played") / count_rows(df) / F.lit(MS_PER_MINUTE)
+
+
+def rate(flag: str | Column, df: DataFrame | None = None) -> Column:
+    """Share of plays with the flag (0..1)."""
+    return count_true(flag, df) / count_rows(df)
 
 
 def clean_ms(c: Column) -> Column:

@@ -2,6 +2,7 @@
 
 All are single hash aggregates (partial aggregation map-side, one shuffle on a key of a few
 distinct values), so a key holding a third of the rows is combined before the shuffle.
+Each also takes a rollup (operators/rollup.py) that holds its keys, in place of plays.
 Optional ``by`` keys (e.g. a listener id) cost nothing extra and default to the reference's
 single-listener behaviour.
 """
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 from encore.functions.columns import (
     count_rows,
+    count_true,
     day_period,
     hours_of,
     label,
@@ -38,10 +40,10 @@ def kpis(plays: DataFrame, by: Keys = None) -> DataFrame:
     counts then run over those groups, so no log row is expanded per distinct count."""
     groups = plays.groupBy(*_k(by), ARTIST, ALBUM).agg(
         F.sum("ms_played").alias("_ms"),
-        F.count_if(F.col("is_song")).alias("_songs"),
-        F.sum(F.col("is_skipped").cast("long")).alias("_skipped"),
-        F.sum(F.col("shuffle").cast("long")).alias("_shuffled"),
-        F.count(F.lit(1)).alias("_n"),
+        count_true("is_song", plays).alias("_songs"),
+        count_true("is_skipped", plays).alias("_skipped"),
+        count_true("shuffle", plays).alias("_shuffled"),
+        count_rows(plays).alias("_n"),
     )
     n = F.sum("_n")
     zero = F.lit(0).cast("long")
@@ -68,9 +70,9 @@ def weekday_hours(plays: DataFrame, by: Keys = None) -> DataFrame:
 def content_mix(plays: DataFrame) -> DataFrame:
     """Rows per content type (a play that is podcast and audiobook counts twice)."""
     agg = plays.agg(
-        F.count_if(F.col("is_song")).alias("songs"),
-        F.count_if(F.col("is_podcast")).alias("podcasts"),
-        F.count_if(F.col("is_audiobook")).alias("audiobooks"),
+        count_true("is_song", plays).alias("songs"),
+        count_true("is_podcast", plays).alias("podcasts"),
+        count_true("is_audiobook", plays).alias("audiobooks"),
     )
     songs, podcasts, audiobooks = CONTENT_TYPES
     return agg.select(
@@ -80,20 +82,20 @@ def content_mix(plays: DataFrame) -> DataFrame:
 
 
 def value_counts(plays: DataFrame, column: str) -> DataFrame:
-    return plays.groupBy(column).agg(count_rows().cast("long").alias("count"))
+    return plays.groupBy(column).agg(count_rows(plays).cast("long").alias("count"))
 
 
 def skip_by_reason(plays: DataFrame) -> DataFrame:
     return plays.groupBy("reason_end").agg(
-        rate("is_skipped").alias("skip_rate"), count_rows().cast("long").alias("count")
+        rate("is_skipped", plays).alias("skip_rate"), count_rows(plays).cast("long").alias("count")
     )
 
 
 def shuffle_compare(plays: DataFrame) -> DataFrame:
     g = plays.groupBy("shuffle").agg(
-        rate("is_skipped").alias("skip_rate"),
-        mean_minutes().alias("avg_minutes"),
-        count_rows().cast("long").alias("count"),
+        rate("is_skipped", plays).alias("skip_rate"),
+        mean_minutes(plays).alias("avg_minutes"),
+        count_rows(plays).cast("long").alias("count"),
     )
     return g.select(
         label("shuffle", SHUFFLE_LABELS).alias("shuffle"),
@@ -102,14 +104,14 @@ def shuffle_compare(plays: DataFrame) -> DataFrame:
 
 
 def offline_share(plays: DataFrame) -> DataFrame:
-    g = plays.groupBy("offline").agg(hours_of().alias("hours"), rate("is_skipped").alias("skip_rate"))
+    g = plays.groupBy("offline").agg(hours_of().alias("hours"), rate("is_skipped", plays).alias("skip_rate"))
     return g.select(
         label("offline", OFFLINE_LABELS).alias("offline"), "hours", "skip_rate"
     )
 
 
 def incognito_share(plays: DataFrame) -> DataFrame:
-    g = plays.groupBy("incognito_mode").agg(hours_of().alias("hours"), count_rows().cast("long").alias("plays"))
+    g = plays.groupBy("incognito_mode").agg(hours_of().alias("hours"), count_rows(plays).cast("long").alias("plays"))
     return g.select(
         label("incognito_mode", INCOGNITO_LABELS).alias("incognito_mode"),
         "hours", "plays",
@@ -118,7 +120,7 @@ def incognito_share(plays: DataFrame) -> DataFrame:
 
 def platform_usage(plays: DataFrame) -> DataFrame:
     return plays.groupBy("platform").agg(
-        count_rows().cast("long").alias("plays"), hours_of().alias("hours"), rate("is_skipped").alias("skip_rate")
+        count_rows(plays).cast("long").alias("plays"), hours_of().alias("hours"), rate("is_skipped", plays).alias("skip_rate")
     )
 
 
@@ -136,13 +138,13 @@ def monthly_seasonality(plays: DataFrame) -> DataFrame:
 
 def day_night(plays: DataFrame) -> DataFrame:
     return plays.groupBy(day_period("listening_hour").alias("day_period")).agg(
-        hours_of().alias("hours"), count_rows().cast("long").alias("plays")
+        hours_of().alias("hours"), count_rows(plays).cast("long").alias("plays")
     )
 
 
 def week_segment_hours(plays: DataFrame) -> DataFrame:
     return plays.groupBy(week_segment("weekday_num").alias("week_segment")).agg(
-        hours_of().alias("hours"), mean_minutes().alias("avg_minutes")
+        hours_of().alias("hours"), mean_minutes(plays).alias("avg_minutes")
     )
 
 

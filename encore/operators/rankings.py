@@ -3,6 +3,7 @@
 ``top_k`` is ``groupBy -> orderBy(metrics desc, keys asc) -> limit(k)``, which Spark plans as
 ``TakeOrderedAndProject``: every task keeps its own k best rows and only those k-per-task
 reach the final merge, so no full sort and no single-task collection of a group occurs.
+A rollup (operators/rollup.py) that holds a ranking's keys may stand in for plays.
 Ties are broken by the group keys ascending, in Spark and in the oracle alike.
 """
 
@@ -14,7 +15,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from encore.functions.columns import count_rows, hours_of, minutes_of
-from encore.schema import ALBUM, ARTIST, LATE_NIGHT_HOURS, REPEAT_MIN_PLAYS, TRACK, TRACK_URI
+from encore.operators.rollup import LAST, late_night, weekend
+from encore.schema import ALBUM, ARTIST, REPEAT_MIN_PLAYS, TRACK, TRACK_URI
 from encore.session import shared_dir
 
 
@@ -68,10 +70,10 @@ def featured_track(plays: DataFrame) -> DataFrame:
     The ranking is a hash aggregate; the URI is looked up for the winner alone."""
     keys = [TRACK, ARTIST, ALBUM]
     g = songs(plays).groupBy(*keys).agg(
-        count_rows().cast("long").alias("streams"),
+        count_rows(plays).cast("long").alias("streams"),
         minutes_of().alias("listening_minutes"),
         F.min("ts").alias("_first"),
-        F.max("ts").alias("_last"),
+        F.max(LAST if LAST in plays.columns else "ts").alias("_last"),
     )
     top = first_uri(songs(plays), top_k(g, keys, ["streams", "listening_minutes"], 1), keys)
     return top.select(
@@ -85,7 +87,7 @@ def featured_track(plays: DataFrame) -> DataFrame:
 
 def album_spotlight(plays: DataFrame, k: int = 8) -> DataFrame:
     g = songs(plays).groupBy(F.col(ALBUM).alias("album"), F.col(ARTIST).alias("artist")).agg(
-        count_rows().cast("long").alias("play_count"), minutes_of().alias("play_minutes")
+        count_rows(plays).cast("long").alias("play_count"), minutes_of().alias("play_minutes")
     )
     return top_k(g, ["album", "artist"], ["play_count", "play_minutes"], k)
 
@@ -96,10 +98,10 @@ def artist_spotlight(plays: DataFrame, k: int = 5, digits: int | None = 2) -> Da
     ``digits`` rounds the share for display (``None`` keeps it exact)."""
     s = songs(plays)
     g = s.groupBy(F.col(ARTIST).alias("artist")).agg(
-        count_rows().cast("long").alias("total_plays"), minutes_of().alias("total_minutes")
+        count_rows(plays).cast("long").alias("total_plays"), minutes_of().alias("total_minutes")
     )
     top = top_k(g, ["artist"], ["total_plays", "total_minutes"], k)
-    total = s.agg(F.greatest(count_rows(), F.lit(1)).alias("_all"))  # one row
+    total = s.agg(F.greatest(count_rows(plays), F.lit(1)).alias("_all"))  # one row
     w = Window.orderBy(F.col("total_plays").desc(), F.col("total_minutes").desc(), F.col("artist").asc())
     share = F.lit(100.0) * F.col("total_plays") / F.col("_all")
     return top.crossJoin(F.broadcast(total)).select(
@@ -110,13 +112,12 @@ def artist_spotlight(plays: DataFrame, k: int = 5, digits: int | None = 2) -> Da
 
 
 def _count_top1(df: DataFrame, key: str, out_key: str) -> DataFrame:
-    g = df.groupBy(F.col(key).alias(out_key)).agg(count_rows().cast("long").alias("plays"))
+    g = df.groupBy(F.col(key).alias(out_key)).agg(count_rows(df).cast("long").alias("plays"))
     return top_k(g, [out_key], ["plays"], 1)
 
 
 def wrapped_late_night(plays: DataFrame) -> DataFrame:
-    lo, hi = LATE_NIGHT_HOURS
-    return _count_top1(songs(plays).where(F.col("listening_hour").between(lo, hi)), TRACK, TRACK)
+    return _count_top1(songs(plays).where(late_night(plays)), TRACK, TRACK)
 
 
 def wrapped_top_artist(plays: DataFrame) -> DataFrame:
@@ -124,7 +125,7 @@ def wrapped_top_artist(plays: DataFrame) -> DataFrame:
 
 
 def wrapped_weekend(plays: DataFrame) -> DataFrame:
-    return _count_top1(songs(plays).where(F.col("weekday_num") >= 5), TRACK, TRACK)
+    return _count_top1(songs(plays).where(weekend(plays)), TRACK, TRACK)
 
 
 def wrapped_artist_year(plays: DataFrame) -> DataFrame:
@@ -139,7 +140,7 @@ def wrapped_artist_year(plays: DataFrame) -> DataFrame:
 
 
 def _plays_hours(df: DataFrame, keys: list[str]) -> DataFrame:
-    return df.groupBy(*keys).agg(count_rows().cast("long").alias("plays"), hours_of().alias("hours"))
+    return df.groupBy(*keys).agg(count_rows(df).cast("long").alias("plays"), hours_of().alias("hours"))
 
 
 def ranking_artists(plays: DataFrame, top_n: int = 10) -> DataFrame:
@@ -156,7 +157,7 @@ def ranking_albums(plays: DataFrame, top_n: int = 10) -> DataFrame:
 
 def repeated_tracks(plays: DataFrame, min_plays: int = REPEAT_MIN_PLAYS) -> DataFrame:
     """All (track, artist) pairs played at least ``min_plays`` times, most played first."""
-    g = songs(plays).groupBy(TRACK, ARTIST).agg(count_rows().cast("long").alias("play_count"))
+    g = songs(plays).groupBy(TRACK, ARTIST).agg(count_rows(plays).cast("long").alias("play_count"))
     return top_k(g.where(F.col("play_count") >= min_plays), [TRACK, ARTIST], ["play_count"], None)
 
 

@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from encore.functions.columns import count_rows
 from encore.functions.student_t import t_interval, t_sf_two_sided
 from encore.operators.trends import daily_ms
 from encore.schema import ARTIST, HISTOGRAM_BINS, MS_PER_HOUR, MS_PER_MINUTE, OVERLAY_POINTS
@@ -188,7 +189,7 @@ def weekend_test(plays: DataFrame) -> dict:
 def artist_diversity(df: DataFrame, by: Keys = None) -> DataFrame:
     """Simpson index 1 - sum(p^2) over artist shares; 0.0 for an empty input (one row, or one
     per key)."""
-    counts = df.groupBy(*_k(by), ARTIST).agg(F.count(F.lit(1)).cast("double").alias("c"))
+    counts = df.groupBy(*_k(by), ARTIST).agg(count_rows(df).cast("double").alias("c"))
     a = counts.groupBy(*_k(by)).agg(F.sum(F.col("c") * F.col("c")).alias("s2"), F.sum("c").alias("s1"))
     return a.select(
         *_k(by),
