@@ -210,7 +210,7 @@ def q_enrich_tracks(spark, sf):
     return EN.enrich_tracks(top, C.track_catalog(spark, sf))
 
 
-# --- M1-M9: skip model (iterative fit: no SQL oracle, rows-only check) ----------------------
+# --- M1-M9: skip model ------------------------------------------------------------------------
 
 _models: dict[str, object] = {}
 _models_lock = threading.Lock()
@@ -228,7 +228,67 @@ def _skip_result(spark, sf):
     return _models[key]
 
 
-@register("skip_model_metrics")
+_SKIP_ROWS = """SELECT is_skipped::INTEGER AS label, play_minutes, listening_hour, platform, reason_start, reason_end,
+  shuffle, offline, incognito_mode,
+  CAST('0x' || substr(md5(concat_ws('|', '42', strftime(ts, '%Y-%m-%d %H:%M:%S'), CAST(ms_played AS BIGINT),
+    master_metadata_track_name, platform, reason_start, reason_end, source_file)), 1, 4) AS BIGINT) AS slot
+FROM plays WHERE is_song"""
+_SKIP_CUTS = """s AS (SELECT label, slot, count(*) AS c FROM d GROUP BY ALL),
+u AS (SELECT label, slot, sum(c) OVER (PARTITION BY label ORDER BY slot) AS upto, sum(c) OVER (PARTITION BY label) AS n FROM s),
+k AS (SELECT label, min(n) AS n, min(slot) AS cut, min(upto) AS n_test FROM u WHERE upto >= n * 0.25 GROUP BY label)"""
+
+
+def _newton_sql(rows: str, steps: int = 8) -> str:
+    """The same fit in SQL: ``w`` (feature, weight) and ``scored`` (label, p of the test rows). Every step adds up gradient
+    and Hessian over the rows' non-zero features and solves by Gauss-Jordan elimination."""
+    parts = [f"""d AS MATERIALIZED (SELECT row_number() OVER () AS rid, * FROM ({rows})), {_SKIP_CUTS},
+t AS MATERIALIZED (SELECT d.*, d.slot > k.cut AS train FROM d JOIN k ON d.label = k.label),
+o AS (SELECT avg(play_minutes) AS m1, stddev_samp(play_minutes) AS s1, avg(listening_hour) AS m2, stddev_samp(listening_hour) AS s2,
+  count(*) AS n, count(*) FILTER (WHERE label = 1) AS n1 FROM t WHERE train),
+l AS MATERIALIZED (SELECT rid, label, train, unnest(['intercept', 'play_minutes', 'listening_hour', 'platform=' || platform,
+    'reason_start=' || reason_start, 'reason_end=' || reason_end, 'shuffle', 'offline', 'incognito_mode']) AS feature,
+  unnest([1.0, (play_minutes - m1) / s1, (listening_hour - m2) / s2, 1.0, 1.0, 1.0, shuffle::INTEGER, offline::INTEGER,
+    incognito_mode::INTEGER]::DOUBLE[]) AS x FROM t, o),
+f AS MATERIALIZED (SELECT feature, row_number() OVER (ORDER BY feature) AS i, CASE WHEN feature = 'intercept' THEN 0.0 ELSE 1.0 END AS ridge
+  FROM (SELECT DISTINCT feature FROM l WHERE train)),
+x AS MATERIALIZED (SELECT rid, i, x, label AS y, CASE WHEN label = 1 THEN n / (2.0 * n1) ELSE n / (2.0 * (n - n1)) END AS c
+  FROM l JOIN f USING (feature), o WHERE train AND x <> 0),
+xx AS MATERIALIZED (SELECT a.rid, a.i, b.i AS j, a.x * b.x AS v FROM x a JOIN x b ON a.rid = b.rid),
+w0 AS (SELECT i, 0.0::DOUBLE AS v FROM f)"""]
+    for s in range(steps):
+        parts.append(f"""q{s} AS MATERIALIZED (SELECT rid, any_value(y) AS y, any_value(c) AS c, 1 / (1 + exp(-sum(x.x * w{s}.v))) AS p
+  FROM x JOIN w{s} USING (i) GROUP BY rid),
+g{s} AS (SELECT i, sum(c * (p - q{s}.y) * x) AS v FROM x JOIN (SELECT rid, y, p FROM q{s}) q{s} USING (rid) GROUP BY i),
+h{s} AS (SELECT i, j, sum(c * p * (1 - p) * v) AS v FROM xx JOIN q{s} USING (rid) GROUP BY i, j),
+m{s} AS (SELECT a.i, list_append(list(coalesce(h.v, 0) + CASE WHEN a.i = b.i THEN a.ridge ELSE 0 END ORDER BY b.i),
+    any_value(-coalesce(g.v, 0) - a.ridge * w.v)) AS r
+  FROM f a CROSS JOIN f b LEFT JOIN h{s} h ON h.i = a.i AND h.j = b.i LEFT JOIN g{s} g ON g.i = a.i JOIN w{s} w ON w.i = a.i GROUP BY a.i),
+e{s} AS (SELECT 0::BIGINT AS step, i, r FROM m{s} UNION ALL
+  SELECT a.step + 1, a.i, CASE WHEN a.i = a.step + 1 THEN list_transform(a.r, lambda u: u / a.r[a.i])
+    ELSE list_transform(list_zip(a.r, b.r), lambda u: u[1] - u[2] * a.r[a.step + 1] / b.r[a.step + 1]) END
+  FROM e{s} a JOIN e{s} b ON b.i = a.step + 1 WHERE a.step < (SELECT count(*) FROM f)),
+w{s + 1} AS MATERIALIZED (SELECT i, w{s}.v + e.r[len(e.r)] AS v FROM e{s} e JOIN w{s} USING (i) WHERE e.step = (SELECT count(*) FROM f))""")
+    parts.append(f"""w AS (SELECT feature, v FROM w{steps} JOIN f USING (i)),
+scored AS MATERIALIZED (SELECT any_value(label) AS label, 1 / (1 + exp(-sum(x * coalesce(v, 0)))) AS p
+  FROM l LEFT JOIN w USING (feature) WHERE NOT train GROUP BY rid)""")
+    return "WITH RECURSIVE " + ",\n".join(parts)
+
+
+_NEWTON = _newton_sql(_SKIP_ROWS)
+
+
+# equal rows have equal scores up to the order of a sum, hence the rounding before ranks
+_SKIP_METRICS = """WITH r AS (SELECT label, p, rank() OVER (ORDER BY p) AS lo, count(*) OVER (PARTITION BY p) AS same
+    FROM (SELECT label, round(p, 12) AS p FROM ({scored})))
+SELECT CAST(count(*) AS BIGINT) AS n_test, round(avg(CASE WHEN label = (p > 0.5)::INTEGER THEN 1.0 ELSE 0.0 END), 6) AS accuracy,
+  round((sum(CASE WHEN label = 1 THEN lo + (same - 1) / 2.0 END) - sum(label) * (sum(label) + 1) / 2.0)
+        / (sum(label) * CAST(sum(1 - label) AS DOUBLE)), 6) AS roc_auc FROM r"""
+
+
+@register("skip_model_metrics", with_plays(f"""
+SELECT 'ok' AS status, CAST((SELECT count(*) FROM plays WHERE is_song) - n_test AS BIGINT) AS n_train, n_test, accuracy, roc_auc
+FROM ({_SKIP_METRICS.format(scored=_NEWTON + " SELECT label, p FROM scored")})
+"""))
 def q_skip_model_metrics(spark, sf):
     from encore.operators.skip_model import metrics
 
@@ -236,36 +296,85 @@ def q_skip_model_metrics(spark, sf):
     if r.status != "ok":
         return spark.createDataFrame([(r.status, 0, 0, None, None)],
                                      "status string, n_train long, n_test long, accuracy double, roc_auc double")
-    m = metrics(r.scored)
+    m = _r6(metrics(r.scored.withColumn("probability", F.round("probability", 12))), "accuracy", "roc_auc")
     return m.select(F.lit("ok").alias("status"), F.lit(r.n_train).cast("long").alias("n_train"),
                     "n_test", "accuracy", "roc_auc")
 
 
-@register("skip_scores")
+@register("skip_scores", with_plays(f"""
+SELECT CAST(label AS DOUBLE) AS label, CAST((p > 0.5)::INTEGER AS DOUBLE) AS prediction, round(p, 6) AS probability
+FROM ({_NEWTON} SELECT label, p FROM scored)
+"""))
 def q_skip_scores(spark, sf):
     r = _skip_result(spark, sf)
     if r.status != "ok":
         return spark.createDataFrame([], "label double, prediction double, probability double")
-    return r.scored
+    return _r6(r.scored, "probability")
+
+
+@register("skip_weights", with_plays(f"""
+SELECT feature, round(v, 6) AS weight FROM ({_NEWTON} SELECT feature, v FROM w)
+"""))
+def q_skip_weights(spark, sf):
+    """The fitted coefficients by feature, the intercept too."""
+    r = _skip_result(spark, sf)
+    if r.status != "ok":
+        return spark.createDataFrame([], "feature string, weight double")
+    rows = [(n, float(v)) for n, v in zip(r.model.feature_names(), r.model.coefficients) if n is not None]
+    return _r6(spark.createDataFrame([*rows, ("intercept", r.model.intercept)], "feature string, weight double"), "weight")
+
+_REPORT = """c AS (SELECT k, CAST(count(*) FILTER (WHERE label = k AND prediction = k) AS DOUBLE) AS hit,
+  CAST(count(*) FILTER (WHERE prediction = k) AS DOUBLE) AS named, CAST(count(*) FILTER (WHERE label = k) AS DOUBLE) AS support
+  FROM d, (VALUES (0), (1)) v(k) GROUP BY k),
+m AS (SELECT k, coalesce(hit / nullif(named, 0), 0) AS pr, coalesce(hit / nullif(support, 0), 0) AS re, support, hit FROM c),
+f AS (SELECT *, coalesce(2 * pr * re / nullif(pr + re, 0), 0) AS f1 FROM m),
+t AS (SELECT sum(support) AS n, sum(hit) / sum(support) AS acc FROM f)
+SELECT CAST(k AS VARCHAR) AS label, round(pr, 6) AS precision, round(re, 6) AS recall, round(f1, 6) AS f1_score, support FROM f
+UNION ALL SELECT 'accuracy', round(acc, 6), round(acc, 6), round(acc, 6), n FROM t
+UNION ALL SELECT 'macro avg', round(avg(pr), 6), round(avg(re), 6), round(avg(f1), 6), sum(support) FROM f
+UNION ALL SELECT 'weighted avg', round(sum(pr * support) / sum(support), 6), round(sum(re * support) / sum(support), 6),
+  round(sum(f1 * support) / sum(support), 6), sum(support) FROM f
+"""
+_PREDICTED = "SELECT label, (p > 0.5)::INTEGER AS prediction"
 
 
-@register("skip_report")
+@register("skip_report", with_plays(f"""
+WITH d AS MATERIALIZED ({_PREDICTED} FROM ({_NEWTON} SELECT label, p FROM scored)), {_REPORT}"""))
 def q_skip_report(spark, sf):
     from encore.operators.skip_model import classification_report
 
     r = _skip_result(spark, sf)
     if r.status != "ok":
         return spark.createDataFrame([], "label string, precision double, recall double, f1_score double, support double")
-    return classification_report(r.scored)
+    return _r6(classification_report(r.scored), "precision", "recall", "f1_score")
 
 
-_SKIP_ROWS = """SELECT is_skipped::INTEGER AS label, play_minutes, listening_hour, platform, reason_start, reason_end,
-  CAST('0x' || substr(md5(concat_ws('|', '42', strftime(ts, '%Y-%m-%d %H:%M:%S'), CAST(ms_played AS BIGINT),
-    master_metadata_track_name, platform, reason_start, reason_end, source_file)), 1, 4) AS BIGINT) AS slot
-FROM plays WHERE is_song"""
-_SKIP_CUTS = """s AS (SELECT label, slot, count(*) AS c FROM d GROUP BY ALL),
-u AS (SELECT label, slot, sum(c) OVER (PARTITION BY label ORDER BY slot) AS upto, sum(c) OVER (PARTITION BY label) AS n FROM s),
-k AS (SELECT label, min(n) AS n, min(slot) AS cut, min(upto) AS n_test FROM u WHERE upto >= n * 0.25 GROUP BY label)"""
+# R9 over a selection, and M1: a selection whose songs are all of one class has no model
+_SINCE = "1994-01-01"
+
+
+@register("report_skip_model", with_plays(f"""
+WITH z AS MATERIALIZED ({_newton_sql(_SKIP_ROWS + f" AND date >= DATE '{_SINCE}'")} SELECT label, p FROM scored),
+d AS (SELECT label, (p > 0.5)::INTEGER AS prediction FROM z),
+k AS (SELECT accuracy, roc_auc FROM ({_SKIP_METRICS.format(scored="SELECT label, p FROM z")}))
+SELECT 'recent' AS selection, 'ok' AS status, accuracy, roc_auc, q.* FROM k, (WITH {_REPORT}) q
+UNION ALL SELECT 'skipped', CASE WHEN count(DISTINCT is_skipped) < 2 THEN 'insufficient_data' ELSE 'ok' END, NULL, NULL, NULL,
+  NULL, NULL, NULL, NULL FROM plays WHERE is_song AND is_skipped
+"""))
+def q_report_skip_model(spark, sf):
+    from encore.plans import reports
+
+    p = plays(spark, sf)
+    rows = []
+    for name, r in (("recent", reports.skip_model(p, start=_SINCE)), ("skipped", reports.skip_model(p.where("is_skipped")))):
+        if r["status"] != "ok":
+            rows.append((name, r["status"], *[None] * 7))
+            continue
+        figures = [(k, *(float(v[c]) for c in ("precision", "recall", "f1-score", "support"))) for k, v in r["report"].items()]
+        rows += [(name, "ok", float(r["accuracy"]), float(r["roc_auc"]), *f) for f in figures]
+    out = spark.createDataFrame(rows, "selection string, status string, accuracy double, roc_auc double, label string, "
+                                      "precision double, recall double, f1_score double, support double")
+    return _r6(out, "accuracy", "roc_auc", "precision", "recall", "f1_score")
 
 
 @register("skip_split", with_plays(f"""
@@ -297,7 +406,7 @@ def q_skip_features(spark, sf):
     schema = "feature string, mean double, deviation double, categories long"
     if r.status != "ok":
         return spark.createDataFrame([], schema)
-    scaler, indexer = r.model.stages[2], r.model.stages[3]
+    scaler, indexer = r.model.features.stages[2], r.model.features.stages[3]
     rows = [(f, round(float(m), 6), round(float(d), 6), 0) for f, m, d in zip(FEATURES_NUMERIC, scaler.mean, scaler.std)]
     rows += [(f, 0.0, 0.0, len(x)) for f, x in zip(FEATURES_CATEGORICAL, indexer.labelsArray)]
     return spark.createDataFrame(rows, schema)
@@ -329,18 +438,7 @@ def q_score_metrics(spark, sf):
 
 @register("score_report", with_plays(f"""
 WITH d AS ({_FIXED}),
-c AS (SELECT k, CAST(count(*) FILTER (WHERE label = k AND prediction = k) AS DOUBLE) AS hit,
-  CAST(count(*) FILTER (WHERE prediction = k) AS DOUBLE) AS named, CAST(count(*) FILTER (WHERE label = k) AS DOUBLE) AS support
-  FROM d, (VALUES (0), (1)) v(k) GROUP BY k),
-m AS (SELECT k, coalesce(hit / nullif(named, 0), 0) AS pr, coalesce(hit / nullif(support, 0), 0) AS re, support, hit FROM c),
-f AS (SELECT *, coalesce(2 * pr * re / nullif(pr + re, 0), 0) AS f1 FROM m),
-t AS (SELECT sum(support) AS n, sum(hit) / sum(support) AS acc FROM f)
-SELECT CAST(k AS VARCHAR) AS label, round(pr, 6) AS precision, round(re, 6) AS recall, round(f1, 6) AS f1_score, support FROM f
-UNION ALL SELECT 'accuracy', round(acc, 6), round(acc, 6), round(acc, 6), n FROM t
-UNION ALL SELECT 'macro avg', round(avg(pr), 6), round(avg(re), 6), round(avg(f1), 6), sum(support) FROM f
-UNION ALL SELECT 'weighted avg', round(sum(pr * support) / sum(support), 6), round(sum(re * support) / sum(support), 6),
-  round(sum(f1 * support) / sum(support), 6), sum(support) FROM f
-"""))
+{_REPORT}"""))
 def q_score_report(spark, sf):
     from encore.operators.skip_model import classification_report
 

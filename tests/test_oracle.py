@@ -19,9 +19,8 @@ def test_every_oracle_query_matches(results):
     assert not bad, bad
 
 
-def test_every_query_has_an_oracle_or_is_iterative():
-    missing = set(QUERIES) - set(SQL)
-    assert missing <= {"skip_model_metrics", "skip_scores", "skip_report"}
+def test_every_query_has_an_oracle():
+    assert not set(QUERIES) - set(SQL)
 
 
 def test_entry_runs(spark):

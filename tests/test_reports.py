@@ -84,5 +84,35 @@ def test_coefficients_equal_a_newton_solve(spark):
         grad = x1.T @ (weight * (q - y)) + ridge * w
         hess = (x1 * (weight * q * (1 - q))[:, None]).T @ x1 + np.diag(ridge)
         w -= np.linalg.lstsq(hess, grad, rcond=None)[0]
-    got = np.append(r.model.stages[-1].coefficients.toArray(), r.model.stages[-1].intercept)
-    assert np.abs(got - w).max() < 1e-4
+    got = np.append(r.model.coefficients, r.model.intercept)
+    assert np.abs(got - w).max() < 1e-8
+
+
+def test_wide_features_go_to_the_same_minimum(spark, monkeypatch):
+    """Beyond the Newton width MLlib's solver fits the same loss."""
+    import numpy as np
+
+    from encore.operators import skip_model as M
+
+    p = curated.plays(spark, SF_SMALL)
+    newton = M.train_skip_model(p).model
+    monkeypatch.setattr(M, "NEWTON_WIDTH", 0)
+    wide = M.train_skip_model(p).model
+    assert np.abs(newton.coefficients - wide.coefficients).max() < 1e-4
+    assert len(newton.feature_names()) == len(newton.coefficients)
+
+
+def test_newton_on_separable_rows_and_unscaled_features(spark):
+    """Steps that would overshoot are halved; the gradient vanishes at the end."""
+    import numpy as np
+
+    from encore.operators.skip_model import newton_fit
+
+    x = [[float(i), 1000.0 * (i % 3)] for i in range(60)]
+    rows = [(v, float(v[0] >= 30), 1.0) for v in x]
+    coefficients, intercept = newton_fit(spark.createDataFrame(rows, "x array<double>, label double, _w double").repartition(5), 2, 1 / 60)
+    a = np.hstack([np.array(x), np.ones((60, 1))])
+    y = np.array([r[1] for r in rows])
+    w = np.append(coefficients, intercept)
+    grad = a.T @ (1 / (1 + np.exp(-a @ w)) - y) / 60 + np.append(coefficients, 0.0) / 60
+    assert np.abs(grad).max() < 1e-8
