@@ -97,6 +97,11 @@ def current(spark: SparkSession, path: str) -> str | None:
     return f"{path.rstrip('/')}/v{done[-1]:010d}" if done else None
 
 
+def versions(spark: SparkSession, path: str) -> list[str]:
+    """All committed versions of a table that are still there, oldest first."""
+    return [f"{path.rstrip('/')}/v{n:010d}" for n in _versions(spark, path)[1]]
+
+
 def remove(spark: SparkSession, path: str) -> None:
     p, fs = _path(spark, path)
     fs.delete(p, True)

@@ -1,11 +1,13 @@
 """Incremental ingest of export folders with Structured Streaming.
 
 New ``*.json`` files dropped into the export folder are picked up by a file-source stream,
-decoded with the same lenient VARIANT decoding as the batch reader, and appended to a raw
-Parquet table (exactly-once through the stream's checkpoint). Cleaning is global —
-de-duplication over all rows and sessions over the whole log — so the curated table is
-rebuilt from the raw table by the batch job (``refresh_curated``) rather than patched per
-micro-batch.
+decoded with the same lenient VARIANT decoding as the batch reader, and go one of two ways:
+
+- ``start_ingest`` appends them to a raw Parquet table (exactly-once through the stream's checkpoint), from which
+  ``refresh_curated`` rebuilds the whole curated table;
+- ``start_curated_ingest`` applies every micro-batch to a curated table that is kept by slices of time
+  (``encore.sources.incremental``), with work in proportion to the arrivals. A micro-batch that is repeated after
+  a crash changes nothing.
 
 The checkpoint location must be in the shared folder (``spark.checkpoint.dir``) on a cluster.
 """
@@ -65,3 +67,26 @@ def refresh_curated(spark: SparkSession, raw_table: str, curated_path: str) -> s
     from encore.sources.curated import build_from_raw
 
     return build_from_raw(spark, spark.read.parquet(raw_table), curated_path)
+
+
+def start_curated_ingest(
+    spark: SparkSession,
+    export_dir: str,
+    curated_table: str,
+    checkpoint: str | None = None,
+    unit: str = "month",
+    max_files_per_trigger: int | None = None,
+    processing_time: str | None = None,
+) -> StreamingQuery:
+    """Applies newly arrived records to the incremental curated table, until all present files are
+    done or, with ``processing_time``, for good."""
+    from encore.sources.incremental import apply_arrivals
+
+    pair = hashlib.sha1(f"{export_dir.rstrip('/')}\n{curated_table.rstrip('/')}".encode()).hexdigest()[:16]
+    ckpt = checkpoint or f"{shared_dir(spark)}/encore/streams/curated-{pair}"
+
+    def apply(batch: DataFrame, _: int) -> None:
+        apply_arrivals(batch.sparkSession, batch, curated_table, unit)
+
+    w = export_stream(spark, export_dir, max_files_per_trigger).writeStream.foreachBatch(apply).option("checkpointLocation", ckpt)
+    return (w.trigger(processingTime=processing_time) if processing_time else w.trigger(availableNow=True)).start()
