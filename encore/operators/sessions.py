@@ -28,7 +28,7 @@ _S = "_slot"
 _P = "_part"
 
 
-def _epoch_us(col: str, dtype=None):
+def epoch_us(col: str, dtype=None):
     """Epoch microseconds. TIMESTAMP_NTZ (wall-clock) values are measured without any time
     zone, so gaps never depend on the session zone or daylight-saving shifts."""
     if isinstance(dtype, T.TimestampNTZType):
@@ -48,7 +48,7 @@ def _floor_div(c, n: int):
 
 
 def _slot(df: DataFrame, ts_col: str, gap_us: int):
-    return _floor_div(_epoch_us(ts_col, df.schema[ts_col].dataType), max(1, gap_us))
+    return _floor_div(epoch_us(ts_col, df.schema[ts_col].dataType), max(1, gap_us))
 
 
 def session_slots(
@@ -58,7 +58,7 @@ def session_slots(
     """Per (``by`` keys, slot of the width of the gap): the session number, ``[by...], _slot, out_col``."""
     keys = list(by or [])
     gap_us = int(round(gap_minutes * 60 * 1_000_000))
-    us = _epoch_us(ts_col, df.schema[ts_col].dataType)
+    us = epoch_us(ts_col, df.schema[ts_col].dataType)
     slots = (
         df.where(F.col(ts_col).isNotNull())
         .select(*keys, us.alias(_US), _slot(df, ts_col, gap_us).alias(_S))

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from encore.operators.prepare import complete_raw, parse_ts, prepare_plays
-from encore.operators.sessions import sessionize
+from encore.operators.sessions import epoch_us, sessionize
 from encore.schema import CURATED_EXTRA, RAW_COLUMNS, SESSION_GAP_MINUTES
 from encore.session import configure
 from encore.sources import fs
@@ -42,8 +42,8 @@ def _digest(df: DataFrame):
     """A row's identity over all its columns: NULL is told from text, -0.0 is 0.0, timestamps keep microseconds."""
     def plain(f: T.StructField):
         c = F.col(f.name)
-        if isinstance(f.dataType, T.TimestampType):
-            return F.unix_micros(c).alias(f.name)
+        if isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType)):
+            return epoch_us(f.name, f.dataType).alias(f.name)
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
             return F.when(c == 0, F.lit(0.0)).otherwise(c).alias(f.name)
         return c.alias(f.name)
@@ -111,8 +111,9 @@ def apply_arrivals(spark: SparkSession, raw: DataFrame, path: str, unit: str = "
             rows.repartitionByRange("slice", "ts", tie).sortWithinPartitions("slice", "ts")
             .write.partitionBy("year", "slice").parquet(f"{path}/data/batch={batch}")
         )
-        written = spark.read.parquet(f"{path}/data/batch={batch}").groupBy("slice").agg(
-            F.lit(batch).alias("batch"), F.unix_micros(F.min("ts")).alias("first_us"), F.unix_micros(F.max("ts")).alias("last_us"),
+        written = spark.read.parquet(f"{path}/data/batch={batch}")
+        written = written.withColumn("_us", epoch_us("ts", written.schema["ts"].dataType)).groupBy("slice").agg(
+            F.lit(batch).alias("batch"), F.min("_us").alias("first_us"), F.max("_us").alias("last_us"),
             F.max("_local").alias("sessions"))
         kept = spark.createDataFrame([tuple(r) for r in manifest if r["slice"] not in reached], _MANIFEST)
         written.unionByName(kept).repartition(1).write.parquet(f"{work}/manifest")

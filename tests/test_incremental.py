@@ -90,6 +90,16 @@ def test_a_crash_before_the_commit_leaves_the_table_as_it_was(spark, tmp_path, m
     assert len([d for d in os.listdir(tmp_path / "t" / "data") if os.listdir(tmp_path / "t" / "data" / d)]) <= 3
 
 
+def test_wall_clock_timestamps_and_microseconds(spark, tmp_path):
+    """Rows that differ in microseconds only are different rows, also without a time zone."""
+    path = str(tmp_path / "t")
+    rows = [{"ts": ts("2024-01-01 10:00:00.000001"), "ms_played": 1.0}, {"ts": ts("2024-01-01 10:00:00.000002"), "ms_played": 1.0}]
+    raw = raw_rows(spark, rows).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    for _ in range(2):
+        I.apply_arrivals(spark, raw, path)
+    assert I.read_incremental(spark, path).count() == 2
+
+
 def test_no_table(spark, tmp_path):
     with pytest.raises(FileNotFoundError):
         I.read_incremental(spark, str(tmp_path / "none"))
