@@ -21,8 +21,10 @@ and text columns are read.
 
 from __future__ import annotations
 
+import hashlib
 import ipaddress
 import re
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -98,12 +100,27 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 # --- other runs that look like an identifier, and contexts ---------------------------------------
 
 NUMBER = re.compile(r"\(?[0-9](?:[\x20().-]{0,2}[0-9])++")
-OTHER_MAIL = re.compile(r"[A-Za-z0-9._%+-]{1,64}\x20?(?:@|\(at\)|\[at\]|\{at\})\x20?[A-Za-z0-9-]{1,63}(?:(?:\.|\x20?\(dot\)\x20?|\[dot\])[A-Za-z0-9-]{1,63}){0,8}")
+AT = re.compile(r"\x20?(?:@|\(at\)|\[at\]|\{at\})\x20?")
+HOST = re.compile(r"[A-Za-z0-9-]++(?:(?:\.|\x20?\(dot\)\x20?|\[dot\])[A-Za-z0-9-]++)*+")
 DIGITS = re.compile(r"[0-9]+")
 _DOT = r"(?:\x20?(?:\.|\[\.\]|\(\.\)|\{\.\}|\[dot\]|\(dot\)|\{dot\})\x20?)"
 OTHER_IP = re.compile(rf"(?<![\w.])[0-9]{{1,3}}(?:{_DOT}[0-9]{{1,3}}){{3}}(?!\w)", re.IGNORECASE)
 IP6 = re.compile(r"(?<![\w:.])(?:[0-9A-Fa-f]{0,4}:){2,8}(?:[0-9A-Fa-f]{1,4})?(?![\w:])")
-NEAR = 60  # characters on either side that hold the context
+WORD = re.compile(r"\S+")
+NAMED = 60  # longer context words stand in patterns by a digest of the whole word
+
+
+def _other_mails(text: str) -> Iterator[tuple[int, int]]:
+    """Addresses of any length, grown from their marks outward."""
+    done = 0
+    for m in AT.finditer(text):
+        start = m.start()
+        while start > done and LOCAL.match(text[start - 1]):
+            start -= 1
+        host = HOST.match(text, m.end()) if start < m.start() else None
+        if host:
+            yield start, host.end()
+            done = host.end()
 
 
 def _parts(text: str, run: re.Match, covered: list[tuple[int, int]]) -> Iterator[list[tuple[int, int, int]]]:
@@ -170,7 +187,7 @@ def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, i
                         out.append((2, a, b, m.start()))
     whole = []
     if "@" in text or "(at)" in text or "[at]" in text or "{at}" in text:
-        whole += [(0, m.start(), m.end()) for m in OTHER_MAIL.finditer(text)]
+        whole += [(0, a, b) for a, b in _other_mails(text)]
     whole += [(1, m.start(), m.end()) for m in OTHER_IP.finditer(text) if all(int(p) <= 255 for p in DIGITS.findall(m[0]))]
     if ":" in text:
         whole += [(1, m.start(), m.end()) for m in IP6.finditer(text) if _ip6(m[0])]
@@ -200,15 +217,49 @@ def instance(kind: int, value: str) -> str:
     return _digits(value)
 
 
-def contexts(text: str, start: int, end: int) -> list[str]:
-    """The lexical patterns around an occurrence."""
-    before = re.sub(r"[0-9]", "0", text[max(0, start - NEAR) : start].lower()).split()
-    after = re.sub(r"[0-9]", "0", text[end : end + NEAR].lower()).split()
+def _plain(word: str) -> str:
+    return re.sub(r"[0-9]", "0", word.lower())
+
+
+def _names(text: str, pieces: set[tuple[int, int]], forward: bool) -> dict[tuple[int, int], str]:
+    """What pieces of words are called in patterns: themselves, or a digest if they are long. Long pieces that
+    begin (``forward``) or end together are digested in one pass, so that very many in one word stay linear."""
+    out, long = {}, {}
+    for a, b in pieces:
+        if b - a <= NAMED:
+            out[a, b] = _plain(text[a:b])
+        else:
+            long.setdefault(a if forward else b, []).append(b if forward else a)
+    for at, others in long.items():
+        h, done = hashlib.blake2b(digest_size=16), at
+        for other in sorted(others, reverse=not forward):
+            piece = _plain(text[done:other]) if forward else _plain(text[other:done])[::-1]
+            h.update(piece.encode())
+            done = other
+            out[(at, other) if forward else (other, at)] = "#" + h.hexdigest()
+    return out
+
+
+def contexts(text: str, spans: list[tuple[int, int]]) -> list[list[str]]:
+    """The lexical patterns around each occurrence, of whole words."""
+    if not spans:
+        return []
+    words = [m.span() for m in WORD.finditer(text)]
+    starts, ends = [a for a, _ in words], [b for _, b in words]
+    near = []
+    for a, b in spans:
+        i, j = bisect_left(starts, a) - 1, bisect_right(ends, b)
+        near.append((
+            words[i - 1] if i > 0 else None,
+            (starts[i], min(ends[i], a)) if i >= 0 else None,
+            (max(starts[j], b), ends[j]) if j < len(words) else None,
+        ))
+    before = _names(text, {w for n in near for w in n[:2] if w}, True)
+    after = _names(text, {n[2] for n in near if n[2]}, False)
     out = []
-    if len(before) > 1:
-        out.append(f"{before[-2]} {before[-1]} _")
-    if before and after:
-        out.append(f"{before[-1]} _ {after[0]}")
+    for second, first, following in near:
+        patterns = [f"{before[second]} {before[first]} _"] if second else []
+        out.append(patterns + ([f"{before[first]} _ {after[following]}"] if first and following else []))
     return out
 
 
@@ -234,7 +285,7 @@ def scanned(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     def one(text: str) -> tuple[list[dict], list[dict]]:
         base = base_spans(text)
         all_ = [(*s, None) for s in base] + candidates(text, base)
-        around = [contexts(text, a, b) for _, a, b, _ in all_]
+        around = contexts(text, [(a, b) for _, a, b, _ in all_])
         # a run charges a pattern once, however many readings of it the pattern extracts
         readings = Counter((run, k, p) for (k, _, _, run), ps in zip(all_, around) for p in ps if run is not None)
         return [dict(zip(("kind", "start", "end"), s)) for s in base], [

@@ -131,3 +131,30 @@ def test_query_against_the_patterns(spark):
 
 def test_empty(documents):
     assert pii.find(documents([])).count() == 0 and pii.redact(documents([])).count() == 0
+
+
+def test_other_addresses_of_any_length_and_whole_context_words():
+    """Long parts are not cut, and a long neighbour word is one word."""
+    import time
+
+    long = "a" * 5000 + " (at) " + ".".join(["b" * 100] * 30)
+    text = f"mail {long} now"
+    assert pii.candidates(text, []) == [(0, 5, 5 + len(long), 5)]
+
+    def plain(text, a, b):
+        def name(w, back=False):
+            w = re.sub("[0-9]", "0", w.lower())
+            return w if len(w) <= pii.NAMED else "#" + hashlib.blake2b((w[::-1] if back else w).encode(), digest_size=16).hexdigest()
+
+        before, after = text[:a].split(), text[b:].split()
+        out = [f"{name(before[-2])} {name(before[-1])} _"] if len(before) > 1 else []
+        return out + ([f"{name(before[-1])} _ {name(after[0], True)}"] if before and after else [])
+
+    glued = ",".join(f"X{i % 7}1234567" for i in range(40))
+    for text in ("", "one", "a b 5551234567 c", f"{'w' * 90} {glued} {'z' * 200}", f"call{' ' * 200}5551234567{' ' * 200}now"):
+        spans = [m.span() for m in re.finditer("[0-9]{7,}", text)]
+        assert pii.contexts(text, spans) == [plain(text, a, b) for a, b in spans]
+    text = "x" + ",".join(["1234567"] * 200_000)  # one word with very many candidates
+    t = time.time()
+    assert len(pii.contexts(text, [(1 + 8 * i, 8 + 8 * i) for i in range(200_000)])) == 200_000
+    assert time.time() - t < 30
