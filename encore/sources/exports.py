@@ -131,12 +131,13 @@ def _large(spark: SparkSession, data_dir: str, pattern: str) -> tuple[list[str],
     that are one JSON value, also of elements that are no records (``is_record``); None if there are none.
     The paths come from the listing."""
     listed = spark.read.format("binaryFile").options(**_find(pattern)).load(data_dir)
-    paths = [r["path"] for r in listed.where(F.col("length") > _whole_bytes(spark)).select("_metadata.file_path").toDF("path").collect()]
+    found = listed.where(F.col("length") > _whole_bytes(spark)).select(F.col("_metadata.file_path").alias("path"), "length").collect()
+    paths = [r["path"] for r in found]
     if not paths:
         return [], None
     stage = fs.temporary(spark, "ingest")
-    found = split_json.elements(split_json.cut_files(spark, [split_json.plain_path(spark, p) for p in paths], stage))
-    rec = found.select("path", "sound", F.explode_outer("elements").alias("e"))
+    chunks = split_json.cut_files(spark, [split_json.plain_path(spark, p) for p in paths], stage, sum(r["length"] for r in found))
+    rec = split_json.elements(chunks).select("path", "sound", F.explode_outer("elements").alias("e"))
     rec = rec.withColumn("source_file", base_name("path")).withColumn("is_record", F.expr(f"coalesce({_IS_OBJECT}, false)"))
     typed(rec, "path", "sound", "is_record").write.parquet(f"{stage}/plays")
     plays = spark.read.parquet(f"{stage}/plays")

@@ -155,11 +155,12 @@ def _cutter(states: dict):
     return run
 
 
-def _cut(spark: SparkSession, paths: list[str], states: dict) -> DataFrame:
+def _cut(spark: SparkSession, paths: list[str], states: dict, tasks: int) -> DataFrame:
     pieces = spark.read.text(paths, lineSep="}").select(
         F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("at"),
         F.col("_metadata.file_size").alias("size"), F.col("value").cast("binary").alias("value"))
-    return pieces.mapInArrow(_cutter(states), _SCHEMA)
+    # a task takes several ranges, one after the other, where there are more of them than ``tasks``
+    return pieces.coalesce(tasks).mapInArrow(_cutter(states), _SCHEMA)
 
 
 def _states(notes: DataFrame) -> DataFrame:
@@ -170,11 +171,15 @@ def _states(notes: DataFrame) -> DataFrame:
     return s.select("path", "at", "quoted", F.coalesce(F.sum("change").over(before), F.lit(0)).alias("depth"))
 
 
-def cut_files(spark: SparkSession, paths: list[str], stage: str) -> DataFrame:
-    """The chunks of the files: ``path, kind, first, last, text``. ``stage`` is a folder for the cut pieces; each is
+TASK_BYTES = 16 << 20  # of text that a task goes through at least, however small its ranges are
+
+
+def cut_files(spark: SparkSession, paths: list[str], stage: str, size: int) -> DataFrame:
+    """The chunks of the files, ``size`` bytes together: ``path, kind, first, last, text``. ``stage`` is a folder for the cut pieces; each is
     written once, and once more for an array or object whose ranges do not start between records. (A
     line-delimited file with such ranges is better read by lines; its kind is then ``OTHER``.)"""
-    _cut(spark, paths, {}).write.partitionBy("part").parquet(f"{stage}/guessed")
+    tasks = max(2 * spark.sparkContext.defaultParallelism, -(-size // TASK_BYTES))
+    _cut(spark, paths, {}, tasks).write.partitionBy("part").parquet(f"{stage}/guessed")
     cut = spark.read.schema(_SCHEMA).parquet(f"{stage}/guessed")
     notes = cut.where(F.col("part") == NOTE)
     kinds = notes.where("at = 0").select("path", F.col("text").cast("string").alias("kind"))
@@ -186,7 +191,7 @@ def cut_files(spark: SparkSession, paths: list[str], stage: str) -> DataFrame:
     again = {(r["path"], r["at"]): (r["level"], r["quoted"], r["depth"]) for r in wrong.where(F.col("kind").isin(ARRAY, OBJECT)).collect()}
     if again:
         names = sorted({p for p, _ in again})
-        _cut(spark, [plain_path(spark, p) for p in names], again).write.partitionBy("part").parquet(f"{stage}/known")
+        _cut(spark, [plain_path(spark, p) for p in names], again, tasks).write.partitionBy("part").parquet(f"{stage}/known")
         known = spark.read.schema(_SCHEMA).parquet(f"{stage}/known")
         cut = cut.join(spark.createDataFrame([(p,) for p in names], "path string"), "path", "left_anti").unionByName(known)
     by_line = wrong.where(F.col("kind") == LINES).select("path", F.lit(OTHER).alias("other")).distinct()

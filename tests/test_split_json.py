@@ -105,3 +105,24 @@ def test_a_range_notes_what_it_does_to_any_start(seed):
     for quoted in (0, 1):
         q, d = _plain(pieces, 1, bool(quoted), 5)
         assert (quoted + noted.quotes) % 2 == q and 5 + noted.change[quoted] == d
+
+
+def test_small_ranges_share_tasks(spark, tmp_path):
+    """Before, every range was a task of its own, with a Python worker and several files."""
+    from encore.sources import split_json
+
+    r = random.Random(3)
+    text = "[" + ",".join(_rec(i, r) for i in range(20_000)) + "]"
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "big.json").write_text(text)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")
+    try:
+        path, size = str(tmp_path / "in" / "big.json"), len(text.encode())
+        cut = split_json._cut(spark, [path], {}, 4)
+        assert cut.rdd.getNumPartitions() == 4 and cut.where(f"part = {split_json.NOTE}").count() > 50
+        chunks = split_json.cut_files(spark, [path], str(tmp_path / "stage"), size)
+        assert split_json.elements(chunks).selectExpr("sum(size(elements)) AS n", "min(sound) AS s").first()[:] == (20_000, True)
+        assert len(list((tmp_path / "stage" / "guessed" / f"part={split_json.NOTE}").glob("*.parquet"))) <= 2 * spark.sparkContext.defaultParallelism
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
