@@ -254,9 +254,13 @@ def skip_model(plays, start=None, end=None, artists=None, content_types=None) ->
     res = train_skip_model(sel)
     if res.status != "ok":
         return {"status": res.status}
-    m = metrics(res.scored).first()
-    report = {r["label"]: {"precision": r["precision"], "recall": r["recall"], "f1-score": r["f1_score"],
-                           "support": r["support"]} for r in classification_report(res.scored).collect()}  # 5 rows
+    scored = res.scored.cache()  # three numbers a test row, which several passes read
+    try:
+        m = metrics(scored).first()
+        report = {r["label"]: {"precision": r["precision"], "recall": r["recall"], "f1-score": r["f1_score"],
+                               "support": r["support"]} for r in classification_report(scored).collect()}  # 5 rows
+    finally:
+        scored.unpersist()
     return {"status": "ok", "accuracy": m["accuracy"], "roc_auc": m["roc_auc"], "report": report, "model": res.model}
 
 
