@@ -39,7 +39,7 @@ from encore.llm.common import map_texts, stored, table
 LENGTH = 200
 GRAM = 64
 CHUNK = 1 << 17  # bytes of text scanned at a time; what is computed per byte then stays in the cache
-BATCH_BYTES = 4 << 20  # content sorted at a time
+BATCH_BYTES = 1 << 20  # content sorted at a time, in some 40 times that much memory of each Python worker
 BATCH_CONTENTS = 4096  # contents of a key that one suffix order takes
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -163,26 +163,37 @@ def window_ranks(data: np.ndarray, starts: np.ndarray, length: int) -> np.ndarra
     """Ranks of the windows at ``starts`` in the order of their first ``length`` bytes (equal windows
     have equal ranks), by prefix doubling."""
     n = len(data)
-    rank = np.zeros(n + 8, np.uint64)
-    have = 8  # ranks begin as the first eight bytes
-    padded = np.concatenate([data, np.zeros(8, np.uint8)]).astype(np.uint64)
+    rank = np.zeros(n, np.uint64)  # ranks begin as the first eight bytes
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
     for i in range(8):
-        rank[:n] = (rank[:n] << np.uint64(8)) | padded[i : i + n]
-    rank = rank[:n]
+        rank <<= np.uint64(8)
+        rank |= padded[i : i + n]
     have = min(8, length)
     if have < 8:
         rank >>= np.uint64(8 * (8 - have))
     while True:
-        _, number = np.unique(rank, return_inverse=True)
+        number = _dense(rank)
         if have >= length:
             return number[starts].astype(np.int64)
         step = min(have, length - have)
-        after = np.zeros(n, np.uint64)
-        after[: n - step] = number[step:]
-        rank = (number.astype(np.uint64) << np.uint64(32)) | after
+        rank[:] = number
+        rank <<= np.uint64(32)
+        rank[: n - step] |= number[step:]
         have += step
 
 
+def _dense(rank: np.ndarray) -> np.ndarray:
+    """Numbers from 0 in the order of the ranks, equal ones for equal ranks; as ``np.unique`` does, in half the memory."""
+    order = np.argsort(rank)
+    ordered = rank[order]
+    new = np.zeros(len(rank), bool)
+    new[1:] = ordered[1:] != ordered[:-1]
+    del ordered
+    number = np.empty(len(rank), np.uint32)
+    number[order] = np.cumsum(new, dtype=np.uint32)
+    return number
+
+
 def longest_previous_factors(rank: np.ndarray, position: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For windows with ranks in the truncated suffix order: whether an earlier and whether a later
     position has the same window. With ties in text order the suffix before a window in the order is

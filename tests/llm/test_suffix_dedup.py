@@ -107,3 +107,18 @@ def test_empty(documents):
     assert sd.remove_repeats(documents([])).count() == 0
     with pytest.raises(ValueError):
         sd.remove_repeats(documents([]), keep="last")
+
+
+def test_a_batch_is_sorted_in_little_memory():
+    """Six Python workers of an executor sort a batch each, beside its heap."""
+    import tracemalloc
+
+    r = np.random.default_rng(1)
+    pieces = [r.integers(97, 101, 270, dtype=np.uint8).tobytes() for _ in range(sd.BATCH_BYTES // 270 + 1)]
+    pieces[5] = pieces[9]
+    tracemalloc.start()
+    out = sd.judge(pieces, np.arange(len(pieces)), np.zeros(len(pieces), np.int64), 200)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [i for i, (_, any_) in enumerate(out) if any_] == [5, 9] and out[5][0] == [] and out[9][0] == [(0, 71)]
+    assert most < 80 << 20, most
