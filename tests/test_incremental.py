@@ -2,6 +2,7 @@
 
 import os
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -114,3 +115,67 @@ def test_streamed_files(spark, tmp_path):
             f.write(text)
         start_curated_ingest(spark, src, table).awaitTermination(180)
     assert [r[0] for r in I.read_incremental(spark, table).orderBy("ts").select("session_id").collect()] == [1, 1]
+
+
+def _shuffles(plan):
+    return [line for line in plan.split("\n") if re.search(r"[^s]Exchange (hash|range|Single)", line)]
+
+
+def test_rows_are_shuffled_once_and_stored_ones_stay(spark, tmp_path, monkeypatch):
+    """Whole rows pass one shuffle, by ranges of time; an arrival writes new rows only."""
+    path, plans = str(tmp_path / "t"), []
+    write = I._write
+
+    def watched(rows, to):
+        plans.append(rows._jdf.queryExecution().executedPlan().toString())
+        write(rows, to)
+
+    monkeypatch.setattr(I, "_write", watched)
+    rows = _log(60, 7)
+    for part in (rows[:40], rows[20:]):
+        I.apply_arrivals(spark, raw_rows(spark, part), path)
+    for plan in plans:
+        assert len(_shuffles(plan)) == 1 and "REPARTITION_BY_NUM" in plan, plan  # a range of time each, of one task here
+    stored = I._slices(spark, path)
+    distinct = prepare_plays(raw_rows(spark, rows), with_sessions=False).count()
+    assert sum(r["rows"] for r in stored) == distinct == I.read_incremental(spark, path).count()
+    assert len({r["batch"] for r in stored}) == 2
+
+
+def test_parts_of_a_slice_are_merged(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "t")
+    monkeypatch.setattr(I, "PARTS", 2)
+    rows = [{"ts": ts(f"2024-01-01 {h:02d}:00:00"), "ms_played": 1.0} for h in range(6)]
+    parts = []
+    for r in rows[::-1]:
+        I.apply_arrivals(spark, raw_rows(spark, [r, rows[-1]]), path)
+        parts.append(len(I._slices(spark, path)))
+    assert parts == [1, 2, 1, 2, 1, 2]
+    _same(spark, path, raw_rows(spark, rows))
+
+
+def test_nulls_do_not_shift_a_row_into_another(spark, tmp_path):
+    path = str(tmp_path / "t")
+    rows = [{"ts": ts("2024-01-01 10:00:00"), c: "a"} for c in ("episode_name", "episode_show_name", "episode_uri")]
+    for part in (rows[:1], rows):
+        I.apply_arrivals(spark, raw_rows(spark, part), path)
+    _same(spark, path, raw_rows(spark, rows))
+
+
+def test_very_many_copies_are_merged_before_the_shuffle(spark, tmp_path, monkeypatch):
+    from encore.sources import curated
+
+    path = str(tmp_path / "t")
+    monkeypatch.setattr(curated, "TASK_ROWS", 20)
+    rows = [{"ts": ts("2024-01-01 10:00:00"), "ms_played": -0.0}] * 90 + _log(40, 9)
+    for part in (rows[:100], rows[50:]):
+        I.apply_arrivals(spark, raw_rows(spark, part), path)
+    _same(spark, path, raw_rows(spark, rows))
+
+
+def test_a_table_of_the_layout_before_is_refused(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.range(1).write.parquet(f"{path}/staged")
+    fs.publish_version(spark, f"{path}/staged", f"{path}/manifest")
+    with pytest.raises(ValueError, match="older layout"):
+        I.read_incremental(spark, path)
