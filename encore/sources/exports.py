@@ -7,21 +7,24 @@ line-by-line fallback:
 * otherwise every line is decoded on its own and bad lines are skipped;
 * elements that are not objects are dropped; a blank file gives nothing.
 
-A file of one reader split (at most ``WHOLE_BYTES``) is one row and decoded whole. A larger one, of any
-length, is cut into chunks at its records' ends by many tasks (``split_json``): an array, an object, or a
-line-delimited file without bad lines. Either way its text is read once. Large files with bad
-lines, and what is not sound as a whole, are read once more, by lines.
+A file of one reader split (at most ``WHOLE_BYTES``) is one row and decoded whole. A larger one that begins with a whole
+object on a line can only be line-delimited and is read by lines, by many tasks at once. Another larger one, of any
+length, is cut into chunks at its records' ends by many tasks (``split_json``): an array, an object, or lines without bad
+ones. Either way its text is read once (of line-delimited files, the first ``HEAD_BYTES`` twice). What is
+not sound as a whole is read once more, by lines.
 ``file_report`` tells per file how it was read, its records and its skipped lines.
 
 Decoding uses VARIANT: wrapping the text in brackets makes the decode strict (the outer array
 must close), arrays are decoded element by element (one VARIANT has a size limit), and
-``try_variant_get`` extracts each expected column with its type. Keys outside the expected
-columns survive as canonical JSON in ``extra_json`` (``to_json`` of a variant map sorts keys,
+``try_variant_get`` extracts the expected columns with their types, in one pass over a record's keys. Keys outside the
+expected columns survive as canonical JSON in ``extra_json`` (``to_json`` of a variant map sorts keys,
 so it can take part in de-duplication).
 """
 
 from __future__ import annotations
 
+import json
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -73,8 +76,11 @@ def decode(text: DataFrame) -> DataFrame:
 
 def decode_lines(text: DataFrame) -> DataFrame:
     """``source_file, value`` (one line) -> ``source_file, e`` as ``decode``."""
-    one = text.select("source_file", F.expr(_TRIMMED).alias("t")).select("source_file", F.expr(_ONE).alias("a"))
-    return one.where(F.size("a") == 1).select("source_file", F.col("a")[0].alias("e")).where(F.expr(_IS_OBJECT))
+    t = F.when(F.col("value").startswith("{") & F.col("value").endswith("}"), F.col("value")).otherwise(F.expr(_TRIMMED))
+    one = text.select("source_file", t.alias("t")).select("source_file", F.expr(_ONE).alias("a"))
+    # exploded, since a filter would parse every line a second time
+    e = F.explode(F.expr("slice(a, 1, CASE WHEN size(a) = 1 THEN 1 ELSE 0 END)"))
+    return one.select("source_file", e.alias("e")).where(F.expr(_IS_OBJECT))
 
 
 PATTERN = "*.json"
@@ -82,8 +88,8 @@ PATTERN = "*.json"
 
 def base_name(path: str | Column) -> Column:
     """Base name of a file from its path in a row's metadata, where odd characters are escaped."""
-    last = F.element_at(F.split(path, "/"), -1)
-    return F.url_decode(F.replace(last, F.lit("+"), F.lit("%2B")))
+    last = F.substring_index(path, "/", -1)
+    return F.when(F.instr(path, "%") == 0, last).otherwise(F.url_decode(F.replace(last, F.lit("+"), F.lit("%2B"))))
 
 
 def _find(pattern: str) -> dict:
@@ -93,15 +99,15 @@ def _find(pattern: str) -> dict:
 def typed(rec: DataFrame, *more: str) -> DataFrame:
     """VARIANT records -> raw plays: expected columns typed (absent -> NULL; ``ts`` kept as
     text for ``prepare`` to parse), unexpected keys as canonical JSON in ``extra_json``."""
-    cols = []
-    for c in RAW_COLUMNS:
-        t = "string" if c == "ts" else raw_type(c).simpleString()
-        cols.append(F.expr(f"try_variant_get(e, '$.{export_key(c)}', '{t}')").alias(c))
+    fields = [f"`{export_key(c)}`: {'string' if c == 'ts' else raw_type(c).simpleString()}" for c in RAW_COLUMNS]
+    # exploded, since a filter on a column would extract them all a second time
+    rec = rec.select("*", F.explode(F.expr(f"array(try_variant_get(e, '$', 'struct<{', '.join(fields)}>'))")).alias("_r"))
+    cols = [F.col("_r").getField(export_key(c)).alias(c) for c in RAW_COLUMNS]
     expected = ", ".join(f"'{export_key(c)}'" for c in RAW_COLUMNS)
-    extra = F.expr(
-        f"map_filter(try_variant_get(e, '$', 'map<string,variant>'), (k, v) -> NOT array_contains(array({expected}), k))"
-    )
-    return rec.select(*cols, F.col("source_file"), F.when(F.size(extra) > 0, F.to_json(extra)).alias("extra_json"), *more)
+    keys = "try_variant_get(e, '$', 'map<string,variant>')"
+    extra = F.expr(f"""CASE WHEN exists(map_keys({keys}), k -> k NOT IN ({expected})) THEN
+        to_json(map_filter({keys}, (k, v) -> k NOT IN ({expected}))) END""")
+    return rec.select(*cols, F.col("source_file"), extra.alias("extra_json"), *more)
 
 
 WHOLE_BYTES = 16 << 20  # of a file that is decoded in one row
@@ -126,15 +132,30 @@ def _by_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
     return _named(spark.read.text(paths))
 
 
-def _large(spark: SparkSession, data_dir: str, pattern: str) -> tuple[list[str], DataFrame | None]:
+HEAD_BYTES = 1 << 16  # of a large file, to see whether its first record stands on one line
+
+
+def _by_line(spark: SparkSession, path: str) -> bool:
+    """Whether a file begins with a whole object on a line of its own, so that it can only be line-delimited."""
+    head = re.split(rb"[\r\n]", fs.head(spark, path, HEAD_BYTES).lstrip(b" \t\r\n\xef\xbb\xbf"), maxsplit=1)
+    try:
+        return len(head) == 2 and isinstance(json.loads(head[0]), dict)
+    except (ValueError, RecursionError):
+        return False
+
+
+def _large(spark: SparkSession, data_dir: str, pattern: str, by_line: bool = False) -> tuple[list[str], DataFrame | None]:
     """``(by_lines, plays)``: paths of the large files that are read by lines, and the typed rows of those
     that are one JSON value, also of elements that are no records (``is_record``); None if there are none.
-    The paths come from the listing."""
+    The paths come from the listing. With ``by_line``, files that can only be line-delimited are not cut first."""
     listed = spark.read.format("binaryFile").options(**_find(pattern)).load(data_dir)
     found = listed.where(F.col("length") > _whole_bytes(spark)).select(F.col("_metadata.file_path").alias("path"), "length").collect()
+    lined = {r["path"] for r in found if by_line and _by_line(spark, r["path"])}
+    plain = [split_json.plain_path(spark, p) for p in sorted(lined)]
+    found = [r for r in found if r["path"] not in lined]
     paths = [r["path"] for r in found]
     if not paths:
-        return [], None
+        return plain, None
     stage = fs.temporary(spark, "ingest")
     chunks = split_json.cut_files(spark, [split_json.plain_path(spark, p) for p in paths], stage, sum(r["length"] for r in found))
     rec = split_json.elements(chunks).select("path", "sound", F.explode_outer("elements").alias("e"))
@@ -144,7 +165,7 @@ def _large(spark: SparkSession, data_dir: str, pattern: str) -> tuple[list[str],
     lines = sorted(r["path"] for r in plays.where("NOT sound").select("path").distinct().collect())
     if lines:
         plays = plays.join(spark.createDataFrame([(p,) for p in lines], "path string"), "path", "left_anti")
-    return [split_json.plain_path(spark, p) for p in lines], plays
+    return plain + [split_json.plain_path(spark, p) for p in lines], plays
 
 
 def file_report(spark: SparkSession, data_dir: str, pattern: str = PATTERN) -> DataFrame:
@@ -183,7 +204,7 @@ def read_exports(spark: SparkSession, data_dir: str, pattern: str = PATTERN) ->
         return empty_raw(spark)
     configure(spark)
     out = typed(decode(_small(spark, data_dir, pattern)))
-    paths, plays = _large(spark, data_dir, pattern)
+    paths, plays = _large(spark, data_dir, pattern, by_line=True)
     if paths:
         out = out.unionByName(typed(decode_lines(_by_lines(spark, paths))))
     return out if plays is None else out.unionByName(plays.where("is_record").select(out.columns))

@@ -1,9 +1,11 @@
 """Tolerant JSON decoding of export folders (shapes from FIXTURES §5)."""
 
+import json
 import os
 
 from pyspark.sql import functions as F
 
+from encore.sources import exports as E
 from encore.sources.exports import file_report, json_files, read_exports
 
 
@@ -146,3 +148,41 @@ def test_crlf_and_lone_cr_lines(spark, tmp_path):
     _write(tmp_path, "cr.json", '{"ts":"2024-01-04T00:00:00Z"}\r{"ts":"2024-01-05T00:00:00Z"}\r')
     r = _rows(spark, tmp_path)
     assert sorted(x["ts"][:10] for x in r) == ["2024-01-02", "2024-01-03", "2024-01-04", "2024-01-05"]
+
+
+def test_line_files_are_decoded_once_without_a_cut(spark, tmp_path, monkeypatch):
+    """A large file that begins with a whole object on a line is read by lines at once; a line is parsed once, and
+    its columns are extracted together, also below a filter on one of them."""
+    from encore.operators.prepare import valid_plays
+
+    d = tmp_path / "in"
+    d.mkdir()
+    rows = [json.dumps({"ts": f"2024-01-{i % 28 + 1:02d}T00:00:00Z", "ms_played": i, "zz": i % 2}) for i in range(300)]
+    (d / "a b%.json").write_text("\ufeff" + "\n".join(rows) + "\noops\n[1]\n")
+    (d / "array.json").write_text("[" + ",\n".join(rows) + "]")
+    (d / "object.json").write_text('{\n "ts": "2024-02-01T00:00:00Z", "x": "' + "y" * 9000 + '"}')
+    (d / "late.json").write_text("oops\n" + "\n".join(rows))
+    cut, cut_files = [], E.split_json.cut_files
+    monkeypatch.setattr(E, "_whole_bytes", lambda spark: 4096)
+    monkeypatch.setattr(E.split_json, "cut_files", lambda spark, paths, *a: cut.extend(paths) or cut_files(spark, paths, *a))
+    got = {r[0]: r[1:] for r in E.read_exports(spark, str(d)).groupBy("source_file").agg(
+        F.count("ts"), F.sum("ms_played"), F.count("extra_json")).collect()}
+    assert got == {"a b%.json": (300, 44850.0, 300), "array.json": (300, 44850.0, 300), "late.json": (300, 44850.0, 300),
+                   "object.json": (1, None, 1)}
+    assert sorted(p.rsplit("/", 1)[1] for p in cut) == ["array.json", "late.json", "object.json"]
+    lines = valid_plays(E.typed(E.decode_lines(spark.createDataFrame([("a", rows[0])], "source_file string, value string"))))
+    plan = lines._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json(") == 1 and plan.count("StructField(ts,StringType,true)") == 1, plan
+
+
+def test_columns_are_typed_as_one_by_one(spark):
+    from encore.schema import RAW_COLUMNS, export_key, raw_type
+
+    values = ['"x"', '""', '"12"', '"true"', "1", "-0.0", "1.50", "1e3", "99999999999999999999", "true", "null", "{}", '{"a":1}', "[1]"]
+    lines = ["{" + f'"{export_key(c)}":{v}, "zz":{v}' + "}" for c in RAW_COLUMNS for v in values] + ["{}", "1", "[]", '{"ts":1,"ts":"b"}']
+    rec = E.decode_lines(spark.createDataFrame([("a", x) for x in lines], "source_file string, value string"))
+    kinds = {c: "string" if c == "ts" else raw_type(c).simpleString() for c in RAW_COLUMNS}
+    single = rec.select(*[F.expr(f"try_variant_get(e, '$.{export_key(c)}', '{t}')").alias(c) for c, t in kinds.items()])
+    got = E.typed(rec)
+    assert sorted(map(repr, got.select(*RAW_COLUMNS).collect())) == sorted(map(repr, single.collect()))
+    assert got.where("extra_json IS NOT NULL").count() == len(RAW_COLUMNS) * len(values)
