@@ -34,3 +34,42 @@ def test_training_reads_small_pieces(spark, tmp_path, monkeypatch):
     assert abs(small.model.coefficients - large.model.coefficients).max() < 1e-9
     assert (small.n_train, small.n_test) == (large.n_train, large.n_test) and small.n_train + small.n_test == 4000
     assert small.scored.count() == small.n_test
+
+
+def test_training_keeps_no_rows_in_memory(spark, make_plays, monkeypatch):
+    """Before, the cached rows and vectors of the log took up the executors' heap, however large."""
+    start = dt.datetime(2024, 1, 1)
+    plays = make_plays([{"ts": start + dt.timedelta(seconds=61 * i), "ms_played": 1000.0 * (i % 97), "master_metadata_track_name": f"t{i}",
+                         "platform": f"p{i % 3}", "skipped": i % 5 < 2} for i in range(600)], sessions=False)
+    kept, fit = [], M.newton_fit
+
+    def look(vectors, width, ridge):
+        out = fit(vectors, width, ridge)
+        kept.extend((r.memSize(), r.diskSize()) for r in spark.sparkContext._jsc.sc().getRDDStorageInfo())
+        return out
+
+    monkeypatch.setattr(M, "newton_fit", look)
+    spark.catalog.clearCache()
+    assert M.train_skip_model(plays).status == "ok"
+    assert len(kept) >= 2 and all(m == 0 and d > 0 for m, d in kept)
+
+
+def test_metrics_equal_the_evaluator(spark):
+    """Over many ranges of scores with ties, and without rows of one class or both."""
+    from pyspark.ml.evaluation import BinaryClassificationEvaluator
+
+    ev = BinaryClassificationEvaluator(rawPredictionCol="probability", labelCol="label", metricName="areaUnderROC", numBins=0)
+    rows = [(float(i * 7 % 5 < 2), float(i % 3 == 0), (i * 7919 % 211) / 211) for i in range(2000)]
+    for some in (rows, rows[:1], [r for r in rows if r[0] == 1], [r for r in rows if r[0] == 0], []):
+        df = spark.createDataFrame(some, "label double, prediction double, probability double").repartition(4)
+        m = M.metrics(df).first()
+        assert abs(m["roc_auc"] - ev.evaluate(df)) < 1e-12
+        assert m["n_test"] == len(some)
+        assert m["accuracy"] == (sum(a == b for a, b, _ in some) / len(some) if some else None)
+    df = spark.createDataFrame(rows, "label double, prediction double, probability double")
+    aqe = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # one range for each task
+    try:
+        assert abs(M.metrics(df).first()["roc_auc"] - ev.evaluate(df)) < 1e-12
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", aqe)
