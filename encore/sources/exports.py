@@ -11,7 +11,9 @@ A file of one reader split (at most ``WHOLE_BYTES``) is one row and decoded whol
 object on a line can only be line-delimited and is read by lines, by many tasks at once. Another larger one, of any
 length, is cut into chunks at its records' ends by many tasks (``split_json``): an array, an object, or lines without bad
 ones. Either way its text is read once (of line-delimited files, the first ``HEAD_BYTES`` twice). What is
-not sound as a whole is read once more, by lines.
+not sound as a whole is read once more, by lines. A compressed file (``*.json.gz``, where the pattern asks for such) can
+only be read from its start: beyond ``WHOLE_BYTES / TEXT_RATIO`` it is streamed by lines if it begins with a whole object
+on a line, and is one row otherwise.
 ``file_report`` tells per file how it was read, its records and its skipped lines.
 
 Decoding uses VARIANT: wrapping the text in brackets makes the decode strict (the outer array
@@ -122,16 +124,33 @@ def _named(text: DataFrame) -> DataFrame:
     return text.select(base_name("_metadata.file_path").alias("source_file"), "value")
 
 
+COMPRESSED = (".gz", ".bz2", ".deflate", ".zst")
+TEXT_RATIO = 16  # bytes of JSON text in a byte of a compressed file, about
+
+
+def _is_large(spark: SparkSession) -> Column:
+    """Whether a file is beyond what is decoded in one row. The sizes prune the file listing."""
+    whole, name = _whole_bytes(spark), F.col("_metadata.file_name")
+    packed = reduce(lambda a, b: a | b, [name.endswith(x) for x in COMPRESSED])
+    return F.col("_metadata.file_size") > F.when(packed, whole // TEXT_RATIO).otherwise(whole)
+
+
 def _small(spark: SparkSession, data_dir: str, pattern: str) -> DataFrame:
-    """``source_file, value``: the small files, one row each. The size prunes the file listing."""
+    """``source_file, value``: the small files, one row each."""
     text = spark.read.text(data_dir, wholetext=True, **_find(pattern))
-    return _named(text.where(F.col("_metadata.file_size") <= _whole_bytes(spark)))
+    return _named(text.where(~_is_large(spark)))
 
 
 def _by_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
     return _named(spark.read.text(paths))
 
 
+def _files(spark: SparkSession, data_dir: str, pattern: str, large: list[str]) -> DataFrame:
+    """``source_file, value``: the files that are one row each."""
+    files = _small(spark, data_dir, pattern)
+    return files.unionByName(_named(spark.read.text(large, wholetext=True))) if large else files
+
+
 HEAD_BYTES = 1 << 16  # of a large file, to see whether its first record stands on one line
 
 
@@ -144,18 +163,21 @@ def _by_line(spark: SparkSession, path: str) -> bool:
         return False
 
 
-def _large(spark: SparkSession, data_dir: str, pattern: str, by_line: bool = False) -> tuple[list[str], DataFrame | None]:
-    """``(by_lines, plays)``: paths of the large files that are read by lines, and the typed rows of those
-    that are one JSON value, also of elements that are no records (``is_record``); None if there are none.
-    The paths come from the listing. With ``by_line``, files that can only be line-delimited are not cut first."""
+def _large(spark: SparkSession, data_dir: str, pattern: str, by_line: bool = False) -> tuple[list[str], list[str], DataFrame | None]:
+    """``(by_lines, whole, plays)``: paths of the large files that are read by lines, those of compressed ones that are one
+    row each, and the typed rows of those that are one JSON value, also of elements that are no records (``is_record``);
+    None if there are none. The paths come from the listing. With ``by_line``, files that can only be line-delimited are not
+    cut first; compressed ones cannot be cut."""
     listed = spark.read.format("binaryFile").options(**_find(pattern)).load(data_dir)
-    found = listed.where(F.col("length") > _whole_bytes(spark)).select(F.col("_metadata.file_path").alias("path"), "length").collect()
-    lined = {r["path"] for r in found if by_line and _by_line(spark, r["path"])}
+    found = listed.where(_is_large(spark)).select(F.col("_metadata.file_path").alias("path"), "length").collect()
+    packed = {r["path"] for r in found if r["path"].endswith(COMPRESSED)}
+    lined = {r["path"] for r in found if (by_line or r["path"] in packed) and _by_line(spark, r["path"])}
     plain = [split_json.plain_path(spark, p) for p in sorted(lined)]
-    found = [r for r in found if r["path"] not in lined]
+    whole = [split_json.plain_path(spark, p) for p in sorted(packed - lined)]
+    found = [r for r in found if r["path"] not in lined | packed]
     paths = [r["path"] for r in found]
     if not paths:
-        return plain, None
+        return plain, whole, None
     stage = fs.temporary(spark, "ingest")
     chunks = split_json.cut_files(spark, [split_json.plain_path(spark, p) for p in paths], stage, sum(r["length"] for r in found))
     rec = split_json.elements(chunks).select("path", "sound", F.explode_outer("elements").alias("e"))
@@ -165,14 +187,15 @@ def _large(spark: SparkSession, data_dir: str, pattern: str, by_line: bool = Fal
     lines = sorted(r["path"] for r in plays.where("NOT sound").select("path").distinct().collect())
     if lines:
         plays = plays.join(spark.createDataFrame([(p,) for p in lines], "path string"), "path", "left_anti")
-    return plain + [split_json.plain_path(spark, p) for p in lines], plays
+    return plain + [split_json.plain_path(spark, p) for p in lines], whole, plays
 
 
 def file_report(spark: SparkSession, data_dir: str, pattern: str = PATTERN) -> DataFrame:
     """Per file name: ``read_as`` ('lines', 'file', or 'parts' for one JSON value that was cut into
     chunks), ``records`` and ``skipped_lines`` (not blank, not decodable; 0 for a file that is one JSON value)."""
     configure(spark)
-    files = _small(spark, data_dir, pattern)
+    paths, whole, plays = _large(spark, data_dir, pattern)
+    files = _files(spark, data_dir, pattern, whole)
     n = decode(files).groupBy("source_file").agg(F.count(F.lit(1)).alias("records"))
     t = files.select("source_file", F.expr(_TRIMMED).alias("t")).select(
         "source_file", "t", F.expr(_WHOLE_ARRAY).alias("x"), F.expr(_WHOLE_OBJECT).alias("y"))
@@ -184,7 +207,6 @@ def file_report(spark: SparkSession, data_dir: str, pattern: str = PATTERN) -> D
     s = t.groupBy("source_file").agg(
         F.max(F.when(by_line, "lines").otherwise("file")).alias("read_as"), F.sum(F.when(one, 0).otherwise(bad)).alias("skipped_lines"))
     out = s.join(n, "source_file", "left").select("source_file", "read_as", F.coalesce("records", F.lit(0)).alias("records"), "skipped_lines")
-    paths, plays = _large(spark, data_dir, pattern)
     if paths:
         t = _by_lines(spark, paths).select("source_file", F.expr(_TRIMMED).alias("t")).where("t <> ''").withColumn("a", F.expr(_ONE))
         e = t.withColumn("e", F.when(F.size("a") == 1, F.col("a")[0]))
@@ -203,8 +225,8 @@ def read_exports(spark: SparkSession, data_dir: str, pattern: str = PATTERN) ->
     if not exists(spark, data_dir):
         return empty_raw(spark)
     configure(spark)
-    out = typed(decode(_small(spark, data_dir, pattern)))
-    paths, plays = _large(spark, data_dir, pattern, by_line=True)
+    paths, whole, plays = _large(spark, data_dir, pattern, by_line=True)
+    out = typed(decode(_files(spark, data_dir, pattern, whole)))
     if paths:
         out = out.unionByName(typed(decode_lines(_by_lines(spark, paths))))
     return out if plays is None else out.unionByName(plays.where("is_record").select(out.columns))

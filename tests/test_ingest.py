@@ -186,3 +186,48 @@ def test_columns_are_typed_as_one_by_one(spark):
     got = E.typed(rec)
     assert sorted(map(repr, got.select(*RAW_COLUMNS).collect())) == sorted(map(repr, single.collect()))
     assert got.where("extra_json IS NOT NULL").count() == len(RAW_COLUMNS) * len(values)
+
+
+def test_compressed_files_give_the_rows_of_plain_ones(spark, tmp_path, monkeypatch):
+    """Of any shape, below and beyond the size of one row; other patterns leave them alone."""
+    import gzip
+
+    rows = [json.dumps({"ts": f"2024-01-{i % 28 + 1:02d}T00:00:00Z", "ms_played": i, "zz": i * 7919 % 211}) for i in range(300)]
+    texts = {
+        "lines 1": "﻿" + "\n".join(rows) + "\noops\n[1]\n", "cr": "\r\n".join(rows), "array": "[" + ",\n".join(rows) + ", 7]",
+        "late": "oops\n" + "\n".join(rows), "object": '{\n "ts": "2024-02-01T00:00:00Z",\n "x": {"y": [1]}}', "one": rows[0], "blank": "\n",
+    }
+    for folder in ("plain", "packed"):
+        (tmp_path / folder).mkdir()
+    for name, text in texts.items():
+        (tmp_path / "plain" / f"{name}.json").write_text(text, newline="")
+        (tmp_path / "packed" / f"{name}.json.gz").write_bytes(gzip.compress(text.encode()))
+
+    def got(folder, pattern):
+        d = str(tmp_path / folder)
+        r = read_exports(spark, d, pattern).withColumn("source_file", F.regexp_replace("source_file", r"\.gz$", ""))
+        f = file_report(spark, d, pattern).where("read_as <> 'parts'").select("source_file", "records", "skipped_lines")
+        return sorted(map(repr, r.collect())), sorted((x[0].removesuffix(".gz"), *x[1:]) for x in f.collect())
+
+    want = got("plain", "*.json")
+    assert len(want[0]) == 4 * 300 + 2
+    for limit in (E.WHOLE_BYTES, 4096):
+        monkeypatch.setattr(E, "_whole_bytes", lambda spark, limit=limit: limit)
+        assert got("packed", "*.json.gz") == want
+    seen, lines = [], E._by_lines
+    monkeypatch.setattr(E, "_by_lines", lambda spark, paths: seen.extend(paths) or lines(spark, paths))
+    assert read_exports(spark, str(tmp_path / "packed"), "*.json.gz").count() == len(want[0])
+    assert sorted(p.rsplit("/", 1)[1] for p in seen) == ["cr.json.gz", "lines 1.json.gz"]
+    assert read_exports(spark, str(tmp_path / "packed")).count() == 0
+
+
+def test_exports_of_the_tables_take_less_disk_than_their_text(spark):
+    """Before, they stood there as plain text, a multiple of the tables they are made of."""
+    from encore.plans.registry import q_more
+    from encore.sources import fs
+
+    from conftest import SF_SMALL
+
+    d = q_more._exports_dir(spark, SF_SMALL)
+    text = spark.read.text(d).agg(F.sum(F.octet_length("value"))).first()[0]
+    assert sum(size for _, size, _ in fs.listing(spark, d)) < text / 5
