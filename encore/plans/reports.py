@@ -248,13 +248,13 @@ def artist_song_analytics(plays, start=None, end=None, artists=None, content_typ
 
 def skip_model(plays, start=None, end=None, artists=None, content_types=None) -> dict:
     """Train and evaluate the skip classifier on the selection's songs."""
-    from encore.operators.skip_model import classification_report, metrics, train_skip_model
+    from encore.operators.skip_model import KEPT, classification_report, metrics, train_skip_model
 
     sel = _select(plays, start, end, artists, content_types, False)
     res = train_skip_model(sel)
     if res.status != "ok":
         return {"status": res.status}
-    scored = res.scored.cache()  # three numbers a test row, which several passes read
+    scored = res.scored.persist(KEPT)  # three numbers a test row, which several passes read
     try:
         m = metrics(scored).first()
         report = {r["label"]: {"precision": r["precision"], "recall": r["recall"], "f1-score": r["f1_score"],

@@ -73,3 +73,23 @@ def test_metrics_equal_the_evaluator(spark):
         assert abs(M.metrics(df).first()["roc_auc"] - ev.evaluate(df)) < 1e-12
     finally:
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", aqe)
+
+
+def test_report_keeps_no_scores_in_memory(spark, make_plays, monkeypatch):
+    """Before, the cached scores of the report's test rows stayed in the executors' heap."""
+    from encore.plans.registry import q_reports
+
+    start = dt.datetime(2024, 1, 1)
+    plays = make_plays([{"ts": start + dt.timedelta(seconds=61 * i), "ms_played": 1000.0 * (i % 97), "master_metadata_track_name": f"t{i}",
+                         "skipped": i % 5 < 2} for i in range(600)], sessions=False)
+    kept, report = [], M.classification_report
+
+    def look(scored):
+        kept.extend((r.memSize(), r.diskSize()) for r in spark.sparkContext._jsc.sc().getRDDStorageInfo())
+        return report(scored)
+
+    monkeypatch.setattr(M, "classification_report", look)
+    spark.catalog.clearCache()
+    r = q_reports.RP.skip_model(plays)
+    assert r["status"] == "ok" and sum(r["report"][k]["support"] for k in "01") == r["report"]["accuracy"]["support"]
+    assert kept and all(m == 0 and d > 0 for m, d in kept)
